@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import line_rules, mixing, simhash
+from latentspark.llm import language_id, line_rules, mixing, packing, simhash
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_line_rules, op5_simhash, op6_mixing)}
+    return {f.__name__: f for f in (op3_line_rules, op5_simhash, op6_mixing, op7_packing, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
