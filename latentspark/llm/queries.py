@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import language_id, line_rules, mixing, packing, simhash
+from latentspark.llm import chat, language_id, line_rules, mixing, packing, simhash, toxicity
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.DECISION).cast("int"))
+
+
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(load(spark, sf_dir, "documents"))
 
@@ -33,8 +38,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(load(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the escape mark and a control string.
+CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(CONTROL_ID, 0, "user", CONTROL_TEXT), (CONTROL_ID, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(rows.union(extra)))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_line_rules, op5_simhash, op6_mixing, op7_packing, op8_language_id)}
+    return {f.__name__: f for f in (op2_toxicity, op3_line_rules, op5_simhash, op6_mixing, op7_packing, op8_language_id, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
