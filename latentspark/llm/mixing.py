@@ -30,6 +30,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hash buckets of the fractional repetition: 4 hexadecimal digits of an MD5.
 BUCKETS = 1 << 16
+#: Buckets of one run of the running sums.
+RUN = 1 << 8
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffling.
 BROADCAST_SOURCES = 50_000
 
@@ -78,8 +80,14 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     size = F.col("source_size")
     whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
     targets = cut_lineage(targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * size))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    gap = sums.withColumn("running", running).join(targets.select(F.col("source").alias("of"), "need"), F.col("source").eqNullSafe(F.col("of")))
+    # Running sums in two levels, so that no task gets all buckets of a large source.
+    part = F.floor(F.col("bucket") / RUN)
+    inside = F.sum("words").over(Window.partitionBy("source", "part").orderBy("bucket"))
+    parts = sums.withColumn("part", part).groupBy("source", "part").agg(F.sum("words").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("source").alias("in"), F.col("part").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
+    runs = sums.withColumn("part", part).withColumn("inside", inside).join(parts, F.col("source").eqNullSafe(F.col("in")) & (F.col("part") == F.col("at")))
+    gap = runs.withColumn("running", F.col("inside") + F.col("before")).join(targets.select(F.col("source").alias("of"), "need"), F.col("source").eqNullSafe(F.col("of")))
     best = gap.groupBy("of").agg(F.min(F.struct(F.abs(F.col("running") - F.col("need")).alias("gap"), "bucket")).alias("best"), F.first("need").alias("needed"))
     cut = best.select("of", F.when(F.col("best.gap") < F.col("needed"), F.col("best.bucket")).otherwise(-1).alias("last_bucket"))
     return targets.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("__source"), "source_size", "target", "whole", F.coalesce("last_bucket", F.lit(-1)).alias("last_bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import chat, language_id, line_rules, mixing, packing, simhash, toxicity
+from latentspark.llm import chat, language_id, licenses, line_rules, mixing, packing, quality, simhash, toxicity
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(load(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(load(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents")).drop("kept")
 
@@ -38,6 +42,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(load(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+    return quality.grade_documents(load(spark, sf_dir, "documents"), ratings)
+
+
 #: A conversation whose texts hold the escape mark and a control string.
 CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -48,8 +57,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.union(extra)))
 
 
+QUERIES: tuple[Query, ...] = (
+    op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_line_rules, op5_simhash, op6_mixing, op7_packing, op8_language_id, op10_chat)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
