@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import chat, language_id, licenses, line_rules, mixing, packing, quality, simhash, toxicity
+from latentspark.llm import chat, embedding_dedup, language_id, licenses, line_rules, mixing, packing, quality, simhash, toxicity
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(load(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.DECISION).cast("int"))
@@ -58,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat,
+    op1_embedding_dedup, op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat,
 )
 
 
