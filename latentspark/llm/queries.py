@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import chat, embedding_dedup, language_id, licenses, line_rules, mixing, packing, quality, simhash, toxicity
+from latentspark.llm import chat, embedding_dedup, language_id, licenses, line_rules, mixing, oracles, packing, quality, simhash, toxicity
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
