@@ -49,6 +49,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def in_one_column(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, so that names of the input can't meet names of an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, chosen by a hash of ``key``, spread over the whole table.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import bound_batches, bounded_sample, held_out
+from latentspark.llm.common import bound_batches, bounded_sample, held_out, in_one_column
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = PROFILE
 def keep_identified(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = PROFILE) -> DataFrame:
     """The rows of docs with a language, lang being the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(learn_profiles(docs, max_train, profile))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string"))
+    rows = docs.select(in_one_column(docs), F.col("text").cast("string"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
     found = rows.mapInArrow(_predict_batches(shared), schema).where(F.col("lang_pred") != UNKNOWN)
     return found.select(*((F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -6,8 +6,8 @@ template may stand, as its once-only words say, a window of the text is aligned
 with it: words unique to both sides are anchors, the longest increasing run of
 anchors is kept, and the gaps between are aligned in the same way, their equal
 ends first. Coverage is the aligned part of the template's words. A template is
-found at ``MIN_COVERAGE`` or more with all its key words aligned, so that one
-license isn't taken for another of like wording.
+found at ``MIN_COVERAGE`` or more with all its key words aligned and few words
+between, so that one license isn't taken for another of like wording.
 
 Defined cases: a null or empty text, or one without a license, has license null
 and coverage 0; of equal coverage the template of more aligned words and then the
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from latentspark.llm.common import bound_batches
 
 MIN_COVERAGE = 0.8
+#: Aligned words per word of the text that they span; less are words that only happen to follow each other.
+MIN_DENSITY = 2 / 3
 
 # Notices and texts of public licenses, as (license, key words, text).
 TEMPLATES = (
@@ -148,7 +150,8 @@ class _Template:
             if not pairs or not self.keys <= {self.words[j] for _, j in pairs}:
                 continue
             match = Match(len(pairs) / len(self.words), len(pairs), self.name, low + pairs[0][0], low + pairs[-1][0] + 1)
-            if match.coverage >= MIN_COVERAGE and (best is None or match.coverage > best.coverage):
+            dense = match.aligned >= MIN_DENSITY * (match.end - match.start)
+            if dense and match.coverage >= MIN_COVERAGE and (best is None or match.coverage > best.coverage):
                 best = match
         return best
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import WHITE, cut_lineage, words_of
+from latentspark.llm.common import WHITE, cut_lineage, in_one_column, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -125,28 +125,28 @@ def removals(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
     return met.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"), F.collect_set("key").alias("keys"))
 
 
-def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, keep: list[str] | None = None) -> DataFrame:
+def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The base features of every row with removed_words and kept."""
-    rows = base_features(docs.withColumn("__host", F.col("source").cast("string")), [*(keep or ["doc_id"]), "__host"])
-    rows = rows.withColumn("__key", _text_key(F.col("__text"))).drop("__text")
+    rows = base_features(docs.select("doc_id", "text", F.col("source").cast("string").alias("of_host")), ["doc_id", "of_host"])
+    rows = rows.withColumn("of_text", _text_key(F.col("__text"))).drop("__text")
     gone = removals(docs, min_docs, max_share).drop("keys")
-    rows = rows.join(gone, F.col("__host").eqNullSafe(F.col("host")) & (F.col("__key") == F.col("text_key")), "left")
+    rows = rows.join(gone, F.col("of_host").eqNullSafe(F.col("host")) & (F.col("of_text") == F.col("text_key")), "left")
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     depleted = F.col("removed_words").isNotNull() & ((left < min_left * F.col("n_words")) | (left < MIN_WORDS))
     rows = rows.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False)))
-    return rows.drop("__host", "__key", "host", "text_key")
+    return rows.drop("of_host", "of_text", "host", "text_key")
 
 
 def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of docs that line_rules keeps, their lines above the limit removed and n_chars, if there, made to match."""
-    marked = docs.withColumn("__host", F.col("source").cast("string")).withColumn("__key", _text_key(F.col("text").cast("string")))
+    marked = docs.select(in_one_column(docs), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("of_host"), _text_key(F.col("text").cast("string")).alias("of_text"))
     gone = cut_lineage(removals(docs, min_docs, max_share))
-    rows = marked.join(gone, F.col("__host").eqNullSafe(F.col("host")) & (F.col("__key") == F.col("text_key")), "left")
+    rows = marked.join(gone, F.col("of_host").eqNullSafe(F.col("host")) & (F.col("of_text") == F.col("text_key")), "left")
     kept_lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("keys"), _line_key(_normal(x))))
-    rows = rows.withColumn("__clean", F.when(F.col("keys").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
-    judged = base_features(rows, [*docs.columns, "removed_words", "__clean"])
+    rows = rows.withColumn("clean", F.when(F.col("keys").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
+    judged = base_features(rows, ["row", "removed_words", "clean"])
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     depleted = F.col("removed_words").isNotNull() & ((left < min_left * F.col("n_words")) | (left < MIN_WORDS))
     judged = judged.where(~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False)))
-    columns = {"text": F.col("__clean")} | ({"n_chars": F.length("__clean").cast("long")} if "n_chars" in docs.columns else {})
-    return judged.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    columns = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return judged.select(*(columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

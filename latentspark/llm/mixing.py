@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import count_words, cut_lineage
+from latentspark.llm.common import count_words, cut_lineage, in_one_column
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -114,7 +114,7 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     """The rows of docs, each as often as the mix takes it."""
     sized = docs.select(F.col("source"), count_words(F.col("text")).alias("size"), _bucket(F.col("doc_id"), seed).alias("bucket"))
     plan = _plan(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), weights, max_epochs)
-    rows = _with_plan(docs.withColumn("__bucket", _bucket(F.col("doc_id"), seed)), "source", plan)
-    repeats = (F.col("whole") + (F.col("__bucket") <= F.col("last_bucket")).cast("long")).cast("int")
+    rows = _with_plan(docs.select(in_one_column(docs), "source", _bucket(F.col("doc_id"), seed).alias("bucket")), "source", plan)
+    repeats = (F.col("whole") + (F.col("bucket") <= F.col("last_bucket")).cast("long")).cast("int")
     times = F.when(repeats > 0, F.sequence(F.lit(1), repeats)).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("__time", F.explode(times)).select(*docs.columns)
+    return rows.select("row", F.explode(times).alias("time")).select("row.*")
