@@ -34,7 +34,7 @@ TILE_ROWS = 8192
 #: Shingles whose hashes are unpacked to bits at a time.
 CHUNK = 1 << 16
 #: (fingerprints below which it is used, segments); more segments skip more tile pairs.
-SEGMENTS = ((1 << 17, 1), (1 << 21, 2), (1 << 27, 4), (1 << 63, 8))
+SEGMENTS = ((1 << 21, 2), (1 << 27, 4), (1 << 63, 8))
 
 
 def fingerprint(text: bytes | None) -> int:
