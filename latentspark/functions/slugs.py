@@ -1,0 +1,32 @@
+"""Names of cells as columns: safe for file names, without dots."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def safe(text: Column) -> Column:
+    """Runs of unsafe characters become one dash."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "-")
+
+
+def no_dots(text: Column) -> Column:
+    return F.replace(text, F.lit("."), F.lit("p"))
+
+
+def model_slug(model: Column) -> Column:
+    """The head of a model name before its first dot, without patch and resolution suffix."""
+    head = F.split(model, r"\.")[0]
+    return safe(F.regexp_replace(head, r"_p\d+_\d+$", ""))
+
+
+def number_slug(value: Column) -> Column:
+    """Whole numbers bare, others to six significant digits, dots as p and minus as m."""
+    shown = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string("%.6g", value))
+    return F.replace(no_dots(shown), F.lit("-"), F.lit("m"))
+
+
+def cell_slug(*parts: Column) -> Column:
+    """Named parts joined; null parts are left out."""
+    return F.concat_ws("_", *parts)

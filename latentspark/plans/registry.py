@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Modules that register queries.
+MODULES = ("record_queries",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"latentspark.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return queries()["two_level_pilots"](spark, sf_dir)
