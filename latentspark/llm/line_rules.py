@@ -88,6 +88,9 @@ def base_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         rows = rows.withColumn(out, _joined_hashes(F.col(of), by))
     lines = F.filter(F.split("__text", "\n"), _has_word)
     repeats = F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), _covered(F.col("__windows"))).otherwise(0)
+    # Always true, but not to the optimizer: it would else move a filter on the result below the
+    # projections above and write their expressions out, each as often as it is used.
+    repeats = F.when(F.spark_partition_id() >= 0, repeats).otherwise(0)
     rows = rows.select(
         "*", F.size("__words").cast("long").alias("n_words"), F.length(F.translate("__text", WHITE, "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
