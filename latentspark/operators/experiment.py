@@ -1,0 +1,160 @@
+"""Presets, pairings, ranks and budgets, and the runs that score maps."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+from collections.abc import Iterable, Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latentspark.functions.kernels import Kernel
+from latentspark.operators import metrics
+from latentspark.operators.align.anchors import PPFEAligner, RelativeAligner
+from latentspark.operators.align.base import Aligner
+from latentspark.operators.align.kernel import CKAAligner, KCCAAligner, RKHSAligner
+from latentspark.operators.align.linear import CCAAligner, LinearAligner, ProcrustesAligner, SVCCAAligner
+from latentspark.operators.align.neural import DirectMLPAligner, ResidualMLPAligner
+from latentspark.operators.blocks import cut_lineage
+
+GRID_17 = tuple(10.0 ** (e / 2) for e in range(-14, 3))
+
+#: name: (class, settings, the setting that a symbol rate writes, pilot design)
+PRESETS: dict[str, tuple[type[Aligner], dict, str, str]] = {
+    "procrustes": (ProcrustesAligner, {}, "n_components", "herding"),
+    "pca_procrustes": (ProcrustesAligner, {"preprocess": "pca"}, "n_components", "herding"),
+    "pga_procrustes": (ProcrustesAligner, {"preprocess": "pga"}, "n_components", "herding"),
+    "linear": (LinearAligner, {}, "n_components", "herding"),
+    "affine": (LinearAligner, {"fit_intercept": True}, "n_components", "herding"),
+    "l_ortho": (LinearAligner, {"orthogonalize": True}, "n_components", "herding"),
+    "rkhs": (RKHSAligner, {"lam_grid": GRID_17}, "n_components", "herding"),
+    "rkhs_free": (RKHSAligner, {"lam_grid": GRID_17, "orthogonal_residual": False}, "n_components", "herding"),
+    "krr": (RKHSAligner, {"lam_grid": GRID_17, "orthogonal_residual": False, "rigid_stage": False}, "n_components", "herding"),
+    "pca_rkhs": (RKHSAligner, {"preprocess": "pca"}, "n_components", "herding"),
+    "cca": (CCAAligner, {"preprocess": "none"}, "n_canonical", "herding"),
+    "svcca": (SVCCAAligner, {"preprocess": "none", "reg": 1e-4}, "n_canonical", "herding"),
+    "kcca": (KCCAAligner, {"preprocess": "none", "kernel": Kernel("rbf")}, "n_canonical", "herding"),
+    "relative": (RelativeAligner, {"n_anchors": 256}, "n_anchors", "kmeans"),
+    "rr": (RelativeAligner, {"n_anchors": 384, "strategy": "random", "prune_threshold": 0.7, "n_subspaces": 8}, "n_anchors", "fps"),
+    "ppfe": (PPFEAligner, {}, "n_anchors", "kmeans"),
+    "cka": (CKAAligner, {"n_anchors": 320}, "n_anchors", "kmeans"),
+    "cka_pca": (CKAAligner, {"n_anchors": 320, "preprocess": "pca"}, "n_anchors", "kmeans"),
+    "direct_mlp": (DirectMLPAligner, {"hidden": (512, 256)}, "n_components", "herding"),
+    "residual_mlp": (ResidualMLPAligner, {"hidden": (512, 256)}, "n_components", "herding"),
+}
+
+
+def build_aligner(preset: str, symbols: int | None = None, **over) -> Aligner:
+    """A preset's map; symbols, if given, is written to the setting that sets its rate."""
+    kind, settings, rate_key, _ = PRESETS[preset]
+    return kind(**settings | ({rate_key: symbols} if symbols is not None else {}) | over)
+
+
+def widest(widths: dict[str, int]) -> str:
+    """The widest agent, the first listed on ties."""
+    return max(widths, key=lambda a: widths[a])
+
+
+def resolve_pairs(agents: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None, receiver: str | None = None, widths: dict[str, int] | None = None, max_pairs: int | None = None) -> list[tuple[str, str]]:
+    """Explicit pairs win; else every other agent to the receiver, which is the widest if none is named."""
+    if pairs is None:
+        receiver = receiver or widest({a: (widths or {}).get(a, 0) for a in agents})
+        pairs = [(a, receiver) for a in agents if a != receiver]
+    for source, target in pairs:
+        if source == target:
+            raise ValueError(f"{source} is paired with itself")
+        if missing := {source, target} - set(agents):
+            raise ValueError(f"unknown agents {sorted(missing)}")
+    return list(pairs)[:max_pairs]
+
+
+def rank_request(request: int | float | None, max_rank: int) -> int | None:
+    """A count of symbols; a float is a share of max_rank. None where it would not compress."""
+    if request is None:
+        return None
+    if isinstance(request, bool):
+        raise TypeError("a rank can't be a bool")
+    n = max(1, round(request * max_rank)) if isinstance(request, float) else request
+    if n < 1:
+        raise ValueError("a rank must be at least 1")
+    return None if n >= max_rank else n
+
+
+def resolve_budgets(symbols: int, counts: Iterable[int] | None = None, rates: Iterable[float] | None = None) -> list[int]:
+    """Counts win; else the distinct sorted ceilings of rate times symbols."""
+    return sorted(set(counts)) if counts else sorted({math.ceil(r * symbols) for r in rates or ()})
+
+
+def check_budgets_fit_pool(budgets: Sequence[int], pool: int) -> None:
+    if budgets and max(budgets) >= pool:
+        raise ValueError(f"budget {max(budgets)} must be below the pool of {pool} rows")
+
+
+def resolve_charts(charts: Sequence[str], ranks: Sequence[int | float | None], max_rank: int) -> list[tuple[str, int | None]]:
+    """Distinct (chart, rank) cells in the order given."""
+    return list(dict.fromkeys((c, rank_request(r, max_rank)) for c in charts for r in ranks))
+
+
+def lambda_grid(low: float, high: float, per_decade: int) -> list[float]:
+    """Logarithmic range with per_decade points, both ends included, at least two."""
+    n = max(2, round((math.log10(high) - math.log10(low)) * per_decade) + 1)
+    return [float(x) for x in np.logspace(math.log10(low), math.log10(high), n)]
+
+
+def spec_key(spec: dict) -> str:
+    """Eight digits that name a specification, whatever the order of its keys."""
+    return hashlib.sha1(json.dumps(spec, sort_keys=True).encode()).hexdigest()[:8]
+
+
+def score(spark: SparkSession, aligner: Aligner, src: DataFrame, tgt: DataFrame, name: str, transform=None) -> DataFrame:
+    """One record: reconstruction and retrieval of held-out rows, and the map's costs."""
+    predicted = cut_lineage((transform or aligner.transform)(src.select("sample_id", "v")))
+    costs = aligner.summary()
+    return metrics.alignment(predicted, tgt.select("sample_id", "v")).select(
+        F.lit(name).alias("method"), "*", F.lit(int(costs["paired_used"])).alias("paired_used"), F.lit(int(costs["symbols"])).alias("symbols"), F.lit(int(costs["map_params"])).alias("map_params"),
+    )
+
+
+def run_pair(spark: SparkSession, src: DataFrame, tgt: DataFrame, presets: Sequence[str], **over) -> DataFrame:
+    """Records of presets fitted on the train split of both tables and scored on the test split."""
+    train, test = "split = 'train'", "split = 'test'"
+    records = None
+    for preset in presets:
+        aligner = build_aligner(preset, **over).fit(src.where(train), tgt.where(train))
+        row = score(spark, aligner, src.where(test), tgt.where(test), preset)
+        records = row if records is None else records.union(row)
+    return records
+
+
+def lambda_sweep(spark: SparkSession, src: DataFrame, tgt: DataFrame, grid: Sequence[float], **over) -> DataFrame:
+    """Records ``(lam, ...)`` of one fit solved anew for each lambda on its eigendecomposition."""
+    train, test = "split = 'train'", "split = 'test'"
+    aligner = RKHSAligner(lam=grid[0], **over).fit(src.where(train), tgt.where(train))
+    records = None
+    for lam in grid:
+        aligner.set_lam(lam)
+        row = score(spark, aligner, src.where(test), tgt.where(test), "rkhs").withColumn("lam", F.lit(float(lam)))
+        records = row if records is None else records.union(row)
+    return records
+
+
+def run_grid(spark: SparkSession, src: DataFrame, tgt: DataFrame, methods: Sequence[str], budgets: Sequence[int], select, seeds: Sequence[int] = (0,), done: DataFrame | None = None) -> DataFrame:
+    """Records of methods x budgets x seeds with pilots from select(pool, n, seed); cells in ``done`` are not run again."""
+    pool = src.where("split = 'train'")
+    check_budgets_fit_pool(budgets, pool.count() + 1)
+    have = set() if done is None else {(r.method, r.n_pilots, r.seed) for r in done.select("method", "n_pilots", "seed").distinct().collect()}
+    records = done
+    for seed in seeds:
+        for n in budgets:
+            pilots = cut_lineage(select(pool, n, seed).select("sample_id"))
+            for method in methods:
+                if (method, n, seed) in have:
+                    continue
+                sides = [df.where("split = 'train'").join(pilots, "sample_id", "left_semi") for df in (src, tgt)]
+                aligner = build_aligner(method).fit(*sides, src_context=pool, tgt_context=tgt.where("split = 'train'"))
+                row = score(spark, aligner, src.where("split = 'test'"), tgt.where("split = 'test'"), method).withColumn("n_pilots", F.lit(n)).withColumn("seed", F.lit(seed))
+                records = row if records is None else records.unionByName(row, allowMissingColumns=True)
+    return records

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries.
-MODULES = ("record_queries", "space_queries")
+MODULES = ("record_queries", "space_queries", "model_queries")
 
 
 def _load() -> None:
@@ -44,4 +44,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["two_level_pilots"](spark, sf_dir)
+    return queries()["procrustes"](spark, sf_dir)
