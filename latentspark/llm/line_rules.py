@@ -30,6 +30,8 @@ MAX_REPEAT_PERCENT = 30
 MIN_DOCS = 20
 MAX_SHARE = 0.05
 MIN_LEFT = 0.3
+#: Removals up to this many texts and line keys (about 20 MB) are broadcast, more are joined by shuffling the texts.
+BROADCAST_REMOVALS = 200_000
 
 
 def _let(value: Column, use) -> Column:
@@ -144,6 +146,8 @@ def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX
     """The rows of docs that line_rules keeps, their lines above the limit removed and n_chars, if there, made to match."""
     marked = docs.select(in_one_column(docs), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("of_host"), _text_key(F.col("text").cast("string")).alias("of_text"))
     gone = cut_lineage(removals(docs, min_docs, max_share))
+    if gone.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0] <= BROADCAST_REMOVALS:
+        gone = F.broadcast(gone)
     rows = marked.join(gone, F.col("of_host").eqNullSafe(F.col("host")) & (F.col("of_text") == F.col("text_key")), "left")
     kept_lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("keys"), _line_key(_normal(x))))
     rows = rows.withColumn("clean", F.when(F.col("keys").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from latentspark.llm import line_rules
 from tests.llm.fixtures import documents, frame
 
@@ -53,7 +55,9 @@ def test_matches_brute_force(spark):
     assert sorted((str(r.doc_id), *(r[c] for c in columns)) for r in got) == sorted(expected)
 
 
-def test_clean_rows_keep_and_cut(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_clean_rows_keep_and_cut(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_rules, "BROADCAST_REMOVALS", broadcast)
     rows = documents()
     docs = frame(spark, rows)
     kept = line_rules.clean_rows(docs, min_docs=3, max_share=0.1)
