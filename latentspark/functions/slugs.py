@@ -22,8 +22,8 @@ def model_slug(model: Column) -> Column:
 
 
 def number_slug(value: Column) -> Column:
-    """Whole numbers bare, others to six significant digits, dots as p and minus as m."""
-    shown = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string("%.6g", value))
+    """Whole numbers bare, others to six decimals, dots as p and minus as m."""
+    shown = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.round(value, 6).cast("string"))
     return F.replace(no_dots(shown), F.lit("-"), F.lit("m"))
 
 
