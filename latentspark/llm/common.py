@@ -55,12 +55,12 @@ def in_one_column(docs: DataFrame, name: str = "row") -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of ``key``, spread over the whole table.
+    """At most ``limit`` rows, chosen by an MD5 of ``key`` (which SQL can repeat), spread over the whole table.
 
     Only ids and hashes are ordered (a distributed top-k); the caller's other columns
     come back through a join with that bounded id list.
     """
-    order = F.xxhash64(F.lit("sample"), F.col(key))
+    order = F.md5(F.concat(F.lit("sample:"), F.col(key).cast("string")).cast("binary"))
     ids = rows.select(F.col(key).alias("__k"), order.alias("__h")).where(F.col("__k").isNotNull())
     ids = ids.orderBy("__h", "__k").limit(limit).select("__k").distinct()
     return rows.join(F.broadcast(ids), F.col(key) == F.col("__k"), "left_semi")

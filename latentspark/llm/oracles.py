@@ -99,4 +99,29 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op6_mixing": OP6, "op10_chat": OP10}
+#: crc32 of the decimal digits of an id, bit by bit over each character.
+HELD_OUT = """crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), CAST(range(0, 8) AS BIGINT[])), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT) % 4 = 2 AS held_out FROM documents
+)"""
+
+OP8 = "WITH " + HELD_OUT + r""", d AS (
+  SELECT documents.doc_id, lang, text, held_out, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS t FROM documents JOIN crc ON documents.doc_id = crc.doc_id
+), sample AS (
+  SELECT doc_id, lang, t FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL ORDER BY md5('sample:' || doc_id), doc_id LIMIT 6000
+), sizes AS (SELECT unnest([1, 2, 3]) AS k), taught AS (
+  SELECT lang, substr(t, i, k) AS g, count(*) AS n FROM (SELECT lang, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM sample, sizes WHERE length(t) > 2) GROUP BY ALL
+), profile AS (
+  SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS place FROM taught WHERE g <> ' ') WHERE place < 400
+), own AS (
+  SELECT doc_id, substr(t, i, k) AS g, count(*) AS n FROM (SELECT doc_id, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM d, sizes WHERE length(t) > 2) GROUP BY ALL
+), mine AS (
+  SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS place FROM own WHERE g <> ' ') WHERE place < 400
+), langs AS (SELECT DISTINCT lang FROM profile), apart AS (
+  SELECT mine.doc_id, langs.lang, sum(CASE WHEN p.place IS NULL THEN 400 ELSE abs(p.place - mine.place) END) / CAST(400 * count(*) AS DOUBLE) AS distance
+  FROM mine CROSS JOIN langs LEFT JOIN profile p ON p.lang = langs.lang AND p.g = mine.g GROUP BY mine.doc_id, langs.lang
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS place FROM apart)
+SELECT d.doc_id, d.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0 - distance, 0.0) AS score FROM d LEFT JOIN best ON d.doc_id = best.doc_id AND best.place = 1
+"""
+
+SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op6_mixing": OP6, "op8_language_id": OP8, "op10_chat": OP10}
