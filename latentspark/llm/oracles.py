@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from latentspark.llm.oracle_simhash import OP5
+
 OP1 = """
 WITH v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -124,4 +126,4 @@ OP8 = "WITH " + HELD_OUT + r""", d AS (
 SELECT d.doc_id, d.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0 - distance, 0.0) AS score FROM d LEFT JOIN best ON d.doc_id = best.doc_id AND best.place = 1
 """
 
-SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op6_mixing": OP6, "op8_language_id": OP8, "op10_chat": OP10}
+SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op5_simhash": OP5, "op6_mixing": OP6, "op8_language_id": OP8, "op10_chat": OP10}
