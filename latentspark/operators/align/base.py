@@ -18,13 +18,20 @@ from latentspark.operators.scaling import Scaler
 MAX_POINTS = 4000
 
 
+def check_paired(src: DataFrame, tgt: DataFrame) -> int:
+    """Rows of two tables that hold the same ids, once each; anything else is an error. One pass over both."""
+    sides = src.select("sample_id", F.lit(1).alias("side")).union(tgt.select("sample_id", F.lit(1000).alias("side")))
+    met = sides.groupBy("sample_id").agg(F.sum("side").alias("sides"))
+    n, off = met.agg(F.count("*"), F.count(F.when(F.col("sides") != 1001, 1))).first()
+    if not n or off:
+        raise ValueError(f"source and target rows are not paired: {off} of {n} ids")
+    return n
+
+
 def paired(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """``(sample_id, x, y)`` of two tables (sample_id, v) with the same ids."""
-    both = src.select("sample_id", F.col("v").cast("array<double>").alias("x")).join(tgt.select("sample_id", F.col("v").cast("array<double>").alias("y")), "sample_id")
-    n = both.count()
-    if not n or {src.count(), tgt.count()} != {n}:
-        raise ValueError("source and target rows are not paired")
-    return both
+    check_paired(src, tgt)
+    return src.select("sample_id", F.col("v").cast("array<double>").alias("x")).join(tgt.select("sample_id", F.col("v").cast("array<double>").alias("y")), "sample_id")
 
 
 class Aligner:

@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.functions import vec
+from latentspark.operators.align.base import check_paired
 from latentspark.operators.pairs import paired_ranks
 
 
 def paired(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     """``(sample_id, p, t)`` of rows on both sides; unequal tables are an error, as in fitting."""
-    both = predicted.select("sample_id", F.col("v").alias("p")).join(targets.select("sample_id", F.col("v").alias("t")), "sample_id")
-    sizes = {predicted.count(), targets.count(), both.count()}
-    if len(sizes) > 1 or sizes == {0}:
-        raise ValueError(f"tables are not paired: {sorted(sizes)} rows")
-    return both
+    check_paired(predicted, targets)
+    return predicted.select("sample_id", F.col("v").alias("p")).join(targets.select("sample_id", F.col("v").alias("t")), "sample_id")
 
 
 def reconstruction(both: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.functions import vec
+from latentspark.operators.blocks import map_vectors, moment_matrix
+from latentspark.operators.linalg import fixed_signs
 
 
 def long_form(df: DataFrame, vector: str = "v", keep: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -44,8 +46,16 @@ def standardised(df: DataFrame, method: str, vector: str = "v") -> DataFrame:
     return df.withColumn(vector, F.zip_with(centred, std, lambda x, s: x / s))
 
 
-def similarity_features(df: DataFrame, anchors: Sequence[Sequence[float]], similarity: str = "cosine", vector: str = "v") -> DataFrame:
-    """Each vector as its similarities to a fixed, small list of anchors (cosine, inner, or descriptor = 1 - cosine)."""
+def similarity_features(df: DataFrame, anchors: Sequence[Sequence[float]], similarity: str = "cosine", vector: str = "v", parseval: bool = False) -> DataFrame:
+    """Each vector as its similarities to a fixed, small list of anchors (cosine, inner, or descriptor = 1 - cosine).
+
+    parseval replaces the anchors by their nearest Parseval frame first.
+    """
+    if similarity not in ("cosine", "inner", "descriptor"):
+        raise ValueError(f"unknown similarity {similarity!r}")
+    if parseval:
+        u, _, vt = np.linalg.svd(np.asarray(anchors, float), full_matrices=False)
+        anchors = (u @ vt).tolist()
     parts = []
     for a in anchors:
         anchor = F.array(*[F.lit(float(x)) for x in a])
@@ -66,3 +76,14 @@ def covariance(moment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population covariance of the columns behind a moment matrix."""
     n, mean = moment[0, 0], moment[0, 1:] / moment[0, 0]
     return mean, moment[1:, 1:] / n - np.outer(mean, mean)
+
+
+def components(df: DataFrame, k: int, vector: str = "v") -> tuple[DataFrame, np.ndarray]:
+    """Scores of the rows on k leading centred directions, and their singular values; k is at most n-1 and the width."""
+    moment = moment_matrix(df, vector)
+    n = int(moment[0, 0])
+    mean, cov = covariance(moment)
+    values, basis = np.linalg.eigh(cov)
+    k = max(1, min(k, n - 1, len(mean)))
+    basis = fixed_signs(basis[:, ::-1][:, :k])
+    return map_vectors(df, lambda x: (x - mean) @ basis, vector, vector), np.sqrt(np.maximum(values[::-1][:k], 0) * n)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import glob
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latentspark.sources.synthetic import agent_name, synthetic_agents
+
 
 def repo_id(dataset: Column | str, org: str = "embeddings", prefix: str = "latents-") -> Column:
     return F.concat(F.lit(f"{org}/{prefix}"), F.col(dataset) if isinstance(dataset, str) else dataset)
@@ -25,6 +24,24 @@ def available_models(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("model_name").distinct()
 
 
+def is_cached(spark: SparkSession, path: str, model: str, split: str) -> bool:
+    """Whether the partition of a model and split is there, in any store that Spark reads."""
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model_name={model}/split={split}")
+    return bool(part.getFileSystem(spark._jsc.hadoopConfiguration()).exists(part))
+
+
+def load_agents(spark: SparkSession, source: str, models: list[str] | None = None, **settings) -> DataFrame:
+    """Agents by kind of source: 'table' (path) or 'synthetic' (its settings); models names the ones to keep."""
+    if source == "table":
+        return read_agents(spark, settings["path"], models or [])
+    if source == "synthetic":
+        made = synthetic_agents(spark, **settings)
+        if unknown := set(models or []) - {agent_name(k) for k in range(settings["n_agents"])}:
+            raise ValueError(f"unknown agents {sorted(unknown)}")
+        return made.where(F.col("agent").isin(models)) if models else made
+    raise ValueError(f"unknown source {source!r}")
+
+
 def read_agents(spark: SparkSession, path: str, models: list[str], splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
     """The named models as one long table; an absent model is an error."""
     if not models:
@@ -73,12 +90,3 @@ def union_records(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         first = first.unionByName(other, allowMissingColumns=True)
     return first
-
-
-def settings(path_glob: str) -> dict[str, dict]:
-    """JSON settings by file stem."""
-    found = {}
-    for path in sorted(glob.glob(path_glob)):
-        with open(path, encoding="utf-8") as f:
-            found[path.rsplit("/", 1)[-1].rsplit(".", 1)[0]] = json.load(f)
-    return found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import Kernel, median_of, median_sq_dist
 from latentspark.functions.slugs import model_slug, number_slug
-from latentspark.operators import blocks, experiment, graphs, metrics, pairs, records, selection, spectral
+from latentspark.operators import blocks, experiment, graphs, metrics, pairs, pilots, records, selection, spaces, spectral, stored
 from latentspark.operators.align.linear import ProcrustesAligner
 from latentspark.sources import tables
 from latentspark.sources.synthetic import agent_name, synthetic_agents
@@ -261,3 +261,55 @@ def test_a_map_on_a_stream_gives_the_rows_of_a_table(spark, points, tmp_path):
     got = {r.sample_id: r.v for r in spark.table("mapped").collect()}
     assert np.allclose([got[i] for i in range(90)], aligner.apply(points))
     assert sum(r.n for r in spark.table("drifted").collect()) == 90
+
+
+@pytest.mark.parametrize("strategy", ["random", "herding", "anti_herding", "fps", "round_robin", "ball", "kmeans", "stratified", "classes:2"])
+def test_designs_by_name(spark, points, strategy):
+    df = frame(spark, points, np.arange(90) % 4)
+    path = pilots.select_pilot_path(df, [4, 8], strategy).toPandas()
+    small, large = ({*path[path.budget == b].sample_id} for b in (4, 8))
+    assert len(large) == 8 or strategy == "stratified" and 4 <= len(large) <= 8
+    if strategy in pilots.NESTED:
+        assert small < large
+    if strategy == "classes:2":
+        assert len({i % 4 for i in large}) == 2
+    assert pilots.select_pilots(df, 90, strategy).count() == 90
+
+
+def test_design_names():
+    assert pilots.parse_design("classes:3") == ("classes", 3)
+    for bad in ("classes", "classes:0", "herding:2", "other"):
+        with pytest.raises(ValueError):
+            pilots.parse_design(bad)
+
+
+def test_components_and_frames(spark, points):
+    df = frame(spark, points)
+    scores, values = spaces.components(df, 3)
+    s = np.linalg.svd(points - points.mean(axis=0), compute_uv=False)[:3]
+    assert np.allclose(values, s)
+    z = np.array([r.v for r in scores.collect()])
+    assert np.allclose(np.linalg.norm(z, axis=0), s)
+    f = spaces.similarity_features(df, points[:9].tolist(), "inner", parseval=True)
+    z = np.array([r.v for r in f.orderBy("sample_id").collect()])
+    assert np.allclose(np.linalg.norm(z, axis=1), np.linalg.norm(points, axis=1))
+
+
+def test_stored_models(spark, points, tmp_path):
+    fitted = ProcrustesAligner(preprocess="center").fit(frame(spark, points), frame(spark, points[:, ::-1]))
+    path = stored.model_path(str(tmp_path), "made", "procrustes", {"seed": 1})
+    stored.save_model(spark, fitted, path)
+    assert np.allclose(stored.load_model(spark, path, ProcrustesAligner).apply(points), fitted.apply(points))
+    with pytest.raises(TypeError):
+        stored.load_model(spark, path, dict)
+
+
+def test_agents_by_source(spark, tmp_path):
+    made = tables.load_agents(spark, "synthetic", ["agent_01"], n_agents=2, n_train=10, n_test=5)
+    assert {r.agent for r in made.collect()} == {"agent_01"}
+    made.withColumnRenamed("agent", "model_name").write.partitionBy("model_name", "split").parquet(str(tmp_path / "a"))
+    assert tables.load_agents(spark, "table", ["agent_01"], path=str(tmp_path / "a")).count() == 15
+    assert tables.is_cached(spark, str(tmp_path / "a"), "agent_01", "test") and not tables.is_cached(spark, str(tmp_path / "a"), "agent_02", "test")
+    for source, models in (("other", None), ("synthetic", ["agent_77"])):
+        with pytest.raises(ValueError):
+            tables.load_agents(spark, source, models, n_agents=2, n_train=10, n_test=5)
