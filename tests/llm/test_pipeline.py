@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from latentspark.llm import queries
 from latentspark.llm.components import connected_components
+from tests.llm.fixtures import documents, frame
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +28,28 @@ def test_stages_one_after_another(spark, tmp_path):
     assert sorted(map(str, docs.drop("sequence_id", "offset").collect())) == sorted(map(str, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect()))
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_rows(spark, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows and ids, clashing names; and the same table without rows."""
+    docs = frame(spark, documents()).where("false" if empty else "true")
+    columns = docs.columns
+    left = Counter(str(r.doc_id) for r in docs.collect())
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows = docs.collect()
+        if k < 4:
+            assert docs.columns == columns, name
+            assert {str(r.doc_id) for r in rows} <= set(left)
+            assert all(r.text for r in rows)
+            left = Counter(str(r.doc_id) for r in rows)
+            if name == "near_duplicates":
+                assert max(left.values(), default=1) == 1
+        else:
+            assert sum(r.piece == 0 for r in rows) == sum(left.values())
+        assert bool(rows) != empty
+
+
 def test_every_query_has_a_whole_result(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in queries.queries().items():
