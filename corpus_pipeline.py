@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over documents, each written and read again by its caller."""
+"""The corpus pipeline: five stages over documents, each written and read again by its caller.
+
+Defined cases, beyond those of each operator: a document without letters (a null
+or empty text too) leaves in the first stage; lang then holds the predicted
+language; a repeated doc_id keeps one row after the third stage; a document may
+come up to three times out of the fourth, and each time is packed on its own; an
+empty table stays empty with its columns; further columns are carried along by
+all stages but the last.
+"""
 
 from __future__ import annotations
 
