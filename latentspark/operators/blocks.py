@@ -1,9 +1,10 @@
 """Blocks of vectors, pairs of blocks, and moments: the all-pairs and matrix work of the engine.
 
 A block is one row that holds up to ``BLOCK`` vectors as a matrix. A pair of
-blocks is one unit of work in numpy; it returns aggregates or a few rows for each
-vector, so that neither side is broadcast or collected and no task holds more than
-two blocks.
+blocks is one unit of work in numpy, done for ``STRIP`` rows of the left block at a
+time; it returns aggregates or a few rows for each vector, so that neither side is
+broadcast or collected and no task holds more than two blocks and a strip of
+results. What is shuffled falls as blocks grow, by n^2 / block.
 """
 
 from __future__ import annotations
@@ -16,7 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 8192
+#: Small tables are cut into this many blocks, for as many tasks.
+SPREAD = 16
+LEAST = 128
+#: Left rows of a pair of blocks that meet the right block at a time.
+STRIP = 1024
+#: Bytes of an Arrow batch, so that a worker holds a pair of blocks or two at a time.
+BATCH_BYTES = 16 << 20
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -44,11 +52,12 @@ def _pack(table: pa.Table) -> pa.Table:
     })
 
 
-def pack_blocks(df: DataFrame, vector: str = "v", other: str | None = None, id_column: str = "sample_id", block: int = BLOCK) -> DataFrame:
+def pack_blocks(df: DataFrame, vector: str = "v", other: str | None = None, id_column: str = "sample_id", block: int | None = None) -> DataFrame:
     """``(block, ids, rows, vectors, others)``: about ``block`` rows of df in each row; other is a second vector of each."""
     second = F.col(other).cast("array<double>") if other else F.array().cast("array<double>")
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), second.alias("w"))
-    n = max(1, -(-rows.count() // block))
+    total = rows.count()
+    n = max(1, -(-total // (block or min(BLOCK, max(LEAST, -(-total // SPREAD))))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     return cut_lineage(rows.groupBy("block").applyInArrow(_pack, "block int, ids binary, rows long, vectors binary, others binary"))
 
@@ -61,25 +70,35 @@ class Block:
         self.v = np.frombuffer(vectors, np.float64).reshape(rows, -1)
         self.w = np.frombuffer(others, np.float64).reshape(rows, -1)
 
+    def strips(self) -> Iterator[Block]:
+        for k in range(0, len(self.ids), STRIP):
+            part = Block.__new__(Block)
+            part.ids, part.v, part.w = self.ids[k : k + STRIP], self.v[k : k + STRIP], self.w[k : k + STRIP]
+            yield part
+
 
 def for_block_pairs(left: DataFrame, right: DataFrame, work: Callable[[Block, Block], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """work on every pair of a left and a right block; a left block is sent once to each right block."""
     names = [part.split()[0] for part in schema.split(", ")]
     sides = ("ids", "rows", "vectors", "others")
     to = right.select(F.col("block").alias("to"), *(F.col(c).alias(f"to_{c}") for c in sides))
-    n = right.count()
-    if not n:
+    numbers = [r.to for r in to.select("to").collect()]  # of blocks, not of rows
+    if not numbers:
         return left.sparkSession.createDataFrame([], schema)
-    # Blocks are numbered without gaps only if each has rows, so the numbers present are listed.
-    numbers = [r.to for r in to.select("to").collect()]
-    pairs = left.withColumn("to", F.explode(F.array(*[F.lit(k) for k in numbers]))).join(to, "to").drop("to", "block")
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # A number of partitions that is asked for is not coalesced, however small the blocks.
+    parts = min(2 * len(numbers), 8192)
+    each = left.withColumn("to", F.explode(F.array(*[F.lit(k) for k in numbers]))).drop("block").repartition(parts, "to")
+    pairs = each.join(to.repartition(parts, "to"), "to").drop("to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 at = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                out = work(Block(*(at[c] for c in sides)), Block(*(at[f"to_{c}"] for c in sides)))
-                yield pa.RecordBatch.from_pydict({c: pa.array(out[c]) for c in names})
+                against = Block(*(at[f"to_{c}"] for c in sides))
+                for strip in Block(*(at[c] for c in sides)).strips():
+                    out = work(strip, against)
+                    yield pa.RecordBatch.from_pydict({c: pa.array(out[c]) for c in names})
 
     return pairs.mapInArrow(run, schema)
 

@@ -438,10 +438,9 @@ def stitch_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.nearest(a, X.agent_b(spark, sf_dir), 1).select(F.col("src").alias("sample_id"), F.col("dst").alias("match"))
 
 
-@query(L + " SELECT sample_id, round(3.9 * pow((row_number() OVER (ORDER BY md5('0:' || sample_id), sample_id)) / CAST((SELECT count(*) FROM a) AS DOUBLE), 0.7), 6) AS bandwidth FROM a")
+@query(L + " SELECT CAST(n AS BIGINT) AS budget, round(3.9 * pow(n / CAST((SELECT count(*) FROM a) AS DOUBLE), 0.7), 6) AS bandwidth FROM (SELECT unnest([16, 32, 64, 128]) AS n)")
 def scheduled_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bandwidth at which each row would join the pilots."""
-    a = X.agent_a(spark, sf_dir)
-    n = a.count()
-    placed = selection.first_by_hash(a, n)
-    return placed.select("sample_id", F.round(selection.scheduled_bandwidth(F.col("place") + 1, F.lit(n)), 6).alias("bandwidth"))
+    """The bandwidth of each pilot budget, given the pool."""
+    pool = X.agent_a(spark, sf_dir).agg(F.count("*").alias("pool"))
+    budgets = pool.select("pool", F.explode(F.array(*[F.lit(n).cast("long") for n in (16, 32, 64, 128)])).alias("budget"))
+    return budgets.select("budget", F.round(selection.scheduled_bandwidth(F.col("budget"), F.col("pool")), 6).alias("bandwidth"))

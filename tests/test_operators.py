@@ -28,7 +28,8 @@ def points():
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 20)
-    monkeypatch.setattr(blocks.pack_blocks, "__defaults__", ("v", None, "sample_id", 20))
+    monkeypatch.setattr(blocks, "LEAST", 5)
+    monkeypatch.setattr(blocks, "STRIP", 7)
 
 
 def test_moments_and_blocks(spark, points, small_blocks):
