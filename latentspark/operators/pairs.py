@@ -67,11 +67,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int, same: bool = False) -> Da
         d = np.sqrt(sq_dists(a.v, b.v))
         if same:
             d[a.ids[:, None] == b.ids[None]] = np.inf
-        by_id = np.argsort(b.ids, kind="stable")
-        top = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-        found = np.take_along_axis(d, top, 1).ravel()
-        rows = {"src": np.repeat(a.ids, top.shape[1]), "dst": b.ids[top].ravel(), "d": found}
-        return {c: x[np.isfinite(found)] for c, x in rows.items()}
+        # All that are as near as the k-th, then the first k of each row by distance and id.
+        last = min(k, d.shape[1]) - 1
+        limit = np.partition(d, last, axis=1)[:, last]
+        rows, columns = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        order = np.lexsort((b.ids[columns], d[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, columns = rows[place < k], columns[place < k]
+        return {"src": a.ids[rows], "dst": b.ids[columns], "d": d[rows, columns]}
 
     parts = for_block_pairs(pack_blocks(left), pack_blocks(right), work, "src long, dst long, d double")
     place = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
