@@ -210,7 +210,7 @@ def budget_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.registry(spark, sf_dir).select(F.col("latent_dim").alias("symbols")).distinct().select("symbols", F.explode(n).alias("n_pilots"))
 
 
-@query(REG + """, q AS (SELECT model_name, latent_dim, unnest([0.25, 0.5, 1.0, 8.0, 30.0]) AS request FROM registry),
+@query(REG + """, q AS (SELECT model_name, latent_dim, unnest([0.25, 0.5, 1.0, 8.0, 30.0]::DOUBLE[]) AS request FROM registry),
 k AS (SELECT *, CASE WHEN request <= 1 THEN greatest(1, CAST(round_even(request * latent_dim, 0) AS BIGINT)) ELSE CAST(request AS BIGINT) END AS n FROM q)
 SELECT model_name, request, CASE WHEN n >= latent_dim THEN NULL ELSE n END AS symbols FROM k""")
 def rank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

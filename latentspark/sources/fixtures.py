@@ -17,7 +17,7 @@ x AS (
   SELECT sample_id, label, split,
     list_transform(range(1, 13), lambda i: sign(x[1 + (5 * i) % 12]) * pow(abs(x[1 + (5 * i) % 12]), 1.3) + 1.5 * sin(2 * x[i])) AS v FROM x
 ), b AS (
-  SELECT *, list_position(v, list_max(v[1:5])) - 1 AS geo_label FROM b0
+  SELECT *, CAST(list_position(v, list_max(v[1:5])) - 1 AS BIGINT) AS geo_label FROM b0
 )"""
 
 RECORDS_SQL = """
