@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latentspark.plans.shipping import ensure_importable
+
 #: White space that separates words in every contract of this subpackage.
 WHITE = " \t\n\x0b\x0c\r"
 #: The same set inside a Java or Python character class.
@@ -21,7 +23,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as rows, for operators that hand texts to Python."""
+    """Readies a session for operators that hand texts to Python: Arrow batches bounded by bytes as well as rows, and the package on the workers."""
+    ensure_importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
