@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-
 from collections.abc import Callable, Iterator
 
 import numpy as np
