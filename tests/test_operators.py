@@ -314,3 +314,15 @@ def test_agents_by_source(spark, tmp_path):
     for source, models in (("other", None), ("synthetic", ["agent_77"])):
         with pytest.raises(ValueError):
             tables.load_agents(spark, source, models, n_agents=2, n_train=10, n_test=5)
+
+
+def test_package_is_sent_where_workers_lack_it(spark, monkeypatch):
+    from latentspark.plans import shipping
+
+    before = list(spark.sparkContext._python_includes)
+    shipping.ensure_importable(spark)  # the test session has PYTHONPATH
+    assert spark.sparkContext._python_includes == before
+    monkeypatch.setenv("PYTHONPATH", "")
+    shipping.ensure_importable(spark)
+    shipping.ensure_importable(spark)
+    assert [x for x in spark.sparkContext._python_includes if x not in before] == ["latentspark.zip"]
