@@ -33,6 +33,8 @@ RADIUS = 2
 TILE_ROWS = 8192
 #: Shingles whose hashes are unpacked to bits at a time.
 CHUNK = 1 << 16
+#: A fingerprint of over one part of so many of the rows is joined by broadcast, the rest by shuffling.
+HEAVY_PARTS = 1000
 #: (fingerprints below which it is used, segments); more segments skip more tile pairs.
 SEGMENTS = ((1 << 21, 2), (1 << 27, 4), (1 << 63, 8))
 
@@ -149,13 +151,18 @@ def near_pairs(distinct: DataFrame, n_distinct: int, radius: int = RADIUS, tile_
 def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(doc_id, fingerprint, component_id, kept)`` of every row; kept marks rows of the smallest doc_id."""
     rows = cut_lineage(fingerprints(docs))
-    groups = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = connected_components(near_pairs(groups.select("fp"), groups.count(), radius, tile_rows), "a", "b")
+    groups = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    n_groups, n_rows = groups.agg(F.count("*"), F.sum("n")).first()
+    linked = connected_components(near_pairs(groups.select("fp"), n_groups, radius, tile_rows), "a", "b")
     rooted = groups.join(linked, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = rooted.join(smallest, "root").select("fp", F.col("component_id").alias("moved_id"))
-    named = groups.join(moved, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("moved_id", "first_id").alias("component_id"))
-    out = rows.join(named, F.col("fp") == F.col("of"), "left")
+    named = cut_lineage(groups.join(moved, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("moved_id", "first_id").alias("component_id"), "n"))
+    # Fewer than HEAVY_PARTS fingerprints can each have more than that part of the rows; theirs need no shuffle.
+    is_heavy = F.col("n") > (n_rows or 0) // HEAVY_PARTS + 1
+    heavy, light = F.broadcast(named.where(is_heavy).drop("n")), named.where(~is_heavy).drop("n")
+    of = F.col("fp") == F.col("of")
+    out = rows.join(heavy, of).union(rows.join(heavy.select("of"), of, "left_anti").join(light, of))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
