@@ -135,6 +135,8 @@ def near_pairs(distinct: DataFrame, n_distinct: int, radius: int = RADIUS, tile_
     )
     # One row a cell: its own tiles, and at most as many partner cells as there are offsets, both ways.
     plan = cells.join(roles.groupBy("cell").agg(F.collect_list(F.struct("side", "left", "right", "others")).alias("met")), "cell", "left")
+    if segments <= 2:  # at most 33 x 33 cells, whatever the rows
+        plan = F.broadcast(plan)
     tiled = laid.join(plan, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     across = F.flatten(F.transform(F.coalesce("met", F.array()), lambda m: F.transform(
         F.sequence(F.lit(0), m.others - 1),
