@@ -97,10 +97,6 @@ def cka_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("block").applyInPandas(match, "sample_id long, matched long")
 
 
-#: Rows of a dense spectral problem.
-SPECTRAL_ROWS = 1000
-
-
 def _basis(spark: SparkSession, df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = graphs.knn_graph(df, 6, weighted=True)
     return spectral.eigenvectors(graphs.laplacian(edges, df.select(F.col("sample_id").alias("node"))), k)
@@ -108,16 +104,16 @@ def _basis(spark: SparkSession, df: DataFrame, k: int) -> tuple[np.ndarray, np.n
 
 @query()
 def hks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of a sample of landmark rows, as a dense eigenproblem needs."""
-    b = selection.first_by_hash(X.agent_b(spark, sf_dir), SPECTRAL_ROWS)
+    """Signatures of all rows; more than spectral.MAX_NODES are an error."""
+    b = X.agent_b(spark, sf_dir)
     nodes, values, vectors = _basis(spark, b, 20)
     return _round(spectral.heat_kernel_signature(spectral.basis_table(spark, nodes, vectors), values), "hks")
 
 
 @query()
 def functional_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the map between the two agents' bases over shared landmark rows."""
-    a = selection.first_by_hash(X.agent_a(spark, sf_dir), SPECTRAL_ROWS)
+    """Cells of the map between the two agents' bases over all shared rows; more than spectral.MAX_NODES are an error."""
+    a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
     (_, vx, px), (_, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
     anchors = selection.first_by_hash(a, 10, 3).select("sample_id")
@@ -131,8 +127,8 @@ def functional_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correspondences from a functional map: nearest rows of the mapped bases."""
-    a = selection.first_by_hash(X.agent_a(spark, sf_dir), SPECTRAL_ROWS)
+    """Correspondences from a functional map: nearest rows of the mapped bases, all rows of them; more than spectral.MAX_NODES are an error."""
+    a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
     (nodes_x, vx, px), (nodes_y, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
     c = spectral.functional_map(vx, px, px[:, :6], vy, py, py[:, :6])
