@@ -19,3 +19,9 @@ def test_too_many_rows_are_an_error(spark, monkeypatch, name):
     monkeypatch.setattr(spectral, "MAX_NODES", 499)
     with pytest.raises(ValueError):
         QUERIES[name](spark, SMALL)
+
+
+def test_matching_is_over_all_held_out_rows(spark):
+    rows = QUERIES["cka_match"](spark, LARGE).collect()
+    assert len({r.sample_id for r in rows}) == len({r.matched for r in rows}) == 400
+    assert any(r.sample_id // 500 != r.matched // 500 for r in rows)
