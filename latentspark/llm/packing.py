@@ -9,7 +9,8 @@ new one where it fits none. Shards leave an open sequence or two each, which
 bounds what is wasted.
 
 Tokenizing is the merge procedure of the named vocabulary over its rank file:
-the same ids as its ``tokenizers`` file gives (tests compare them), in a third
+the same ids as its ``tokenizers`` file gives when strings of special tokens in a
+text are ordinary text (``encode_special_tokens``; tests compare them), in a third
 of the time. Token ids stay in the worker unless asked for, so that a shuffle
 carries about 40 bytes a piece.
 
@@ -21,6 +22,7 @@ of exactly the capacity fills a sequence; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 CLOSING = 0
 #: Ranks a new sequence behind every open one that fits; no count comes near it.
 NEW = -1e15
+#: Runs of white space of the vocabulary's pattern that its matcher, which backtracks over each of them, isn't given; it fails at about a million.
+LONG_RUN = 50_000
+_RUNS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 _encoders: dict[str, object] = {}
 
 
@@ -52,6 +57,18 @@ def encoder(ranks_path: str):
     return _encoders[ranks_path]
 
 
+def token_ids(encoding, text: str) -> list[int]:
+    """The ids of a text. A long run of white space is one piece but for its last character, if a word follows, as in the pattern."""
+    if len(text) < LONG_RUN:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -67,12 +84,12 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _piece_batches(ranks_path: str | None, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path or default_ranks()).encode_ordinary
+        encoding = encoder(ranks_path or default_ranks())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), CLOSING], "<u4")
+                ids = np.array([*token_ids(encoding, text or ""), CLOSING], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     row = (doc_id, k, start, length, zlib.crc32(part.tobytes()), *([part] if with_ids else []))

@@ -73,5 +73,17 @@ def test_ranks_give_the_ids_of_the_tokenizer():
     assert [encode(t) for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_strings_and_long_white_space():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encoding = packing.encoder(packing.default_ranks())
+    n = packing.LONG_RUN
+    texts = ["a <|endoftext|> b", "<|endoftext|>"]
+    texts += [" " * 1_500_000 + "word", "a b" + "\n" * 1_500_000, "a  b" + " " * 1_500_000 + "\tc\n" + "\t " * 800_000 + "\n!d"]
+    texts += [f"{x}{white * k}{y}" for x in ("", "a", "x ") for y in ("", "b", " b", "\x1cb", "\n!") for white in (" ", "\n", "\u3000") for k in (n - 1, n, n + 1)]
+    for t in texts:
+        assert packing.token_ids(encoding, t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, documents()).where("false")).count() == 0
