@@ -7,7 +7,8 @@ with it: words unique to both sides are anchors, the longest increasing run of
 anchors is kept, and the gaps between are aligned in the same way, their equal
 ends first. Coverage is the aligned part of the template's words. A template is
 found at ``MIN_COVERAGE`` or more with all its key words aligned and few words
-between, so that one license isn't taken for another of like wording.
+between, and without the words that tell its relatives from it, so that one
+license isn't taken for another of like wording.
 
 Defined cases: a null or empty text, or one without a license, has license null
 and coverage 0; of equal coverage the template of more aligned words and then the
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latentspark.llm import license_texts as full
 from latentspark.llm.common import bound_batches
 
 MIN_COVERAGE = 0.8
@@ -56,8 +58,34 @@ TEMPLATES = (
     ("MIT", "permission charge deal", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("MPL-2.0", "mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "unencumbered domain", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", "redistribution neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", "redistribution advertising neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "gnu general 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("AGPL-3.0", "gnu affero 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("AGPL-3.0", "gnu affero 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.0", "gnu library 2", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Library General Public License for more details."),
+    ("LGPL-2.1", "gnu lesser 2 1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-3.0", "gnu lesser 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("Apache-2.0", "contributor derivative contribution", full.APACHE_2),
+    ("GPL-2.0", "recipients derivative whole", full.GPL_2),
+    ("GPL-3.0", "propagate conveying affero", full.GPL_3),
+    ("AGPL-3.0", "propagate conveying affero remotely", full.AGPL_3),
+    ("LGPL-2.0", "library linking", full.LGPL_2),
+    ("LGPL-2.1", "lesser library linking", full.LGPL_2_1),
+    ("LGPL-3.0", "lesser library combined", full.LGPL_3),
+    ("MPL-2.0", "mozilla contributor secondary", full.MPL_2),
+    ("CC0-1.0", "cc0 affirmer waiver", full.CC0_1),
 )
 
+#: Words that a license's relatives have and its own templates lack, and how many words behind the match they may stand: a further clause isn't inside it.
+RELATIVES = {
+    "BSD-2-Clause": ("endorse advertising", 60),
+    "BSD-3-Clause": ("advertising", 0),
+    "GPL-2.0": ("affero lesser", 0),
+    "GPL-3.0": ("affero lesser remotely", 0),
+    "LGPL-2.0": ("lesser", 0),
+}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -123,11 +151,16 @@ class _Template:
     def __init__(self, name: str, keys: str, text: str) -> None:
         self.name, self.words = name, words_of(text)
         self.distinct, self.keys = frozenset(self.words), frozenset(keys.split())
-        n = Counter(self.words)
+        self.counts = n = Counter(self.words)
         self.once = {w: k for k, w in enumerate(self.words) if n[w] == 1}
-        #: Each absent distinct word leaves at least one of the template's words unaligned.
+        others, self.behind = RELATIVES.get(name, ("", 0))
+        self.others = frozenset(others.split()) - self.distinct
+        #: Each absent word leaves the template's words that equal it unaligned.
         self.may_lack = int((1 - MIN_COVERAGE) * len(self.words) + 1e-9)
 
+    def reachable(self, present: frozenset[str]) -> bool:
+        return self.keys <= present and sum(self.counts[w] for w in self.distinct - present) <= self.may_lack
+
     def windows(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """Parts of the text where enough of the once-only words say that the template begins alike."""
         n = len(self.words)
@@ -150,6 +183,8 @@ class _Template:
             if not pairs or not self.keys <= {self.words[j] for _, j in pairs}:
                 continue
             match = Match(len(pairs) / len(self.words), len(pairs), self.name, low + pairs[0][0], low + pairs[-1][0] + 1)
+            if not self.others.isdisjoint(words[match.start : match.end + self.behind]):
+                continue
             dense = match.aligned >= MIN_DENSITY * (match.end - match.start)
             if dense and match.coverage >= MIN_COVERAGE and (best is None or match.coverage > best.coverage):
                 best = match
@@ -166,7 +201,7 @@ def scan(text: str | None) -> list[Match]:
     present = _VOCABULARY.intersection(words)
     found: dict[str, Match] = {}
     for t in _TEMPLATES:
-        if t.keys <= present and len(t.distinct - present) <= t.may_lack and (m := t.best(words)):
+        if t.reachable(present) and (m := t.best(words)):
             if t.name not in found or m[:2] > found[t.name][:2]:
                 found[t.name] = m
     ordered = sorted(found.values(), key=lambda m: (-m.coverage, -m.aligned, m.license))

@@ -47,6 +47,26 @@ def test_near_wordings_are_told_apart():
     assert {m.license for m in licenses.scan(two)} == {"MIT", "Apache-2.0"}
 
 
+def test_relatives_are_told_apart():
+    names = {"BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0"}
+    for name, _, text in licenses.TEMPLATES:
+        if name in names and len(text) > 300:
+            words = text.split()
+            # Lightly edited, and with another holder's name, as texts in use are.
+            edited = " ".join(w for k, w in enumerate(words) if k % 41 != 20).replace("the copyright holder nor", "Example Widgets Inc. nor")
+            assert [m.license for m in licenses.scan(f"Copyright 2020 Some Body\n{edited}\nTHIS SOFTWARE IS PROVIDED AS IS")] == [name]
+
+
+def test_files_of_licenses_and_headers_in_use():
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    for file, name in files.items():
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+            found = licenses.scan(f.read())
+        assert found and found[0].license == name, (file, found)
+    header = "This file is part of Foo.\n\nFoo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version.\n\nFoo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    assert [m.license for m in licenses.scan(header)] == ["GPL-2.0"]
+
+
 def test_awkward_rows(spark):
     rows = documents() + [(900, "Some text.\nReleased under the MIT License.\n", "en", "a", 0)]
     got = licenses.license_scan(frame(spark, rows)).collect()
