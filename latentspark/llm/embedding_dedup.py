@@ -6,9 +6,12 @@ in batches in numpy. Every shard of a label is queried with every node of that
 label: a beam descends the layers, its candidates are verified by cosine in
 double precision, and the components that they make in the task are completed by
 exact cosines in blocks, so that a group of near copies larger than the beam is
-linked whole. An audit compares some queries of each shard pair with brute force
-and doubles the beam for all until recall passes; a beam as wide as the shard is
-brute force itself.
+linked whole. An audit compares queries of each shard pair with brute force: some
+of all, some of those with links, some of those with few, which no completed group
+hides, and up to ``AUDIT_UNLINKED`` drawn from those without any. The mean recall of
+a query, not of a link, decides, so that a large group outweighs no pair. Until it
+passes, the beam is doubled for all, and beyond ``WIDEST`` it is as wide as the
+shard, which is brute force itself.
 
 A task returns for each node the number of vectors linked to it and its root in
 the task's links, never all pairs; components are united over those roots.
@@ -40,6 +43,10 @@ BUILD_BEAM = 48
 BEAM = 32
 BUILD_BATCH = 256
 AUDIT = 64
+AUDIT_SPARSE = 512
+AUDIT_UNLINKED = 2048
+#: Brute force in blocks costs less than a wider beam.
+WIDEST = 256
 MIN_RECALL = 0.999
 #: Single precision may move a cosine by this much; candidates within it are verified.
 SLACK = 1e-4
@@ -47,6 +54,14 @@ SLACK = 1e-4
 GATHER = 1 << 22
 
 
+def _blockwise(queries: np.ndarray, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, unit) pairs of product at least ``least``, over all pairs."""
+    step = max(1, GATHER // len(units))
+    found = [np.nonzero(queries[k : k + step] @ units.T >= least) for k in range(0, len(queries), step)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(k * step + left for k, (left, _) in enumerate(found))]), np.concatenate([none, *(right for _, right in found)])
+
+
 class Graph:
     """A layered proximity graph over unit vectors, searched and built for many vectors at a time."""
 
@@ -195,7 +210,7 @@ class Graph:
     def near(self, queries: np.ndarray, beam: int, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) candidates of cosine at least ``least``; own: the queries' nodes, if they are of this graph."""
         if beam >= len(self.units):
-            return np.nonzero(queries @ self.units.T >= least)
+            return _blockwise(queries, self.units, least)
         entry = np.zeros((len(queries), 1), np.int64)
         for at in range(len(self.layers) - 1, 0, -1):
             entry = self._search(at, queries, entry, 1)[0]
@@ -246,13 +261,17 @@ def _completed(queries: np.ndarray, units: np.ndarray, left: np.ndarray, right:
     return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
+def _some(places: np.ndarray, most: int) -> np.ndarray:
+    return places[np.linspace(0, len(places) - 1, min(len(places), most)).astype(int)]
+
+
 def verified_links(queries: np.ndarray, graph: Graph, units: np.ndarray, min_cosine: float, own: bool, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
     """(query, node) pairs of cosine at least min_cosine, and the beam with which the audit passed.
 
     own: the queries are the graph's nodes; a node's link with itself may be left out.
     """
     n = len(queries)
-    spread = np.linspace(0, n - 1, min(n, AUDIT)).astype(int)
+    spread = _some(np.arange(n), AUDIT)
     while True:
         left, right = graph.near(queries.astype(np.float32), beam, min_cosine - SLACK, np.arange(n) if own else None)
         true = np.einsum("pd,pd->p", queries[left], units[right]) >= min_cosine
@@ -266,11 +285,14 @@ def verified_links(queries: np.ndarray, graph: Graph, units: np.ndarray, min_cos
             return left, right, beam
         degree = np.bincount(left, minlength=n)
         linked = np.flatnonzero(degree)
-        audit = np.unique(np.concatenate([spread, linked[np.linspace(0, len(linked) - 1, min(len(linked), AUDIT)).astype(int)]]))
-        exact = (queries[audit] @ units.T >= min_cosine).sum() - own * len(audit)
-        if degree[audit].sum() >= MIN_RECALL * exact:
+        sparse, without = np.flatnonzero((degree > 0) & (degree < BEAM)), np.flatnonzero(degree == 0)
+        drawn = np.random.default_rng(n).permutation(without)[:AUDIT_UNLINKED]
+        audit = np.unique(np.concatenate([spread, _some(linked, AUDIT), _some(sparse, AUDIT_SPARSE), drawn]))
+        exact = np.bincount(_blockwise(queries[audit], units, min_cosine)[0], minlength=len(audit)) - own
+        asked = exact > 0
+        if not asked.any() or (degree[audit][asked] / exact[asked]).mean() >= MIN_RECALL:
             return left, right, beam
-        beam *= 2
+        beam = beam * 2 if beam * 2 <= WIDEST else max(beam * 2, len(units))
 
 
 def _build(table: pa.Table) -> pa.Table:

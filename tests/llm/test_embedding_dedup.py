@@ -87,3 +87,24 @@ def test_failed_audit_widens_the_beam():
     left, _, beam = verified_links(units[::2], graph, units, 0.98, False)
     assert beam >= len(units)
     assert len(left) == (units[::2] @ units.T >= 0.98).sum()
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_a_large_group_does_not_hide_missed_pairs(own):
+    rng = np.random.default_rng(5)
+    base, single = rng.normal(size=32), rng.normal(size=(700, 32))
+    pairs = np.repeat(rng.normal(size=(10, 32)), 2, axis=0) + rng.normal(size=(20, 32)) * 0.01
+    place = rng.permutation(2720)
+    units = unit_vectors(np.concatenate([base + rng.normal(size=(2000, 32)) * 0.02, single, pairs])[np.argsort(place)])
+    lost = place[2700:]
+    graph = Graph(units.astype(np.float32))
+    for layer in graph.layers:  # no beam reaches the pairs
+        layer[np.isin(layer, lost)] = -1
+        layer[lost] = -1
+    left, right, _ = verified_links(units, graph, units, 0.98, own)
+    exact = units @ units.T >= 0.98
+    if own:
+        np.fill_diagonal(exact, False)
+    found = np.zeros_like(exact)
+    found[left, right] = left != right if own else True
+    assert int((exact & ~found).sum()) == 0 and not (found & ~exact).any()
