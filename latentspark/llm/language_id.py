@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentspark.llm.common import bound_batches, bounded_sample, held_out, in_one_column
@@ -33,8 +33,8 @@ PROFILE = 400
 ORDERS = (1, 2, 3)
 MAX_TRAIN = 6000
 UNKNOWN = "und"
-#: N-grams of a language that one training task hands on; far more than a profile holds.
-TASK_GRAMS = 20_000
+#: Rows of a batch of counted n-grams.
+GRAM_ROWS = 100_000
 SPACE = 32
 
 
@@ -130,8 +130,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for code, n in zip(*(x.tolist() for x in gram_counts(normal_codes(text))), strict=True):
                 own[code] = own.get(code, 0) + n
     for lang, own in totals.items():
-        top = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:TASK_GRAMS]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(top)), "gram": pa.array([g for g, _ in top], pa.int64()), "n": pa.array([n for _, n in top], pa.int64())})
+        grams, n = pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())
+        for k in range(0, len(own), GRAM_ROWS):
+            part = grams[k : k + GRAM_ROWS]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "gram": part, "n": n[k : k + GRAM_ROWS]})
 
 
 def learn_profiles(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = PROFILE) -> Profiles:
@@ -141,8 +143,11 @@ def learn_profiles(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = P
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = bounded_sample(rows, "doc_id", max_train).select("lang", "text")
     grams = sample.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, profile)
-    top = grams.groupBy("lang").agg(ordered.alias("top")).select("lang", F.col("top.gram").alias("grams")).collect()
+    # Counts of all n-grams may be millions, so they are cut before they are gathered.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    first = grams.withColumn("place", place).where(F.col("place") <= profile)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "gram")))
+    top = first.groupBy("lang").agg(ordered.alias("top")).select("lang", F.col("top.gram").alias("grams")).collect()
     return Profiles({r.lang: np.array(r.grams, np.int64) for r in top if r.lang}, profile)
 
 

@@ -2,6 +2,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from latentspark.llm import language_id
 from latentspark.llm.common import load
@@ -77,3 +78,10 @@ def test_no_language_learned_and_empty_table(spark):
     rows = [(i, "some words here", None, "a", 0) for i in range(4)]
     assert {r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()} == {"und"}
     assert language_id.identify(frame(spark, rows).where("false")).count() == 0
+
+
+def test_a_training_task_hands_on_every_ngram():
+    text = "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(0).integers(0, 20_000, 15_000))
+    expected = len(language_id.gram_counts(language_id.normal_codes(text))[0])
+    got = list(language_id._count_batches(iter([pa.RecordBatch.from_pydict({"lang": ["zh"], "text": [text]})])))
+    assert sum(b.num_rows for b in got) == expected > 20_000
