@@ -13,7 +13,10 @@ from latentspark.operators.linalg import assignment, quadratic_assignment, rank_
 
 
 def fitted_kernel(kernel: Kernel, x: np.ndarray) -> Kernel:
-    return kernel.fitted(median_of(x[:MEDIAN_ROWS]))
+    """The kernel with the median bandwidth of at most MEDIAN_ROWS rows, drawn by a seeded permutation, as rows come ordered by id."""
+    if len(x) > MEDIAN_ROWS:
+        x = x[np.random.default_rng(0).permutation(len(x))[:MEDIAN_ROWS]]
+    return kernel.fitted(median_of(x))
 
 
 class Centred:
