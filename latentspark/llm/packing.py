@@ -8,11 +8,13 @@ residual gaps of the squared number of open sequences becomes smallest, and to a
 new one where it fits none. Shards leave an open sequence or two each, which
 bounds what is wasted.
 
-Tokenizing is the merge procedure of the named vocabulary over its rank file:
-the same ids as its ``tokenizers`` file gives when strings of special tokens in a
-text are ordinary text (``encode_special_tokens``; tests compare them), in a third
-of the time. Token ids stay in the worker unless asked for, so that a shuffle
-carries about 40 bytes a piece.
+Ids are those of ``tokenizers`` with the vocabulary file, used as the file's
+description says: strings of special tokens in a text are ordinary text
+(``encode_special_tokens``). The library holds about 100 bytes a token while it
+works, so a long text is given to it in parts: a blank between two characters that
+are not white space always begins a piece of the vocabulary's pattern, and parts
+that begin there give the ids of the whole. Token ids stay in the worker unless
+asked for, so that a shuffle carries about 40 bytes a piece.
 
 Defined cases: a null or empty text is the single token 0; an empty table gives
 an empty result; rows that repeat a document are packed each on its own; a piece
@@ -21,10 +23,10 @@ of exactly the capacity fills a sequence; other columns are not read.
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,44 +37,75 @@ from latentspark.llm.common import bound_batches, cut_lineage
 
 CAPACITY = 2048
 SHARD_PIECES = 32_768
-RANKS = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 CLOSING = 0
 #: Ranks a new sequence behind every open one that fits; no count comes near it.
 NEW = -1e15
-#: Runs of white space of the vocabulary's pattern that its matcher, which backtracks over each of them, isn't given; it fails at about a million.
-LONG_RUN = 50_000
-_RUNS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
-_encoders: dict[str, object] = {}
-
-
-def encoder(ranks_path: str):
-    """The byte-pair encoder of a rank file, loaded once in each worker."""
-    if ranks_path not in _encoders:
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[ranks_path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[ranks_path]
-
-
-def token_ids(encoding, text: str) -> list[int]:
-    """The ids of a text. A long run of white space is one piece but for its last character, if a word follows, as in the pattern."""
-    if len(text) < LONG_RUN:
-        return encoding.encode_ordinary(text)
-    ids, at = [], 0
-    for run in _RUNS.finditer(text):
-        end = run.end() - (run.end() < len(text))
-        ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
-        at = end
-    return ids + encoding.encode_ordinary(text[at:])
-
-
-def default_ranks() -> str:
+#: A text is cut at the first such blank after so many characters; the library gets about so many at a time.
+PART_CHARS = 1 << 18
+#: A blank whose neighbours are not white space in any version of Unicode.
+_BLANK = re.compile(r"(?<![\s\u180e]) (?![\s\u180e])")
+_encoders: dict[str, Encoder] = {}
+
+
+def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
+    """A text cut where the ids of the parts are those of the whole."""
+    at = 0
+    while len(text) - at > size and (blank := _BLANK.search(text, at + size)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
+
+
+class Encoder:
+    """Ids of texts by ``tokenizers``."""
+
+    def __init__(self, vocabulary_path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary_path)
+        self.tokenizer.encode_special_tokens = True
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def ids(self, texts: Iterable[str], part_chars: int = PART_CHARS) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        waiting: list[tuple[bool, str]] = []  # (ends a text, part)
+        ready: list[np.ndarray] = []
+        chars = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            for (last, _), ids in zip(waiting, self._encode([p for _, p in waiting]), strict=True):
+                ready.append(ids)
+                if last:
+                    yield ready[0] if len(ready) == 1 else np.concatenate(ready)
+                    ready.clear()
+            waiting.clear()
+
+        for text in texts:
+            cuts = list(parts_of(text, part_chars))
+            for k, part in enumerate(cuts):
+                waiting.append((k == len(cuts) - 1, part))
+                chars += len(part)
+                if chars >= part_chars:
+                    yield from flush()
+                    chars = 0
+        yield from flush()
+
+
+def encoder(vocabulary_path: str) -> Encoder:
+    """The encoder of a vocabulary file, loaded once in each worker."""
+    if vocabulary_path not in _encoders:
+        _encoders[vocabulary_path] = Encoder(vocabulary_path)
+    return _encoders[vocabulary_path]
+
+
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(RANKS)
+    return public_tokenizers.path(VOCABULARY)
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -82,14 +115,15 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _piece_batches(ranks_path: str | None, capacity: int, with_ids: bool):
+def _piece_batches(vocabulary_path: str | None, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(ranks_path or default_ranks())
+        encoding = encoder(vocabulary_path or default_vocabulary())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*token_ids(encoding, text or ""), CLOSING], "<u4")
+            texts = (x or "" for x in batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoding.ids(texts), strict=True):
+                ids = np.append(ids, np.array([CLOSING], "<u4"))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     row = (doc_id, k, start, length, zlib.crc32(part.tobytes()), *([part] if with_ids else []))
@@ -101,11 +135,11 @@ def _piece_batches(ranks_path: str | None, capacity: int, with_ids: bool):
     return pieces
 
 
-def tokenize_pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of every piece of every row of docs."""
     bound_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_piece_batches(ranks_path, capacity, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_piece_batches(vocabulary_path, capacity, with_ids), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +184,9 @@ def _pack_shard(capacity: int):
     return pack_shard
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of docs with ``sequence_id`` and ``offset``."""
-    pieces = cut_lineage(tokenize_pieces(docs, ranks_path, capacity, with_ids))
+    pieces = cut_lineage(tokenize_pieces(docs, vocabulary_path, capacity, with_ids))
     shards = max(1, -(-pieces.count() // shard_pieces))
     # Row numbers are those of the materialised pieces, so a recomputed task deals them alike.
     dealt = pieces.withColumn("__row", F.monotonically_increasing_id()).withColumn("__shard", F.pmod(F.xxhash64("__row"), F.lit(shards)).cast("long"))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -27,10 +28,10 @@ def check_sequences(pieces, capacity):
 def test_pieces_and_sequences(spark):
     rows = documents()
     got = packing.pack(frame(spark, rows), with_ids=True).collect()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = library()
     expected = []
     for r in rows:
-        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        ids = [*plain(r[1] or ""), 0]
         first = len(ids) % 2048 or 2048
         bounds = [0, *range(first, len(ids) + 1, 2048)]
         for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -66,23 +67,50 @@ def test_each_piece_goes_to_the_least_sum_of_squares(capacity, data):
         gaps[at] = gaps.get(at, capacity) - size
 
 
-def test_ranks_give_the_ids_of_the_tokenizer():
+def library():
+    """Plain use of the library, as the vocabulary's description has it."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.encoder(packing.default_ranks()).encode_ordinary
-    texts = [r[1] or "" for r in documents()] + ["  a  b\n\n c\t", "don't I'LL 12345", "é́ ✓ 漢字かな 𝔘 \u200b\x00", "aaaaaaa" * 50, "##$$!!  ??"]
-    assert [encode(t) for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_special_strings_and_long_white_space():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encoding = packing.encoder(packing.default_ranks())
-    n = packing.LONG_RUN
-    texts = ["a <|endoftext|> b", "<|endoftext|>"]
-    texts += [" " * 1_500_000 + "word", "a b" + "\n" * 1_500_000, "a  b" + " " * 1_500_000 + "\tc\n" + "\t " * 800_000 + "\n!d"]
-    texts += [f"{x}{white * k}{y}" for x in ("", "a", "x ") for y in ("", "b", " b", "\x1cb", "\n!") for white in (" ", "\n", "\u3000") for k in (n - 1, n, n + 1)]
-    for t in texts:
-        assert packing.token_ids(encoding, t) == tokenizer.encode(t, add_special_tokens=False).ids
+AWKWARD = ["", " ", "  a  b\n\n c\t", "don't I'LL 's 'S 12345", "é́ ✓ 漢字かな 𝔘 \u200b\x00", "aaaaaaa" * 50, "##$$!!  ??", "a <|endoftext|> b", "<|endoftext|>", "x \x1c y \x85 z \u180e w \u3000 v", "a\tb \t c \t", "a\r b \r c"]
+
+
+def encode(texts, part_chars=packing.PART_CHARS):
+    return [x.tolist() for x in packing.encoder(packing.default_vocabulary()).ids(texts, part_chars)]
+
+
+def test_ids_are_those_of_the_library():
+    texts, plain = [r[1] or "" for r in documents()] + AWKWARD, library()
+    expected = [plain(t) for t in texts]
+    assert encode(texts) == expected
+    assert encode(texts, 3) == expected
+    assert encode([]) == []
+
+
+def test_ids_of_a_whole_table(sf_dir="/root/testdata/sf0.01"):
+    texts = [x or "" for x in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    plain = library()
+    assert encode(texts, 1000) == [plain(t) for t in texts]
+
+
+@given(st.lists(st.sampled_from([*" \t\n\r\x0b\x1c\x85\xa0\u180e\u2003\u200b\u3000", "a", "I'll", "7", "é", "漢", ".", "<|endoftext|>", "\x00"]), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_parts_of_any_mixture(parts):
+    text = "".join(parts)
+    assert "".join(packing.parts_of(text, 1)) == text
+    assert encode([text], 1) == [library_once(text)]
+
+
+library_once = library()
+
+
+@pytest.mark.parametrize("text", [" ", "\n", "\t", "a", "a ", "\u3000", "ab\n"])
+def test_ids_of_a_million_characters(text):
+    long = text * (1_000_000 // len(text))
+    for whole in (long, long + "word", "a b" + long + "\n!d"):
+        assert encode([whole]) == [library_once(whole)]
 
 
 def test_empty_table(spark):
