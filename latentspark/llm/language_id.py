@@ -6,10 +6,10 @@ point) and compared to each language's profile: an n-gram costs the difference
 of its ranks, or ``PROFILE`` where the profile lacks it. Ranking takes place per
 text in numpy; no row is sent anywhere.
 
-Profiles are learned from at most ``MAX_TRAIN`` documents, chosen by a hash of
-doc_id over the whole table, outside the held-out fold and with a lang.
+Profiles are learned from at most ``MAX_TRAIN`` documents of each language, chosen
+by a hash of doc_id over the whole table, outside the held-out fold and with a lang.
 
-Defined cases: a null or letterless text is ``und`` with score 0; with no learned
+Defined cases: a null or letterless text (marks and digits alone too) is ``und`` with score 0; with no learned
 language every text is ``und``; equal distances take the first language by code
 point; repeated rows get equal results; an empty table gives an empty result;
 other columns are kept by ``keep_identified`` and else unread.
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import bound_batches, bounded_sample, held_out, in_one_column
+from latentspark.llm.common import bound_batches, held_out, in_one_column
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
-MAX_TRAIN = 6000
+#: Documents that a language's profile is learned from, and parts in which they are first chosen.
+MAX_TRAIN = 1500
+PARTS = 64
 UNKNOWN = "und"
 #: Rows of a batch of counted n-grams.
 GRAM_ROWS = 100_000
@@ -40,22 +42,24 @@ SPACE = 32
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """Of each code point, itself if it is a letter or mark, else a space."""
+    """Of each code point, itself if it is a letter, its negative if a mark, else a space."""
     table = np.full(sys.maxunicode + 1, SPACE, np.int64)
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] in "LM":
-            table[c] = c
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            table[c] = c if kind == "L" else -c
     return table
 
 
 def normal_codes(text: str | None) -> np.ndarray:
-    """Code points of the letters of a text, words parted and enclosed by one space; empty if it has none."""
+    """Code points of the letters and marks of a text, words parted and enclosed by one space; empty if it has no letter."""
     raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = _letters()[raw]
-    codes = np.concatenate([[SPACE], codes, [SPACE]])
+    if not (codes > SPACE).any():
+        return np.zeros(0, np.int64)
+    codes = np.concatenate([[SPACE], np.abs(codes), [SPACE]])
     space = codes == SPACE
-    codes = codes[~(space & np.concatenate([[False], space[:-1]]))]
-    return codes if len(codes) > 1 else codes[:0]
+    return codes[~(space & np.concatenate([[False], space[:-1]]))]
 
 
 def gram_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,12 +140,22 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part)), "gram": part, "n": n[k : k + GRAM_ROWS]})
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of the first ``most`` ids of each language by hash; each of ``PARTS`` parts of a language is cut before they meet."""
+    order = F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")).cast("binary"))
+    ids = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col("lang").alias("of"), order.alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    for parts in (["of", "part"], ["of"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("h", "k"))
+        ids = ids.withColumn("place", place).where(F.col("place") <= most)
+    return rows.join(ids, (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("of")), "left_semi")
+
+
 def learn_profiles(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = PROFILE) -> Profiles:
-    """Profiles of the languages in the bounded sample; at most profile rows a language reach the driver."""
+    """Profiles of the languages in the bounded samples; at most profile rows a language reach the driver."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(rows, "doc_id", max_train).select("lang", "text")
+    sample = _sample(rows, max_train).select("lang", "text")
     grams = sample.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Counts of all n-grams may be millions, so they are cut before they are gathered.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

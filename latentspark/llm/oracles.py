@@ -108,9 +108,9 @@ HELD_OUT = """crc AS (
 )"""
 
 OP8 = "WITH " + HELD_OUT + r""", d AS (
-  SELECT documents.doc_id, lang, text, held_out, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS t FROM documents JOIN crc ON documents.doc_id = crc.doc_id
+  SELECT documents.doc_id, lang, text, held_out, CASE WHEN regexp_matches(text, '\p{L}') THEN ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' ELSE '' END AS t FROM documents JOIN crc ON documents.doc_id = crc.doc_id
 ), sample AS (
-  SELECT doc_id, lang, t FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL ORDER BY md5('sample:' || doc_id), doc_id LIMIT 6000
+  SELECT doc_id, lang, t FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('sample:' || doc_id), doc_id) <= 1500
 ), sizes AS (SELECT unnest([1, 2, 3]) AS k), taught AS (
   SELECT lang, substr(t, i, k) AS g, count(*) AS n FROM (SELECT lang, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM sample, sizes WHERE length(t) > 2) GROUP BY ALL
 ), profile AS (

@@ -17,7 +17,7 @@ def brute_ranks(text, profile):
     text = " " + " ".join(text.split(" ")).strip() + " "
     while "  " in text:
         text = text.replace("  ", " ")
-    if text == " ":
+    if not any(unicodedata.category(c)[0] == "L" for c in text):
         return []
     n = Counter(text[i : i + k] for k in (1, 2, 3) for i in range(len(text) - k + 1))
     del n[" "]
@@ -85,3 +85,25 @@ def test_a_training_task_hands_on_every_ngram():
     expected = len(language_id.gram_counts(language_id.normal_codes(text))[0])
     got = list(language_id._count_batches(iter([pa.RecordBatch.from_pydict({"lang": ["zh"], "text": [text]})])))
     assert sum(b.num_rows for b in got) == expected > 20_000
+
+
+def test_marks_and_digits_alone_are_no_language(spark):
+    texts = ["the dog and the cat", "\u0301", "\u0301 12 \u0308", "12", "\u00e9", "e\u0301"]
+    rows = [(4 * i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[4 * i][0] for i in range(len(texts))] == ["en", "und", "und", "und", "en", "en"]
+    assert all(s == 0 for x, s in got.values() if x == "und")
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the cat and the dog", "en", "a", 0) for i in range(4000)] + [(4000 + i, "der hund und die katze", "de", "a", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert language_id._sample(docs, 100).groupBy("lang").count().orderBy("lang").collect() == [("de", 4), ("en", 100)]
+    assert language_id.identify(docs, max_train=100).where("doc_id >= 4000 AND lang_pred = 'de'").count() == 4
+
+
+def test_a_very_long_text(spark):
+    rows = [(0, "der hund und die katze " * 100_000, "de", "a", 0), (1, "the cat and the dog", "en", "a", 0), (4, "the dog", "en", "a", 0), (3, "\u6f22" * 1_000_000, "zh", "a", 0)]
+    got = language_id.identify(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.lang_pred in ("de", "en", "zh", "und") for r in got) and len(got) == 4
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id == 0} == {0: "de"}
