@@ -3,8 +3,8 @@
 Lines are normalised (trimmed, lower-cased, runs of white space and of digits
 made one) and hashed. A line counts once for each distinct text of a host (its
 ``source``), so exact copies of one document count as one. A line found in more
-than ``max(MIN_DOCS, MAX_SHARE * texts of the host)`` texts is above the limit
-and is removed; a document that lines were removed from is depleted, and
+than ``MIN_DOCS`` texts, and in more than ``MAX_SHARE`` of the host's or ``MAX_DOCS``
+of them, is above the limit and is removed; a document that lines were removed from is depleted, and
 rejected, when under ``MIN_LEFT`` of its words or under ``MIN_WORDS`` words stay.
 
 Counts are sums combined on the map side; the frequent lines are joined back by
@@ -13,7 +13,7 @@ an equi-join whose hot keys adaptive execution may split.
 Defined cases: a null or word-less text has no words and no lines and fails the
 base rules; a null source is a host of its own; repeated rows get equal verdicts;
 an empty table gives an empty result; a single line in one host is frequent only
-by the same two limits; other columns are kept by ``clean_rows`` and else unread.
+by the same limits; other columns are kept by ``clean_rows`` and else unread.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_DOCS = 20
 MAX_SHARE = 0.05
+MAX_DOCS = 100
 MIN_LEFT = 0.3
 #: Removals up to this many texts and line keys (about 20 MB) are broadcast, more are joined by shuffling the texts.
 BROADCAST_REMOVALS = 200_000
@@ -107,7 +108,7 @@ def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """``(host, text_key, key, words)`` lines of each distinct text, and the ``(host, key, n_texts)`` above the limit."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     clean = F.filter(F.transform(F.split(_normal(text), "\n"), F.trim), lambda x: x != "")
@@ -118,23 +119,23 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     once = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key"))
     counts = once.groupBy("host", "key").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > min_docs)
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_host")).select(F.col("host").alias("of"), "n_host")
-    above = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_texts") > max_share * F.col("n_host"))
+    above = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where((F.col("n_texts") > max_docs) | (F.col("n_texts") > max_share * F.col("n_host")))
     return flat, above.select("host", "key", "n_texts")
 
 
-def removals(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removals(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """``(host, text_key, removed_words, keys)`` of the texts that have lines above the limit."""
-    flat, above = frequent_lines(docs, min_docs, max_share)
+    flat, above = frequent_lines(docs, min_docs, max_share, max_docs)
     above = above.select(F.col("host").alias("of"), F.col("key").alias("bad"))
     met = flat.join(above, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("bad")))
     return met.groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"), F.collect_set("key").alias("keys"))
 
 
-def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The base features of every row with removed_words and kept."""
     rows = base_features(docs.select("doc_id", "text", F.col("source").cast("string").alias("of_host")), ["doc_id", "of_host"])
     rows = rows.withColumn("of_text", _text_key(F.col("__text"))).drop("__text")
-    gone = removals(docs, min_docs, max_share).drop("keys")
+    gone = removals(docs, min_docs, max_share, max_docs).drop("keys")
     rows = rows.join(gone, F.col("of_host").eqNullSafe(F.col("host")) & (F.col("of_text") == F.col("text_key")), "left")
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     depleted = F.col("removed_words").isNotNull() & ((left < min_left * F.col("n_words")) | (left < MIN_WORDS))
@@ -142,10 +143,10 @@ def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX
     return rows.drop("of_host", "of_text", "host", "text_key")
 
 
-def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of docs that line_rules keeps, their lines above the limit removed and n_chars, if there, made to match."""
     marked = docs.select(in_one_column(docs), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("of_host"), _text_key(F.col("text").cast("string")).alias("of_text"))
-    gone = cut_lineage(removals(docs, min_docs, max_share))
+    gone = cut_lineage(removals(docs, min_docs, max_share, max_docs))
     if gone.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0] <= BROADCAST_REMOVALS:
         gone = F.broadcast(gone)
     rows = marked.join(gone, F.col("of_host").eqNullSafe(F.col("host")) & (F.col("of_text") == F.col("text_key")), "left")

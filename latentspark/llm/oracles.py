@@ -49,7 +49,7 @@ WITH d AS (
   SELECT source, count(*) AS n FROM texts GROUP BY source
 ), above AS (
   SELECT f.source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM normal GROUP BY source, line) f
-  JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE f.n > 20 AND f.n > 0.05 * hosts.n
+  JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE f.n > 20 AND (f.n > 0.05 * hosts.n OR f.n > 100)
 ), removed AS (
   SELECT normal.source, text, sum(words) AS n FROM normal JOIN above ON normal.source IS NOT DISTINCT FROM above.source AND normal.line = above.line GROUP BY normal.source, text
 )

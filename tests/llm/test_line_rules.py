@@ -24,7 +24,7 @@ def brute_base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered), failed
 
 
-def brute_removed(rows, min_docs, max_share):
+def brute_removed(rows, min_docs, max_share, max_docs=100):
     def key(line):
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line.lower())).strip(" ")
 
@@ -35,16 +35,17 @@ def brute_removed(rows, min_docs, max_share):
 
     def bad(host, line):
         n = counts[host].get(key(line), 0)
-        return n > min_docs and n > max_share * len(hosts[host])
+        return n > min_docs and (n > max_docs or n > max_share * len(hosts[host]))
 
     return {(h, t): sum(len(key(x).split(" ")) for x in t.split("\n") if key(x) and bad(h, x)) for h, texts in hosts.items() for t in texts}
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("share,most", [(0.1, 100), (0.9, 5), (2.0, 100_000)])
+def test_matches_brute_force(spark, share, most):
     rows = documents()
-    got = line_rules.line_rules(frame(spark, rows), min_docs=3, max_share=0.1).collect()
-    removed = brute_removed(rows, 3, 0.1)
-    assert any(removed.values())
+    got = line_rules.line_rules(frame(spark, rows), 3, share, most).collect()
+    removed = brute_removed(rows, 3, share, most)
+    assert any(removed.values()) == (share < 1)
     expected = []
     for r in rows:
         base, gone = brute_base(r[1]), removed[r[3], r[1] or ""]
@@ -75,6 +76,19 @@ def test_exact_copies_count_once(spark):
     assert line_rules.line_rules(frame(spark, rows)).where("kept").count() == 200
 
 
+def test_a_large_host_has_an_absolute_limit(spark):
+    """A line in 101 of 3,000 texts goes, one in 100 stays; both are below the share."""
+    rows = [(i, "\n".join([f"text number {'abcdefghij'[i % 10]} " + " ".join(f"w{'abcdefghij'[int(c)]}" * 3 for c in f"{i:05d}") * 6] + ["this line is everywhere"] * (i < 101) + ["this one is rarer"] * (i < 100)), "en", "a", 0) for i in range(3000)]
+    got = {r.doc_id: r.removed_words for r in line_rules.line_rules(frame(spark, rows)).where("removed_words > 0").collect()}
+    assert got == dict.fromkeys(range(101), 4)
+
+
+def test_a_filter_does_not_repeat_the_features(spark):
+    """The optimizer must leave a filter on the verdict above the projections that compute words and windows once."""
+    plan = line_rules.base_features(frame(spark, documents())).where("NOT base_failed")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(coalesce") == 1
+
+
 def test_empty_table(spark):
     empty = frame(spark, documents()).where("false")
     assert line_rules.line_rules(empty).count() == line_rules.clean_rows(empty).count() == 0
