@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +31,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises df in the cluster's shared checkpoint folder; survives the loss of any executor."""
+    """Materialises df in the cluster's shared checkpoint folder; survives the loss of any executor.
+
+    A folder of this machine is taken only in local mode; elsewhere ``spark.checkpoint.dir`` must be set.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 

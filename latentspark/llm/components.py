@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from latentspark.llm.common import cut_lineage
 
-#: Contraction is logarithmic; this only guards against a bug that would loop for ever.
+#: Contraction is logarithmic; more rounds than this are an error.
 MAX_ROUNDS = 60
 
 
@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             break
         seen = tuple(mark)
+    else:
+        raise RuntimeError(f"components are unfinished after {MAX_ROUNDS} rounds")
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
