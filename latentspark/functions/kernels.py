@@ -40,6 +40,15 @@ class Kernel:
             return self
         return replace(self, gamma=1.0 / (self.scale * (median if self.name == "rbf" else np.sqrt(median))))
 
+    def spec(self) -> dict[str, object]:
+        """The settings that make the same unfitted kernel again; those that its name doesn't use are left out."""
+        used = {"rbf": ("gamma", "scale"), "laplacian": ("gamma", "scale"), "polynomial": ("degree", "coef0")}.get(self.name, ())
+        return {"name": self.name} | {k: getattr(self, k) for k in used}
+
+    def summary(self) -> dict[str, object]:
+        """Flat values for a record."""
+        return {f"kernel_{k}": v for k, v in self.spec().items() if v is not None}
+
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.name in ("rbf", "laplacian"):
             d = sq_dists(a, b)
@@ -65,6 +74,11 @@ def by_hash(df: DataFrame, seed: int = 0, id_column: str = "sample_id") -> Colum
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")).cast("binary"))
 
 
+def rule_of_thumb_gamma(x: np.ndarray, scale: float = 1.0) -> float:
+    """Inverse width 1 / (2 s^2) with s^2 ten times the mean column variance, times scale."""
+    return 1.0 / (2.0 * scale * 10.0 * max(float(np.var(x, axis=0).mean()), 1e-30))
+
+
 def median_of(x: np.ndarray) -> float:
     """Median squared distance of distinct rows; 1 where there is none or it is 0."""
     if len(x) < 2:

@@ -45,27 +45,50 @@ def pruned(rows: np.ndarray, threshold: float, seed: int = 0) -> np.ndarray:
     return np.array(kept)
 
 
+TRANSFERS = ("indices", "clusters", "prototypes")
+
+
 class RelativeAligner(Aligner):
-    """Encode by similarity to anchors of the source, decode through the anchors of the target."""
+    """Encode by similarity to anchors of the source, decode through the anchors of the target.
+
+    anchor_transfer: the pilots nearest the source's cluster means ('indices'), the target's means over the
+    source's clusters ('clusters'), or both sides' means over the same ``n_prototype_samples`` members of
+    each cluster ('prototypes'; None: all members). n_anchors None: the narrower width.
+    """
 
     needs_rows = True
 
-    def __init__(self, n_anchors: int | None = None, strategy: str = "kmeans", anchor_transfer: str = "indices", similarity: str = "cosine", parseval: bool = False, prune_threshold: float | None = None, n_subspaces: int = 1, decode: str = "pinv", decode_alpha: float = 1e-6, seed: int = 0, preprocess: str = "center", **chart) -> None:
+    def __init__(self, n_anchors: int | None = None, strategy: str = "kmeans", anchor_transfer: str = "indices", similarity: str = "cosine", parseval: bool = False, prune_threshold: float | None = None, n_subspaces: int = 1, decode: str = "pinv", decode_alpha: float = 1e-2, n_prototype_samples: int | None = None, seed: int = 0, preprocess: str = "center", **chart) -> None:
         super().__init__(preprocess=preprocess, **chart)
+        if anchor_transfer not in TRANSFERS or decode not in ("pinv", "ridge") or similarity not in ("cosine", "inner"):
+            raise ValueError(f"unknown setting among {anchor_transfer!r}, {decode!r}, {similarity!r}")
+        if strategy == "random" and anchor_transfer != "indices":
+            raise ValueError("random anchors have no clusters to transfer")
         self.n_anchors, self.strategy, self.anchor_transfer, self.similarity, self.parseval = n_anchors, strategy, anchor_transfer, similarity, parseval
         self.prune_threshold, self.n_subspaces, self.decode, self.decode_alpha, self.seed = prune_threshold, n_subspaces, decode, decode_alpha, seed
+        self.n_prototype_samples = n_prototype_samples
+
+    def _default_anchors(self, d_x: int, d_y: int) -> int:
+        return min(d_x, d_y)
 
     def _anchors(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = min(len(x), self.n_anchors or max(x.shape[1], y.shape[1]))
+        """Anchors of both sides; ``support`` holds, for each, the places of the pilots it is made of."""
+        k = min(len(x), self.n_anchors or self._default_anchors(x.shape[1], y.shape[1]))
         if self.strategy == "random":
             picks = np.sort(np.random.default_rng(self.seed).choice(len(x), k, replace=False))
+            self.support = [picks[[j]] for j in range(k)]
             return x[picks], y[picks]
         label = lloyd(x, k, self.seed)
         groups = [np.flatnonzero(label == j) for j in range(label.max() + 1) if (label == j).any()]
-        if self.anchor_transfer == "prototypes":
-            return np.array([x[g].mean(axis=0) for g in groups]), np.array([y[g].mean(axis=0) for g in groups])
-        medoids = [g[sq_dists(x[g], x[g].mean(axis=0, keepdims=True))[:, 0].argmin()] for g in groups]
-        return x[medoids], y[medoids]
+        if self.anchor_transfer == "indices":
+            medoids = np.array([g[sq_dists(x[g], x[g].mean(axis=0, keepdims=True))[:, 0].argmin()] for g in groups])
+            self.support = [medoids[[j]] for j in range(len(medoids))]
+            return x[medoids], y[medoids]
+        if self.anchor_transfer == "prototypes" and self.n_prototype_samples:
+            rng = np.random.default_rng(self.seed)
+            groups = [np.sort(rng.choice(g, min(len(g), self.n_prototype_samples), replace=False)) for g in groups]
+        self.support = groups
+        return np.array([x[g].mean(axis=0) for g in groups]), np.array([y[g].mean(axis=0) for g in groups])
 
     def _encode(self, z: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         if self.similarity == "cosine":
@@ -75,10 +98,13 @@ class RelativeAligner(Aligner):
 
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         ax, ay = self._anchors(x, y)
-        parts = np.array_split(np.arange(len(ax)), self.n_subspaces)
+        everything = np.arange(len(ax))
+        if self.prune_threshold is None:
+            subspaces = [everything]
+        else:
+            subspaces = [pruned(ax, self.prune_threshold, self.seed + j) for j in range(self.n_subspaces)]
         self.parts = []
-        for seed, part in enumerate(parts):
-            keep = part if self.prune_threshold is None else part[pruned(ax[part], self.prune_threshold, self.seed + seed)]
+        for keep in subspaces:
             sx, sy = ax[keep], ay[keep]
             if self.parseval:
                 sx, sy = parseval_frame(sx), parseval_frame(sy)
@@ -91,9 +117,14 @@ class RelativeAligner(Aligner):
     def _map(self, z: np.ndarray) -> np.ndarray:
         return self.length * np.mean([self._encode(z, sx) @ back for sx, back in self.parts], axis=0)
 
+    @property
+    def paired_samples_used(self) -> int:
+        """Pilots that the anchors are made of; a ridge readout spends all."""
+        return self.n_pilots if self.decode == "ridge" else len(np.unique(np.concatenate(self.support)))
+
     @property
     def transmitted_symbols(self) -> int:
-        return sum(len(sx) for sx, _ in self.parts)
+        return len(self.support)
 
     @property
     def map_parameters(self) -> int:
@@ -101,7 +132,10 @@ class RelativeAligner(Aligner):
 
 
 class PPFEAligner(RelativeAligner):
-    """Prototype anchors made Parseval frames, with inner products."""
+    """Prototype anchors made Parseval frames, with inner products; n_anchors None: the wider width."""
 
     def __init__(self, n_anchors: int | None = None, **rest) -> None:
         super().__init__(**{"n_anchors": n_anchors, "anchor_transfer": "prototypes", "similarity": "inner", "parseval": True} | rest)
+
+    def _default_anchors(self, d_x: int, d_y: int) -> int:
+        return max(d_x, d_y)

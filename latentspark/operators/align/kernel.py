@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from latentspark.functions.kernels import MEDIAN_ROWS, Kernel, median_of
+from latentspark.functions.kernels import MEDIAN_ROWS, Kernel, median_of, rule_of_thumb_gamma, sq_dists
+from latentspark.operators.align.anchors import lloyd
 from latentspark.operators.align.base import Aligner
 from latentspark.operators.align.linear import canonical, procrustes
 from latentspark.operators.blocks import map_vectors
 from latentspark.operators.linalg import assignment, quadratic_assignment, rank_for, relative_ridge
 
 
+#: Rows that a kernel's points and bandwidth are taken from; a larger calibration set is drawn from, and regressed on whole.
+POOL_ROWS = 2000
+#: Pilots that a kernel map may be given; their Gram takes 4.6 GB of the driver.
+MAX_PILOTS = 24_000
+
+
 def fitted_kernel(kernel: Kernel, x: np.ndarray) -> Kernel:
     """The kernel with the median bandwidth of at most MEDIAN_ROWS rows, drawn by a seeded permutation, as rows come ordered by id."""
     if len(x) > MEDIAN_ROWS:
@@ -28,10 +37,13 @@ class Centred:
         self.columns, self.grand = gram.mean(axis=0), gram.mean()
         self.gram = self(points)
 
-    def __call__(self, z: np.ndarray) -> np.ndarray:
-        k = self.kernel.block(z, self.points)
+    def centre(self, k: np.ndarray) -> np.ndarray:
+        """Kernel rows to the points, centred."""
         return k - k.mean(axis=1, keepdims=True) - self.columns + self.grand if self.center else k
 
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        return self.centre(self.kernel.block(z, self.points))
+
 
 class ResidualSolver:
     """min |E - K A|^2 + r <A, K A>, with X'KA = 0 if asked, for any r from one eigendecomposition."""
@@ -61,18 +73,18 @@ class RKHSAligner(Aligner):
 
     needs_rows = True
 
-    def __init__(self, kernel: Kernel | None = None, lam: float | None = None, lam_grid: tuple[float, ...] = tuple(10.0**e for e in range(-8, 3)), val_fraction: float = 0.2, selection: str = "nmse", lam_scaling: str = "n", center_kernel: bool = True, orthogonal_residual: bool = True, rigid_stage: bool = True, seed: int = 0, **chart) -> None:
-        super().__init__(**chart)
+    def __init__(self, kernel: Kernel | None = None, lam: float | None = None, lam_grid: tuple[float, ...] = tuple(10.0**e for e in range(-8, 3)), val_fraction: float = 0.2, selection: str = "nmse", lam_scaling: str = "n", center_kernel: bool = True, orthogonal_residual: bool = True, rigid_stage: bool = True, ridge_b: float = 1e-8, seed: int = 0, max_points: int = MAX_PILOTS, **chart) -> None:
+        super().__init__(max_points=max_points, **chart)
         if selection not in ("nmse", "cosine"):
             raise ValueError(f"unknown selection {selection!r}")
         self.kernel, self.lam, self.lam_grid, self.val_fraction, self.selection = kernel or Kernel(), lam, lam_grid, val_fraction, selection
-        self.lam_scaling, self.center_kernel, self.orthogonal, self.rigid_stage, self.seed = lam_scaling, center_kernel, orthogonal_residual, rigid_stage, seed
+        self.lam_scaling, self.center_kernel, self.orthogonal, self.rigid_stage, self.ridge_b, self.seed = lam_scaling, center_kernel, orthogonal_residual, rigid_stage, ridge_b, seed
 
     def _parts(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, Centred, ResidualSolver]:
         q = procrustes(x.T @ y, 1.0)[0] if self.rigid_stage else np.zeros((y.shape[1], x.shape[1]))
         offset = np.zeros(y.shape[1]) if self.rigid_stage else y.mean(axis=0)
         centred = Centred(self.fitted, x, self.center_kernel)
-        return q, offset, centred, ResidualSolver(centred.gram, x, y - x @ q.T - offset, self.orthogonal)
+        return q, offset, centred, ResidualSolver(centred.gram, x, y - x @ q.T - offset, self.orthogonal, self.ridge_b)
 
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         self.fitted = fitted_kernel(self.kernel, x)
@@ -126,38 +138,67 @@ class RKHSAligner(Aligner):
         return self.q.size + self.centred.points.size + self.a.size
 
 
+def drawn(n: int, size: int, seed: int) -> np.ndarray:
+    """Sorted places of a seeded draw of size of n rows; all if size covers them."""
+    return np.arange(n) if size >= n else np.sort(np.random.default_rng(seed).choice(n, size, replace=False))
+
+
 class _Reduced:
-    """Centred kernel rows on the directions that hold a share of the singular-value mass."""
+    """Centred kernel rows as few columns.
+
+    'svd': on the directions that hold a share of the singular-value mass of the rows to all points; 'subset': rows to a
+    draw of points, one column each; 'hybrid': the directions of rows to a draw of ``n_subset`` points. Columns that the
+    calibration rows can't support, n - 1 of them, are not made.
+    """
 
-    def __init__(self, kernel: Kernel, points: np.ndarray, rank: int | float) -> None:
+    def __init__(self, kernel: Kernel, pool: np.ndarray, rank: int | float, basis: str = "svd", n_subset: int | None = None, n_rows: int | None = None, seed: int = 0) -> None:
+        most = max(1, (n_rows or len(pool)) - 1)
+        size = len(pool)
+        if basis == "subset":
+            size = min(max(1, round(rank * len(pool)) if isinstance(rank, float) else rank), most)
+        elif basis == "hybrid" and n_subset:
+            size = n_subset
+        points = pool[drawn(len(pool), size, seed)]
         self.centred = Centred(kernel, points)
-        u, s, vt = np.linalg.svd(self.centred.gram, full_matrices=False)
-        k = min(rank_for(s, rank), max(1, len(points) - 1), max(1, int(np.sum(s > 1e-10 * s[0]))))
-        self.basis = vt[:k].T
+        self.basis = np.eye(len(points))
+        if basis != "subset":
+            _, s, vt = np.linalg.svd(self.centred(pool), full_matrices=False)
+            k = min(rank_for(s, rank), most, max(1, int(np.sum(s > 1e-10 * s[0]))))
+            self.basis = vt[:k].T
 
     def __call__(self, z: np.ndarray) -> np.ndarray:
         return self.centred(z) @ self.basis
 
 
+
+
 class KCCAAligner(Aligner):
     """Canonical correlation of reduced kernel rows; the source's scores cross the channel and are read out by ridge."""
 
     needs_rows = True
 
-    def __init__(self, kernel: Kernel | None = None, kernel_tgt: Kernel | None = None, n_basis_src: int | float = 0.99, n_basis_tgt: int | float = 0.99, n_canonical: int | None = None, reg: float = 1e-3, readout_reg: float = 1e-6, preprocess: str = "standard", max_points: int = 2000, **chart) -> None:
+    def __init__(self, kernel: Kernel | None = None, kernel_tgt: Kernel | None = None, n_basis_src: int | float = 0.99, n_basis_tgt: int | float = 0.99, n_canonical: int | None = None, reg: float = 1e-3, readout: str = "source", readout_reg: float = 1e-6, basis: str = "svd", n_subset: int | None = None, bandwidth: str = "median", pool_rows: int = POOL_ROWS, seed: int = 0, preprocess: str = "standard", max_points: int = MAX_PILOTS, **chart) -> None:
         super().__init__(preprocess=preprocess, max_points=max_points, **chart)
+        if basis not in ("svd", "subset", "hybrid") or readout not in ("source", "target") or bandwidth not in ("median", "rule_of_thumb"):
+            raise ValueError(f"unknown setting among {basis!r}, {readout!r}, {bandwidth!r}")
         self.kernel, self.kernel_tgt = kernel or Kernel(), kernel_tgt or kernel or Kernel()
         self.n_basis_src, self.n_basis_tgt, self.n_canonical, self.reg, self.readout_reg = n_basis_src, n_basis_tgt, n_canonical, reg, readout_reg
+        self.readout_of, self.basis, self.n_subset, self.bandwidth, self.pool_rows, self.seed = readout, basis, n_subset, bandwidth, pool_rows, seed
+
+    def _reduced(self, kernel: Kernel, rows: np.ndarray, rank: int | float) -> _Reduced:
+        pool = rows[drawn(len(rows), self.pool_rows, self.seed)]
+        if self.bandwidth == "rule_of_thumb" and kernel.gamma is None and kernel.name in ("rbf", "laplacian"):
+            kernel = replace(kernel, gamma=rule_of_thumb_gamma(pool, kernel.scale))
+        return _Reduced(fitted_kernel(kernel, pool), pool, rank, self.basis, self.n_subset, len(rows), self.seed)
 
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
-        self.reduced = _Reduced(fitted_kernel(self.kernel, x), x, self.n_basis_src)
-        target = _Reduced(fitted_kernel(self.kernel_tgt, y), y, self.n_basis_tgt)
+        self.reduced, target = self._reduced(self.kernel, x, self.n_basis_src), self._reduced(self.kernel_tgt, y, self.n_basis_tgt)
         f, g = self.reduced(x), target(y)
         n = len(x)
         self.mean = f.mean(axis=0)
         f, g = f - self.mean, g - g.mean(axis=0)
-        self.a, _, self.correlations = canonical(f.T @ f / n, f.T @ g / n, g.T @ g / n, self.reg, self.n_canonical)
-        scores = f @ self.a
+        self.a, b, self.correlations = canonical(f.T @ f / n, f.T @ g / n, g.T @ g / n, self.reg, self.n_canonical)
+        scores = g @ b if self.readout_of == "target" else f @ self.a
         self.offset = y.mean(axis=0)
         self.readout = np.linalg.solve(relative_ridge(scores.T @ scores, self.readout_reg), scores.T @ (y - self.offset))
 
@@ -222,40 +263,71 @@ def local_cka(kx: np.ndarray, kx_self: np.ndarray, ly: np.ndarray, ly_self: np.n
 
 
 class CKAAligner(Aligner):
-    """Centred kernel rows to a base set of pilots, read out by ridge, or matched to target pilots by local CKA."""
+    """Centred kernel rows to a base set of pilots, read out by ridge, or matched to target pilots by local CKA.
+
+    strategy: the base set, medoids of k-means ('kmeans') or a draw ('random'). readout: the side whose rows the ridge is
+    fitted on; 'target' fits the receiver's own rows, so that only the base set is spent.
+    """
 
     needs_rows = True
 
-    def __init__(self, n_anchors: int | None = None, kernel: Kernel | None = None, kernel_tgt: Kernel | None = None, decode: str = "ridge", decode_alpha: float = 1e-6, match_temperature: float = 0.25, seed: int = 0, preprocess: str = "standard", max_points: int = 2000, **chart) -> None:
+    def __init__(self, n_anchors: int | None = 320, kernel: Kernel | None = None, kernel_tgt: Kernel | None = None, strategy: str = "kmeans", decode: str = "ridge", readout: str = "source", decode_alpha: float = 1e-2, match_temperature: float = 0.25, pool_rows: int = POOL_ROWS, seed: int = 0, preprocess: str = "standard", max_points: int = MAX_PILOTS, **chart) -> None:
         super().__init__(preprocess=preprocess, max_points=max_points, **chart)
-        if decode not in ("ridge", "match"):
-            raise ValueError(f"unknown decode {decode!r}")
-        self.n_anchors, self.kernel, self.kernel_tgt = n_anchors, kernel or Kernel(), kernel_tgt or kernel or Kernel()
-        self.decode, self.decode_alpha, self.temperature, self.seed = decode, decode_alpha, match_temperature, seed
+        if decode not in ("ridge", "match") or readout not in ("source", "target") or strategy not in ("kmeans", "random"):
+            raise ValueError(f"unknown setting among {decode!r}, {readout!r}, {strategy!r}")
+        self.n_anchors, self.kernel, self.kernel_tgt, self.strategy = n_anchors, kernel or Kernel(), kernel_tgt or kernel or Kernel(), strategy
+        self.decode, self.readout_of, self.decode_alpha, self.temperature, self.pool_rows, self.seed = decode, readout, decode_alpha, match_temperature, pool_rows, seed
+
+    def _base(self, x: np.ndarray) -> np.ndarray:
+        k = min(len(x), self.n_anchors or min(self.src.out_dim, self.tgt.out_dim))
+        if self.strategy == "random":
+            return drawn(len(x), k, self.seed)
+        label = lloyd(x, k, self.seed)
+        groups = [np.flatnonzero(label == j) for j in np.unique(label)]
+        return np.unique([g[sq_dists(x[g], x[g].mean(axis=0, keepdims=True))[:, 0].argmin()] for g in groups])
 
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
-        k = min(len(x), self.n_anchors or 320)
-        base = np.sort(np.random.default_rng(self.seed).choice(len(x), k, replace=False))
-        self.kx, self.ky = fitted_kernel(self.kernel, x), fitted_kernel(self.kernel_tgt, y)
+        base, pool = self._base(x), drawn(len(x), self.pool_rows, self.seed)
+        self.kx, self.ky = fitted_kernel(self.kernel, x[pool]), fitted_kernel(self.kernel_tgt, y[pool])
         self.centred, self.x, self.y = Centred(self.kx, x[base]), x[base], y[base]
-        self.pool = y
-        phi = self.centred(x)
+        self.pool = y[pool]
+        phi = Centred(self.ky, self.y)(y) if self.readout_of == "target" else self.centred(x)
         self.offset = y.mean(axis=0)
         self.readout = np.linalg.solve(relative_ridge(phi.T @ phi, self.decode_alpha), phi.T @ (y - self.offset))
 
+    def _matched(self, rows: np.ndarray, own: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Local CKA with candidates of source rows given by kernel values to the base set and to themselves."""
+        other = np.array([self.ky.block(r[None], r[None])[0, 0] for r in candidates])
+        return local_cka(rows, own, self.ky.block(candidates, self.y), other, self.kx.block(self.x, self.x), self.ky.block(self.y, self.y))
+
     def scores(self, z: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """Local CKA of standardised source rows with standardised target candidates."""
-        own = [np.array([kernel.block(r[None], r[None])[0, 0] for r in rows]) for kernel, rows in ((self.kx, z), (self.ky, candidates))]
-        return local_cka(self.kx.block(z, self.x), own[0], self.ky.block(candidates, self.y), own[1], self.kx.block(self.x, self.x), self.ky.block(self.y, self.y))
+        return self._matched(self.kx.block(z, self.x), np.array([self.kx.block(r[None], r[None])[0, 0] for r in z]), candidates)
 
-    def _map(self, z: np.ndarray) -> np.ndarray:
+    def _decoded(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
         if self.decode == "ridge":
-            return self.centred(z) @ self.readout + self.offset
-        s = self.scores(z, self.pool)
+            return self.centred.centre(rows) @ self.readout + self.offset
+        s = self._matched(rows, own, self.pool)
+        if self.temperature <= 0:  # the best candidate alone
+            return self.pool[s.argmax(axis=1)]
         s = (s - s.mean(axis=1, keepdims=True)) / np.maximum(s.std(axis=1, keepdims=True), 1e-12)
         w = np.exp((s - s.max(axis=1, keepdims=True)) / self.temperature)
         return (w / w.sum(axis=1, keepdims=True)) @ self.pool
 
+    def _map(self, z: np.ndarray) -> np.ndarray:
+        own = np.array([self.kx.block(r[None], r[None])[0, 0] for r in z]) if self.decode == "match" else np.ones(len(z))
+        return self._decoded(self.kx.block(z, self.x), own)
+
+    def transmit(self, df: DataFrame, vector: str = "v") -> DataFrame:
+        """Raw kernel values of each row to the base set; the receiver centres them."""
+        return map_vectors(df, lambda x: self.kx.block(self.src.apply(x), self.x), vector, vector)
+
+    def receive(self, df: DataFrame, vector: str = "v") -> DataFrame:
+        """Target rows of transmitted values. A match needs k(z, z), which is 1 for kernels that normalise themselves."""
+        if self.decode == "match" and self.kx.name in ("linear", "polynomial"):
+            raise ValueError(f"a match of {self.kx.name} kernel values needs each row's own value")
+        return map_vectors(df, lambda rows: self.tgt.invert(self._decoded(rows, np.ones(len(rows)))), vector, vector)
+
     def match(self, z: np.ndarray, y: np.ndarray, method: str = "lsa") -> np.ndarray:
         """Target row of each source row (raw, equally many): by assignment on local CKA, or by aligning whole Grams."""
         if len(z) != len(y):
@@ -267,6 +339,10 @@ class CKAAligner(Aligner):
         order = quadratic_assignment(Centred(self.kx, a).gram, Centred(self.ky, b).gram, fixed=len(self.x))
         return order[len(self.x) :] - len(self.x)
 
+    @property
+    def paired_samples_used(self) -> int:
+        return self.n_pilots if self.decode == "ridge" and self.readout_of == "source" else len(self.x)
+
     @property
     def transmitted_symbols(self) -> int:
         return len(self.x)

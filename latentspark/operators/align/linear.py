@@ -35,7 +35,7 @@ class ProcrustesAligner(Aligner):
 
 
 class LinearAligner(Aligner):
-    """Ridge least squares; orthogonalize replaces the matrix by its polar factor before the intercept is taken."""
+    """Ridge least squares of the charts as they are; orthogonalize replaces the matrix by its polar factor; the intercept is taken last, from the means."""
 
     def __init__(self, alpha: float = 1e-6, fit_intercept: bool = False, orthogonalize: bool = False, **chart) -> None:
         super().__init__(**chart)
@@ -43,10 +43,8 @@ class LinearAligner(Aligner):
 
     def _fit_moments(self, moment: np.ndarray, d: int) -> None:
         m = split_moment(moment, d)
-        n, xx, xy = m["n"], m["xx"], m["xy"]
-        if self.fit_intercept:
-            xx, xy = xx - np.outer(m["sx"], m["sx"]) / n, xy - np.outer(m["sx"], m["sy"]) / n
-        self.w = np.linalg.solve(relative_ridge(xx, self.alpha), xy)
+        n = m["n"]
+        self.w = np.linalg.solve(relative_ridge(m["xx"], self.alpha), m["xy"])
         if self.orthogonalize:
             u, _, vt = svd(self.w)
             self.w = u @ vt

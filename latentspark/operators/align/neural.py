@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from latentspark.operators.align.base import Aligner
 from latentspark.operators.align.linear import procrustes
+from latentspark.operators.blocks import map_vectors
 from latentspark.operators.linalg import lbfgs
 
 
@@ -83,3 +85,10 @@ class ResidualMLPAligner(DirectMLPAligner):
     @property
     def map_parameters(self) -> int:
         return self.network.flat.size + self.q.size
+
+    def apply_linear(self, x: np.ndarray) -> np.ndarray:
+        """The rigid stage alone."""
+        return self.tgt.invert(self.src.apply(x) @ self.q.T)
+
+    def transform_linear(self, df: DataFrame, vector: str = "v") -> DataFrame:
+        return map_vectors(df, self.apply_linear, vector, vector)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.operators.blocks import cut_lineage
@@ -42,16 +42,21 @@ def _with_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(d.select(F.col("node").alias("src"), F.col("degree").alias("d_src")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("d_dst")), "dst")
 
 
+def _over(w: Column, by: Column) -> Column:
+    """w / by; 0 where weights so small that a degree is 0 leave nothing to divide by."""
+    return F.when(by > 0, w / by).otherwise(0.0)
+
+
 def laplacian(edges: DataFrame, nodes: DataFrame, norm: str = "symmetric") -> DataFrame:
     """Cells ``(src, dst, l)``: unnormalized, symmetric or random_walk; isolated nodes have diagonal 1 in the latter two."""
     if norm not in ("unnormalized", "symmetric", "random_walk"):
         raise ValueError(f"unknown norm {norm!r}")
     by = {"unnormalized": F.lit(1.0), "symmetric": F.sqrt(F.col("d_src") * F.col("d_dst")), "random_walk": F.col("d_src")}[norm]
-    off = _with_degrees(edges, nodes).select("src", "dst", (-F.col("w") / by).alias("l"))
+    off = _with_degrees(edges, nodes).select("src", "dst", (-_over(F.col("w"), by)).alias("l"))
     diagonal = F.col("degree") if norm == "unnormalized" else F.lit(1.0)
     return off.union(degrees(edges, nodes).select(F.col("node").alias("src"), F.col("node").alias("dst"), diagonal.alias("l")))
 
 
 def alpha_renormalised(edges: DataFrame, nodes: DataFrame, alpha: float) -> DataFrame:
     """Edges with w / (d_src d_dst)^alpha."""
-    return _with_degrees(edges, nodes).select("src", "dst", (F.col("w") / F.pow(F.col("d_src") * F.col("d_dst"), alpha)).alias("w"))
+    return _with_degrees(edges, nodes).select("src", "dst", _over(F.col("w"), F.pow(F.col("d_src") * F.col("d_dst"), alpha)).alias("w"))

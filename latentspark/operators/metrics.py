@@ -52,3 +52,11 @@ def residual_r2(rows: DataFrame) -> DataFrame:
 def alignment(predicted: DataFrame, targets: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """Reconstruction and retrieval in one row."""
     return reconstruction(paired(predicted, targets)).crossJoin(retrieval(paired_ranks(predicted, targets), ks))
+
+
+def probed(probe, predicted: DataFrame, targets: DataFrame, label: str = "label") -> DataFrame:
+    """One row (accuracy, oracle, ratio) of a probe on predicted vectors and on the targets' own. targets: (sample_id, v, label)."""
+    labelled = targets.where(F.col(label).isNotNull()).select("sample_id", "v", F.col(label).alias("label"))
+    own = probe.classify(labelled).withColumnRenamed("predicted", "own")
+    said = probe.classify(predicted.select("sample_id", "v"))
+    return accuracy(own.join(said, "sample_id"), F.col("predicted"), F.col("own"), F.col("label"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from latentspark.functions import vec
 from latentspark.functions.kernels import Kernel, by_hash, median_sq_dist
 from latentspark.operators import selection
+from latentspark.operators.align.anchors import lloyd
+from latentspark.operators.blocks import cut_lineage
 from latentspark.operators.spaces import mean_vectors
 
 #: Designs whose budgets are prefixes of one order.
@@ -37,18 +41,79 @@ def clusters(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster", maxIter=50).fit(rows).transform(rows).drop("__features")
 
 
+#: Rounds of the k-means of all classes at once.
+CLASS_ROUNDS = 20
+STARTS = 16
+
+
+def _class_clusters(rows: DataFrame, quota: dict, seed: int) -> DataFrame:
+    """rows (sample_id, label, v) with ``cluster`` within its class: Lloyd's rounds for all classes together.
+
+    Centres are as many as the quotas, a budget; each round sends rows to the nearest centre of their class and sums
+    by centre on the map side. Starts are the clusters of ``STARTS`` rows a centre, the first of each class by hash.
+    """
+    place = F.row_number().over(Window.partitionBy("label").orderBy(by_hash(rows, seed), "sample_id"))
+    table = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
+    first = rows.select("label", "sample_id", "v").withColumn("place", place).where(F.col("place") <= STARTS * table[F.col("label")])
+    some: dict = {}
+    for r in first.orderBy("label", "place").collect():  # a budget of rows
+        some.setdefault(r.label, []).append([float(x) for x in r.v])
+    centres = {}
+    for label, found in some.items():
+        x = np.array(found)
+        group = lloyd(x, quota[label], seed)
+        centres |= {(label, j): x[group == k].mean(axis=0).tolist() for j, k in enumerate(np.unique(group))}
+    spark = rows.sparkSession
+    for _ in range(CLASS_ROUNDS):
+        listed = spark.createDataFrame([(label, k, v) for (label, k), v in centres.items()], f"of {rows.schema['label'].dataType.simpleString()}, cluster int, centre array<double>")
+        per_class = F.broadcast(listed.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("centres")))
+        near = F.array_min(F.transform("centres", lambda c: F.struct(vec.sq_dist(F.col("v").cast("array<double>"), c["centre"]).alias("d"), c["cluster"].alias("cluster"))))["cluster"]
+        said = rows.join(per_class, F.col("label") == F.col("of")).withColumn("cluster", near).drop("of", "centres")
+        moved = {(r.label, r.cluster): list(r.centroid) for r in mean_vectors(said, ["label", "cluster"]).collect()}
+        still = max((abs(a - b) for k, v in moved.items() for a, b in zip(v, centres[k], strict=True)), default=0.0) < 1e-9
+        centres |= moved
+        if still:
+            break
+    return said
+
+
 def stratified(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Anchors by class: quotas as even as n allows (larger ones by hash of the class), each class's rows split by
-    hash into as many parts as its quota, and each part's medoid taken. Repeats drop out, so fewer than n may come."""
+    """Anchors by class: quotas as even as n allows (larger ones by hash of the class), each class clustered into as
+    many groups as its quota, and each group's medoid taken. Repeats drop out, so fewer than n may come, with a warning."""
     labels = [r.label for r in df.where("label IS NOT NULL").select("label").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("label").cast("string")).cast("binary"))).orderBy("h", "label").collect()]
     share, extra = divmod(n, max(1, len(labels)))
-    quota = {x: share + (i < extra) for i, x in enumerate(labels)}
-    table = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
-    part = F.pmod(F.conv(F.substring(by_hash(df, seed), 1, 8), 16, 10).cast("long"), table[F.col("label")])
-    rows = df.where("label IS NOT NULL").where(table[F.col("label")] > 0).withColumn("part", part)
-    means = mean_vectors(rows, ["label", "part"])
-    near = rows.join(means, ["label", "part"]).groupBy("label", "part").agg(F.min(F.struct(vec.sq_dist(F.col("v"), F.col("centroid")).alias("d"), "sample_id")).alias("near"))
-    return near.select(F.col("near.sample_id").alias("sample_id")).distinct()
+    quota = {x: share + (i < extra) for i, x in enumerate(labels) if share + (i < extra)}
+    if not quota:
+        return df.select("sample_id").limit(0)
+    rows = cut_lineage(df.where(F.col("label").isin(list(quota))).select("sample_id", "label", "v"))
+    said = _class_clusters(rows, quota, seed) if max(quota.values()) > 1 else rows.withColumn("cluster", F.lit(0))
+    means = mean_vectors(said, ["label", "cluster"])
+    near = said.join(means, ["label", "cluster"]).groupBy("label", "cluster").agg(F.min(F.struct(vec.sq_dist(F.col("v"), F.col("centroid")).alias("d"), "sample_id")).alias("near"))
+    chosen = cut_lineage(near.select(F.col("near.sample_id").alias("sample_id")).distinct())
+    if (got := chosen.count()) < n:
+        warnings.warn(f"stratified left {got} of {n} anchors: clusters shared a medoid or a class is small", stacklevel=2)
+    return chosen
+
+
+#: The cluster of rows that a clusterer leaves out.
+NOISE = -1
+
+
+def support(membership: DataFrame, n_samples: int | None = None, seed: int = 0) -> DataFrame:
+    """``(anchor, sample_id)`` of the rows that an anchor's mean is taken over: all members, or ``n_samples`` by hash.
+
+    membership: (sample_id, cluster); noise makes no anchor.
+    """
+    rows = membership.where((F.col("cluster") != NOISE) & F.col("cluster").isNotNull())
+    if n_samples is not None:
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy(by_hash(rows, seed), "sample_id"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= n_samples)
+    return rows.select(F.col("cluster").alias("anchor"), "sample_id")
+
+
+def prototypes(df: DataFrame, membership: DataFrame, n_samples: int | None = None, seed: int = 0) -> DataFrame:
+    """``(anchor, centroid)``: means over each anchor's support; the same membership gives the matching anchors of another space."""
+    return mean_vectors(df.join(support(membership, n_samples, seed), "sample_id"), ["anchor"])
 
 
 def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None) -> DataFrame:

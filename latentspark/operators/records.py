@@ -19,16 +19,34 @@ def two_level(records: DataFrame, by: Sequence[str], within: Sequence[str], metr
     return inner.groupBy(*by).agg(F.count("inner").alias("n"), F.avg("inner").alias("mean"), F.stddev_pop("inner").alias("std"))
 
 
-def mean_and_interval(records: DataFrame, by: Sequence[str], within: Sequence[str], metric: str, quantiles: dict[int, float]) -> DataFrame:
-    """Two levels with a 95 % half-width t * sample deviation / sqrt(n); 0 where n is 1.
-
-    quantiles: t(.975) by degrees of freedom; beyond the largest its value holds.
-    """
+#: Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
+T975 = (
+    12.7062047362, 4.3026527297, 3.1824463053, 2.7764451052, 2.5705818356, 2.4469118511, 2.3646242516, 2.3060041352, 2.2621571628, 2.2281388520,
+    2.2009851601, 2.1788128297, 2.1603686565, 2.1447866879, 2.1314495456, 2.1199052992, 2.1098155778, 2.1009220402, 2.0930240544, 2.0859634473,
+    2.0796138447, 2.0738730679, 2.0686576104, 2.0638985616, 2.0595385528, 2.0555294386, 2.0518305165, 2.0484071418, 2.0452296421, 2.0422724563,
+)
+#: The same quantile of the normal distribution, and the coefficients of 1/n, 1/n^2, ... by which t exceeds it.
+Z975 = 1.959963984540054
+EXCESS = (
+    (Z975**3 + Z975) / 4, (5 * Z975**5 + 16 * Z975**3 + 3 * Z975) / 96, (3 * Z975**7 + 19 * Z975**5 + 17 * Z975**3 - 15 * Z975) / 384,
+    (79 * Z975**9 + 776 * Z975**7 + 1482 * Z975**5 - 1920 * Z975**3 - 945 * Z975) / 92160,
+)
+
+
+def t_quantile(freedom: Column) -> Column:
+    """Two-sided 95 % quantile of Student's t; beyond the table by its series, which is off by less than 1e-7."""
+    n = freedom.cast("double")
+    series = F.lit(Z975)
+    for power, c in enumerate(EXCESS, 1):
+        series = series + c / F.pow(n, power)
+    return F.when(freedom > len(T975), series).when(freedom > 0, F.get(F.array(*[F.lit(t) for t in T975]), (freedom - 1).cast("int")))
+
+
+def mean_and_interval(records: DataFrame, by: Sequence[str], within: Sequence[str], metric: str) -> DataFrame:
+    """Two levels with a 95 % half-width t * sample deviation / sqrt(n); 0 where n is 1."""
     inner = records.where(F.col(metric).isNotNull()).groupBy(*by, *within).agg(F.avg(metric).alias("inner"))
     out = inner.groupBy(*by).agg(F.count("inner").alias("n"), F.avg("inner").alias("mean"), F.stddev_pop("inner").alias("std"), F.stddev_samp("inner").alias("sample"))
-    table = F.create_map(*[F.lit(x) for pair in quantiles.items() for x in pair])
-    t = F.coalesce(table[(F.col("n") - 1).cast("int")], F.lit(quantiles[max(quantiles)]))
-    return out.withColumn("ci95", F.when(F.col("n") < 2, 0.0).otherwise(t * F.col("sample") / F.sqrt("n"))).drop("sample")
+    return out.withColumn("ci95", F.when(F.col("n") < 2, 0.0).otherwise(t_quantile(F.col("n") - 1) * F.col("sample") / F.sqrt("n"))).drop("sample")
 
 
 def best_rows(records: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
@@ -37,24 +55,51 @@ def best_rows(records: DataFrame, by: Sequence[str], *order: Column) -> DataFram
     return records.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def nearest_in_log(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
+#: Keys of a schedule that are sent to every wanted row.
+MAX_KEYS = 10_000
+
+
+def nearest_in_log(wanted: DataFrame, have: DataFrame, key: str, nearest: bool = True) -> DataFrame:
     """For each wanted row the have row of equal key, else of the nearest logarithm (the smaller key on ties).
 
-    have is a lambda schedule, a handful of budgets; only its keys meet the wanted rows.
+    nearest False: a wanted key that have lacks is an error. have is a schedule of at most MAX_KEYS budgets; only its
+    keys meet the wanted rows.
+    """
+    found = [r[0] for r in have.select(key).distinct().orderBy(key).limit(MAX_KEYS + 1).collect()]
+    if len(found) > MAX_KEYS:
+        raise ValueError(f"a schedule of more than {MAX_KEYS} keys")
+    if not nearest:
+        lacking = [r[0] for r in wanted.select(key).distinct().where(~F.col(key).isin(found)).limit(5).collect()]
+        if lacking:
+            raise KeyError(f"nothing was measured at {key} {lacking}; measured: {found}")
+    keys = F.array(*[F.lit(k) for k in found]) if found else F.array().cast("array<long>")
+    gap = F.transform(keys, lambda k: F.struct(F.abs(F.log(k.cast("double")) - F.log(F.col(key).cast("double"))).alias("gap"), k.alias("key")))
+    return wanted.withColumn("used", F.array_min(gap)["key"]).join(have.withColumnRenamed(key, "used"), "used")
+
+
+def ranked(rows: DataFrame, score: str, name: str) -> DataFrame:
+    """rows with ``place``: 1 for the largest score, the first name on ties.
+
+    A table of methods: its places are counted in groups that are joined in, not in one partition.
     """
-    keys = have.agg(F.sort_array(F.collect_set(key)).alias("__keys"))
-    gap = F.transform("__keys", lambda k: F.struct(F.abs(F.log(k.cast("double")) - F.log(F.col(key).cast("double"))).alias("gap"), k.alias("key")))
-    near = wanted.crossJoin(F.broadcast(keys)).withColumn("used", F.array_min(gap)["key"]).drop("__keys")
-    return near.join(have.withColumnRenamed(key, "used"), "used")
+    spread = rows.select(F.col(score).alias("__s"), F.col(name).alias("__n")).groupBy("__s").agg(F.sort_array(F.collect_list("__n")).alias("__names"))
+    scores = F.sort_array(F.collect_list(F.struct("__s", F.size("__names").alias("n"))), False).alias("__all")
+    above = spread.agg(scores)  # one row: the distinct scores of the methods compared
+    met = rows.crossJoin(above).join(spread, F.col(score) == F.col("__s"))
+    ahead = F.aggregate(F.filter("__all", lambda x: x["__s"] > F.col(score)), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return met.withColumn("place", ahead + F.array_position("__names", F.col(name))).drop("__all", "__s", "__names")
+
 
+def paired_deltas(cells: DataFrame, highlight: str, keys: Sequence[str], metric: str, noise_floor: float = 0.0) -> DataFrame:
+    """Of each other method the difference to the highlighted one over cells both have.
 
-def paired_deltas(cells: DataFrame, highlight: str, keys: Sequence[str], metric: str) -> DataFrame:
-    """Of each other method the difference to the highlighted one over cells both have."""
+    A tie is a mean within two standard errors of 0, or of a single cell one below the noise floor.
+    """
     ours = cells.where(F.col("method") == highlight).select(*keys, F.col(metric).alias("__ours"))
     delta = F.col(metric) - F.col("__ours")
     met = cells.where(F.col("method") != highlight).join(ours, list(keys)).withColumn("delta", delta)
     out = met.groupBy("method").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), F.stddev_pop("delta").alias("std"), F.sum((F.col("delta") > 0).cast("long")).alias("wins"))
-    return out.withColumn("tie", F.abs("mean") <= 2 * F.col("std") / F.sqrt("n"))
+    return out.withColumn("tie", F.when(F.col("n") > 1, F.abs("mean") <= 2 * F.col("std") / F.sqrt("n")).otherwise(F.abs("mean") < noise_floor))
 
 
 def margins(cells: DataFrame, ours: str, by: Sequence[str], metric: str) -> DataFrame:
@@ -71,6 +116,19 @@ def missing_cells(expected: DataFrame, have: DataFrame, keys: Sequence[str]) ->
     return expected.alias("e").join(have.select(*keys).distinct().alias("h"), condition, "left_anti")
 
 
+def repeated_cells(have: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that more than one row has, with their number."""
+    return have.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def require_whole_grid(expected: DataFrame, have: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """have, if it holds each expected cell and none twice; an error that names some of them otherwise."""
+    for what, rows in (("missing", missing_cells(expected, have, keys)), ("repeated", repeated_cells(have, keys))):
+        if some := rows.select(*keys).limit(5).collect():
+            raise ValueError(f"{what} cells: {[tuple(r) for r in some]}")
+    return have
+
+
 def merge_summary(old: DataFrame, fresh: DataFrame) -> DataFrame:
     """Fresh rows, and old rows of methods that were not run again."""
     return old.join(fresh.select("method").distinct(), "method", "left_anti").unionByName(fresh, allowMissingColumns=True)

@@ -1,4 +1,4 @@
-"""Queries that fit maps, charts and spectral objects. SQL has no decomposition, so tests hold them to invariants."""
+"""Queries that fit maps, charts and spectral objects. Some have SQL through matrix iterations (map_sql), the others are held to invariants."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from latentspark.operators import experiment, graphs, pairs, scaling, selection, spaces, spectral
 from latentspark.operators.align.kernel import CKAAligner
 from latentspark.operators.decoders import MLPProbe, RidgeProbe
-from latentspark.plans.registry import QUERIES, query
+from latentspark.plans import map_sql
+from latentspark.plans.registry import query
 from latentspark.sources import fixtures as X
 
 METRICS = ("mse", "nmse", "r2", "cosine", "mrr", "top1", "top5", "top10")
@@ -24,11 +25,11 @@ def _register(name: str, preset: str, **over) -> None:
         return _round(experiment.run_pair(spark, X.agent_a(spark, sf_dir), X.agent_b(spark, sf_dir), [preset], **over), *METRICS)
 
     run.__name__ = name
-    QUERIES[name] = run
+    query(map_sql.MAP_SQL.get(name))(run)
 
 
 for _name, _preset, _over in (
-    ("procrustes", "procrustes", {"preprocess": "center"}), ("linear", "linear", {}), ("affine", "affine", {}), ("l_ortho", "l_ortho", {}),
+    ("procrustes", "procrustes", {}), ("linear", "linear", {}), ("affine", "affine", {}), ("l_ortho", "l_ortho", {}),
     ("rkhs", "rkhs", {}), ("rkhs_free", "rkhs_free", {}), ("krr", "krr", {}), ("cca", "cca", {}), ("svcca", "svcca", {}), ("kcca", "kcca", {"n_canonical": 8}),
     ("relative_map", "relative", {"n_anchors": 64}), ("rr_map", "rr", {"n_anchors": 256}), ("ppfe", "ppfe", {"n_anchors": 24}), ("cka_map", "cka", {}),
     ("mlp_direct", "direct_mlp", {"hidden": (32,), "rounds": 80}), ("mlp_residual", "residual_mlp", {"hidden": (32,), "rounds": 80}), ("pca_procrustes", "pca_procrustes", {}), ("pga_procrustes", "pga_procrustes", {}),
@@ -53,12 +54,12 @@ def _cells(spark: SparkSession, m: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, j, round(float(m[i, j]), 6)) for i in range(len(m)) for j in range(m.shape[1])], "i int, j int, value double")
 
 
-@query()
+@query(map_sql.WHITEN_SQL)
 def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, scaling.Scaler("whiten").fit(X.agent_b(spark, sf_dir)).forward)
 
 
-@query()
+@query(map_sql.PCA_SQL)
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, scaling.Scaler("pca", 4).fit(X.agent_b(spark, sf_dir)).forward)
 
@@ -68,7 +69,7 @@ def pga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, scaling.Scaler("pga", 4).fit(X.agent_b(spark, sf_dir)).forward)
 
 
-@query()
+@query(map_sql.PROBE_SQL)
 def ridge_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.agent_b(spark, sf_dir)
     out = RidgeProbe().fit(b.where("split = 'train'"), "geo_label").classify(b.where("split = 'test'"))

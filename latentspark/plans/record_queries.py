@@ -14,10 +14,6 @@ REC = "WITH" + X.RECORDS_SQL
 REG = "WITH" + X.REGISTRY_SQL
 JOINED = REG + ", j AS (SELECT c.model_name, cached, latent_dim, family, macro_family, num_parameters FROM configs c LEFT JOIN registry r ON c.model_name = r.model_name)"
 
-#: Two-sided 95 % quantiles of Student's t by degrees of freedom.
-T975 = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004, 9: 2.262157, 10: 2.228139}
-
-
 def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -99,11 +95,7 @@ SELECT method, round(mean, 6) AS mean, round(std, 6) AS std, cost, row_number()
 def method_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = X.records(spark, sf_dir)
     out = R.two_level(r, ["method"], ["seed"], "score").drop("n").join(r.groupBy("method").agg(F.max("n_pilots").alias("cost")), "method")
-    # Methods are the presets compared: a table of a few rows, ranked without a window over one partition.
-    better = F.broadcast(out.select(F.col("mean").alias("m"), F.col("method").alias("o")))
-    ahead = (F.col("m") > F.col("mean")) | ((F.col("m") == F.col("mean")) & (F.col("o") <= F.col("method")))
-    ranked = out.join(better, ahead).groupBy("method", "mean", "std", "cost").agg(F.count("*").alias("place"))
-    return _round(ranked, "mean", "std")
+    return _round(R.ranked(out, "mean", "method"), "mean", "std")
 
 
 CELLS = ", c AS (SELECT method, pairs, seed, avg(score) AS x FROM r GROUP BY ALL)"
@@ -122,12 +114,21 @@ def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(R.paired_deltas(_cells(spark, sf_dir), highlight, ["pairs", "seed"], "x"), "mean", "std")
 
 
-@query(REC + """, i AS (SELECT method, n_pilots, pairs, avg(score) AS x FROM r WHERE score IS NOT NULL GROUP BY ALL)
-SELECT method, n_pilots, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std,
-round(CASE WHEN count(x) < 2 THEN 0 ELSE (CASE count(x) - 1 WHEN 1 THEN 12.706205 WHEN 2 THEN 4.302653 WHEN 3 THEN 3.182446 ELSE 2.776445 END) * stddev_samp(x) / sqrt(count(x)) END, 6) AS ci95
-FROM i GROUP BY method, n_pilots""")
+T_SQL = "CASE WHEN {n} > 30 THEN " + " + ".join([repr(R.Z975), *(f"{c!r} / pow({{n}}, {k})" for k, c in enumerate(R.EXCESS, 1))]) + " ELSE (" + str(list(R.T975)) + ")[{n}] END"
+CI = """ SELECT method, n_pilots, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std,
+round(CASE WHEN count(x) < 2 THEN 0 ELSE (""" + T_SQL.format(n="(count(x) - 1)") + """) * stddev_samp(x) / sqrt(count(x)) END, 6) AS ci95 FROM i GROUP BY method, n_pilots"""
+
+
+@query(REC + ", i AS (SELECT method, n_pilots, pairs, avg(score) AS x FROM r WHERE score IS NOT NULL GROUP BY ALL)" + CI)
 def pair_average_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(R.mean_and_interval(X.records(spark, sf_dir), ["method", "n_pilots"], ["pairs"], "score", T975), "mean", "std", "ci95")
+    return _round(R.mean_and_interval(X.records(spark, sf_dir), ["method", "n_pilots"], ["pairs"], "score"), "mean", "std", "ci95")
+
+
+@query(REC + ", i AS (SELECT method, n_pilots, event_id % CAST(20 + n_pilots / 64 AS BIGINT) AS part, avg(score) AS x FROM r WHERE score IS NOT NULL GROUP BY ALL)" + CI)
+def average_ci_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals over groups of 20 and more parts, on both sides of the quantile table's end."""
+    r = X.records(spark, sf_dir).withColumn("part", F.col("event_id") % (20 + F.col("n_pilots") / 64).cast("long"))
+    return _round(R.mean_and_interval(r, ["method", "n_pilots"], ["part"], "score"), "mean", "std", "ci95")
 
 
 @query(REC + """, c AS (SELECT method, pairs, avg(score) AS x FROM r GROUP BY ALL), h AS (SELECT min(method) AS m FROM r),
@@ -189,11 +190,39 @@ def drop_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drop_cells(r, [f"{r.agg(F.min('method')).first()[0]}:random"]).select("event_id", "method", "strategy")
 
 
-@query(REG + r""" SELECT model_name, regexp_replace(regexp_replace(string_split(model_name, '.')[1], '_p\d+_\d+$', ''), '[^A-Za-z0-9_.-]+', '-', 'g') AS model_slug,
-concat_ws('_', regexp_replace(family, '[^A-Za-z0-9_.-]+', '-', 'g'), 'k' || CAST(latent_dim AS VARCHAR)) AS cell FROM registry""")
+MODEL_SLUG = r"regexp_replace(regexp_replace(replace(string_split({name}, '.')[1], 'patch', 'p'), '(_p[0-9]+)_[0-9]{{3}}$', '\1'), '[^A-Za-z0-9_+-]+', '-', 'g')"
+
+
+@query(REG + " SELECT model_name, " + MODEL_SLUG.format(name="model_name") + """ AS model_slug,
+concat_ws('_', regexp_replace(family, '[^A-Za-z0-9_+-]+', '-', 'g'), 'k' || CAST(latent_dim AS VARCHAR)) AS cell FROM registry""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = F.concat(F.lit("k"), S.number_slug(F.col("latent_dim").cast("double")))
-    return X.registry(spark, sf_dir).select("model_name", S.model_slug(F.col("model_name")).alias("model_slug"), S.cell_slug(S.safe(F.col("family")), dim).alias("cell"))
+    return X.registry(spark, sf_dir).select("model_name", S.model_slug(F.col("model_name")).alias("model_slug"), S.joined(S.safe(F.col("family")), S.rate_slug(F.col("latent_dim"))).alias("cell"))
+
+
+#: Names as encoders have them, made from the registry's rows.
+ENCODERS = ", n AS (SELECT *, 'vit_small_patch' || latent_dim || '_' || CASE num_parameters % 3 WHEN 0 THEN '224' WHEN 1 THEN '16' ELSE '1024' END || '.' || family AS name FROM registry)"
+
+
+@query(REG + ENCODERS + " SELECT name, " + MODEL_SLUG.format(name="name") + " AS slug FROM n")
+def encoder_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("num_parameters") % 3
+    size = F.when(k == 0, "224").when(k == 1, "16").otherwise("1024")
+    name = F.concat(F.lit("vit_small_patch"), F.col("latent_dim").cast("string"), F.lit("_"), size, F.lit("."), F.col("family"))
+    return X.registry(spark, sf_dir).select(name.alias("name")).withColumn("slug", S.model_slug(F.col("name")))
+
+
+@query(REC + """, a AS (SELECT method, strategy, pairs, list(DISTINCT n_pilots ORDER BY n_pilots) AS n, list(DISTINCT log_lam ORDER BY log_lam) AS l FROM r GROUP BY ALL)
+SELECT method, strategy, pairs, 'lambda_' || method || '_' || CAST(pairs AS VARCHAR) || 'pairs_whiten_kfull_n' || CAST(n[1] AS VARCHAR) || '_lam' || printf('%g', pow(2, l[1])) || 'to' || printf('%g', pow(2, l[-1])) || 'x' || CAST(len(l) AS VARCHAR) AS lambda_stem,
+'pilots_' || method || '_' || CAST(pairs AS VARCHAR) || 'pairs_whiten_k8_N' || CAST(n[1] AS VARCHAR) || 'to' || CAST(n[-1] AS VARCHAR) || 'x' || CAST(len(n) AS VARCHAR) || '_' || strategy AS pilot_stem FROM a""".replace("printf('%g', pow(2, l[1]))", "replace(printf('%g', pow(2, l[1])), '.', 'p')").replace("printf('%g', pow(2, l[-1]))", "replace(printf('%g', pow(2, l[-1])), '.', 'p')"))
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of result files from the axes that records hold."""
+    axes = X.records(spark, sf_dir).groupBy("method", "strategy", "pairs").agg(F.array_sort(F.collect_set("n_pilots")).alias("n"), F.array_sort(F.collect_set("log_lam")).alias("l"))
+    pairs, chart = F.concat(F.col("pairs").cast("string"), F.lit("pairs")), S.chart_slug({"preprocess": "whiten"})
+    grid = F.transform("l", lambda e: F.pow(F.lit(2.0), e))
+    return axes.select(
+        "method", "strategy", "pairs", S.lambda_stem(F.col("method"), pairs, chart, F.lit(None).cast("int"), F.get("n", F.lit(0)), grid).alias("lambda_stem"),
+        S.pilot_stem(F.col("method"), pairs, chart, F.lit(8), F.col("n"), F.array("strategy")).alias("pilot_stem"),
+    )
 
 
 @query(REC + ", n AS (SELECT pairs, count(*) AS n FROM r GROUP BY pairs) SELECT round(0.5 / sqrt(min(n)), 9) AS noise_floor FROM n")

@@ -82,8 +82,11 @@ def test_procrustes_recovers_a_rotation_and_a_scale(spark, data):
 def test_linear_maps(spark, data):
     x, _, q = data
     y = x @ q @ np.diag([1, 2, 3, 4, 5, 6]) + 7
-    a = LinearAligner(alpha=1e-12, fit_intercept=True, preprocess="none").fit(frame(spark, x), frame(spark, y))
+    a = LinearAligner(alpha=1e-12, fit_intercept=True, preprocess="center").fit(frame(spark, x), frame(spark, y))
     assert np.allclose(a.apply(x), y, atol=1e-5) and a.map_parameters == 42
+    raw = LinearAligner(alpha=1e-12, fit_intercept=True, preprocess="none").fit(frame(spark, x), frame(spark, y))
+    w = np.linalg.lstsq(x, y, rcond=None)[0]  # of the chart as it is; the intercept comes after
+    assert np.allclose(raw.w, w, atol=1e-5) and np.allclose(raw.b, y.mean(axis=0) - x.mean(axis=0) @ w, atol=1e-5)
     o = LinearAligner(orthogonalize=True, preprocess="center").fit(frame(spark, x), frame(spark, y))
     assert np.allclose(o.w.T @ o.w, np.eye(6))
 
@@ -236,3 +239,67 @@ def test_probes(spark):
     w = np.linalg.lstsq(z, onehot, rcond=None)[0]
     ridge = RidgeProbe(1e-12).fit(df)
     assert np.allclose(np.vstack([ridge.w, ridge.b]), w, atol=1e-6)
+
+
+def test_costs_of_anchor_and_kernel_maps(spark, data):
+    """Pilots that a map is made of, which is fewer than it was offered unless it regresses on them."""
+    x, _, q = data
+    x, y = x[:100], np.hstack([x[:100] @ q, x[:100, :2]])
+    src, tgt = frame(spark, x), frame(spark, y)
+    made = RelativeAligner(n_anchors=10).fit(src, tgt)
+    assert (made.paired_samples_used, made.transmitted_symbols) == (10, 10)
+    assert RelativeAligner(n_anchors=10, decode="ridge").fit(src, tgt).paired_samples_used == 100
+    assert RelativeAligner(n_anchors=10, anchor_transfer="clusters").fit(src, tgt).paired_samples_used == 100
+    few = RelativeAligner(n_anchors=10, anchor_transfer="prototypes", n_prototype_samples=3).fit(src, tgt)
+    assert few.paired_samples_used <= 30 and few.transmitted_symbols == 10 and all(len(g) <= 3 for g in few.support)
+    assert RelativeAligner().fit(src, tgt).transmitted_symbols == 6 and PPFEAligner().fit(src, tgt).transmitted_symbols == 8
+    assert PPFEAligner().fit(src, tgt).paired_samples_used == 100
+    for settings, used in (({}, 100), ({"readout": "target"}, 12), ({"decode": "match"}, 12)):
+        assert CKAAligner(n_anchors=12, **settings).fit(src, tgt).paired_samples_used == used
+    with pytest.raises(ValueError):
+        RelativeAligner(strategy="random", anchor_transfer="clusters")
+
+
+@pytest.mark.parametrize("settings", [{}, {"readout": "target"}, {"decode": "match"}, {"decode": "match", "match_temperature": 0.0}, {"strategy": "random"}])
+def test_cka_channel(spark, data, settings):
+    """Sending and receiving is the map itself."""
+    x, y, _ = data
+    a = CKAAligner(n_anchors=20, **settings).fit(frame(spark, x[:120]), frame(spark, y[:120]))
+    df = frame(spark, x[120:150])
+    whole = collected(a.transform(df))
+    assert np.allclose(collected(a.receive(a.transmit(df))), whole) and np.isfinite(whole).all()
+    if settings.get("match_temperature") == 0.0:
+        targets = a.tgt.invert(a.pool)
+        assert all((np.abs(targets - row).max(axis=1) < 1e-9).any() for row in whole)
+
+
+def test_cka_match_of_unnormalised_kernels_needs_their_own_values(spark, data):
+    x, y, _ = data
+    a = CKAAligner(n_anchors=5, kernel=Kernel("linear"), decode="match").fit(frame(spark, x[:40]), frame(spark, y[:40]))
+    with pytest.raises(ValueError):
+        a.receive(frame(spark, x[:5]))
+
+
+@pytest.mark.parametrize("settings,columns", [({"basis": "subset", "n_basis_src": 10, "n_basis_tgt": 10}, 10), ({"basis": "hybrid", "n_subset": 30, "n_basis_src": 8}, 8), ({"readout": "target"}, None), ({"bandwidth": "rule_of_thumb"}, None), ({"pool_rows": 50}, None), ({"basis": "subset", "n_basis_src": 0.1}, 12)])
+def test_kcca_bases(spark, data, settings, columns):
+    x, y, _ = data
+    a = KCCAAligner(**settings).fit(frame(spark, x[:120]), frame(spark, y[:120]))
+    assert columns is None or a.reduced.basis.shape[1] == columns
+    assert np.mean((a.apply(x[120:]) - y[120:]) ** 2) < np.mean((y[120:] - y[:120].mean(axis=0)) ** 2)
+    if "bandwidth" in settings:
+        z = a.src.apply(x[:120])
+        assert a.reduced.centred.kernel.gamma == pytest.approx(1 / (20 * z.var(axis=0).mean()))
+    if "pool_rows" in settings:
+        assert len(a.reduced.centred.points) == 50
+
+
+def test_kernel_spec_makes_the_kernel_again():
+    for k in (Kernel("rbf", scale=2.0), Kernel("polynomial", degree=2, coef0=0.5), Kernel("cosine")):
+        assert Kernel(**k.spec()) == k
+    assert Kernel("linear").summary() == {"kernel_name": "linear"}
+
+
+def test_rigid_stage_of_the_residual_network(spark, data):
+    x, _, q = data
+    a = ResidualMLPAligner(hidden=(4,), rounds=5, preprocess="center").fit(frame(spark, x), frame(spark, x @ q))
+    assert np.allclose(collected(a.transform_linear(frame(spark, x))), x @ q, atol=1e-6)

@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from latentspark.functions import slugs
 from latentspark.functions.kernels import Kernel, median_of, median_sq_dist
-from latentspark.functions.slugs import model_slug, number_slug
-from latentspark.operators import blocks, experiment, graphs, metrics, pairs, pilots, records, selection, spaces, spectral, stored
+from latentspark.operators import blocks, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored
 from latentspark.operators.align.linear import ProcrustesAligner
+from latentspark.operators.decoders import RidgeProbe
 from latentspark.sources import tables
 from latentspark.sources.synthetic import agent_name, synthetic_agents
 from latentspark.streaming.maps import drift, map_stream
@@ -150,7 +151,7 @@ def test_two_level_mean_differs_from_one_level_and_skips_nulls(spark):
     df = spark.createDataFrame(rows, "method string, seed int, score double")
     two, one = records.two_level(df, ["method"], ["seed"], "score").first(), records.summarise(df, ["method"], "score").first()
     assert (two["mean"], two.n, two["std"]) == (2.0, 2, 1.0) and one["mean"] == 1.5
-    alone = records.mean_and_interval(df.where("seed = 0"), ["method"], ["seed"], "score", {1: 12.7}).first()
+    alone = records.mean_and_interval(df.where("seed = 0"), ["method"], ["seed"], "score").first()
     assert alone.ci95 == 0.0
 
 
@@ -202,8 +203,55 @@ def test_agents_table(spark, tmp_path):
 
 
 def test_slugs(spark):
-    row = spark.range(1).select(model_slug(F.lit("vit base_p16_224.augreg")).alias("m"), number_slug(F.lit(0.25)).alias("x"), number_slug(F.lit(-3.0)).alias("y")).first()
-    assert tuple(row) == ("vit-base", "0p25", "m3")
+    numbers = [0.25, -3.0, 0.0, 1e-8, 0.0001, 1e-5, 123456.0, 1234567.0, 1.5e300, 0.1 + 0.2, 100.0, 2 / 3]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").withColumn("s", slugs.real_slug(F.col("x"))).orderBy("i").collect()
+    assert [r.s for r in rows] == [f"{x:g}".replace(".", "p") for x in numbers]
+    names = {"vit base_p16_224.augreg": "vit-base_p16", "vit_small_patch16_224.x": "vit_small_p16", "regnety_016": "regnety_016", "a_p8_1024": "a_p8_1024"}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", slugs.model_slug(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == names
+    pair = "array<struct<source:string,target:string>>"
+    lists = [[("a.x", "b.y")], [("a", "b"), ("c", "b")], [("a", "b"), ("b", "a")]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], f"i int, p {pair}").orderBy("i").select(slugs.pairs_slug(F.col("p")).alias("s")).collect()
+    assert [r.s for r in got] == ["a-to-b", "2tx-to-b", "2pairs"]
+    row = spark.range(1).select(
+        slugs.lambda_stem(F.lit("data set"), F.lit("a-to-b"), slugs.chart_slug({"preprocess": "pca", "eps": 1e-6}), F.lit(None).cast("int"), F.lit(64), F.array(F.lit(1.0), F.lit(1e-6)), F.array(F.lit(0.5))).alias("lam"),
+        slugs.pilot_stem(F.lit("d"), F.lit("p"), slugs.chart_slug({"name": "my.chart"}), F.lit(8), F.array(F.lit(4), F.lit(2)), F.array(F.lit("fps"), F.lit("classes:3"))).alias("pilots"),
+        slugs.dimension_stem(F.lit("d"), F.lit("p"), F.lit("c"), F.lit(9), F.lit("fps"), F.array(F.lit(8), F.lit(4)), F.lit("mlp"), [1, 2]).alias("dims"),
+        slugs.dimension_fits_stem(F.lit("d"), F.lit("p"), F.lit(9), F.lit("fps"), F.lit("mlp")).alias("fits"),
+    ).first()
+    assert row.lam == "lambda_data-set_a-to-b_pca-eps1e-06_kfull_n64_lam1e-06to1x2_bw0p5to0p5x1"
+    assert row.pilots == "pilots_d_p_my-chart_k8_N2to4x2_fps-classes-3"
+    assert (row.dims, row.fits) == ("dims_d_p_c_n9_fps_k4to8x2_dec-mlp_seeds1-2", "dimsfits_d_p_n9_fps_dec-mlp")
+    assert slugs.result_dir("out/", "lam", "a b", "c.d") == "out/lam/a-b/c-d" and [slugs.value_slug(x) for x in (None, True, 0.5)] == ["none", "on", "0p5"]
+
+
+@pytest.mark.parametrize("n", [2, 5, 12, 31, 32, 60, 400])
+def test_interval_quantile(spark, n):
+    """Against the JVM's own t distribution, beyond ten degrees of freedom too."""
+    expected = spark._jvm.org.apache.commons.math3.distribution.TDistribution(float(n - 1)).inverseCumulativeProbability(0.975)
+    assert spark.range(1).select(records.t_quantile(F.lit(n - 1))).first()[0] == pytest.approx(expected, abs=1e-6)
+    df = spark.createDataFrame([("m", i, float(i)) for i in range(n)], "method string, seed int, score double")
+    row = records.mean_and_interval(df, ["method"], ["seed"], "score").first()
+    assert row.ci95 == pytest.approx(expected * np.std(np.arange(n), ddof=1) / np.sqrt(n), rel=1e-6)
+
+
+def test_records_that_are_not_whole(spark):
+    grid = spark.createDataFrame([("a", None), ("a", 4)], "method string, symbols int")
+    keys = ["method", "symbols"]
+    assert records.require_whole_grid(grid, grid, keys).count() == 2
+    for have in (grid.limit(1), grid.union(grid.limit(1))):
+        with pytest.raises(ValueError):
+            records.require_whole_grid(grid, have, keys)
+    schedule = spark.createDataFrame([(100, 1.0), (1000, 2.0)], "n long, lam double")
+    wanted = spark.createDataFrame([(100,), (400,)], "n long")
+    assert {r.n: r.used for r in records.nearest_in_log(wanted, schedule, "n").collect()} == {100: 100, 400: 1000}
+    with pytest.raises(KeyError):
+        records.nearest_in_log(wanted, schedule, "n", nearest=False)
+    assert records.nearest_in_log(wanted.limit(1), schedule, "n", nearest=False).first().lam == 1.0
+    cells = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.51)], "method string, pair int, x double")
+    assert [records.paired_deltas(cells, "a", ["pair"], "x", floor).first().tie for floor in (0.0, 0.1)] == [False, True]
+    methods = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "m string, x double")
+    assert {r.m: r.place for r in records.ranked(methods, "x", "m").collect()} == {"b": 1, "a": 2, "c": 3}
 
 
 def test_pairs_ranks_and_budgets():
@@ -227,12 +275,90 @@ def test_pairs_ranks_and_budgets():
 
 @pytest.mark.parametrize("preset", experiment.PRESETS)
 def test_presets_build(preset):
-    kind, _, rate_key, _ = experiment.PRESETS[preset]
-    assert isinstance(experiment.build_aligner(preset), kind)
+    kind, _, rate_key, design = experiment.PRESETS[preset]
+    assert isinstance(experiment.build_aligner(preset), kind) and design in pilots.STRATEGIES
+    cut = experiment.configured(preset, {"name": "chart", "preprocess": "center"}, 5)
+    assert (cut[rate_key], cut["preprocess"], "name" in cut, experiment.effective_rank(preset, cut)) == (5, "center", False, 5)
+    assert experiment.effective_rank(preset, experiment.configured(preset)) is None
+    over = experiment.configured(preset, {rate_key: 3}, 5)
+    assert over[rate_key] == 3
+    assert experiment.aligner_of(preset, {"preprocess": "center"}, 4).preprocess == "center"
     assert getattr(experiment.build_aligner(preset, 7), rate_key) == 7
     assert json.dumps(experiment.spec_key({"preset": preset}))
 
 
+def test_presets_hold_their_own_settings():
+    made = {p: experiment.build_aligner(p) for p in experiment.PRESETS}
+    assert made["procrustes"].preprocess == made["rkhs"].preprocess == "whiten" and made["rkhs"].max_points == 24_000
+    assert (len(made["rkhs"].lam_grid), len(made["pca_rkhs"].lam_grid), made["rkhs"].lam_grid[1]) == (17, 10, 3e-6)
+    assert (made["cka_pca"].n_components, made["cka"].n_components, made["cka"].strategy) == (320, None, "kmeans")
+    assert experiment.build_aligner("cka_pca", 7).n_components == 7
+    assert (made["relative"].parseval, made["relative"].preprocess, made["ppfe"].preprocess, made["rr"].n_anchors) == (True, "standard", "standard", None)
+    assert experiment.bandwidth_axis(None) is None and experiment.bandwidth_axis([2, 0.5]) == [0.5, 2.0]
+
+
+def test_grid_of_cells(spark, tmp_path):
+    made = synthetic_agents(spark, 2, 90, 30, n_classes=3)
+    agents = {k: made.where(F.col("agent") == agent_name(i)).drop("agent") for i, k in enumerate("ab")}
+    probes = {"b": RidgeProbe().fit(agents["b"].where("split = 'train'"))}
+    pairs, variants = [("a", "b"), ("b", "a")], grids.kernel_variants(["rbf"], [0.5, 2.0])
+    seen = []
+    wanted = grids.method_grid(pairs, ["procrustes", "relative"], 40, 2)
+    out = grids.run_cells(spark, agents, wanted, probes=probes, flush=lambda df: seen.append(df.count()))
+    assert out.count() == len(wanted) == 8 and sum(seen) == 8
+    rows = out.collect()
+    assert {r.design for r in rows if r.method == "relative"} == {"kmeans"} and {r.design for r in rows if r.method == "procrustes"} == {"herding"}
+    assert all((r.accuracy is not None) == (r.target == "b") and r.coverage == 1.0 for r in rows)
+    more = wanted + grids.rate_grid(pairs[:1], ["procrustes"], [2, None], 40, charts=["turned"], design="random")
+    again = grids.run_cells(spark, agents, more, charts={"turned": {"preprocess": "pca"}}, done=out)
+    new = [r for r in again.collect() if r.chart == "turned"]
+    assert again.count() == 10 and sorted((r.symbols or 0, r.delivered) for r in new) == [(0, agents["a"].first().v.__len__()), (2, 2)]
+    assert grids.averaged(again, ["method"]).count() == 2
+    kernels = grids.run_cells(spark, agents, grids.kernel_grid(pairs[:1], variants, 30, "random"), variants=variants)
+    by = {r.variant: r for r in kernels.collect()}
+    assert set(by) == {None, *variants} and all(by[v].residual_r2 is not None and by[v].lam is not None for v in variants)
+    ablated = grids.run_cells(spark, agents, grids.ablation_grid(pairs[:1], [30], "random") + grids.pilot_width_grid(pairs[:1], [0.5, 2], 20))
+    assert ablated.count() == 6 and grids.gains(ablated).count() == 3
+    designs = grids.run_cells(spark, agents, grids.design_grid(pairs[:1], ["linear"], ["random", "classes:1"], [10, 60]))
+    assert {(r.design, r.n_pilots) for r in designs.collect()} == {("random", 10), ("random", 60), ("classes:1", 10)}
+    with pytest.raises(ValueError):
+        grids.run_cells(spark, agents, grids.method_grid(pairs, ["linear"], 90, 1))
+
+
+def test_linear_reference_and_probe_join_a_record(spark):
+    made = synthetic_agents(spark, 2, 60, 20, n_classes=2)
+    a, b = (made.where(F.col("agent") == agent_name(k)) for k in (0, 1))
+    probe = RidgeProbe().fit(b.where("split = 'train'"))
+    rows = {r.method: r for r in experiment.run_pair(spark, a, b, ["procrustes", "rkhs"], probe=probe, linear_reference=True).collect()}
+    assert rows["procrustes"].linear_ref_mrr is None and rows["rkhs"].linear_ref_mrr is not None
+    assert all(0 <= r.accuracy <= 1 and r.oracle > 0.5 for r in rows.values())
+    assert rows["rkhs"].linear_ref_top1 == pytest.approx(rows["procrustes"].top1)
+
+
+def test_anchors_by_class_and_their_support(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(i), "xy"[i % 2], [float(v) for v in rng.normal(size=2) * 0.1 + (i % 3) * 5 + (i % 2) * 40]) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id long, label string, v array<double>")
+    chosen = {r.sample_id for r in pilots.stratified(df, 6).collect()}
+    assert {(i % 2, i % 3) for i in chosen} == {(a, b) for a in range(2) for b in range(3)}
+    with pytest.warns(UserWarning):
+        assert pilots.stratified(df, 200).count() < 200
+    members = df.select("sample_id", F.when(F.col("sample_id") < 6, -1).otherwise(F.col("sample_id") % 3).alias("cluster"))
+    assert pilots.support(members).count() == 54
+    few = pilots.support(members, 4).collect()
+    assert len(few) == 12 and {r.anchor for r in few} == {0, 1, 2}
+    means = {r.anchor: r.centroid for r in pilots.prototypes(df, members, 4).collect()}
+    for k, v in means.items():
+        assert np.allclose(v, np.mean([rows[r.sample_id][2] for r in few if r.anchor == k], axis=0))
+
+
+def test_weights_of_zero_divide_nothing(spark):
+    edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0)], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(1,), (2,)], "node long")
+    assert all(r.w == 0 for r in graphs.alpha_renormalised(edges, nodes, 0.5).collect())
+    assert {r.l for r in graphs.laplacian(edges, nodes).collect()} == {0.0, 1.0}
+
+
 def test_finished_cells_are_not_run_again(spark):
     made = synthetic_agents(spark, 2, 60, 20)
     a, b = (made.where(F.col("agent") == agent_name(k)) for k in (0, 1))
