@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import bound_batches, held_out, in_one_column
+from latentspark.llm.common import bound_batches, cut_lineage, held_out, in_one_column
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
-#: Documents that a language's profile is learned from, and parts in which they are first chosen.
+#: Documents that a language's profile is learned from.
 MAX_TRAIN = 1500
-PARTS = 64
+#: Leading digits of a hash that are counted.
+DIGITS = 3
+#: Languages of which a row each may be broadcast.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: Rows of a batch of counted n-grams.
 GRAM_ROWS = 100_000
@@ -141,13 +144,28 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of the first ``most`` ids of each language by hash; each of ``PARTS`` parts of a language is cut before they meet."""
+    """Rows of the first ``most`` of each language by hash; rows of one id at the end of that order all count.
+
+    Hashes are counted by their first digits, which shows the digits that the last wanted hash begins with; only rows of
+    those are ordered. What the rows are then joined with is one hash a language.
+    """
     order = F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")).cast("binary"))
-    ids = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), F.col("lang").alias("of"), order.alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
-    for parts in (["of", "part"], ["of"]):
-        place = F.row_number().over(Window.partitionBy(*parts).orderBy("h", "k"))
-        ids = ids.withColumn("place", place).where(F.col("place") <= most)
-    return rows.join(ids, (F.col("doc_id") == F.col("k")) & (F.col("lang") == F.col("of")), "left_semi")
+    rows = rows.where(F.col("doc_id").isNotNull()).withColumn("h", order)
+    narrow = rows.select(F.col("lang").alias("of"), "h", F.substring("h", 1, DIGITS).alias("head"))
+    counts = narrow.groupBy("of", "head").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = counts.withColumn("before", before).where(F.col("before") < most).groupBy("of").agg(F.max(F.struct("head", "before", "n")).alias("last"))
+    heads = cut_lineage(heads.select("of", "last.*"))
+    small = heads.count() <= BROADCAST_LANGUAGES
+
+    def joined(left: DataFrame, right: DataFrame, on) -> DataFrame:
+        return left.join(F.broadcast(right) if small else right, on)
+
+    last = joined(narrow.withColumnRenamed("head", "own"), heads.withColumnRenamed("of", "its"), (F.col("of") == F.col("its")) & (F.col("own") == F.col("head")))
+    place = F.row_number().over(Window.partitionBy("of").orderBy("h"))
+    wanted = F.least(F.lit(most) - F.col("before"), F.col("n"))
+    ends = last.withColumn("place", place).where(F.col("place") == wanted).select(F.col("of"), F.col("h").alias("end"))
+    return joined(rows, ends, F.col("lang") == F.col("of")).where(F.col("h") <= F.col("end"))
 
 
 def learn_profiles(docs: DataFrame, max_train: int = MAX_TRAIN, profile: int = PROFILE) -> Profiles:

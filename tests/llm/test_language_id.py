@@ -1,3 +1,4 @@
+import hashlib
 import unicodedata
 from collections import Counter
 
@@ -99,6 +100,10 @@ def test_a_rare_language_is_learned(spark):
     rows = [(i, "the cat and the dog", "en", "a", 0) for i in range(4000)] + [(4000 + i, "der hund und die katze", "de", "a", 0) for i in range(4)]
     docs = spark.createDataFrame(rows, DOCS)
     assert language_id._sample(docs, 100).groupBy("lang").count().orderBy("lang").collect() == [("de", 4), ("en", 100)]
+    order = sorted(range(4000), key=lambda i: hashlib.md5(f"sample:{i}".encode()).hexdigest())
+    for most in (1, 37, 100, 3999, 5000):
+        got = language_id._sample(docs, most).where("lang = 'en'").collect()
+        assert sorted(r.doc_id for r in got) == sorted(order[:most])
     assert language_id.identify(docs, max_train=100).where("doc_id >= 4000 AND lang_pred = 'de'").count() == 4
 
 
