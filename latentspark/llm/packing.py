@@ -23,6 +23,7 @@ of exactly the capacity fills a sequence; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -30,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ VOCABULARY = "byte_bpe_50k.json"
 CLOSING = 0
 #: Ranks a new sequence behind every open one that fits; no count comes near it.
 NEW = -1e15
-#: A text is cut at the first such blank after so many characters; the library gets about so many at a time.
-PART_CHARS = 1 << 18
+#: A text is cut at the first such blank after so many characters, and about so many are worked on at a time.
+PART_CHARS, BATCH_CHARS = 1 << 18, 1 << 22
+#: Words whose ids a worker keeps (some 100 MB), the longest of them, and those encoded in one call.
+MEMO, WORD_CHARS, WORDS = 1 << 19, 64, 1 << 12
+#: White space of any version of Unicode, and blanks and line ends beside it or at an end.
+_WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD_WHITE = rf"\A[ \n]|[ \n]\z|[{_WHITE}][ \n]|[ \n][{_WHITE}]"
 #: A blank whose neighbours are not white space in any version of Unicode.
 _BLANK = re.compile(r"(?<![\s\u180e]) (?![\s\u180e])")
 _encoders: dict[str, Encoder] = {}
@@ -57,6 +64,10 @@ def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def _with_blank(word: str) -> str:
+    return word if word[:1] == "\n" else f" {word}"
+
+
 class Encoder:
     """Ids of texts by ``tokenizers``."""
 
@@ -66,18 +77,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path)
         self.tokenizer.encode_special_tokens = True
-
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ((self.tab,),) = self._encode(["\t"])
+        self._forget()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        """Word numbers, the ids of all words one after another, and where each word's end."""
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
+        self.words = 0
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        used = int(self.ends[self.words])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.words + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used : used + len(ids)] = ids
+        self.ends[self.words + 1 : self.words + 1 + len(words)] = used + ends
+        self.number.update(zip(words, range(self.words, self.words + len(words)), strict=True))
+        self.words += len(words)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of new words. They are encoded together, a tab behind each: before white space and a word a tab is a token of its own."""
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            (ids,) = self._encode(["\t".join(map(_with_blank, part)) + "\t"])
+            tabs = np.flatnonzero(ids == self.tab)
+            self._keep(part, np.delete(ids, tabs), tabs - np.arange(len(part)))
+
+    def _parts(self, parts: list[str], behind: list[bool]) -> Iterator[np.ndarray]:
+        """The ids of parts; behind: a blank goes before the part."""
+        if self.words > MEMO:
+            self._forget()
+        texts = pa.array(parts, pa.large_string())
+        odd = pc.match_substring_regex(texts, _ODD_WHITE).to_numpy(zero_copy_only=False)
+        # "a b\nc" as "a", "b" and "\nc": a word begins with its line end, or follows a blank.
+        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+        coded = lists.values.dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        unseen = [words[k] for k in new.tolist()]
+        rare = np.array([len(w) > WORD_CHARS or "\t" in w for w in unseen], bool)
+        common = new[~rare]
+        number[common] = self.words + np.arange(len(common))
+        self._learn([words[k] for k in common.tolist()])
+        # Words that aren't kept, and first words that follow no blank, are encoded one by one.
+        kept, bounds = self.words, lists.offsets.to_numpy().astype(np.int64)
+        at_start = bounds[:-1][~np.array(behind, bool)[~odd]]
+        number[new[rare]] = kept + np.arange(rare.sum())
+        extra = self._encode([*(_with_blank(words[k]) for k in new[rare].tolist()), *(words[k] for k in index[at_start].tolist())])
+        used, sizes = int(self.ends[kept]), np.array([len(x) for x in extra], np.int64)
+        flat = np.concatenate([self.flat[:used], *extra])
+        ends = np.concatenate([self.ends[: kept + 1], used + np.cumsum(sizes)])
+        number = number[index]
+        number[at_start] = kept + rare.sum() + np.arange(len(at_start))
+        n = ends[number + 1] - ends[number]
+        to = np.concatenate([[0], np.cumsum(n)])
+        found = flat[np.repeat(ends[number] - to[:-1], n) + np.arange(to[-1])].astype("<u4")
+        whole = (found[to[a] : to[b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        plain = iter(self._encode([" " * b + p for p, b, o in zip(parts, behind, odd, strict=True) if o]))
+        return (next(plain) if o else next(whole) for o in odd.tolist())
 
     def ids(self, texts: Iterable[str], part_chars: int = PART_CHARS) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        waiting: list[tuple[bool, str]] = []  # (ends a text, part)
+        waiting: list[tuple[str, bool, bool]] = []  # (part, a blank goes before it, it ends a text)
         ready: list[np.ndarray] = []
         chars = 0
 
         def flush() -> Iterator[np.ndarray]:
-            for (last, _), ids in zip(waiting, self._encode([p for _, p in waiting]), strict=True):
+            for (_, _, last), ids in zip(waiting, self._parts([w[0] for w in waiting], [w[1] for w in waiting]), strict=True):
                 ready.append(ids)
                 if last:
                     yield ready[0] if len(ready) == 1 else np.concatenate(ready)
@@ -87,12 +159,13 @@ class Encoder:
         for text in texts:
             cuts = list(parts_of(text, part_chars))
             for k, part in enumerate(cuts):
-                waiting.append((k == len(cuts) - 1, part))
+                waiting.append((part[1:] if k else part, k > 0, k == len(cuts) - 1))
                 chars += len(part)
-                if chars >= part_chars:
+                if chars >= BATCH_CHARS:
                     yield from flush()
                     chars = 0
-        yield from flush()
+        if waiting:
+            yield from flush()
 
 
 def encoder(vocabulary_path: str) -> Encoder:

@@ -113,5 +113,23 @@ def test_ids_of_a_million_characters(text):
         assert encode([whole]) == [library_once(whole)]
 
 
+def test_few_kept_words_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 16)
+    monkeypatch.setattr(packing, "WORDS", 3)
+    monkeypatch.setattr(packing, "WORD_CHARS", 5)
+    monkeypatch.setattr(packing, "BATCH_CHARS", 300)
+    texts, plain = [r[1] or "" for r in documents()] + AWKWARD, library()
+    encoder = packing.Encoder(packing.default_vocabulary())
+    assert [x.tolist() for x in encoder.ids(texts, 40)] == [plain(t) for t in texts]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b.", "don't", "I'll", "'s", "\n", "\n", "7é", "漢字", "<|endoftext|>", "\tx", "x" * 70, "word\nNext", "''ll"]), min_size=1, max_size=6), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_words_give_the_ids_of_the_text(texts):
+    joined = [" ".join(t) for t in texts] + ["\n".join(t) for t in texts] + ["".join(t) for t in texts]
+    assert encode(joined) == [library_once(t) for t in joined]
+    assert encode(joined, 4) == [library_once(t) for t in joined]
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, documents()).where("false")).count() == 0
