@@ -3,7 +3,9 @@
 Equal vectors of a label are first made one node with a count. Nodes are dealt to
 shards of about ``SHARD_FLOATS`` numbers; each shard gets a layered graph, built
 in batches in numpy. Every shard of a label is queried with every node of that
-label: a beam descends the layers, its candidates are verified by cosine in
+label: the nodes' vectors are sent to it, a shard of them at a time, and its graph
+goes once to each task, which takes up to ``QUERY_SHARDS`` such blocks of queries one
+after another. A beam descends the layers, its candidates are verified by cosine in
 double precision, and the components that they make in the task are completed by
 exact cosines in blocks, so that a group of near copies larger than the beam is
 linked whole. An audit compares queries of each shard pair with brute force: some
@@ -11,14 +13,16 @@ of all, some of those with links, some of those with few, which no completed gro
 hides, and up to ``AUDIT_UNLINKED`` drawn from those without any. The mean recall of
 a query, not of a link, decides, so that a large group outweighs no pair. Until it
 passes, the beam is doubled for all, and beyond ``WIDEST`` it is as wide as the
-shard, which is brute force itself.
+shard, which is brute force itself. ``audits`` returns the recall that each pair of
+shards passed with.
 
 A task returns for each node the number of vectors linked to it and its root in
 the task's links, never all pairs; components are united over those roots.
 
 Defined cases: a vector that is null, empty or zero, or holds null or non-finite
 components, or has a null label, links with nothing and is a component of its
-own; vectors of different lengths don't link; repeated rows link with each other;
+own; a cosine within rounding of the limit is computed again from the vectors
+themselves in extended precision, so that one of exactly 0.98 links; vectors of different lengths don't link; repeated rows link with each other;
 a null vec_id never names a component unless all its vectors have none; an empty
 table gives an empty result; other columns are not read.
 """
@@ -50,16 +54,60 @@ WIDEST = 256
 MIN_RECALL = 0.999
 #: Single precision may move a cosine by this much; candidates within it are verified.
 SLACK = 1e-4
+#: Rounding in double precision moves a cosine by less than this.
+ROUNDING = 1e-13
+#: Shards whose nodes query a graph in one task.
+QUERY_SHARDS = 16
+#: Labels of which a row each may be broadcast, and vectors of over one part of so many of the rows, joined by broadcast.
+BROADCAST_LABELS, HEAVY_PARTS = 100_000, 1000
 #: Numbers gathered at a time while a beam expands.
 GATHER = 1 << 22
 
 
-def _blockwise(queries: np.ndarray, units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, unit) pairs of product at least ``least``, over all pairs."""
-    step = max(1, GATHER // len(units))
-    found = [np.nonzero(queries[k : k + step] @ units.T >= least) for k in range(0, len(queries), step)]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *(k * step + left for k, (left, _) in enumerate(found))]), np.concatenate([none, *(right for _, right in found)])
+def exactly_scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest numbers near 1, so that no square is lost."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+class Rows:
+    """Vectors of a shard: exactly scaled, and of length 1 in double and in single precision."""
+
+    def __init__(self, scaled: np.ndarray) -> None:
+        self.scaled = scaled
+        self.units = unit_vectors(scaled)
+        self.single = self.units.astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.scaled)
+
+    def __getitem__(self, some: np.ndarray) -> Rows:
+        part = Rows.__new__(Rows)
+        part.scaled, part.units, part.single = self.scaled[some], self.units[some], self.single[some]
+        return part
+
+
+def _linked(queries: Rows, nodes: Rows, left: np.ndarray, right: np.ndarray, cosine: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidate pairs those of cosine at least ``least``, the close ones by extended precision."""
+    true = cosine >= least
+    close = np.flatnonzero(np.abs(cosine - least) <= ROUNDING)
+    for k in range(0, len(close), 1 << 14):
+        some = close[k : k + (1 << 14)]
+        a, b = queries.scaled[left[some]].astype(np.longdouble), nodes.scaled[right[some]].astype(np.longdouble)
+        true[some] = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1)) >= least
+    return left[true], right[true]
+
+
+def _blockwise(queries: Rows, nodes: Rows, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of cosine at least ``least``, over all pairs."""
+    step = max(1, GATHER // max(1, len(nodes)))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(queries), step):
+        cosine = queries.units[k : k + step] @ nodes.units.T
+        left, right = np.nonzero(cosine >= least - ROUNDING)
+        left, right = _linked(queries, nodes, k + left, right, cosine[left, right], least)
+        lefts.append(left)
+        rights.append(right)
+    return np.concatenate(lefts), np.concatenate(rights)
 
 
 class Graph:
@@ -209,8 +257,6 @@ class Graph:
 
     def near(self, queries: np.ndarray, beam: int, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) candidates of cosine at least ``least``; own: the queries' nodes, if they are of this graph."""
-        if beam >= len(self.units):
-            return _blockwise(queries, self.units, least)
         entry = np.zeros((len(queries), 1), np.int64)
         for at in range(len(self.layers) - 1, 0, -1):
             entry = self._search(at, queries, entry, 1)[0]
@@ -240,88 +286,95 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def _completed(queries: np.ndarray, units: np.ndarray, left: np.ndarray, right: np.ndarray, min_cosine: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+def _completed(queries: Rows, nodes: Rows, left: np.ndarray, right: np.ndarray, min_cosine: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """All links inside the components that the found links make, by exact cosine in blocks."""
     shift = 0 if own else len(queries)
-    root = _roots(len(units) + shift, left, right + shift)
+    root = _roots(len(nodes) + shift, left, right + shift)
     order = np.argsort(root, kind="stable")
     starts = np.flatnonzero(np.diff(root[order], prepend=-1))
     sizes = np.diff(np.append(starts, len(order)))
-    lefts, rights = [], []
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start, size in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
         members = order[start : start + size]
         mine = members if own else members[members < shift]
         theirs = members if own else members[members >= shift] - shift
-        step = max(1, GATHER // len(theirs)) if len(theirs) else 1
-        for k in range(0, len(mine), step):
-            found = np.nonzero(queries[mine[k : k + step]] @ units[theirs].T >= min_cosine)
-            lefts.append(mine[k + found[0]])
-            rights.append(theirs[found[1]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+        found = _blockwise(queries[mine], nodes[theirs], min_cosine)
+        lefts.append(mine[found[0]])
+        rights.append(theirs[found[1]])
+    return np.concatenate(lefts), np.concatenate(rights)
 
 
 def _some(places: np.ndarray, most: int) -> np.ndarray:
     return places[np.linspace(0, len(places) - 1, min(len(places), most)).astype(int)]
 
 
-def verified_links(queries: np.ndarray, graph: Graph, units: np.ndarray, min_cosine: float, own: bool, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) pairs of cosine at least min_cosine, and the beam with which the audit passed.
+def verified_links(queries: Rows, graph: Graph, nodes: Rows, min_cosine: float, own: bool, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(query, node) pairs of cosine at least min_cosine, the beam with which the audit passed, and its recall.
 
-    own: the queries are the graph's nodes; a node's link with itself may be left out.
+    own: the queries are the graph's nodes; a node's link with itself is left out.
     """
     n = len(queries)
     spread = _some(np.arange(n), AUDIT)
     while True:
-        left, right = graph.near(queries.astype(np.float32), beam, min_cosine - SLACK, np.arange(n) if own else None)
-        true = np.einsum("pd,pd->p", queries[left], units[right]) >= min_cosine
-        if own:
-            true &= left != right
-        left, right = _completed(queries, units, left[true], right[true], min_cosine, own)
+        if beam >= len(nodes):
+            left, right = _blockwise(queries, nodes, min_cosine)
+        else:
+            left, right = graph.near(queries.single, beam, min_cosine - SLACK, np.arange(n) if own else None)
+            left, right = _linked(queries, nodes, left, right, np.einsum("pd,pd->p", queries.units[left], nodes.units[right]), min_cosine)
+            left, right = _completed(queries, nodes, left, right, min_cosine, own)
         if own:
             apart = left != right
             left, right = left[apart], right[apart]
-        if beam >= len(units):
-            return left, right, beam
+        if beam >= len(nodes):
+            return left, right, beam, 1.0
         degree = np.bincount(left, minlength=n)
         linked = np.flatnonzero(degree)
         sparse, without = np.flatnonzero((degree > 0) & (degree < BEAM)), np.flatnonzero(degree == 0)
         drawn = np.random.default_rng(n).permutation(without)[:AUDIT_UNLINKED]
         audit = np.unique(np.concatenate([spread, _some(linked, AUDIT), _some(sparse, AUDIT_SPARSE), drawn]))
-        exact = np.bincount(_blockwise(queries[audit], units, min_cosine)[0], minlength=len(audit)) - own
+        exact = np.bincount(_blockwise(queries[audit], nodes, min_cosine)[0], minlength=len(audit)) - own
         asked = exact > 0
-        if not asked.any() or (degree[audit][asked] / exact[asked]).mean() >= MIN_RECALL:
-            return left, right, beam
-        beam = beam * 2 if beam * 2 <= WIDEST else max(beam * 2, len(units))
+        recall = float((degree[audit][asked] / exact[asked]).mean()) if asked.any() else 1.0
+        if recall >= MIN_RECALL:
+            return left, right, beam, recall
+        beam = beam * 2 if beam * 2 <= WIDEST else max(beam * 2, len(nodes))
 
 
 def _build(table: pa.Table) -> pa.Table:
     table = table.sort_by("node")
     size = table.column("size")[0].as_py()
-    vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, size)
-    units = unit_vectors(vectors)
-    graph = Graph(units.astype(np.float32))
+    scaled = exactly_scaled(table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, size))
+    graph = Graph(Rows(scaled).single)
     return pa.table({
-        "label": table.column("label")[:1], "size": table.column("size")[:1], "shard": table.column("shard")[:1],
+        "label": table.column("label")[:1], "size": table.column("size")[:1], "shard": table.column("shard")[:1], "shards": table.column("shards")[:1],
         "nodes": [table.column("node").to_numpy().tobytes()], "copies": [table.column("copies").to_numpy().tobytes()],
-        "units": [units.tobytes()], "graph": [pickle.dumps((graph.level, graph.layers))],
+        "vectors": [scaled.tobytes()], "graph": [pickle.dumps((graph.level, graph.layers))],
     })
 
 
+LINKS = "node long, root long, linked long, label string, size int, shard int, to_shard int, beam int, recall double"
+
+
 def _link_batches(min_cosine: float, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come ordered by graph, the graph's own row before the blocks that query it; only one graph is held."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, graph, others, copies, to = None, None, None, None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 at = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                nodes, others = np.frombuffer(at["nodes"], np.int64), np.frombuffer(at["to_nodes"], np.int64)
-                queries = np.frombuffer(at["units"], np.float64).reshape(-1, at["size"])
-                units = np.frombuffer(at["to_units"], np.float64).reshape(-1, at["size"])
-                copies = np.frombuffer(at["to_copies"], np.int64)
-                graph = Graph.__new__(Graph)
-                graph.units = units.astype(np.float32)
-                graph.level, graph.layers = pickle.loads(at["to_graph"])
+                nodes = np.frombuffer(at["nodes"], np.int64)
+                rows = Rows(np.frombuffer(at["vectors"], np.float64).reshape(-1, at["size"]))
+                if at["graph"] is not None:
+                    key, others, copies, to = (at["label"], at["size"], at["to_shard"]), nodes, np.frombuffer(at["copies"], np.int64), rows
+                    graph = Graph.__new__(Graph)
+                    graph.units = rows.single
+                    graph.level, graph.layers = pickle.loads(at["graph"])
+                    continue
+                if key != (at["label"], at["size"], at["to_shard"]):
+                    raise RuntimeError("queries came without their graph")
                 own = at["shard"] == at["to_shard"]
-                left, right, _ = verified_links(queries, graph, units, min_cosine, own, beam)
+                left, right, width, recall = verified_links(rows, graph, to, min_cosine, own, beam)
                 n = len(nodes)
                 total = np.bincount(left, copies[right], n).astype(np.int64)
                 if own:
@@ -333,13 +386,19 @@ def _link_batches(min_cosine: float, beam: int) -> Callable[[Iterator[pa.RecordB
                     nodes, root = np.concatenate([nodes, both[touched]]), both[np.concatenate([rooted[:n], rooted[touched]])]
                     total = np.concatenate([total, np.zeros(len(touched), np.int64)])
                 some = (total > 0) | (root != nodes)
-                yield pa.RecordBatch.from_pydict({"node": nodes[some], "root": root[some], "linked": total[some]})
+                found = pa.RecordBatch.from_pydict({"node": nodes[some], "root": root[some], "linked": total[some]})
+                said = {"label": at["label"], "size": at["size"], "shard": at["shard"], "to_shard": at["to_shard"], "beam": width, "recall": recall}
+                yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, _TYPES[c]) for c in said)], [*found.schema.names, *said])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([v], _TYPES[c]) for c, v in said.items())], [*found.schema.names, *said])
 
     return link
 
 
-def embedding_components(vectors: DataFrame, min_cosine: float = MIN_COSINE, shard_floats: int = SHARD_FLOATS, beam: int = BEAM) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row of vectors (vec_id, embedding, label)."""
+_TYPES = {"label": pa.string(), "size": pa.int32(), "shard": pa.int32(), "to_shard": pa.int32(), "beam": pa.int32(), "recall": pa.float64()}
+
+
+def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with label and vector (null where they can't link), and their distinct vectors as numbered nodes."""
     bound_batches(vectors.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     fine = F.coalesce(
@@ -348,22 +407,50 @@ def embedding_components(vectors: DataFrame, min_cosine: float = MIN_COSINE, sha
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.col("label").cast("string")).alias("label"), F.when(fine, vector).alias("vector"))
     groups = rows.where(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     # Node numbers are those of the materialised rows, so a recomputed task gives the same.
-    groups = cut_lineage(groups).withColumn("node", F.monotonically_increasing_id()).withColumn("size", F.size("vector"))
-    shards = groups.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") / shard_floats).alias("shards"))
-    dealt = groups.join(shards, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    schema = "label string, size int, shard int, nodes binary, copies binary, units binary, graph binary"
-    built = cut_lineage(dealt.select("label", "size", "shard", "node", "copies", "vector").groupBy("label", "size", "shard").applyInArrow(_build, schema))
-    to = built.select("label", "size", *(F.col(c).alias(f"to_{c}") for c in ("shard", "nodes", "copies", "units", "graph")))
-    pairs = built.drop("copies", "graph").join(to, ["label", "size"])
-    n_pairs = built.groupBy("label", "size").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 1
-    links = cut_lineage(pairs.repartition(min(n_pairs, 8192)).mapInArrow(_link_batches(min_cosine, beam), "node long, root long, linked long"))
+    return rows, cut_lineage(groups).withColumn("node", F.monotonically_increasing_id()).withColumn("size", F.size("vector"))
+
+
+def shard_links(groups: DataFrame, min_cosine: float = MIN_COSINE, shard_floats: int = SHARD_FLOATS, beam: int = BEAM) -> DataFrame:
+    """``(node, root, linked)`` of the links of every shard with every shard of its label, and a row of each pair's audit."""
+    shards = cut_lineage(groups.groupBy("label", "size").agg(F.ceil(F.count("*") * F.col("size") / shard_floats).cast("int").alias("shards")))
+    n_labels, n_tasks = shards.agg(F.count("*"), F.coalesce(F.sum(F.col("shards").cast("long") * F.ceil(F.col("shards") / QUERY_SHARDS)), F.lit(0))).first()
+    dealt = groups.join(F.broadcast(shards) if n_labels <= BROADCAST_LABELS else shards, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    schema = "label string, size int, shard int, shards int, nodes binary, copies binary, vectors binary, graph binary"
+    built = cut_lineage(dealt.select("label", "size", "shard", "shards", "node", "copies", "vector").groupBy("label", "size", "shard").applyInArrow(_build, schema))
+    last = F.col("shards") - 1
+    columns = ("label", "size", "to_shard", "part", "shard", "nodes", "copies", "vectors", "graph")
+    graphs = built.withColumn("to_shard", F.col("shard")).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(last / QUERY_SHARDS).cast("int")))).withColumn("shard", F.lit(-1)).select(*columns)
+    part = F.floor(F.col("shard") / QUERY_SHARDS).cast("int")
+    queries = built.withColumn("to_shard", F.explode(F.sequence(F.lit(0), last))).withColumn("part", part)
+    queries = queries.withColumn("copies", F.lit(None).cast("binary")).withColumn("graph", F.lit(None).cast("binary")).select(*columns)
+    key = ["label", "size", "to_shard", "part"]
+    ordered = graphs.union(queries).repartition(max(1, min(n_tasks, 8192)), *key).sortWithinPartitions(*key, "shard")
+    return cut_lineage(ordered.mapInArrow(_link_batches(min_cosine, beam), LINKS))
+
+
+def audits(vectors: DataFrame, min_cosine: float = MIN_COSINE, shard_floats: int = SHARD_FLOATS, beam: int = BEAM) -> DataFrame:
+    """``(label, size, shard, to_shard, beam, recall)``: with what beam and recall each shard's queries of another passed."""
+    return shard_links(_nodes(vectors)[1], min_cosine, shard_floats, beam).where("beam IS NOT NULL").select("label", "size", "shard", "to_shard", "beam", "recall")
+
+
+def embedding_components(vectors: DataFrame, min_cosine: float = MIN_COSINE, shard_floats: int = SHARD_FLOATS, beam: int = BEAM) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row of vectors (vec_id, embedding, label)."""
+    rows, groups = _nodes(vectors)
+    links = shard_links(groups, min_cosine, shard_floats, beam).where("node IS NOT NULL").select("node", "root", "linked")
     degrees = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     rooted = connected_components(links, "node", "root").withColumnRenamed("root", "component").withColumnRenamed("node", "member")
     of = groups.select("node", "label", "vector", "first_id", "copies").join(degrees, "node", "left").join(rooted, F.col("node") == F.col("member"), "left")
-    of = of.withColumn("component", F.coalesce("component", "node"))
+    of = cut_lineage(of.withColumn("component", F.coalesce("component", "node")))
     names = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = of.join(names, "component").select(F.col("label").alias("of"), F.col("vector").alias("is"), "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = rows.join(of, (F.col("label") == F.col("of")) & (F.col("vector") == F.col("is")), "left")
+    total = of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    of = of.join(names, "component").select(F.col("label").alias("of"), F.col("vector").alias("is"), "component_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "copies")
+    # Fewer than HEAVY_PARTS vectors can each have more than that part of the rows; theirs need no shuffle.
+    is_heavy = F.col("copies") > total // HEAVY_PARTS + 1
+    heavy, light = F.broadcast(of.where(is_heavy).drop("copies")), of.where(~is_heavy).drop("copies")
+    same = (F.col("label") == F.col("of")) & (F.col("vector") == F.col("is"))
+    rest = rows.where(F.col("vector").isNotNull()).join(heavy.select("of", "is"), same, "left_anti")
+    alone = rows.where(F.col("vector").isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in light.schema))
+    out = rows.join(heavy, same).unionByName(rest.join(light, same)).unionByName(alone)
     component = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from latentspark.llm import embedding_dedup
-from latentspark.llm.embedding_dedup import Graph, unit_vectors, verified_links
+from latentspark.llm.embedding_dedup import Graph, Rows, unit_vectors, verified_links
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -50,6 +50,35 @@ def test_matches_brute_force(spark, shard_floats):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_many_shards_and_many_copies(spark, monkeypatch):
+    """Over twenty shards of one label in parts of three, with a group of copies that is a third of the rows."""
+    monkeypatch.setattr(embedding_dedup, "QUERY_SHARDS", 3)
+    monkeypatch.setattr(embedding_dedup, "HEAVY_PARTS", 20)
+    rows = [(i, v, 0) for i, v, _ in clusters(7, 90)]
+    rows += [(2000 + i, rows[4][1], 0) for i in range(len(rows) // 2)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = embedding_dedup.embedding_components(df, shard_floats=80).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows)
+    found = embedding_dedup.audits(df, shard_floats=80).collect()
+    shards = {r.shard for r in found}
+    assert len(shards) > 20 and len(found) == len(shards) ** 2 and all(r.recall >= 0.999 for r in found)
+
+
+def test_a_cosine_of_exactly_the_limit_links(spark):
+    """49 / 50: the longer vector has length 50, and scaling by anything but powers of two would round."""
+    rows = []
+    for k, scale in enumerate((1.0, 3.0, 1e-3, 7e30, 1e-30)):
+        rows += [(10 * k, [scale, 0.0, 0.0, 0.0], k), (10 * k + 1, [49.0, 7.0, 5.0, 5.0], k), (10 * k + 2, [49.0, 7.0, 5.0, 5.01], k)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all((got[10 * k], got[10 * k + 1], got[10 * k + 2]) == (1, 2, 1) for k in range(5))
+
+
+def test_vectors_of_extreme_size():
+    v = np.array([[1e300, 2e300, -1e300], [1e-300, 2e-300, -1e-300], [5e-324, 0, 0]])
+    scaled = embedding_dedup.exactly_scaled(v)
+    assert np.isfinite(scaled).all() and (np.abs(scaled).max(axis=1) >= 0.5).all() and np.allclose(unit_vectors(scaled)[0], unit_vectors(scaled)[1])
+
+
 def test_empty_table(spark):
     assert embedding_dedup.embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -59,7 +88,7 @@ def test_group_of_copies_larger_than_the_beam():
     base = rng.normal(size=32)
     vectors = np.concatenate([base + rng.normal(size=(700, 32)) * 0.02, rng.normal(size=(900, 32))])[rng.permutation(1600)]
     units = unit_vectors(vectors)
-    left, right, _ = verified_links(units, Graph(units.astype(np.float32)), units, 0.98, True)
+    left, right, _, _ = verified_links(Rows(units), Graph(units.astype(np.float32)), Rows(units), 0.98, True)
     exact = units @ units.T >= 0.98
     np.fill_diagonal(exact, False)
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(exact)), strict=True))
@@ -84,8 +113,8 @@ def test_failed_audit_widens_the_beam():
     units = unit_vectors(rng.normal(size=(400, 6)))
     graph = Graph(units.astype(np.float32))
     graph.layers[0][:] = -1  # a graph without links finds next to nothing until the beam is as wide as the shard
-    left, _, beam = verified_links(units[::2], graph, units, 0.98, False)
-    assert beam >= len(units)
+    left, _, beam, recall = verified_links(Rows(units[::2]), graph, Rows(units), 0.98, False)
+    assert beam >= len(units) and recall == 1.0
     assert len(left) == (units[::2] @ units.T >= 0.98).sum()
 
 
@@ -101,7 +130,7 @@ def test_a_large_group_does_not_hide_missed_pairs(own):
     for layer in graph.layers:  # no beam reaches the pairs
         layer[np.isin(layer, lost)] = -1
         layer[lost] = -1
-    left, right, _ = verified_links(units, graph, units, 0.98, own)
+    left, right, _, _ = verified_links(Rows(units), graph, Rows(units), 0.98, own)
     exact = units @ units.T >= 0.98
     if own:
         np.fill_diagonal(exact, False)
