@@ -50,6 +50,9 @@ MEMO, WORD_CHARS, WORDS = 1 << 19, 64, 1 << 12
 #: White space of any version of Unicode, and blanks and line ends beside it or at an end.
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD_WHITE = rf"\A[ \n]|[ \n]\z|[{_WHITE}][ \n]|[ \n][{_WHITE}]"
+#: A word of ASCII letters behind a blank or line end, with or without a mark behind it: each of the three is a piece.
+_MARKS = "\n.,;:!?"
+_LETTERS = re.compile(r"(\n?)([A-Za-z]+)([.,;:!?]?)")
 #: A blank whose neighbours are not white space in any version of Unicode.
 _BLANK = re.compile(r"(?<![\s\u180e]) (?![\s\u180e])")
 _encoders: dict[str, Encoder] = {}
@@ -78,6 +81,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary_path)
         self.tokenizer.encode_special_tokens = True
         ((self.tab,),) = self._encode(["\t"])
+        # What a piece is after splitting: its blank has a letter of its own.
+        self.merges, self.blank = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]
+        self.marks = dict(zip(_MARKS, map(np.ndarray.tolist, self._encode(list(_MARKS))), strict=True)) | {"": []}
         self._forget()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -108,6 +114,16 @@ class Encoder:
             tabs = np.flatnonzero(ids == self.tab)
             self._keep(part, np.delete(ids, tabs), tabs - np.arange(len(part)))
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """The same of ``_LETTERS``, whose pieces are known: the library's merges without its splitting."""
+        tokenize, ids = self.merges.tokenize, []
+        for word in words:
+            start, letters, mark = _LETTERS.fullmatch(word).groups()
+            found = [t.id for t in tokenize(letters if start else self.blank + letters)]
+            ids.append([*self.marks[start], *found, *self.marks[mark]])
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self._keep(words, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), ends)
+
     def _parts(self, parts: list[str], behind: list[bool]) -> Iterator[np.ndarray]:
         """The ids of parts; behind: a blank goes before the part."""
         if self.words > MEMO:
@@ -122,9 +138,10 @@ class Encoder:
         new = np.flatnonzero(number < 0)
         unseen = [words[k] for k in new.tolist()]
         rare = np.array([len(w) > WORD_CHARS or "\t" in w for w in unseen], bool)
-        common = new[~rare]
-        number[common] = self.words + np.arange(len(common))
-        self._learn([words[k] for k in common.tolist()])
+        letters = np.array([_LETTERS.fullmatch(w) is not None for w in unseen], bool) & ~rare
+        for some, learn in ((new[letters], self._learn_letters), (new[~letters & ~rare], self._learn)):
+            number[some] = self.words + np.arange(len(some))
+            learn([words[k] for k in some.tolist()])
         # Words that aren't kept, and first words that follow no blank, are encoded one by one.
         kept, bounds = self.words, lists.offsets.to_numpy().astype(np.int64)
         at_start = bounds[:-1][~np.array(behind, bool)[~odd]]
