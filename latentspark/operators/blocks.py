@@ -9,6 +9,7 @@ results. What is shuffled falls as blocks grow, by n^2 / block.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,10 +29,12 @@ BATCH_BYTES = 16 << 20
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises df in the cluster's shared checkpoint folder."""
+    """Materialises df in the cluster's shared checkpoint folder; a folder of this machine is taken only in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
@@ -77,18 +80,28 @@ class Block:
             yield part
 
 
-def for_block_pairs(left: DataFrame, right: DataFrame, work: Callable[[Block, Block], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """work on every pair of a left and a right block; a left block is sent once to each right block."""
+def for_block_pairs(left: DataFrame, right: DataFrame | None, work: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """work on every pair of a left and a right block; a left block is sent once to each right block.
+
+    right None: each two blocks of left meet once, as ``work(a, b, own)``, own being true where they are the same block;
+    work then gives the results of both sides.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
     sides = ("ids", "rows", "vectors", "others")
-    to = right.select(F.col("block").alias("to"), *(F.col(c).alias(f"to_{c}") for c in sides))
-    numbers = [r.to for r in to.select("to").collect()]  # of blocks, not of rows
-    if not numbers:
+    same = right is None
+    to = (left if same else right).select(F.col("block").alias("to"), *(F.col(c).alias(f"to_{c}") for c in sides))
+    last = to.agg(F.max("to")).first()[0]
+    if last is None:
         return left.sparkSession.createDataFrame([], schema)
     left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     # A number of partitions that is asked for is not coalesced, however small the blocks.
-    parts = min(2 * len(numbers), 8192)
-    each = left.withColumn("to", F.explode(F.array(*[F.lit(k) for k in numbers]))).drop("block").repartition(parts, "to")
+    parts = min(2 * (last + 1), 8192)
+    targets = F.sequence(F.col("block") if same else F.lit(0), F.lit(last))
+    if same:  # half of the pairs from either end, so that no block is sent far more often than another
+        away = F.sequence(F.lit(0), F.lit((last + 1) // 2))
+        half = F.filter(F.transform(away, lambda d: F.struct(((F.col("block") + d) % (last + 1)).alias("to"), d.alias("d"))), lambda x: (2 * x["d"] != last + 1) | (x["to"] > F.col("block")))
+        targets = F.transform(half, lambda x: x["to"])
+    each = left.withColumn("to", F.explode(targets)).withColumn("own", F.col("to") == F.col("block")).drop("block").repartition(parts, "to")
     pairs = each.join(to.repartition(parts, "to"), "to").drop("to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +110,39 @@ def for_block_pairs(left: DataFrame, right: DataFrame, work: Callable[[Block, Bl
                 at = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
                 against = Block(*(at[f"to_{c}"] for c in sides))
                 for strip in Block(*(at[c] for c in sides)).strips():
-                    out = work(strip, against)
+                    out = work(strip, against, at["own"]) if same else work(strip, against)
                     yield pa.RecordBatch.from_pydict({c: pa.array(out[c]) for c in names})
 
     return pairs.mapInArrow(run, schema)
 
 
+def column_sums(df: DataFrame, by: str, vector: str = "v") -> DataFrame:
+    """``(key, n, s)``: rows and summed vectors of each value of ``by``, a row for each task and value before they meet."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column("key").type
+            coded, x = batch.column("key").dictionary_encode(), matrix(batch.column("v"))
+            place = coded.indices.to_numpy(zero_copy_only=False)
+            s, n = np.zeros((len(coded.dictionary), x.shape[1])), np.bincount(place, minlength=len(coded.dictionary))
+            np.add.at(s, place, x)
+            for k, key in enumerate(coded.dictionary.to_pylist()):
+                had = totals.get(key, (0, 0.0))
+                totals[key] = (had[0] + int(n[k]), had[1] + s[k])
+        if totals:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(list(totals), kind), "n": [n for n, _ in totals.values()], "s": [s for _, s in totals.values()]})
+
+    rows = df.where(F.col(by).isNotNull()).select(F.col(by).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    parts = rows.mapInArrow(partial, f"key {kind}, n long, s array<double>")
+    sums = parts.select("key", "n", F.posexplode("s").alias("dim", "x")).groupBy("key", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return sums.groupBy("key").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("s"))
+
+
 def moments(df: DataFrame, *vectors: str) -> DataFrame:
     """``(i, j, s)``, i <= j: sums of products of the columns [1, vectors...] over all rows of df, 0 being the 1."""
 

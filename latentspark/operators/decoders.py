@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.operators.blocks import matrix, moment_matrix
+from latentspark.operators.blocks import column_sums, matrix, moment_matrix
 from latentspark.operators.linalg import relative_ridge
 
 
@@ -36,12 +36,11 @@ class RidgeProbe:
         rows = df.where(F.col(label).isNotNull())
         moment = moment_matrix(rows, vector)
         n, d = moment[0, 0], len(moment) - 1
-        sums = rows.select(label, F.posexplode(vector).alias("dim", "value")).groupBy(label, "dim").agg(F.sum("value").alias("s"), F.count("*").alias("n")).collect()
-        self.classes = np.array(sorted({r[label] for r in sums}))
+        sums = column_sums(rows, label, vector).collect()  # a row a class
+        self.classes = np.array(sorted(r.key for r in sums))
         cross = np.zeros((d + 1, len(self.classes)))
         for r in sums:
-            at = np.searchsorted(self.classes, r[label])
-            cross[1 + r["dim"], at], cross[0, at] = r["s"], r["n"]
+            cross[:, np.searchsorted(self.classes, r.key)] = [r.n, *r.s]
         mean = moment[0, 1:] / n
         xx = moment[1:, 1:] - n * np.outer(mean, mean)
         self.w = np.linalg.solve(relative_ridge(xx, self.l2), cross[1:] - np.outer(mean, cross[0]))

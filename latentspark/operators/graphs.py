@@ -20,7 +20,7 @@ def knn_graph(df: DataFrame, k: int, weighted: bool = False, mutual: bool = Fals
     (1 if that is 0). Directions are united by the larger weight; mutual edges need
     both, and average them.
     """
-    near = cut_lineage(nearest(df, df, k, same=True))
+    near = cut_lineage(nearest(df, None, k))
     if weighted:
         s = near.where(F.col("place") == k).agg(F.avg("d")).first()[0] or 1.0
         edges = near.select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * s * s)).alias("w"))

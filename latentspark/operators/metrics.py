@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.functions import vec
 from latentspark.operators.align.base import check_paired
+from latentspark.operators.blocks import matrix
 from latentspark.operators.pairs import paired_ranks
 
 
@@ -18,11 +21,22 @@ def paired(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     return predicted.select("sample_id", F.col("v").alias("p")).join(targets.select("sample_id", F.col("v").alias("t")), "sample_id")
 
 
+def _column_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each column: rows, squared errors, energy, and mean and squared deviation of the target."""
+    for batch in batches:
+        if batch.num_rows:
+            p, t = matrix(batch.column("p")), matrix(batch.column("t"))
+            mean = t.mean(axis=0)
+            yield pa.RecordBatch.from_pydict({"dim": np.arange(t.shape[1], dtype=np.int32), "n": np.full(t.shape[1], len(t)), "e": ((p - t) ** 2).sum(axis=0), "q": (t**2).sum(axis=0), "m": mean, "d": ((t - mean) ** 2).sum(axis=0)})
+
+
 def reconstruction(both: DataFrame) -> DataFrame:
     """mse over elements, nmse against raw energy, r2 against centred variance, mean row cosine. both: (p, t)."""
-    cells = both.select(F.posexplode(F.zip_with("p", "t", lambda p, t: F.struct(p.alias("p"), t.alias("t")))).alias("dim", "x")).select("dim", "x.*")
-    error = (F.col("p") - F.col("t")) * (F.col("p") - F.col("t"))
-    dims = cells.groupBy("dim").agg(F.count("*").alias("n"), F.sum(error).alias("e"), F.sum(F.col("t") * F.col("t")).alias("q"), (F.var_pop("t") * F.count("*")).alias("c"))
+    sides = both.select(F.col("p").cast("array<double>").alias("p"), F.col("t").cast("array<double>").alias("t"))
+    parts = sides.mapInArrow(_column_parts, "dim int, n long, e double, q double, m double, d double")
+    # A column's deviation is that within its parts and that of the parts' means.
+    nm, nmm = F.sum(F.col("n") * F.col("m")), F.sum(F.col("n") * F.col("m") * F.col("m"))
+    dims = parts.groupBy("dim").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("q").alias("q"), (F.sum("d") + nmm - nm * nm / F.sum("n")).alias("c"))
     sums = dims.agg((F.sum("e") / F.sum("n")).alias("mse"), (F.sum("e") / F.sum("q")).alias("nmse"), (1 - F.sum("e") / F.sum("c")).alias("r2"))
     return sums.crossJoin(both.agg(F.avg(vec.cosine(F.col("p"), F.col("t"))).alias("cosine")))  # one row each
 

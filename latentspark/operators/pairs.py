@@ -10,28 +10,44 @@ from latentspark.functions.kernels import Kernel, sq_dists
 from latentspark.operators.blocks import Block, for_block_pairs, pack_blocks
 
 
-def gram(left: DataFrame, right: DataFrame, kernel: Kernel) -> DataFrame:
-    """``(i, j, k)`` of every pair; the relation is as large as its two sides multiplied."""
+def gram(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
+    """``(i, j, k)`` of every pair; the relation is as large as its two sides multiplied. right None: left with itself, i <= j."""
 
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
         return {"i": np.repeat(a.ids, len(b.ids)), "j": np.tile(b.ids, len(a.ids)), "k": kernel.block(a.v, b.v).ravel()}
 
-    return for_block_pairs(pack_blocks(left), pack_blocks(right), work, "i long, j long, k double")
+    def half(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
+        out = work(a, b)
+        i, j = np.minimum(out["i"], out["j"]), np.maximum(out["i"], out["j"])
+        some = out["i"] <= out["j"] if own else np.ones(len(i), bool)
+        return {"i": i[some], "j": j[some], "k": out["k"][some]}
 
+    schema = "i long, j long, k double"
+    return for_block_pairs(pack_blocks(left), None, half, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
 
-def mean_kernel(left: DataFrame, right: DataFrame, kernel: Kernel) -> DataFrame:
-    """``(sample_id, mu)``: mean kernel of each left row with all right rows."""
+
+def mean_kernel(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
+    """``(sample_id, mu)``: mean kernel of each left row with all right rows (None: all left rows)."""
+
+    def sums(ids: np.ndarray, k: np.ndarray, axis: int) -> dict[str, np.ndarray]:
+        return {"sample_id": ids, "total": k.sum(axis=axis), "n": np.full(len(ids), k.shape[axis])}
 
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
-        return {"sample_id": a.ids, "total": kernel.block(a.v, b.v).sum(axis=1), "n": np.full(len(a.ids), len(b.ids))}
+        return sums(a.ids, kernel.block(a.v, b.v), 1)
 
-    parts = for_block_pairs(pack_blocks(left), pack_blocks(right), work, "sample_id long, total double, n long")
+    def both(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
+        k = kernel.block(a.v, b.v)
+        one, other = sums(a.ids, k, 1), sums(b.ids, k, 0)
+        return one if own else {c: np.concatenate([one[c], other[c]]) for c in one}
+
+    schema = "sample_id long, total double, n long"
+    parts = for_block_pairs(pack_blocks(left), None, both, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
     return parts.groupBy("sample_id").agg((F.sum("total") / F.sum("n")).alias("mu"))
 
 
 def mmd2(pool: DataFrame, subset: DataFrame, kernel: Kernel) -> DataFrame:
     """One row ``mmd2``: squared mean discrepancy of subset and pool."""
-    parts = [mean_kernel(a, b, kernel).agg(F.avg("mu").alias("m")).select((F.col("m") * sign).alias("m")) for a, b, sign in ((pool, pool, 1), (subset, pool, -2), (subset, subset, 1))]
+    parts = [mean_kernel(a, b, kernel).agg(F.avg("mu").alias("m")).select((F.col("m") * sign).alias("m")) for a, b, sign in ((pool, None, 1), (subset, pool, -2), (subset, None, 1))]
     return parts[0].union(parts[1]).union(parts[2]).agg(F.sum("m").alias("mmd2"))
 
 
@@ -57,27 +73,39 @@ def paired_ranks(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     return parts.groupBy("sample_id").agg((F.sum("ahead") + 1).alias("rank"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, same: bool = False) -> DataFrame:
+def _first(d: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """The k columns nearest each row, by distance and id; infinite distances are no neighbours."""
+    # All that are as near as the k-th, then the first k of each row.
+    last = min(k, d.shape[1]) - 1
+    limit = np.partition(d, last, axis=1)[:, last]
+    rows, columns = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+    order = np.lexsort((dst[columns], d[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, columns = rows[place < k], columns[place < k]
+    return {"src": src[rows], "dst": dst[columns], "d": d[rows, columns]}
+
+
+def nearest(left: DataFrame, right: DataFrame | None, k: int) -> DataFrame:
     """``(src, dst, d, place)``: the k right rows nearest each left row (Euclidean; the lower id on ties).
 
-    same: both are one table, and a row is not its own neighbour.
+    right None: the other rows of left, a row not being its own neighbour.
     """
 
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
+        return _first(np.sqrt(sq_dists(a.v, b.v)), a.ids, b.ids, k)
+
+    def both(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
         d = np.sqrt(sq_dists(a.v, b.v))
-        if same:
-            d[a.ids[:, None] == b.ids[None]] = np.inf
-        # All that are as near as the k-th, then the first k of each row by distance and id.
-        last = min(k, d.shape[1]) - 1
-        limit = np.partition(d, last, axis=1)[:, last]
-        rows, columns = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        order = np.lexsort((b.ids[columns], d[rows, columns], rows))
-        rows, columns = rows[order], columns[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, columns = rows[place < k], columns[place < k]
-        return {"src": a.ids[rows], "dst": b.ids[columns], "d": d[rows, columns]}
-
-    parts = for_block_pairs(pack_blocks(left), pack_blocks(right), work, "src long, dst long, d double")
+        d[a.ids[:, None] == b.ids[None]] = np.inf
+        one = _first(d, a.ids, b.ids, k)
+        if own:
+            return one
+        other = _first(np.ascontiguousarray(d.T), b.ids, a.ids, k)
+        return {c: np.concatenate([one[c], other[c]]) for c in one}
+
+    schema = "src long, dst long, d double"
+    parts = for_block_pairs(pack_blocks(left), None, both, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
     place = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     return parts.withColumn("place", place).where(F.col("place") <= k)
 
@@ -89,11 +117,14 @@ def hsic_parts(pairs: DataFrame, kernel_v: Kernel, kernel_w: Kernel) -> tuple[fl
     """
     packed = pack_blocks(pairs, "v", "w")
 
-    def work(a: Block, b: Block) -> dict[str, np.ndarray]:
+    def work(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
         k, m = kernel_v.block(a.v, b.v), kernel_w.block(a.w, b.w)
-        return {"id": a.ids, "k": k.sum(1), "m": m.sum(1), "km": (k * m).sum(1), "kk": (k * k).sum(1), "mm": (m * m).sum(1)}
+        cells = {"k": k, "m": m, "km": k * m, "kk": k * k, "mm": m * m}
+        one = {"id": a.ids} | {c: x.sum(1) for c, x in cells.items()}
+        other = {"id": b.ids} | {c: x.sum(0) for c, x in cells.items()}
+        return one if own else {c: np.concatenate([one[c], other[c]]) for c in one}
 
-    rows = for_block_pairs(packed, packed, work, "id long, k double, m double, km double, kk double, mm double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("k", "m", "km", "kk", "mm")))
+    rows = for_block_pairs(packed, None, work, "id long, k double, m double, km double, kk double, mm double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("k", "m", "km", "kk", "mm")))
     s = rows.agg(
         F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("k", "m", "km", "kk", "mm")),
         F.sum(F.col("k") * F.col("m")).alias("k_m"), F.sum(F.col("k") * F.col("k")).alias("k_k"), F.sum(F.col("m") * F.col("m")).alias("m_m"),

@@ -108,7 +108,7 @@ def _greedy(df: DataFrame, k: int, start: DataFrame, better: Column, update) ->
 
 def herding(df: DataFrame, k: int, kernel: Kernel, sign: int = 1) -> list[int]:
     """Greedy picks of largest mean kernel less the mean kernel with earlier picks; sign -1: of smallest (adversarial)."""
-    start = df.join(mean_kernel(df, df, kernel), "sample_id").select("sample_id", "v", "mu", F.lit(0.0).alias("s"), F.lit(0).alias("t"), F.lit(False).alias("taken"))
+    start = df.join(mean_kernel(df, None, kernel), "sample_id").select("sample_id", "v", "mu", F.lit(0.0).alias("s"), F.lit(0).alias("t"), F.lit(False).alias("taken"))
     score = sign * (F.col("mu") - F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0))
     return _greedy(df, k, start, score.alias("score"), lambda state, pick: state.withColumn("s", F.col("s") + kernel.column(F.col("v"), pick)).withColumn("t", F.col("t") + 1))
 

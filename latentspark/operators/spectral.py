@@ -2,31 +2,112 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latentspark.operators.blocks import cut_lineage
 from latentspark.operators.linalg import fixed_signs
 
-#: Nodes of a dense eigenproblem; larger graphs are an error rather than a driver out of memory.
-MAX_NODES = 3000
+#: Nodes up to which the eigenproblem is solved as one dense matrix on the driver.
+MAX_DENSE = 3000
+#: Bytes of the vectors that the driver holds for larger graphs; beyond them it is an error.
+MAX_BASIS_BYTES = 2 << 30
+#: Vectors held for each one wanted, at least; degree of the filter, its rounds at most, and the residual that ends them.
+SPARE, DEGREE, ROUNDS, TOLERANCE = 8, 24, 60, 1e-7
 #: Bytes of the normal equations of a functional map.
 MAX_MAP_BYTES = 16 << 30
 
 
+class _Cells:
+    """A symmetric matrix as packed parts of its cells, multiplied part by part where they are."""
+
+    def __init__(self, cells: DataFrame, nodes: np.ndarray) -> None:
+        spark = cells.sparkSession
+        self.context, self.n = spark.sparkContext, len(nodes)
+        shared = self.context.broadcast(nodes)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    src, dst = (np.searchsorted(shared.value, batch.column(c).to_numpy()).astype(np.int32) for c in ("src", "dst"))
+                    yield pa.RecordBatch.from_pydict({"src": [src.tobytes()], "dst": [dst.tobytes()], "l": [batch.column("l").to_numpy().tobytes()]})
+
+        # Cells of a row lie together, so that a part returns few rows.
+        near = cells.select("src", "dst", F.col("l").cast("double")).repartitionByRange(F.col("src"))
+        self.parts = cut_lineage(near.mapInArrow(pack, "src binary, dst binary, l binary"))
+        self.top = float(cells.groupBy("src").agg(F.sum(F.abs("l")).alias("s")).agg(F.max("s")).first()[0])
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        shared = self.context.broadcast(x)
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    src, dst = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("src", "dst"))
+                    rows, place = np.unique(src, return_inverse=True)
+                    out = np.zeros((len(rows), shared.value.shape[1]))
+                    np.add.at(out, place, np.frombuffer(batch.column("l")[k].as_py())[:, None] * shared.value[dst])
+                    yield pa.RecordBatch.from_pydict({"rows": [rows.astype(np.int32).tobytes()], "out": [out.tobytes()]})
+
+        total = np.zeros_like(x)
+        for r in self.parts.mapInArrow(multiply, "rows binary, out binary").toLocalIterator():
+            rows = np.frombuffer(r.rows, np.int32)
+            total[rows] += np.frombuffer(r.out).reshape(len(rows), -1)
+        shared.unpersist()
+        return total
+
+
+def _filtered(cells: _Cells, x: np.ndarray, low: float) -> np.ndarray:
+    """x with its parts along eigenvalues below ``low`` enlarged, by a Chebyshev polynomial that is small from low to the top."""
+    middle, half = (cells.top + low) / 2, (cells.top - low) / 2
+    before, now = x, (cells @ x - middle * x) / half
+    for _ in range(DEGREE - 1):
+        before, now = now, 2 * (cells @ now - middle * now) / half - before
+        size = np.abs(now).max()
+        before, now = before / size, now / size
+    return now
+
+
+def _smallest(cells: _Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenpairs, equal ones included, by rounds of filtering a block and solving in its span."""
+    m = min(cells.n, k + max(SPARE, k // 2))
+    if 4 * 8 * m * cells.n > MAX_BASIS_BYTES:
+        raise ValueError(f"{m} vectors of {cells.n} nodes are more than the driver may hold")
+    x = np.linalg.qr(np.random.default_rng(0).normal(size=(cells.n, m)))[0]
+    for _ in range(ROUNDS):
+        y = cells @ x
+        values, turn = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
+        x, y = x @ turn, y @ turn
+        if np.linalg.norm(y[:, :k] - x[:, :k] * values[:k], axis=0).max() <= TOLERANCE:
+            return values[:k], x[:, :k]
+        x = np.linalg.qr(_filtered(cells, x, values[-1]))[0]
+    raise RuntimeError(f"{k} eigenvectors of {cells.n} nodes are unfinished after {ROUNDS} rounds")
+
+
 def eigenvectors(laplacian: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node ids, k smallest eigenvalues ascending, eigenvectors) of symmetric cells (src, dst, l)."""
-    nodes = [r[0] for r in laplacian.select("src").distinct().orderBy("src").limit(MAX_NODES + 1).collect()]
-    if len(nodes) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} nodes")
-    if not 1 <= k <= len(nodes) - 1:
-        raise ValueError(f"k must be in 1..{len(nodes) - 1}")
-    place = {x: i for i, x in enumerate(nodes)}
-    dense = np.zeros((len(nodes),) * 2)
-    for r in laplacian.collect():  # sparse cells of at most MAX_NODES nodes
+    """(node ids, k smallest eigenvalues ascending, eigenvectors) of symmetric cells (src, dst, l).
+
+    Up to MAX_DENSE nodes in one dense solve; beyond it the cells stay distributed and the driver holds a block of vectors.
+    """
+    n = laplacian.select("src").distinct().count()
+    if not 1 <= k <= n - 1:
+        raise ValueError(f"k must be in 1..{n - 1}")
+    if n * 8 > MAX_BASIS_BYTES:
+        raise ValueError(f"{n} nodes are more than the driver may hold")
+    nodes = np.array([r[0] for r in laplacian.select("src").distinct().orderBy("src").collect()])
+    if n > MAX_DENSE:
+        values, vectors = _smallest(_Cells(cut_lineage(laplacian), nodes), k)
+        return nodes, values, fixed_signs(vectors)
+    place = {x: i for i, x in enumerate(nodes.tolist())}
+    dense = np.zeros((n, n))
+    for r in laplacian.collect():  # sparse cells of at most MAX_DENSE nodes
         dense[place[r.src], place[r.dst]] = r.l
     values, vectors = np.linalg.eigh((dense + dense.T) / 2)
-    return np.array(nodes), values[:k], fixed_signs(vectors[:, :k])
+    return nodes, values[:k], fixed_signs(vectors[:, :k])
 
 
 def basis_table(spark: SparkSession, nodes: np.ndarray, vectors: np.ndarray) -> DataFrame:

@@ -97,3 +97,17 @@ def figure_rows(rows: DataFrame, series: Sequence[str], axis: str, metric: str,
     if thin is not None:
         out = out.withColumn("marked", F.coalesce(F.col(axis) >= thin * F.lag(axis).over(line), F.lit(True)))
     return out
+
+
+def usable_ranks(widths: DataFrame, agent: str, width: str) -> DataFrame:
+    """``(target, max_rank, n_pairs)``: the largest rank that every other agent can send to a target.
+
+    It is the least of the target's width and of the narrowest other one, so two widths and a count stand for all pairs.
+    """
+    ends = widths.agg(F.min(width).alias("least"), F.count("*").alias("n"))
+    at = widths.crossJoin(ends).agg(F.min("least").alias("least"), F.max("n").alias("n"), F.count_if(F.col(width) == F.col("least")).alias("times"), F.min(F.when(F.col(width) > F.col("least"), F.col(width))).alias("next"))
+    narrow = at.select("n", "least", F.when(F.col("times") > 1, F.col("least")).otherwise(F.col("next")).alias("next"))  # one row
+    own = F.col(width)
+    other = F.when(own == F.col("least"), F.col("next")).otherwise(F.col("least"))
+    met = widths.crossJoin(narrow).where("n > 1")
+    return met.select(F.col(agent).alias("target"), F.least(own, other).cast("long").alias("max_rank"), (F.col("n") - 1).alias("n_pairs"))

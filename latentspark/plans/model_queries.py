@@ -105,7 +105,7 @@ def _basis(spark: SparkSession, df: DataFrame, k: int) -> tuple[np.ndarray, np.n
 
 @query()
 def hks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of all rows; more than spectral.MAX_NODES are an error."""
+    """Signatures of all rows; beyond spectral.MAX_DENSE of them without a dense matrix."""
     b = X.agent_b(spark, sf_dir)
     nodes, values, vectors = _basis(spark, b, 20)
     return _round(spectral.heat_kernel_signature(spectral.basis_table(spark, nodes, vectors), values), "hks")
@@ -113,7 +113,7 @@ def hks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def functional_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the map between the two agents' bases over all shared rows; more than spectral.MAX_NODES are an error."""
+    """Cells of the map between the two agents' bases over all shared rows; beyond spectral.MAX_DENSE of them without a dense matrix."""
     a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
     (_, vx, px), (_, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
@@ -128,7 +128,7 @@ def functional_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correspondences from a functional map: nearest rows of the mapped bases, all rows of them; more than spectral.MAX_NODES are an error."""
+    """Correspondences from a functional map: nearest rows of the mapped bases, all rows of them; beyond spectral.MAX_DENSE of them without a dense matrix."""
     a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
     (nodes_x, vx, px), (nodes_y, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)

@@ -113,7 +113,7 @@ def _gram_sql(expression: str) -> str:
 
 def _gram(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     a = X.agent_a(spark, sf_dir)
-    return _out(pairs.gram(a, a, _kernel(spark, sf_dir, name)).where("i <= j"), "k", places=5)
+    return _out(pairs.gram(a, None, _kernel(spark, sf_dir, name)), "k", places=5)
 
 
 @query(_gram_sql("exp(-list_distance(p.v, q.v) * list_distance(p.v, q.v) / m)"))
@@ -129,7 +129,7 @@ def laplacian_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_gram_sql("pow(list_dot_product(p.v, q.v) + 1, 3)").replace(", 5) AS k", ", 3) + 0.0 AS k"))
 def poly_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.agent_a(spark, sf_dir)
-    return _out(pairs.gram(a, a, Kernel("polynomial")).where("i <= j"), "k", places=3).withColumn("k", F.col("k") + 0.0)
+    return _out(pairs.gram(a, None, Kernel("polynomial")), "k", places=3).withColumn("k", F.col("k") + 0.0)
 
 
 @query(_gram_sql("list_dot_product(p.v, q.v)"))
@@ -151,9 +151,9 @@ c AS (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY
 def double_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred linear Gram: the cells of K less row and column means, which come from mean_kernel."""
     a = X.agent_a(spark, sf_dir)
-    means = blocks.cut_lineage(pairs.mean_kernel(a, a, Kernel("linear")))
+    means = blocks.cut_lineage(pairs.mean_kernel(a, None, Kernel("linear")))
     grand = means.agg(F.avg("mu")).first()[0]
-    cells = pairs.gram(a, a, Kernel("linear")).where("i <= j")
+    cells = pairs.gram(a, None, Kernel("linear"))
     cells = cells.join(means.select(F.col("sample_id").alias("i"), F.col("mu").alias("mi")), "i").join(means.select(F.col("sample_id").alias("j"), F.col("mu").alias("mj")), "j")
     return cells.select("i", "j", F.round(F.col("k") - F.col("mi") - F.col("mj") + F.lit(grand), 5).alias("k"))
 
@@ -216,7 +216,7 @@ MU = MED + ", k AS (SELECT p.sample_id AS i, q.sample_id AS j, exp(-list_distanc
 @query(L + MU + " SELECT i AS sample_id, round(mu, 6) AS mu FROM mu")
 def herding_mu(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.agent_a(spark, sf_dir)
-    return _out(pairs.mean_kernel(a, a, _kernel(spark, sf_dir)), "mu")
+    return _out(pairs.mean_kernel(a, None, _kernel(spark, sf_dir)), "mu")
 
 
 HERD = L + MU + """, p1 AS (SELECT i FROM mu ORDER BY mu {d}, i LIMIT 1),
@@ -398,7 +398,7 @@ def _graph(spark: SparkSession, sf_dir: str, **how: bool) -> tuple[DataFrame, Da
 @query(L + KNN + " SELECT src, dst, CAST(place AS INTEGER) AS place, round(d, 6) AS d FROM n")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.agent_b(spark, sf_dir)
-    return _out(pairs.nearest(b, b, K, same=True), "d")
+    return _out(pairs.nearest(b, None, K), "d")
 
 
 @query(L + KNN + " SELECT src, dst, 1.0::DOUBLE AS w FROM duo GROUP BY src, dst HAVING count(*) = 2")

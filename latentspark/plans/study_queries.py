@@ -134,8 +134,7 @@ def dimension_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usable_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest rank that every pair of a receiver can use."""
     w = X.registry(spark, sf_dir).groupBy("family").agg(F.max("latent_dim").alias("w"))
-    met = w.select(F.col("family").alias("source"), F.col("w").alias("ws")).join(F.broadcast(w.select(F.col("family").alias("target"), F.col("w").alias("wt"))), F.col("source") != F.col("target"))  # families, a few rows
-    return met.groupBy("target").agg(F.min(F.least("ws", "wt")).cast("long").alias("max_rank"), F.count("*").alias("n_pairs"))
+    return studies.usable_ranks(w, "family", "w")
 
 
 @query("SELECT CAST(i AS BIGINT) AS place, round(pow(10.0, -6 + i / 2.0), 12) AS lam FROM (SELECT unnest(range(0, 13)) AS i)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from latentspark.functions import slugs
 from latentspark.functions.kernels import Kernel, median_of, median_sq_dist
-from latentspark.operators import blocks, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored
+from latentspark.operators import blocks, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored, studies
 from latentspark.operators.align.linear import ProcrustesAligner
 from latentspark.operators.decoders import RidgeProbe
 from latentspark.sources import tables
@@ -71,13 +71,13 @@ def test_ranks_and_neighbours_over_blocks(spark, points, small_blocks):
     assert (got == expected).all()
     d = np.linalg.norm(points[:, None] - points[None], axis=2)
     np.fill_diagonal(d, np.inf)
-    near = pairs.nearest(t, t, 4, same=True).toPandas().sort_values(["src", "place"])
+    near = pairs.nearest(t, None, 4).toPandas().sort_values(["src", "place"])
     assert (near.dst.to_numpy().reshape(90, 4) == np.argsort(d, axis=1)[:, :4]).all()
 
 
 def test_duplicate_points_are_neighbours_but_not_of_themselves(spark):
     df = frame(spark, np.zeros((4, 3)))
-    assert {(r.src, r.dst) for r in pairs.nearest(df, df, 1, same=True).collect()} == {(0, 1), (1, 0), (2, 0), (3, 0)}
+    assert {(r.src, r.dst) for r in pairs.nearest(df, None, 1).collect()} == {(0, 1), (1, 0), (2, 0), (3, 0)}
 
 
 def test_cka_of_few_rows_and_no_spread(spark):
@@ -352,6 +352,68 @@ def test_anchors_by_class_and_their_support(spark):
         assert np.allclose(v, np.mean([rows[r.sample_id][2] for r in few if r.anchor == k], axis=0))
 
 
+@pytest.mark.parametrize("block", [7, 20, 45, 500])
+def test_each_two_blocks_meet_once(spark, points, monkeypatch, block):
+    """Odd and even numbers of blocks, and a single one."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    df, kernel = frame(spark, points), Kernel("rbf", gamma=0.3)
+    k = kernel.block(points, points)
+    cells = pairs.gram(df, None, kernel).toPandas()
+    assert len(cells) == len(cells.drop_duplicates(["i", "j"])) == 90 * 91 // 2 and (cells.i <= cells.j).all()
+    assert np.allclose(cells.k, k[cells.i, cells.j])
+    mu = pairs.mean_kernel(df, None, kernel).toPandas().sort_values("sample_id").mu
+    assert np.allclose(mu, k.mean(axis=1))
+    near = pairs.nearest(df, None, 3).toPandas()
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert len(near) == 270 and all(set(g.dst) == set(np.argsort(d[i])[:3]) for i, g in near.groupby("src"))
+
+
+def test_checkpoints_need_a_shared_folder_off_local_mode(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda *_: None)})()})()
+
+    with pytest.raises(RuntimeError):
+        blocks.cut_lineage(Frame())
+
+
+def test_usable_ranks(spark):
+    df = spark.createDataFrame([("a", 4), ("b", 4), ("c", 9)], "agent string, w int")
+    assert {r.target: (r.max_rank, r.n_pairs) for r in studies.usable_ranks(df, "agent", "w").collect()} == {"a": (4, 2), "b": (4, 2), "c": (4, 2)}
+    assert {r.target: r.max_rank for r in studies.usable_ranks(df.where("agent <> 'b'"), "agent", "w").collect()} == {"a": 4, "c": 4}
+    assert studies.usable_ranks(df.limit(1), "agent", "w").count() == 0
+
+
+def test_sums_by_group(spark, points):
+    labels = np.arange(90) % 4
+    got = {r.key: (r.n, r.s) for r in blocks.column_sums(frame(spark, points, labels), "label").collect()}
+    assert all(got[k][0] == (labels == k).sum() and np.allclose(got[k][1], points[labels == k].sum(axis=0)) for k in range(4))
+
+
+def test_smallest_eigenvectors_without_a_dense_matrix(spark, points, monkeypatch):
+    df = frame(spark, np.concatenate([points, points + 100]))  # two parts, so that 0 is a double eigenvalue
+    edges = graphs.knn_graph(df, 6, weighted=True)
+    cells = blocks.cut_lineage(graphs.laplacian(edges, df.select(F.col("sample_id").alias("node"))))
+    nodes, values, vectors = spectral.eigenvectors(cells, 8)
+    monkeypatch.setattr(spectral, "MAX_DENSE", 10)
+    nodes_d, values_d, vectors_d = spectral.eigenvectors(cells, 8)
+    assert (nodes == nodes_d).all() and np.allclose(values, values_d, atol=1e-8) and values_d[1] < 1e-8
+    assert np.allclose(vectors_d.T @ vectors_d, np.eye(8), atol=1e-8)
+    dense = np.zeros((180, 180))
+    for r in cells.collect():
+        dense[r.src, r.dst] = r.l
+    assert np.abs(dense @ vectors_d - vectors_d * values_d).max() < 1e-6
+    monkeypatch.setattr(spectral, "MAX_BASIS_BYTES", 1000)
+    with pytest.raises(ValueError):
+        spectral.eigenvectors(cells, 8)
+
+
 def test_weights_of_zero_divide_nothing(spark):
     edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0)], "src long, dst long, w double")
     nodes = spark.createDataFrame([(1,), (2,)], "node long")
