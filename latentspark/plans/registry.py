@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries.
-MODULES = ("record_queries", "study_queries", "space_queries", "model_queries")
+MODULES = ("record_queries", "study_queries", "space_queries", "model_queries", "invariant_queries")
 
 
 def _load() -> None:

@@ -12,7 +12,6 @@ import __spark_entry__
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 OWN = [n for n in QUERIES if not n.startswith("op") and n != "pipeline"]
-FITS = ("rkhs_free", "krr", "pilot_sweep", "pga_procrustes", "pga", "stitched_rows", "mlp_direct", "rkhs_lambda_path")
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +38,7 @@ def test_matches_sql(spark, duck, name):
     assert got.equals(expected), got[(got != expected).any(axis=1)].head()
 
 
-@pytest.mark.parametrize("name", [n for n in OWN if n not in SQL and n not in FITS])
+@pytest.mark.parametrize("name", [n for n in OWN if n not in SQL])
 def test_has_rows(spark, name):
     rows = QUERIES[name](spark, SF).toPandas()
     assert len(rows)
