@@ -94,6 +94,25 @@ class CumulativeLink:
     def thresholds(self) -> np.ndarray:
         return self.first + np.concatenate([[0.0], np.cumsum(np.exp(self.steps))])
 
+    def gradients(self, texts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        """Of the mean negative log likelihood: features with their weights' gradients, and those of the first threshold and of the steps."""
+        features, values = (np.concatenate([t[j] for t in texts]) for j in (0, 1))
+        row = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+        line = np.bincount(row, self.weights[features] * values, len(texts))
+        below = 1 / (1 + np.exp(np.clip(line[:, None] - self.thresholds, -35, 35)))
+        edges = np.concatenate([np.zeros((len(texts), 1)), below, np.ones((len(texts), 1))], axis=1)
+        slopes = edges * (1 - edges)
+        at = np.arange(len(texts))
+        p = np.maximum(edges[at, grades + 1] - edges[at, grades], 1e-9) * len(texts)
+        up, down = slopes[at, grades + 1] / p, slopes[at, grades] / p
+        touched, inverse = np.unique(features, return_inverse=True)
+        by_weight = np.bincount(inverse, (up - down)[row] * values)
+        by_threshold = np.zeros(len(self.steps) + 1)
+        low, high = grades <= len(self.steps), grades > 0
+        np.add.at(by_threshold, grades[low], -up[low])
+        np.add.at(by_threshold, grades[high] - 1, down[high])
+        return touched, by_weight, float(by_threshold.sum()), np.cumsum(by_threshold[::-1])[::-1][1:] * np.exp(self.steps)
+
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> CumulativeLink:
         """Adagrad on the negative log likelihood of the grades."""
         share = np.cumsum(np.bincount(grades, minlength=len(self.steps) + 2))[:-1] / len(grades)
@@ -105,29 +124,12 @@ class CumulativeLink:
             order = rng.permutation(len(texts))
             for begin in range(0, len(order), BATCH):
                 some = order[begin : begin + BATCH]
-                features = np.concatenate([texts[k][0] for k in some])
-                values = np.concatenate([texts[k][1] for k in some])
-                row = np.repeat(np.arange(len(some)), [len(texts[k][0]) for k in some])
-                line = np.bincount(row, self.weights[features] * values, len(some))
-                below = 1 / (1 + np.exp(np.clip(line[:, None] - self.thresholds, -35, 35)))
-                edges = np.concatenate([np.zeros((len(some), 1)), below, np.ones((len(some), 1))], axis=1)
-                slopes = edges * (1 - edges)
-                g = grades[some]
-                at = np.arange(len(some))
-                p = np.maximum(edges[at, g + 1] - edges[at, g], 1e-9)
-                up, down = slopes[at, g + 1] / p, slopes[at, g] / p
-                d_line = (up - down) / len(some)
-                touched, inverse = np.unique(features, return_inverse=True)
-                grad = np.bincount(inverse, d_line[row] * values) + PENALTY * self.weights[touched]
+                touched, grad, first_grad, step_grad = self.gradients([texts[k] for k in some], grades[some])
+                grad = grad + PENALTY * self.weights[touched]
                 square[touched] += grad**2
                 self.weights[touched] -= RATE * grad / np.sqrt(square[touched])
-                d_threshold = np.zeros(len(self.steps) + 1)
-                np.add.at(d_threshold, g[g <= len(self.steps)], -up[g <= len(self.steps)] / len(some))
-                np.add.at(d_threshold, g[g > 0] - 1, down[g > 0] / len(some))
-                first_grad = d_threshold.sum()
                 first_square += first_grad**2
                 self.first -= RATE * first_grad / np.sqrt(first_square)
-                step_grad = np.cumsum(d_threshold[::-1])[::-1][1:] * np.exp(self.steps)
                 step_square += step_grad**2
                 self.steps = np.clip(self.steps - RATE * step_grad / np.sqrt(step_square), -6, 6)
         return self

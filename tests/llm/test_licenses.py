@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,6 +70,73 @@ def test_files_of_licenses_and_headers_in_use():
     assert [m.license for m in licenses.scan(header)] == ["GPL-2.0"]
 
 
+def common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def edited(rng, words, rate):
+    out = []
+    for w in words:
+        u = rng.random()
+        out += [] if u < rate / 3 else ["other"] if u < 2 * rate / 3 else [w, "more"] if u < rate else [w]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15])
+def test_coverage_is_near_that_of_a_longest_common_subsequence(rate):
+    """Anchors may miss a few words that a longest subsequence takes, never gain any."""
+    rng = random.Random(3)
+    for t in licenses._TEMPLATES:
+        if len(t.words) < 400:
+            words = edited(rng, t.words, rate)
+            got, best = len(licenses.patience(words, t.words)), common(words, t.words)
+            assert got <= best and best - got <= 0.04 * len(t.words) + 1, (t.name, got, best)
+
+
+def scan_without_filters(text):
+    """scan with every template held against every window of the text."""
+    words, found = licenses.words_of(text), {}
+    for t in licenses._TEMPLATES:
+        step = len(t.words) // 2 + 2
+        for cell in range(-2, len(words) // step + 2):
+            low, high = max(0, (cell - 1) * step), min(len(words), (cell + 1) * step + len(t.words))
+            pairs = licenses.patience(words[low:high], t.words) if low < high else []
+            if not pairs or not t.keys <= {t.words[j] for _, j in pairs}:
+                continue
+            m = licenses.Match(len(pairs) / len(t.words), len(pairs), t.name, low + pairs[0][0], low + pairs[-1][0] + 1)
+            clean = t.others.isdisjoint(words[m.start : m.end + t.behind])
+            if clean and m.coverage >= licenses.MIN_COVERAGE and m.aligned >= licenses.MIN_DENSITY * (m.end - m.start) and (t.name not in found or m[:2] > found[t.name][:2]):
+                found[t.name] = m
+    ordered = sorted(found.values(), key=lambda m: (-m.coverage, -m.aligned, m.license))
+    return [m for k, m in enumerate(ordered) if all(m.end <= o.start or o.end <= m.start for o in ordered[:k])]
+
+
+def test_filters_lose_no_license():
+    """Words and windows that are left out first change no verdict of edited templates, of parts of them and of plain texts."""
+    rng, short = random.Random(5), [t for t in licenses._TEMPLATES if len(t.words) < 300]
+    texts = [r[1] for r in documents()[:8]] + [None, ""]
+    for t in short:
+        noise = [rng.choice(("some", "words", "between", "license", "version")) for _ in range(rng.randint(0, 60))]
+        for rate in (0.0, 0.08, 0.18):
+            texts.append(" ".join(noise + edited(rng, t.words, rate) + noise))
+        texts.append(" ".join(t.words[: len(t.words) * 3 // 4]))
+    for text in texts:
+        got, plain = licenses.scan(text), scan_without_filters(text)
+        assert [(m.license, m.aligned) for m in got][:1] == [(m.license, m.aligned) for m in plain][:1], (text, got, plain)
+
+
+def test_a_very_long_text():
+    name, _, text = licenses.TEMPLATES[0]
+    whole = "plain words of a book " * 300_000 + text + " and more of it" * 100_000
+    assert [m.license for m in licenses.scan(whole)] == [name]
+
+
 def test_awkward_rows(spark):
     rows = documents() + [(900, "Some text.\nReleased under the MIT License.\n", "en", "a", 0)]
     got = licenses.license_scan(frame(spark, rows)).collect()
