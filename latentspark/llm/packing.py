@@ -44,8 +44,8 @@ CLOSING = 0
 #: Ranks a new sequence behind every open one that fits; no count comes near it.
 NEW = -1e15
 #: A text is cut at the first such blank after so many characters, and about so many are worked on at a time.
-PART_CHARS, BATCH_CHARS = 1 << 18, 1 << 22
-#: Words whose ids a worker keeps (some 100 MB), the longest of them, and those encoded in one call.
+PART_CHARS, BATCH_CHARS = 1 << 18, 3 << 20
+#: Words whose ids a worker keeps (some 30 MB), the longest of them, and those encoded in one call.
 MEMO, WORD_CHARS, WORDS = 1 << 19, 64, 1 << 12
 #: White space of any version of Unicode, and blanks and line ends beside it or at an end.
 _WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -90,21 +90,19 @@ class Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        """Word numbers, the ids of all words one after another, and where each word's end."""
-        self.number: dict[str, int] = {}
+        """The words kept, in Arrow's memory, the ids of all one after another, and where each word's end."""
+        self.known, self.words = pa.array([], pa.large_string()), 0
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
-        self.words = 0
 
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _keep(self, ids: np.ndarray, ends: np.ndarray) -> None:
         used = int(self.ends[self.words])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.words + len(words) >= len(self.ends):
+        while self.words + len(ends) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[used : used + len(ids)] = ids
-        self.ends[self.words + 1 : self.words + 1 + len(words)] = used + ends
-        self.number.update(zip(words, range(self.words, self.words + len(words)), strict=True))
-        self.words += len(words)
+        self.ends[self.words + 1 : self.words + 1 + len(ends)] = used + ends
+        self.words += len(ends)
 
     def _learn(self, words: list[str]) -> None:
         """Keeps the ids of new words. They are encoded together, a tab behind each: before white space and a word a tab is a token of its own."""
@@ -112,7 +110,7 @@ class Encoder:
             part = words[at : at + WORDS]
             (ids,) = self._encode(["\t".join(map(_with_blank, part)) + "\t"])
             tabs = np.flatnonzero(ids == self.tab)
-            self._keep(part, np.delete(ids, tabs), tabs - np.arange(len(part)))
+            self._keep(np.delete(ids, tabs), tabs - np.arange(len(part)))
 
     def _learn_letters(self, words: list[str]) -> None:
         """The same of ``_LETTERS``, whose pieces are known: the library's merges without its splitting."""
@@ -122,7 +120,7 @@ class Encoder:
             found = [t.id for t in tokenize(letters if start else self.blank + letters)]
             ids.append([*self.marks[start], *found, *self.marks[mark]])
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self._keep(words, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), ends)
+        self._keep(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), ends)
 
     def _parts(self, parts: list[str], behind: list[bool]) -> Iterator[np.ndarray]:
         """The ids of parts; behind: a blank goes before the part."""
@@ -133,20 +131,22 @@ class Encoder:
         # "a b\nc" as "a", "b" and "\nc": a word begins with its line end, or follows a blank.
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
         coded = lists.values.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        number = np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        number = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(number < 0)
-        unseen = [words[k] for k in new.tolist()]
+        unseen = coded.dictionary.take(pa.array(new)).to_pylist()
         rare = np.array([len(w) > WORD_CHARS or "\t" in w for w in unseen], bool)
         letters = np.array([_LETTERS.fullmatch(w) is not None for w in unseen], bool) & ~rare
-        for some, learn in ((new[letters], self._learn_letters), (new[~letters & ~rare], self._learn)):
-            number[some] = self.words + np.arange(len(some))
-            learn([words[k] for k in some.tolist()])
+        for some, learn in ((np.flatnonzero(letters), self._learn_letters), (np.flatnonzero(~letters & ~rare), self._learn)):
+            number[new[some]] = self.words + np.arange(len(some))
+            learn([unseen[k] for k in some.tolist()])
+            self.known = pa.concat_arrays([self.known, coded.dictionary.take(pa.array(new[some]))])
         # Words that aren't kept, and first words that follow no blank, are encoded one by one.
         kept, bounds = self.words, lists.offsets.to_numpy().astype(np.int64)
         at_start = bounds[:-1][~np.array(behind, bool)[~odd]]
         number[new[rare]] = kept + np.arange(rare.sum())
-        extra = self._encode([*(_with_blank(words[k]) for k in new[rare].tolist()), *(words[k] for k in index[at_start].tolist())])
+        first = coded.dictionary.take(pa.array(index[at_start])).to_pylist()
+        extra = self._encode([*(_with_blank(unseen[k]) for k in np.flatnonzero(rare).tolist()), *first])
         used, sizes = int(self.ends[kept]), np.array([len(x) for x in extra], np.int64)
         flat = np.concatenate([self.flat[:used], *extra])
         ends = np.concatenate([self.ends[: kept + 1], used + np.cumsum(sizes)])
