@@ -24,6 +24,9 @@ class ProcrustesAligner(Aligner):
         m = split_moment(moment, d)
         self.q, self.scale, s = procrustes(m["xy"], np.trace(m["xx"]), self.scaling)
         self.explained = float(s.sum() / (m["n"] * min(self.q.shape)))
+        # |Y - c X Q'|^2 from moments: without centring, as the map has no offset.
+        mapped = self.q @ m["xx"] @ self.q.T
+        self.r2 = float(1 - (np.trace(m["yy"]) - 2 * self.scale * s.sum() + self.scale**2 * np.trace(mapped)) / max(np.trace(m["yy"]), 1e-300))
 
     @property
     def regime(self) -> str:

@@ -118,3 +118,16 @@ class MLPProbe:
 
     def classify(self, df: DataFrame, vector: str = "v") -> DataFrame:
         return _with_class(df, self.predict, vector)
+
+
+PROBES = {"ridge": RidgeProbe, "mlp": MLPProbe}
+
+
+def build_probe(kind: str, df: DataFrame, label: str = "label", vector: str = "v", **settings) -> RidgeProbe | MLPProbe:
+    """A fitted probe by name; rows of more than one width are an error before any is fitted."""
+    if kind not in PROBES:
+        raise ValueError(f"unknown probe {kind!r}")
+    least, most = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least is None or least != most:
+        raise ValueError(f"vectors of {least} to {most} numbers")
+    return PROBES[kind](**settings).fit(df, label, vector)

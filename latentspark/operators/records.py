@@ -135,7 +135,9 @@ def merge_summary(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def split_columns(rows: DataFrame, keep: Sequence[str], methods: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """``{method}_{metric}`` columns as rows of (method, metric, value)."""
+    """``{method}_{metric}`` columns as rows of (method, metric, value); a column that isn't there is an error."""
+    if lacking := [f"{m}_{x}" for m in methods for x in metrics if f"{m}_{x}" not in rows.columns]:
+        raise ValueError(f"columns that the records lack: {lacking}")
     parts = ", ".join(f"'{m}', '{x}', CAST({m}_{x} AS DOUBLE)" for m in methods for x in metrics)
     return rows.selectExpr(*keep, f"stack({len(methods) * len(metrics)}, {parts}) AS (method, metric, value)")
 

@@ -7,6 +7,7 @@ which SQL can repeat and which needs no positions.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -60,16 +61,30 @@ def aligned_subsample(agents: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return agents.join(first_by_hash(ids, n, seed).select("sample_id"), "sample_id", "left_semi")
 
 
-def biased_subsample(df: DataFrame, n: int, targets: Sequence[int], strength: float, seed: int = 0) -> DataFrame:
-    """About n rows whose labels mix a uniform draw over ``targets`` (share strength) with one over all labels."""
-    labels = sorted(r[0] for r in df.select("label").where("label IS NOT NULL").distinct().collect())
+def biased_subsample(df: DataFrame, n: int, targets: Sequence[int], strength: float, seed: int = 0, draw: str = "quota") -> DataFrame:
+    """About n rows whose labels mix a uniform draw over ``targets`` (share strength) with one over all labels.
+
+    draw: each label's number is its rounded share ('quota'), or counted from n draws of a numpy generator ('multinomial').
+    A label with too few rows gives all of them, with a warning. Rows of a label come by hash.
+    """
+    if draw not in ("quota", "multinomial"):
+        raise ValueError(f"unknown draw {draw!r}")
+    sizes = {r.label: r["count"] for r in df.where("label IS NOT NULL").groupBy("label").count().collect()}  # a row a label
+    labels = sorted(sizes)
     if unknown := set(targets) - set(labels):
         raise ValueError(f"unknown labels {sorted(unknown)}")
     strength = strength if targets else 0.0
-    share = {x: strength * (x in targets) / max(1, len(targets)) + (1 - strength) / len(labels) for x in labels}
-    quota = F.create_map(*[F.lit(x) for label, s in share.items() for x in (label, int(np.floor(n * s + 0.5)))])
+    share = np.array([strength * (x in targets) / max(1, len(targets)) + (1 - strength) / len(labels) for x in labels])
+    if draw == "quota":
+        counts = np.floor(n * share + 0.5).astype(int)
+    else:
+        counts = np.bincount(np.random.default_rng(seed).choice(len(labels), n, p=share / share.sum()), minlength=len(labels))
+    quota = dict(zip(labels, counts.tolist(), strict=True))
+    if short := {x: (k, sizes[x]) for x, k in quota.items() if k > sizes[x]}:
+        warnings.warn(f"labels with fewer rows than asked for (asked, there): {short}", stacklevel=2)
+    table = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
     place = F.row_number().over(Window.partitionBy("label").orderBy(by_hash(df, seed), "sample_id"))
-    return df.where("label IS NOT NULL").withColumn("place", place).where(F.col("place") <= quota[F.col("label")]).drop("place")
+    return df.where("label IS NOT NULL").withColumn("place", place).where(F.col("place") <= table[F.col("label")]).drop("place")
 
 
 def round_robin(df: DataFrame, seed: int = 0) -> DataFrame:

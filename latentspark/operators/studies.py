@@ -67,6 +67,15 @@ def incomplete(records: DataFrame, axes: Sequence[str], by: str) -> DataFrame:
     return missing_cells(grid, records, [by, *axes]).groupBy(by).agg(F.count("*").alias("missing"))
 
 
+def require_complete(records: DataFrame, axes: Sequence[str], by: str, decoder: str | None = None) -> DataFrame:
+    """records, if no ``by`` lacks a cell of the grid of axes and all come of one decoder; an error otherwise."""
+    if lacking := incomplete(records, axes, by).limit(5).collect():
+        raise ValueError(f"incomplete: {[tuple(r) for r in lacking]}")
+    if decoder is not None and len(found := records.select(decoder).distinct().limit(3).collect()) > 1:
+        raise ValueError(f"records of several decoders: {[r[0] for r in found]}")
+    return records
+
+
 def uneven(records: DataFrame, by: Sequence[str], within: str) -> DataFrame:
     """How many groups have each count of distinct ``within`` values; more than one row means uneven coverage."""
     return records.groupBy(*by).agg(F.countDistinct(within).alias("n")).groupBy("n").agg(F.count("*").alias("groups"))

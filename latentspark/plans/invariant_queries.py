@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import Kernel
-from latentspark.operators import experiment, graphs, grids, pilots, scaling, spectral
+from latentspark.operators import diagnostics, experiment, graphs, grids, pilots, scaling, spectral
 from latentspark.operators.align.kernel import CKAAligner, KCCAAligner, RKHSAligner
 from latentspark.operators.blocks import cut_lineage, moment_matrix
 from latentspark.operators.spaces import covariance
+from latentspark.plans import map_sql
 from latentspark.plans.registry import query
 from latentspark.sources import fixtures as X
 from latentspark.sources.synthetic import synthetic_agents
@@ -234,3 +235,33 @@ def kernel_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         expected = kernel.block(x, x[:1])[:, 0]
         rows.append((name, _greatest((got - expected) / np.abs(expected).max())))
     return spark.createDataFrame(rows, "kernel string, error double")
+
+
+@query(map_sql.CORRELATION_SQL)
+def chart_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the rows that charts were fitted on and of held-out ones: distance from unit variance, and rms correlation."""
+    a, b = cut_lineage(X.agent_a(spark, sf_dir)), cut_lineage(X.agent_b(spark, sf_dir))
+    m = experiment.build_aligner("procrustes").fit(a.where("split = 'train'"), b.where("split = 'train'"))
+    rows = []
+    for split in ("train", "test"):
+        said = diagnostics.chart_correlations(m, a.where(F.col("split") == split), b.where(F.col("split") == split))
+        rows.append((split, *(round(said[c], PLACES) + 0.0 for c in ("src_off", "tgt_off", "rho_rms"))))
+    return spark.createDataFrame(rows, "split string, src_off double, tgt_off double, rho_rms double")
+
+
+@query("SELECT 1.0::DOUBLE AS scale, 1.0::DOUBLE AS within, 1.0::DOUBLE AS between, 1.0::DOUBLE AS fisher, 0.0::DOUBLE AS nmse")
+def class_geometry_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A space mapped to itself keeps its classes' geometry."""
+    b = cut_lineage(X.agent_b(spark, sf_dir))
+    m = experiment.build_aligner("procrustes").fit(b.where("split = 'train'"), b.where("split = 'train'"))
+    test = b.where("split = 'test'")
+    return diagnostics.class_geometry(m, test, test, "geo_label").select(*(F.round(c, 5).alias(c) for c in ("scale", "within", "between", "fisher", "nmse")))
+
+
+@query("SELECT TRUE AS falls, 0.0::DOUBLE AS overlap, 0.0::DOUBLE AS moved")
+def stationary_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the constraint the two stages are stationary: the residual stays orthogonal to the source and the rigid map where it was."""
+    said = diagnostics.alternating_fit(*_train(spark, sf_dir), lam=1e-2, rounds=4, orthogonal=True)
+    objective = [r["objective"] for r in said]
+    falls = all(b <= a + 1e-9 for a, b in zip(objective, objective[1:], strict=False))
+    return spark.createDataFrame([(falls, round(max(r["overlap"] for r in said), 4) + 0.0, round(max(r["moved"] for r in said), 3) + 0.0)], "falls boolean, overlap double, moved double")

@@ -162,3 +162,22 @@ PROBE_SQL = f"""WITH RECURSIVE {LATENT_SQL}, mean AS (SELECT {mean_rows("b", "v"
   SELECT sample_id, geo_label, list_transform({transposed("w")}, lambda q, j: list_dot_product(q, list_transform(v, lambda x, i: x - mb[i])) + b[j]) AS s FROM b AS test, mean, weights, share WHERE split = 'test'
 )
 SELECT sample_id, geo_label, l[list_position(s, list_max(s))] AS predicted FROM said, {CLASSES}"""
+
+
+def _off_unit(relation: str, vector: str, width: int) -> str:
+    return f"(SELECT avg(abs(1 - s)) FROM (SELECT var_pop({vector}[i]) AS s FROM {relation}, (SELECT unnest(range(1, {width + 1})) AS i) GROUP BY i))"
+
+
+def _apply(matrix: str, vector: str) -> str:
+    return f"list_transform({matrix}, lambda c: list_dot_product(c, {vector}))"
+
+
+#: Variance and cross moments of both splits on charts whitened on the train split; inverse roots are symmetric.
+CORRELATION_SQL = (
+    PAIRS + "," + roots("wx", "xx", "c") + "," + roots("wy", "yy", "c")
+    + f", z AS (SELECT split, {_apply('wx.inv', 'x')} AS x, {_apply('wy.inv', 'y')} AS y FROM duo, wx, wy)"
+    + "".join(f", z_{s} AS (SELECT * FROM z WHERE split = '{s}'), g_{s} AS (SELECT {moments(f'z_{s}', 'x', 'y', WIDTH_A, WIDTH_B)} AS g)" for s in ("train", "test"))
+    + " UNION ALL ".join(
+        f" SELECT '{s}' AS split, round({_off_unit(f'z_{s}', 'x', WIDTH_A)}, 6) + 0.0 AS src_off, round({_off_unit(f'z_{s}', 'y', WIDTH_B)}, 6) + 0.0 AS tgt_off, "
+        f"round(sqrt(list_sum(list_transform(g, lambda r: list_dot_product(r, r))) / {min(WIDTH_A, WIDTH_B)}), 6) AS rho_rms FROM g_{s}" for s in ("train", "test"))
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latentspark.operators.selection import aligned_subsample
 from latentspark.sources.synthetic import agent_name, synthetic_agents
 
 
@@ -13,11 +14,12 @@ def repo_id(dataset: Column | str, org: str = "embeddings", prefix: str = "laten
     return F.concat(F.lit(f"{org}/{prefix}"), F.col(dataset) if isinstance(dataset, str) else dataset)
 
 
-def read_space(spark: SparkSession, path: str, model: str, split: str, embedding: str = "embedding") -> DataFrame:
-    """One model's split of an embedding table; partition and column pruning leave only what is asked for."""
+def read_space(spark: SparkSession, path: str, model: str, split: str, embedding: str = "embedding", ordered_by: str | None = None) -> DataFrame:
+    """One model's split of an embedding table, sorted by a column if asked; partition and column pruning leave only what is asked for."""
     table = spark.read.parquet(path).where((F.col("model_name") == model) & (F.col("split") == split))
     extras = [c for c in table.columns if c not in (embedding, "model_name", "split")]
-    return table.select(F.col(embedding).cast("array<float>").alias("embedding"), *extras)
+    rows = table.select(F.col(embedding).cast("array<float>").alias("embedding"), *extras)
+    return rows.orderBy(ordered_by) if ordered_by else rows
 
 
 def available_models(spark: SparkSession, path: str) -> DataFrame:
@@ -42,15 +44,35 @@ def load_agents(spark: SparkSession, source: str, models: list[str] | None = Non
     raise ValueError(f"unknown source {source!r}")
 
 
-def read_agents(spark: SparkSession, path: str, models: list[str], splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
-    """The named models as one long table; an absent model is an error."""
+REGISTRY_COLUMNS = ("model_name", "latent_dim", "family", "macro_family", "num_parameters")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The models' metadata, a row a model, from Parquet or CSV; a missing column or a repeated model is an error."""
+    table = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    if lacking := set(REGISTRY_COLUMNS) - set(table.columns):
+        raise ValueError(f"columns that the registry lacks: {sorted(lacking)}")
+    if twice := table.groupBy("model_name").count().where("count > 1").limit(5).collect():
+        raise ValueError(f"models listed twice: {[r.model_name for r in twice]}")
+    return table
+
+
+def read_agents(spark: SparkSession, path: str, models: list[str], splits: tuple[str, ...] = ("train", "test"), sizes: dict[str, int] | None = None, seed: int = 0) -> DataFrame:
+    """The named models as one long table; an absent model is an error.
+
+    sizes: rows of a split to keep, the same ids (``sample_id``) of every model.
+    """
     if not models:
         raise ValueError("models must be named")
     table = spark.read.parquet(path).where(F.col("model_name").isin(models) & F.col("split").isin(*splits))
     missing = set(models) - {r[0] for r in table.select("model_name").distinct().limit(len(models)).collect()}
     if missing:
         raise ValueError(f"models without rows: {sorted(missing)}")
-    return table.withColumnRenamed("model_name", "agent")
+    agents = table.withColumnRenamed("model_name", "agent")
+    if not sizes:
+        return agents
+    parts = [aligned_subsample(agents.where(F.col("split") == s), sizes[s], seed) if s in sizes else agents.where(F.col("split") == s) for s in splits]
+    return union_records(*parts)
 
 
 def require_constant_width(df: DataFrame, vector: str = "embedding", by: str = "agent") -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from latentspark.functions import slugs
 from latentspark.functions.kernels import Kernel, median_of, median_sq_dist
-from latentspark.operators import blocks, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored, studies
+from latentspark.operators import blocks, decoders, diagnostics, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored, studies
 from latentspark.operators.align.linear import ProcrustesAligner
 from latentspark.operators.decoders import RidgeProbe
 from latentspark.sources import tables
+from latentspark.sources.space import LatentSpace
 from latentspark.sources.synthetic import agent_name, synthetic_agents
 from latentspark.streaming.maps import drift, map_stream
 
@@ -514,3 +515,78 @@ def test_package_is_sent_where_workers_lack_it(spark, monkeypatch):
     shipping.ensure_importable(spark)
     shipping.ensure_importable(spark)
     assert [x for x in spark.sparkContext._python_includes if x not in before] == ["latentspark.zip"]
+
+
+def test_biased_draw_counts_classes_of_a_generator(spark):
+    df = spark.createDataFrame([(i, i % 4, [float(i)]) for i in range(400)], "sample_id long, label int, v array<double>")
+    got = {r.label: r["count"] for r in selection.biased_subsample(df, 60, [1], 0.5, 3, "multinomial").groupBy("label").count().collect()}
+    expected = np.bincount(np.random.default_rng(3).choice(4, 60, p=[0.125, 0.625, 0.125, 0.125]), minlength=4)
+    assert got == dict(enumerate(expected.tolist()))
+    with pytest.warns(UserWarning):
+        assert selection.biased_subsample(df.where("sample_id < 40"), 60, [1], 1.0, 3).count() == 10
+    with pytest.raises(ValueError):
+        selection.biased_subsample(df, 60, [9], 0.5)
+
+
+def test_spaces_from_a_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(i, [float(i), 1.0], i % 3, m, s) for m in ("m1", "m2") for s, n in (("train", 30), ("test", 10)) for i in range(n)]
+    spark.createDataFrame(rows, "sample_id long, embedding array<float>, label int, model_name string, split string").write.partitionBy("model_name", "split").parquet(path)
+    space = LatentSpace.read(spark, path, "m1", "train")
+    assert (space.n_points, space.dim, space.name) == (30, 2, "m1")
+    assert [r.sample_id for r in space.select([4, 4, 0]).rows.orderBy("pos").collect()] == [4, 4, 0]
+    assert space.subsample(7).n_points == 7 and space.biased_subsample(9, [1], 1.0).rows.select("label").distinct().collect() == [(1,)]
+    assert space.biased_subsample(99, [1], 1.0).n_points == 30 and space.biased_subsample(5, [], 1.0).n_points == 5
+    assert np.allclose(np.mean([r.v[0] for r in space.normalize("center").rows.collect()]), 0)
+    with pytest.raises(ValueError):
+        LatentSpace(space.rows.drop("label")).biased_subsample(5, [1], 1.0)
+    assert [r.sample_id for r in tables.read_space(spark, path, "m2", "test", ordered_by="sample_id").collect()] == list(range(10))
+    both = tables.read_agents(spark, path, ["m1", "m2"], sizes={"train": 6, "test": 4})
+    ids = {(a, s): {r.sample_id for r in both.where(F.col("agent") == a).where(F.col("split") == s).collect()} for a in ("m1", "m2") for s in ("train", "test")}
+    assert ids["m1", "train"] == ids["m2", "train"] and (len(ids["m1", "train"]), len(ids["m2", "test"])) == (6, 4)
+
+
+def test_registry_reader(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 8, "f", "m", 10), ("b", 9, "f", "m", 20)], "model_name string, latent_dim int, family string, macro_family string, num_parameters long")
+    rows.write.parquet(str(tmp_path / "r"))
+    rows.write.option("header", True).csv(str(tmp_path / "r.csv"))
+    assert tables.read_registry(spark, str(tmp_path / "r")).count() == tables.read_registry(spark, str(tmp_path / "r.csv")).count() == 2
+    rows.drop("family").write.parquet(str(tmp_path / "less"))
+    rows.union(rows.limit(1)).write.parquet(str(tmp_path / "twice"))
+    for bad in ("less", "twice"):
+        with pytest.raises(ValueError):
+            tables.read_registry(spark, str(tmp_path / bad))
+
+
+def test_guards_of_studies_and_probes(spark, points):
+    records_ = spark.createDataFrame([("m", 1, 4, "ridge"), ("m", 1, 8, "ridge"), ("k", 1, 4, "mlp")], "method string, pair int, k int, decoder string")
+    assert studies.require_complete(records_.where("method = 'm'"), ["pair", "k"], "method", "decoder").count() == 2
+    for bad, axes in ((records_, ["pair", "k"]), (records_.where("k = 4"), ["pair"])):
+        with pytest.raises(ValueError):
+            studies.require_complete(bad, axes, "method", "decoder")
+    with pytest.raises(ValueError):
+        records.split_columns(records_, ["pair"], ["m"], ["score"])
+    df = frame(spark, points, np.arange(90) % 2)
+    assert isinstance(decoders.build_probe("ridge", df), RidgeProbe)
+    for bad in (("tree", df), ("ridge", df.union(spark.createDataFrame([(999, [1.0], 0)], df.schema)))):
+        with pytest.raises(ValueError):
+            decoders.build_probe(*bad)
+
+
+def test_diagnostics(spark):
+    made = synthetic_agents(spark, 2, 120, 60, n_classes=3)
+    a, b = (blocks.cut_lineage(made.where(F.col("agent") == agent_name(k)).drop("agent")) for k in (0, 1))
+    (src, test), (tgt, own) = ((df.where("split = 'train'"), df.where("split = 'test'")) for df in (a, b))
+    rigid, least = (experiment.build_aligner(p).fit(src, tgt) for p in ("procrustes", "linear"))
+    wide, narrow = (diagnostics.class_geometry(m, test, own).first() for m in (rigid, least))
+    assert narrow.scale < wide.scale and narrow.nmse < wide.nmse and rigid.r2 < 1
+    y, p = (rigid.tgt.apply(np.array([r.v for r in df.orderBy("sample_id").collect()])) for df in (tgt, rigid.transform(src.select("sample_id", "v"))))
+    assert rigid.r2 == pytest.approx(1 - ((y - p) ** 2).sum() / (y**2).sum(), abs=1e-6)
+    said = diagnostics.chart_correlations(rigid, src, tgt)
+    assert said["src_off"] < 1e-6 and 0 <= said["rho_min"] <= said["rho_rms"] <= said["rho_max"] <= 1 + 1e-9
+    free = diagnostics.alternating_fit(src, tgt, 1e-3, 3, False)
+    held = diagnostics.alternating_fit(src, tgt, 1e-3, 3, True)
+    assert free[0]["overlap"] > 100 * held[0]["overlap"] and held[2]["moved"] < free[2]["moved"]
+    pilots_ = src.select("sample_id").orderBy("sample_id").limit(60)
+    out = diagnostics.screen(spark, {"a": a, "b": b}, [("a", "b"), ("b", "a")], {"a": pilots_, "b": pilots_}, [1e-3, 1.0], extremes=1).collect()
+    assert [r.place for r in out] == [0, 1] and out[0].rho <= out[1].rho and all(r.top1_gain is not None for r in out)
