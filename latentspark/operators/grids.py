@@ -22,6 +22,7 @@ from latentspark.operators.align.base import Aligner
 from latentspark.operators.blocks import cut_lineage
 from latentspark.operators.decoders import RidgeProbe
 from latentspark.operators.pilots import select_pilot_path
+from latentspark.operators.records import best_rows
 from latentspark.operators.selection import first_by_hash
 
 
@@ -77,25 +78,41 @@ def _fitted(aligner: Aligner, predicted: DataFrame, src: DataFrame, tgt: DataFra
     return out
 
 
-def run_cells(
-    spark: SparkSession, agents: Mapping[str, DataFrame], wanted: Sequence[Cell], charts: Mapping[str, Mapping] | None = None, variants: Mapping[str, Mapping] | None = None,
-    probes: Mapping[str, RidgeProbe] | None = None, pool_size: int | None = None, context: bool = True, done: DataFrame | None = None, flush: Callable[[DataFrame], None] | None = None, label: str = "label",
-) -> DataFrame:
+class Study(NamedTuple):
+    """What all cells of a grid share.
+
+    agents: (sample_id, label, split, v) by name. charts, variants: settings by name. probes: classifiers by target.
+    pool_size: candidates of the pilots, by hash. context: scalers learn from the whole train split. flush is given the new
+    records of each pair and method.
+    """
+
+    agents: Mapping[str, DataFrame]
+    charts: Mapping[str, Mapping] = {}
+    variants: Mapping[str, Mapping] = {}
+    probes: Mapping[str, RidgeProbe] = {}
+    pool_size: int | None = None
+    context: bool = True
+    flush: Callable[[DataFrame], None] | None = None
+    label: str = "label"
+
+
+def run_cells(spark: SparkSession, study: Study, wanted: Sequence[Cell], done: DataFrame | None = None, lams: Sequence[float] | None = None) -> DataFrame:
     """Records of the wanted cells, those of ``done`` included.
 
-    agents: (sample_id, label, split, v) by name. probes: classifiers by target. pool_size: candidates of the pilots, by
-    hash. context: scalers learn from the whole train split. flush is given the new records of each pair and method.
-    Cells whose design leaves fewer pilots than their budget are left out.
+    lams: every cell's kernel map is fitted once and solved for each of them, a record each; a cell that lacks any of its
+    records is run again as a whole. Cells whose design leaves fewer pilots than their budget are left out.
     """
-    charts, variants, probes = charts or {}, variants or {}, probes or {}
-    have = set()
+    have: dict[Cell, set] = defaultdict(set)
     if done is not None:
-        have = {Cell(*r) for r in done.select(*Cell._fields).distinct().collect()}  # one row a cell
-    todo = [c for c in wanted if c not in have]
+        for *cell, lam in done.select(*Cell._fields, "lam").distinct().collect():  # one row a record
+            have[Cell(*cell)].add(lam)
+    todo = [c for c in wanted if c not in have or (lams and not set(map(float, lams)) <= have[c])]
+    if done is not None and lams:
+        done = done.where(~F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in Cell._fields)).isin(["|".join("-" if v is None else str(v) for v in c) for c in todo]))
     records: list[tuple] = []
     for source, mine in _by(todo, lambda c: c.source).items():
-        train = agents[source].where("split = 'train'")
-        pool = train if pool_size is None else first_by_hash(train, pool_size).drop("place")
+        train = study.agents[source].where("split = 'train'")
+        pool = train if study.pool_size is None else first_by_hash(train, study.pool_size).drop("place")
         budgets = defaultdict(set)
         for c in mine:
             if c.n_pilots is not None:
@@ -103,10 +120,13 @@ def run_cells(
         if budgets:
             experiment.check_budgets_fit_pool(sorted(set.union(*budgets.values())), pool.count())
         paths = _paths(pool, budgets)
-        for (target, _), block in _by(mine, lambda c: (c.target, c.method)).items():
-            fresh = [r for c in block if (r := _run(spark, agents[source], agents[target], c, pool, paths, charts, variants, probes.get(target), context, label))]
-            if flush is not None and fresh:
-                flush(spark.createDataFrame(fresh, RECORD))
+        for block in _by(mine, lambda c: (c.target, c.method)).values():
+            fresh = []
+            for c in block:
+                pilots = pool.select("sample_id") if c.n_pilots is None else paths[c.design, c.seed, c.n_pilots]
+                fresh += _run(study, c, pilots, lams)
+            if study.flush is not None and fresh:
+                study.flush(spark.createDataFrame(fresh, RECORD))
             records += fresh
     out = spark.createDataFrame(records, RECORD)
     return out if done is None else done.unionByName(out, allowMissingColumns=True)
@@ -119,23 +139,32 @@ def _by(items: Iterable[Cell], key) -> dict:
     return out
 
 
-def _run(spark: SparkSession, src: DataFrame, tgt: DataFrame, c: Cell, pool: DataFrame, paths: Mapping, charts: Mapping, variants: Mapping, probe: RidgeProbe | None, context: bool, label: str) -> tuple | None:
+def _run(study: Study, c: Cell, pilots: DataFrame, lams: Sequence[float] | None) -> list[tuple]:
+    src, tgt = study.agents[c.source], study.agents[c.target]
     src_train, tgt_train = (df.where("split = 'train'") for df in (src, tgt))
     src_test, tgt_test = (df.where("split = 'test'") for df in (src, tgt))
-    pilots = pool.select("sample_id") if c.n_pilots is None else paths[c.design, c.seed, c.n_pilots]
     sides = [cut_lineage(df.join(pilots, "sample_id", "left_semi")) for df in (src_train, tgt_train)]
     if c.n_pilots is not None and sides[0].count() < c.n_pilots:
-        return None
-    classes = [df.select(F.count_distinct(label)).first()[0] for df in (sides[0], tgt_test)] if label in src.columns and label in tgt.columns else [0, 0]
-    aligner = experiment.aligner_of(c.method, charts[c.chart] if c.chart else None, c.symbols, c.seed, variants[c.variant] if c.variant else None).fit(*sides, **({"src_context": src_train, "tgt_context": tgt_train} if context else {}))
-    predicted = cut_lineage(aligner.transform(src_test.select("sample_id", "v")))
-    row = metrics.alignment(predicted, tgt_test.select("sample_id", "v")).first().asDict()
-    if probe is not None:
-        row |= metrics.probed(probe, predicted, tgt_test, label).first().asDict()
-    row |= _fitted(aligner, predicted, src_test, tgt_test)
-    costs = aligner.summary()
-    row |= c._asdict() | {"delivered": int(costs["symbols"]), "paired_used": int(costs["paired_used"]), "map_params": int(costs["map_params"]), "coverage": classes[0] / classes[1] if classes[1] else None}
-    return tuple(row.get(name) for name in COLUMNS)
+        return []
+    classes = [df.select(F.count_distinct(study.label)).first()[0] for df in (sides[0], tgt_test)] if study.label in src.columns and study.label in tgt.columns else [0, 0]
+    aligner = experiment.aligner_of(c.method, study.charts[c.chart] if c.chart else None, c.symbols, c.seed, study.variants[c.variant] if c.variant else None)
+    solve = lams if lams and hasattr(aligner, "set_lam") else None
+    if solve:
+        aligner.lam = float(solve[0])
+    aligner.fit(*sides, **({"src_context": src_train, "tgt_context": tgt_train} if study.context else {}))
+    out = []
+    for lam in solve or (None,):
+        if lam is not None:
+            aligner.set_lam(float(lam))
+        predicted = cut_lineage(aligner.transform(src_test.select("sample_id", "v")))
+        row = metrics.alignment(predicted, tgt_test.select("sample_id", "v")).first().asDict()
+        if (probe := study.probes.get(c.target)) is not None:
+            row |= metrics.probed(probe, predicted, tgt_test, study.label).first().asDict()
+        row |= _fitted(aligner, predicted, src_test, tgt_test)
+        costs = aligner.summary()
+        row |= c._asdict() | {"delivered": int(costs["symbols"]), "paired_used": int(costs["paired_used"]), "map_params": int(costs["map_params"]), "coverage": classes[0] / classes[1] if classes[1] else None}
+        out.append(tuple(row.get(name) for name in COLUMNS))
+    return out
 
 
 def averaged(records: DataFrame, by: Sequence[str], scores: Sequence[str] = ("accuracy", "top1", "mrr", "nmse")) -> DataFrame:
@@ -168,6 +197,11 @@ def kernel_grid(pairs: Sequence[tuple[str, str]], variants: Mapping[str, Mapping
     return cells(pairs, ["procrustes"], budgets=[n_pilots], designs=[design], seeds=seeds) + cells(pairs, ["rkhs"], variants=list(variants), budgets=[n_pilots], designs=[design], seeds=seeds)
 
 
+def surface_grid(pairs: Sequence[tuple[str, str]], variants: Sequence[str | None], budgets: Sequence[int], method: str = "rkhs", design: str | None = None, baselines: Sequence[str] = ("procrustes",), seeds: Sequence[int] = (0,)) -> list[Cell]:
+    """A kernel map by width and budget, to be solved along a lambda axis, and the maps that it is drawn against."""
+    return cells(pairs, [method], variants=variants, budgets=budgets, designs=[design], seeds=seeds) + cells(pairs, baselines, budgets=budgets, designs=[design], seeds=seeds)
+
+
 def pilot_width_grid(pairs: Sequence[tuple[str, str]], scales: Sequence[float], n_pilots: int, method: str = "rkhs", seeds: Sequence[int] = (0,)) -> list[Cell]:
     """Widths of the herding kernel, the map held fixed."""
     return cells(pairs, [method], budgets=[n_pilots], designs=[f"herding@{s:g}" for s in scales], seeds=seeds)
@@ -188,3 +222,8 @@ def gains(records: DataFrame, over: str = "procrustes", scores: Sequence[str] =
     base = records.where(F.col("method") == over).select(*keys, *(F.col(s).alias(f"__{s}") for s in scores))
     met = records.where(F.col("method") != over).join(base, keys)
     return met.select("method", "variant", *keys, *((F.col(s) - F.col(f"__{s}")).alias(f"{s}_gain") for s in scores))
+
+
+def oracle_lambda(records: DataFrame, score: str = "accuracy") -> DataFrame:
+    """Of each cell solved along a lambda axis the record of the best score, the smaller lambda on ties: what no selection can beat."""
+    return best_rows(records.where(F.col("lam").isNotNull()), Cell._fields, F.col(score).desc(), F.col("lam"))

@@ -211,10 +211,20 @@ def grid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents = {"a": cut_lineage(X.agent_a(spark, sf_dir)), "b": cut_lineage(X.agent_b(spark, sf_dir).drop("geo_label"))}
     pairs = [("a", "b"), ("b", "a")]
     first, whole = (grids.rate_grid(pairs, methods, [4, None], 20, design="random", seeds=(1,)) for methods in (["procrustes"], ["procrustes", "linear"]))
-    out = grids.run_cells(spark, agents, whole, done=grids.run_cells(spark, agents, first))
+    study = grids.Study(agents)
+    out = grids.run_cells(spark, study, whole, grids.run_cells(spark, study, first))
     return out.select("source", "target", "method", "symbols", "n_pilots", "seed", "delivered", "paired_used", F.col("mrr").between(0, 1).alias("scored"))
 
 
+@query("""SELECT variant, lam, CAST(n AS BIGINT) AS n_pilots, TRUE AS scored FROM (SELECT unnest([20, 40]) AS n), (VALUES ('rbf-0.5', 1e-4::DOUBLE), ('rbf-0.5', 1e-1::DOUBLE), ('rbf-2', 1e-4::DOUBLE), ('rbf-2', 1e-1::DOUBLE), (NULL, NULL)) AS t(variant, lam)""")
+def lambda_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lambda axis by kernel width and budget, one fit for each width and budget, and the rigid map beside it."""
+    agents = {"a": cut_lineage(X.agent_a(spark, sf_dir)), "b": cut_lineage(X.agent_b(spark, sf_dir).drop("geo_label"))}
+    variants = grids.kernel_variants(["rbf"], [0.5, 2.0])
+    out = grids.run_cells(spark, grids.Study(agents, variants=variants), grids.surface_grid([("a", "b")], list(variants), [20, 40], design="random"), lams=[1e-4, 1e-1])
+    return out.select("variant", "lam", "n_pilots", F.col("mrr").between(0, 1).alias("scored"))
+
+
 @query("SELECT 'agent_0' || CAST(k AS VARCHAR) AS agent, split, CAST(CASE split WHEN 'train' THEN 70 ELSE 30 END AS BIGINT) AS n, CASE k WHEN 1 THEN 16 ELSE 12 END AS width FROM (SELECT unnest([0, 1, 2]) AS k), (SELECT unnest(['train', 'test']) AS split)")
 def synthetic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and widths of made agents."""

@@ -66,7 +66,7 @@ PAIRS = f"""WITH RECURSIVE {LATENT_SQL}, mean AS (
 )"""
 
 
-def scored(method: str, parameters: int = WIDTH_A * WIDTH_B, symbols: int = WIDTH_A) -> str:
+def scored(method: str, parameters: int = WIDTH_A * WIDTH_B, symbols: int = WIDTH_A, pilots: str = "train", more: str = "") -> str:
     """The record of a map ``f(p)`` from centred source rows to centred target rows."""
     return f"""
 , m AS (
@@ -79,7 +79,7 @@ def scored(method: str, parameters: int = WIDTH_A * WIDTH_B, symbols: int = WIDT
 SELECT '{method}' AS method, round((SELECT sum(e) / sum(n) FROM e), 6) AS mse, round((SELECT sum(e) / sum(q) FROM e), 6) AS nmse, round((SELECT 1 - sum(e) / sum(c) FROM e), 6) AS r2,
   round((SELECT avg(list_cosine_similarity(p, t)) FROM m), 6) AS cosine, round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS INT)), 6) AS top1,
   round(avg(CAST(rank <= 5 AS INT)), 6) AS top5, round(avg(CAST(rank <= 10 AS INT)), 6) AS top10,
-  CAST((SELECT count(*) FROM train) AS INTEGER) AS paired_used, {symbols} AS symbols, {parameters} AS map_params FROM k"""
+  CAST((SELECT count(*) FROM {pilots}) AS INTEGER) AS paired_used, {symbols} AS symbols, {parameters} AS map_params{more} FROM k"""
 
 
 WHITE = "," + roots("wx", "xx", "c") + "," + roots("wy", "yy", "c") + f", w AS (SELECT wx.inv AS wx, wy.root AS ry, {product(product('wx.inv', transposed('xy')), 'wy.inv')} AS m FROM wx, wy, c)"
@@ -96,14 +96,34 @@ RIGID = PAIRS + WHITE + ", " + polar("m", "w") + f", f AS (SELECT {product(produ
 LEAST = PAIRS + WHITE + f", f AS (SELECT {scaled(product(product('wx', transposed('m')), 'ry'), '1 / (1 + 1e-6)')} AS p FROM w)"
 #: Charts that only turn the centred spaces change nothing in an orthogonal map.
 TURNED = PAIRS + ", " + polar("xy", "c") + ", f AS (SELECT q AS p FROM polar)"
-REG = 1e-3
-#: With S the ridged roots and Q the polar factor of Sx Cxy Sy, the map over all directions is Sx (Q Sy^2 Q')^-1 Q Sy.
-CANONICAL = (
-    PAIRS + "," + roots("sx", ridged("xx", REG), "c") + "," + roots("sy", ridged("yy", REG), "c")
-    + f", sw AS (SELECT {product(product('sx.inv', transposed('xy')), 'sy.inv')} AS m FROM sx, sy, c), " + polar("m", "sw")
-    + f", qs AS (SELECT {product('q', 'sy.inv')} AS g FROM polar, sy)," + roots("qr", product("g", "g"), "qs")
-    + f", f AS (SELECT {product(product(product('sx.inv', 'qr.inv'), 'qr.inv'), transposed('g'))} AS p FROM sx, qr, qs)"
-)
+
+
+def canonical(reg: float) -> str:
+    """With S the ridged roots and Q the polar factor of Sx Cxy Sy, the map over all directions is Sx (Q Sy^2 Q')^-1 Q Sy."""
+    return (
+        PAIRS + "," + roots("sx", ridged("xx", reg), "c") + "," + roots("sy", ridged("yy", reg), "c")
+        + f", sw AS (SELECT {product(product('sx.inv', transposed('xy')), 'sy.inv')} AS m FROM sx, sy, c), " + polar("m", "sw")
+        + f", qs AS (SELECT {product('q', 'sy.inv')} AS g FROM polar, sy)," + roots("qr", product("g", "g"), "qs")
+        + f", f AS (SELECT {product(product(product('sx.inv', 'qr.inv'), 'qr.inv'), transposed('g'))} AS p FROM sx, qr, qs)"
+    )
+
+
+def on_pilots(method: str, n: int, seed: int) -> str:
+    """A map fitted on n pilots by hash, between charts whitened on the whole train split."""
+    base = (
+        PAIRS + "," + roots("wx", "xx", "c") + "," + roots("wy", "yy", "c")
+        + f", pilots AS (SELECT * FROM train ORDER BY md5('{seed}:' || sample_id), sample_id LIMIT {n})"
+        + f", sums AS (SELECT {moments('pilots', 'x', 'x', WIDTH_A, WIDTH_A, 'sum')} AS gx, {moments('pilots', 'x', 'y', WIDTH_A, WIDTH_B, 'sum')} AS gxy)"
+        + f", w AS (SELECT wx.inv AS wx, wy.root AS ry, {product(product('wx.inv', transposed('gx')), 'wx.inv')} AS g, {product(product('wx.inv', transposed('gxy')), 'wy.inv')} AS m FROM wx, wy, sums)"
+    )
+    if method == "procrustes":
+        fit = ", " + polar("m", "w") + f", f AS (SELECT {product(product('wx', transposed('q')), 'ry')} AS p FROM w, polar)"
+    else:
+        fit = "," + roots("gi", ridged("g", 1e-6), "w") + f", f AS (SELECT {product(product(product(product('wx', 'inv'), 'inv'), transposed('m')), 'ry')} AS p FROM w, gi)"
+    return base + fit + scored(method, pilots="pilots", more=f", {n} AS n_pilots, {seed} AS seed")
+
+
+PILOT_SWEEP_SQL = " UNION ALL ".join(f"SELECT * FROM ({on_pilots(method, n, seed)})" for seed in (0, 1) for n in (32, 64) for method in ("procrustes", "linear"))
 
 MAP_SQL = {
     "procrustes": RIGID + scored("procrustes"),
@@ -111,7 +131,9 @@ MAP_SQL = {
     "linear": LEAST + scored("linear"),
     "affine": LEAST + scored("affine", WIDTH_A * WIDTH_B + WIDTH_B),
     "pca_procrustes": TURNED + scored("pca_procrustes"),
-    "cca": CANONICAL + scored("cca", WIDTH_A * WIDTH_A + WIDTH_A * WIDTH_B),
+    "cca": canonical(1e-3) + scored("cca", WIDTH_A * WIDTH_A + WIDTH_A * WIDTH_B),
+    # 99 % of the variance takes every direction of these tables, and turning the spaces changes nothing.
+    "svcca": canonical(1e-4) + scored("svcca", WIDTH_A * WIDTH_A + WIDTH_A * WIDTH_B),
 }
 
 

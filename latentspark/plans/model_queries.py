@@ -43,7 +43,7 @@ def rkhs_lambda_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(experiment.lambda_sweep(spark, X.agent_a(spark, sf_dir), X.agent_b(spark, sf_dir), grid), *METRICS)
 
 
-@query()
+@query(map_sql.PILOT_SWEEP_SQL)
 def pilot_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods x budgets x seeds with hash-ordered pilots."""
     a, b = X.agent_a(spark, sf_dir), X.agent_b(spark, sf_dir)

@@ -304,26 +304,34 @@ def test_grid_of_cells(spark, tmp_path):
     probes = {"b": RidgeProbe().fit(agents["b"].where("split = 'train'"))}
     pairs, variants = [("a", "b"), ("b", "a")], grids.kernel_variants(["rbf"], [0.5, 2.0])
     seen = []
-    wanted = grids.method_grid(pairs, ["procrustes", "relative"], 40, 2)
-    out = grids.run_cells(spark, agents, wanted, probes=probes, flush=lambda df: seen.append(df.count()))
-    assert out.count() == len(wanted) == 8 and sum(seen) == 8
+    wanted = grids.method_grid(pairs, ["procrustes", "relative"], 40, 1)
+    study = grids.Study(agents, {"turned": {"preprocess": "pca"}}, variants, probes, flush=lambda df: seen.append(df.count()))
+    out = grids.run_cells(spark, study, wanted)
+    assert out.count() == len(wanted) == 4 and sum(seen) == 4
     rows = out.collect()
     assert {r.design for r in rows if r.method == "relative"} == {"kmeans"} and {r.design for r in rows if r.method == "procrustes"} == {"herding"}
     assert all((r.accuracy is not None) == (r.target == "b") and r.coverage == 1.0 for r in rows)
     more = wanted + grids.rate_grid(pairs[:1], ["procrustes"], [2, None], 40, charts=["turned"], design="random")
-    again = grids.run_cells(spark, agents, more, charts={"turned": {"preprocess": "pca"}}, done=out)
+    again = grids.run_cells(spark, study, more, out)
     new = [r for r in again.collect() if r.chart == "turned"]
-    assert again.count() == 10 and sorted((r.symbols or 0, r.delivered) for r in new) == [(0, agents["a"].first().v.__len__()), (2, 2)]
+    assert again.count() == 6 and sorted((r.symbols or 0, r.delivered) for r in new) == [(0, len(agents["a"].first().v)), (2, 2)]
     assert grids.averaged(again, ["method"]).count() == 2
-    kernels = grids.run_cells(spark, agents, grids.kernel_grid(pairs[:1], variants, 30, "random"), variants=variants)
-    by = {r.variant: r for r in kernels.collect()}
-    assert set(by) == {None, *variants} and all(by[v].residual_r2 is not None and by[v].lam is not None for v in variants)
-    ablated = grids.run_cells(spark, agents, grids.ablation_grid(pairs[:1], [30], "random") + grids.pilot_width_grid(pairs[:1], [0.5, 2], 20))
-    assert ablated.count() == 6 and grids.gains(ablated).count() == 3
-    designs = grids.run_cells(spark, agents, grids.design_grid(pairs[:1], ["linear"], ["random", "classes:1"], [10, 60]))
-    assert {(r.design, r.n_pilots) for r in designs.collect()} == {("random", 10), ("random", 60), ("classes:1", 10)}
+    ablated = grids.run_cells(spark, study, grids.ablation_grid(pairs[:1], [30], "random") + grids.pilot_width_grid(pairs[:1], [2], 8))
+    assert ablated.count() == 5 and grids.gains(ablated).count() == 3 and {r.design for r in ablated.collect()} == {"random", "herding@2"}
+    designs = grids.run_cells(spark, study, grids.design_grid(pairs[:1], ["linear"], ["classes:1"], [10, 60]))
+    assert {(r.design, r.n_pilots) for r in designs.collect()} == {("classes:1", 10)}
+    assert set(grids.kernel_grid(pairs, variants, 30)) > set(grids.cells(pairs, ["procrustes"], budgets=[30], designs=["herding"]))
     with pytest.raises(ValueError):
-        grids.run_cells(spark, agents, grids.method_grid(pairs, ["linear"], 90, 1))
+        grids.run_cells(spark, study, grids.method_grid(pairs, ["linear"], 90, 1))
+    surface = grids.surface_grid(pairs[:1], list(variants), [20], design="random")
+    drawn = grids.run_cells(spark, study, surface, lams=[1e-4, 1e-2])
+    points = [(r.variant, r.lam) for r in drawn.collect()]
+    assert all((r.residual_r2 is not None) == (r.variant is not None) for r in drawn.collect())
+    assert sorted(points, key=str) == sorted([(None, None), *((v, x) for v in variants for x in (1e-4, 1e-2))], key=str)
+    best = {r.variant: r for r in grids.oracle_lambda(drawn, "mrr").collect()}
+    assert set(best) == set(variants) and all(best[r.variant].mrr >= r.mrr for r in drawn.collect() if r.variant)
+    wider = grids.run_cells(spark, study, surface[:1], done=drawn, lams=[1e-4, 1e-2, 1.0])
+    assert sorted(r.lam for r in wider.where(F.col("variant") == surface[0].variant).collect()) == [1e-4, 1e-2, 1.0] and wider.count() == 6
 
 
 def test_linear_reference_and_probe_join_a_record(spark):
