@@ -12,6 +12,8 @@ from latentspark.functions import vec
 
 #: Rows over which the median bandwidth is taken; larger pools are sampled by hash of the id.
 MEDIAN_ROWS = 2000
+#: Rows of a kernel block that are worked on at a time, so that what is in between stays in a core's cache.
+CACHE_ROWS = 96
 
 
 def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,6 +52,14 @@ class Kernel:
         return {f"kernel_{k}": v for k, v in self.spec().items() if v is not None}
 
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(a) <= CACHE_ROWS:
+            return self._block(a, b)
+        out = np.empty((len(a), len(b)))
+        for at in range(0, len(a), CACHE_ROWS):
+            out[at : at + CACHE_ROWS] = self._block(a[at : at + CACHE_ROWS], b)
+        return out
+
+    def _block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.name in ("rbf", "laplacian"):
             d = sq_dists(a, b)
             return np.exp(-self.gamma * (d if self.name == "rbf" else np.sqrt(d)))

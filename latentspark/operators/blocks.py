@@ -80,11 +80,11 @@ class Block:
             yield part
 
 
-def for_block_pairs(left: DataFrame, right: DataFrame | None, work: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+def for_block_pairs(left: DataFrame, right: DataFrame | None, work: Callable, schema: str) -> DataFrame:
     """work on every pair of a left and a right block; a left block is sent once to each right block.
 
     right None: each two blocks of left meet once, as ``work(a, b, own)``, own being true where they are the same block;
-    work then gives the results of both sides.
+    work then goes through a's strips itself and yields the results of both sides.
     """
     names = [part.split()[0] for part in schema.split(", ")]
     sides = ("ids", "rows", "vectors", "others")
@@ -108,14 +108,30 @@ def for_block_pairs(left: DataFrame, right: DataFrame | None, work: Callable[...
         for batch in batches:
             for row in range(batch.num_rows):
                 at = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                against = Block(*(at[f"to_{c}"] for c in sides))
-                for strip in Block(*(at[c] for c in sides)).strips():
-                    out = work(strip, against, at["own"]) if same else work(strip, against)
+                whole, against = Block(*(at[c] for c in sides)), Block(*(at[f"to_{c}"] for c in sides))
+                for out in work(whole, against, at["own"]) if same else (work(strip, against) for strip in whole.strips()):
                     yield pa.RecordBatch.from_pydict({c: pa.array(out[c]) for c in names})
 
     return pairs.mapInArrow(run, schema)
 
 
+def both_sums(a: Block, b: Block, own: bool, cells: Callable[[Block, Block], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Row sums over b of each of a's rows and, unless they are one block, column sums for b's rows, by a's strips."""
+    rows: list[dict[str, np.ndarray]] = []
+    columns: dict[str, np.ndarray] = {}
+    for strip in a.strips():
+        found = cells(strip, b)
+        rows.append({c: x.sum(axis=1) for c, x in found.items()})
+        if not own:
+            columns = {c: x.sum(axis=0) + columns.get(c, 0.0) for c, x in found.items()}
+    out = {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}
+    ids, counts = a.ids, np.full(len(a.ids), len(b.ids))
+    if not own:
+        out = {c: np.concatenate([out[c], columns[c]]) for c in out}
+        ids, counts = np.concatenate([ids, b.ids]), np.concatenate([counts, np.full(len(b.ids), len(a.ids))])
+    return {"id": ids, "n": counts} | out
+
+
 def column_sums(df: DataFrame, by: str, vector: str = "v") -> DataFrame:
     """``(key, n, s)``: rows and summed vectors of each value of ``by``, a row for each task and value before they meet."""
     kind = df.schema[by].dataType.simpleString()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import Kernel, sq_dists
-from latentspark.operators.blocks import Block, for_block_pairs, pack_blocks
+from latentspark.operators.blocks import Block, both_sums, for_block_pairs, pack_blocks
 
 
 def gram(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
@@ -16,11 +18,12 @@ def gram(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
         return {"i": np.repeat(a.ids, len(b.ids)), "j": np.tile(b.ids, len(a.ids)), "k": kernel.block(a.v, b.v).ravel()}
 
-    def half(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
-        out = work(a, b)
-        i, j = np.minimum(out["i"], out["j"]), np.maximum(out["i"], out["j"])
-        some = out["i"] <= out["j"] if own else np.ones(len(i), bool)
-        return {"i": i[some], "j": j[some], "k": out["k"][some]}
+    def half(a: Block, b: Block, own: bool) -> Iterator[dict[str, np.ndarray]]:
+        for strip in a.strips():
+            out = work(strip, b)
+            i, j = np.minimum(out["i"], out["j"]), np.maximum(out["i"], out["j"])
+            some = out["i"] <= out["j"] if own else np.ones(len(i), bool)
+            yield {"i": i[some], "j": j[some], "k": out["k"][some]}
 
     schema = "i long, j long, k double"
     return for_block_pairs(pack_blocks(left), None, half, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
@@ -29,20 +32,15 @@ def gram(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
 def mean_kernel(left: DataFrame, right: DataFrame | None, kernel: Kernel) -> DataFrame:
     """``(sample_id, mu)``: mean kernel of each left row with all right rows (None: all left rows)."""
 
-    def sums(ids: np.ndarray, k: np.ndarray, axis: int) -> dict[str, np.ndarray]:
-        return {"sample_id": ids, "total": k.sum(axis=axis), "n": np.full(len(ids), k.shape[axis])}
-
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
-        return sums(a.ids, kernel.block(a.v, b.v), 1)
+        return {"id": a.ids, "total": kernel.block(a.v, b.v).sum(axis=1), "n": np.full(len(a.ids), len(b.ids))}
 
-    def both(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
-        k = kernel.block(a.v, b.v)
-        one, other = sums(a.ids, k, 1), sums(b.ids, k, 0)
-        return one if own else {c: np.concatenate([one[c], other[c]]) for c in one}
+    def both(a: Block, b: Block, own: bool) -> Iterator[dict[str, np.ndarray]]:
+        yield both_sums(a, b, own, lambda x, y: {"total": kernel.block(x.v, y.v)})
 
-    schema = "sample_id long, total double, n long"
+    schema = "id long, total double, n long"
     parts = for_block_pairs(pack_blocks(left), None, both, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
-    return parts.groupBy("sample_id").agg((F.sum("total") / F.sum("n")).alias("mu"))
+    return parts.groupBy(F.col("id").alias("sample_id")).agg((F.sum("total") / F.sum("n")).alias("mu"))
 
 
 def mmd2(pool: DataFrame, subset: DataFrame, kernel: Kernel) -> DataFrame:
@@ -95,14 +93,20 @@ def nearest(left: DataFrame, right: DataFrame | None, k: int) -> DataFrame:
     def work(a: Block, b: Block) -> dict[str, np.ndarray]:
         return _first(np.sqrt(sq_dists(a.v, b.v)), a.ids, b.ids, k)
 
-    def both(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
-        d = np.sqrt(sq_dists(a.v, b.v))
-        d[a.ids[:, None] == b.ids[None]] = np.inf
-        one = _first(d, a.ids, b.ids, k)
-        if own:
-            return one
-        other = _first(np.ascontiguousarray(d.T), b.ids, a.ids, k)
-        return {c: np.concatenate([one[c], other[c]]) for c in one}
+    def both(a: Block, b: Block, own: bool) -> Iterator[dict[str, np.ndarray]]:
+        back = []
+        for strip in a.strips():
+            d = np.sqrt(sq_dists(strip.v, b.v))
+            d[strip.ids[:, None] == b.ids[None]] = np.inf
+            yield _first(d, strip.ids, b.ids, k)
+            if not own:
+                back.append(_first(np.ascontiguousarray(d.T), b.ids, strip.ids, k))
+        if back:  # the best of all strips for each of b's rows
+            near = {c: np.concatenate([x[c] for x in back]) for c in back[0]}
+            order = np.lexsort((near["dst"], near["d"], near["src"]))
+            near = {c: x[order] for c, x in near.items()}
+            kept = np.arange(len(order)) - np.searchsorted(near["src"], near["src"]) < k
+            yield {c: x[kept] for c, x in near.items()}
 
     schema = "src long, dst long, d double"
     parts = for_block_pairs(pack_blocks(left), None, both, schema) if right is None else for_block_pairs(pack_blocks(left), pack_blocks(right), work, schema)
@@ -117,12 +121,12 @@ def hsic_parts(pairs: DataFrame, kernel_v: Kernel, kernel_w: Kernel) -> tuple[fl
     """
     packed = pack_blocks(pairs, "v", "w")
 
-    def work(a: Block, b: Block, own: bool) -> dict[str, np.ndarray]:
+    def cells(a: Block, b: Block) -> dict[str, np.ndarray]:
         k, m = kernel_v.block(a.v, b.v), kernel_w.block(a.w, b.w)
-        cells = {"k": k, "m": m, "km": k * m, "kk": k * k, "mm": m * m}
-        one = {"id": a.ids} | {c: x.sum(1) for c, x in cells.items()}
-        other = {"id": b.ids} | {c: x.sum(0) for c, x in cells.items()}
-        return one if own else {c: np.concatenate([one[c], other[c]]) for c in one}
+        return {"k": k, "m": m, "km": k * m, "kk": k * k, "mm": m * m}
+
+    def work(a: Block, b: Block, own: bool) -> Iterator[dict[str, np.ndarray]]:
+        yield both_sums(a, b, own, cells)
 
     rows = for_block_pairs(packed, None, work, "id long, k double, m double, km double, kk double, mm double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("k", "m", "km", "kk", "mm")))
     s = rows.agg(
