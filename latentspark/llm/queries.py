@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators: whole tables in, digest columns out."""
+"""The thin queries of the operators: whole tables in, digest columns out."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import chat, embedding_dedup, language_id, licenses, line_rules, mixing, oracles, packing, quality, simhash, toxicity
+from latentspark.llm import byte_bpe, chat, embedding_dedup, language_id, licenses, line_rules, mixing, oracles, packing, quality, simhash, toxicity
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.union(extra)))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = byte_bpe.public_codec(spark)
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(load(spark, sf_dir, "documents"), codec), codec), codec)
+
+
 QUERIES: tuple[Query, ...] = (
-    op1_embedding_dedup, op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat,
+    op1_embedding_dedup, op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat, op12_byte_bpe,
 )
 
 
