@@ -45,11 +45,11 @@ from latentspark.llm.common import in_one_column
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words whose ids are looked up, and the longest of them.
-KNOWN_WORDS, KNOWN_CHARS = 500_000, 32
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 32
 #: Bytes that are folded at once.
 CHUNK = 48
 #: Maps of the literal of ranks, and strings of that of words, by CRC-32: about eight pieces or words each.
-RANK_MAPS, WORD_LISTS = 8_192, 65_536
+RANK_MAPS, WORD_LISTS = 8_192, 32_768
 #: What stands before and behind a word in those strings, and so in no word that they hold.
 BEFORE, BEHIND = "\x01", "\x02"
 #: No rank: above every id.
@@ -109,9 +109,11 @@ def _ranges(chars: Iterable[str]) -> str:
 
 def java_pattern(spark: SparkSession, pattern: str) -> str:
     r"""pattern with each of ``\s \S \p{L} \p{N}`` as what tiktoken takes it for, whatever the JVM's version of Unicode."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    codes = (*range(0xD800), *range(0xE000, 0x110000))
     classes = (r"\s", r"\p{L}", r"\p{N}")
-    here = spark.range(1).select(*(F.regexp_replace(F.lit(every), F.lit(f"[^{c}]+"), F.lit("")) for c in classes)).first()
+    every = spark.createDataFrame([("".join(map(chr, codes[i : i + 4096])),) for i in range(0, len(codes), 4096)], "chars string").coalesce(1)
+    parts = every.select(*(F.regexp_replace("chars", f"[^{c}]+", "").alias(f"c{i}") for i, c in enumerate(classes))).collect()
+    here = ["".join(r[i] for r in parts) for i in range(len(classes))]
     whole = {}
     for c, found in zip(classes, here, strict=True):
         if set(found) - _matched(c):
