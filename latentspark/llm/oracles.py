@@ -126,4 +126,34 @@ OP8 = "WITH " + HELD_OUT + r""", d AS (
 SELECT d.doc_id, d.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0 - distance, 0.0) AS score FROM d LEFT JOIN best ON d.doc_id = best.doc_id AND best.place = 1
 """
 
-SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op5_simhash": OP5, "op6_mixing": OP6, "op8_language_id": OP8, "op10_chat": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, sha256(length(role) || ':' || role || text) AS said, length(text) AS chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS k FROM t
+), ids AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda v, x:
+    list_reduce(list_prepend(xor(v, x), CAST(range(0, 8) AS BIGINT[])), lambda w, k: xor(w >> 1, (w & 1) * 3988292384))), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT c FROM own)
+), seq AS (
+  SELECT c, said, chars, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d FROM (
+    SELECT ids.c, 0 AS part, k, said, chars FROM ids JOIN own ON own.c = ids.c - ids.c % 100 AND k <= h
+    UNION ALL SELECT ids.c, 1, k, said, chars FROM ids JOIN own ON own.c = ids.c AND k > h)
+), path AS (
+  SELECT c, d, sha256(string_agg(said, '') OVER (PARTITION BY c ORDER BY d)) AS key, chars FROM seq UNION ALL SELECT c, 0, '', 0 FROM ids
+), node AS (
+  SELECT key, any_value(d) AS d, min(c) AS c, count(*) AS n, any_value(chars) AS chars FROM path GROUP BY key
+), linked AS (
+  SELECT node.*, up.key AS up, parent.c AS up_c FROM node LEFT JOIN path up ON up.c = node.c AND up.d = node.d - 1 LEFT JOIN node parent ON parent.key = up.key
+), counted AS (
+  SELECT linked.*, coalesce(m, 0) AS m FROM linked LEFT JOIN (SELECT up, count(*) AS m FROM linked GROUP BY up) x ON x.up = linked.key
+), below AS (
+  SELECT path.key, sum(CAST(m = 0 AS INT)) AS leaves, sum((n - 1) * counted.chars) AS saved FROM counted JOIN path ON path.c = counted.c AND path.d <= counted.d GROUP BY path.key
+), ends AS (
+  SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS listed FROM (SELECT * FROM path QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY key
+)
+SELECT counted.c AS conv_id, CAST(d AS BIGINT) AS depth, up_c AS parent_conv_id, CAST(n AS BIGINT) AS n_convs, CAST(m AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(listed, '')) AS ends_sha256
+FROM counted JOIN below ON below.key = counted.key LEFT JOIN ends ON ends.key = counted.key
+"""
+
+SQL = {"op1_embedding_dedup": OP1, "op3_line_rules": OP3, "op5_simhash": OP5, "op6_mixing": OP6, "op8_language_id": OP8, "op10_chat": OP10, "op11_prefix_trie": OP11}

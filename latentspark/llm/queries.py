@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import byte_bpe, chat, embedding_dedup, language_id, licenses, line_rules, mixing, oracles, packing, quality, simhash, toxicity
+from latentspark.llm import byte_bpe, chat, embedding_dedup, language_id, licenses, line_rules, mixing, oracles, packing, prefix_trie, quality, simhash, toxicity, whitening
 from latentspark.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,13 +61,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.union(extra)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = byte_bpe.public_codec(spark)
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(load(spark, sf_dir, "documents"), codec), codec), codec)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: tuple[Query, ...] = (
-    op1_embedding_dedup, op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat, op12_byte_bpe,
+    op1_embedding_dedup, op2_toxicity, op3_line_rules, op4_licenses, op5_simhash, op6_mixing, op7_packing, op8_language_id, op9_quality, op10_chat,
+    op11_prefix_trie, op12_byte_bpe, op13_whitening,
 )
 
 
