@@ -72,7 +72,7 @@ def turn_hashes(conversations: DataFrame) -> DataFrame:
 def _turns(rows: pd.DataFrame) -> dict[int, list[tuple[bytes, int]]]:
     """Turns of each conversation, in order."""
     found: dict[int, list] = {}
-    if rows.empty:
+    if "conv_id" not in rows:  # a side without rows comes without columns
         return found
     for conv_id, timed, turn, said, chars in zip(*(rows[c].tolist() for c in ("conv_id", "timed", "turn", "hash", "chars")), strict=True):
         found.setdefault(conv_id, []).append((timed, turn, bytes(said), chars))
