@@ -62,6 +62,8 @@ QUERY_SHARDS = 16
 BROADCAST_LABELS, HEAVY_PARTS = 100_000, 1000
 #: Numbers gathered at a time while a beam expands.
 GATHER = 1 << 22
+#: Marks of nodes seen that a search holds at a time, a byte each.
+SEEN = 64 << 20
 
 
 def exactly_scaled(vectors: np.ndarray) -> np.ndarray:
@@ -205,7 +207,8 @@ class Graph:
         """The best ``beam`` nodes found for each query, best first (-1 and minus infinity where fewer)."""
         layer, n = self.layers[at], len(queries)
         expand = max(1, beam // 16)
-        step = max(1, GATHER // (expand * layer.shape[1] * self.units.shape[1]))
+        # Both the vectors gathered and the marks of nodes seen, one a query and node, are bounded.
+        step = max(1, min(GATHER // (expand * layer.shape[1] * self.units.shape[1]), SEEN // len(self.units)))
         if n > step:
             parts = [self._search(at, queries[k : k + step], entry[k : k + step], beam) for k in range(0, n, step)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

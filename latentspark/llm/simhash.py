@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import bound_batches, cut_lineage
+from latentspark.llm.common import bound_batches, cut_lineage, in_one_column
 from latentspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -216,17 +216,17 @@ def keep_one_per_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Texts stay where they are as long as the dropped ids can be broadcast; beyond that they are joined by shuffling.
     """
-    found = cut_lineage(simhash_components(docs, radius).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n")))
-    dropped = found.where("NOT kept").select("__id")
+    found = cut_lineage(simhash_components(docs, radius).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n")))
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
     n_dropped, repeated = found.agg(F.count_if(~F.col("kept")), F.coalesce(F.max("n"), F.lit(0))).first()
     if n_dropped <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    survivors = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    without_id = found.where("__id IS NULL AND NOT kept")
-    if n_dropped and not without_id.isEmpty():
-        survivors = survivors.where("doc_id IS NOT NULL")
-    if repeated <= 1:
-        return survivors
-    ordered = ["text", *(c for c in docs.columns if c != "text")]
-    one = survivors.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(*ordered)).alias("__row"))
-    return one.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), in_one_column(docs))
+    survivors = rows.join(dropped, F.col("id") == F.col("dropped_id"), "left_anti")
+    if n_dropped and not found.where("doc_id IS NULL AND NOT kept").isEmpty():
+        survivors = survivors.where("id IS NOT NULL")
+    if repeated > 1:
+        ordered = ["text", *(c for c in docs.columns if c != "text")]
+        least = F.min(F.struct(*(F.col("row")[c].alias(c) for c in ordered)))
+        survivors = survivors.groupBy("id").agg(least.alias("row"))
+    return survivors.select(*(F.col("row")[c].alias(c) for c in docs.columns))

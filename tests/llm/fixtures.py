@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return; an input may have them too.
-CLASHES = ("score", "fp", "size", "label", "words", "n_words", "kept", "component_id", "root", "host", "key", "target", "bucket", "piece", "ids", "row", "lang_pred", "node", "vector", "turns", "__words")
+CLASHES = ("score", "fp", "size", "label", "words", "n_words", "kept", "component_id", "root", "host", "key", "target", "bucket", "piece", "ids", "row", "lang_pred", "node", "vector", "turns", "id", "dropped_id", "__words", "__id", "__row", "__k", "__h")
 
 
 def sentence(rng: random.Random, n: int) -> str:

@@ -25,6 +25,16 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert (flagged & (truth == 1)).sum() / flagged.sum() > 0.8
 
 
+def test_words_of_the_sample_are_bounded(spark):
+    """A labelled text of a million words is passed over; the others of the sample are learned from."""
+    docs = [(i, f"{'vile' if i % 2 else 'kind'} word {i} " * 5, "en", "a", 0) for i in range(40)] + [(40, "long " * 1_000_000, "en", "a", 0)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(41)], LABELS)
+    packed = spark.createDataFrame([(i, list(range(n))) for i, n in enumerate((5, 3, 1000, 4))], "doc_id long, words array<long>")
+    assert {r.doc_id for r in toxicity._affordable(packed, 12).collect()} == {0, 1, 3}
+    scorer, _ = toxicity.train(frame(spark, docs), labels, max_words=2_000)
+    assert scorer.score(toxicity.packed_words("vile word " * 5)) > scorer.score(toxicity.packed_words("kind word " * 5))
+
+
 def test_scorer_table_matches_the_network():
     rng = np.random.default_rng(0)
     texts = [toxicity.packed_words(" ".join(rng.choice(["one", "two", "three", "four", "five"], n))) for n in (0, 1, 2, 3, 40)]

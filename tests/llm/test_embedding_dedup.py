@@ -1,5 +1,7 @@
 import math
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -108,6 +110,22 @@ def test_graph_finds_neighbours_by_its_layers():
     assert np.mean([len(set(f[:10]) & set(e)) / 10 for f, e in zip(found.tolist(), exact.tolist(), strict=True)]) > 0.9
 
 
+def test_marks_of_a_full_shard_of_small_width_are_bounded(monkeypatch):
+    """Width 4: a beam's marks, one a query and node, would take 25 MB here and 17 GB in a shard of 262,144 nodes."""
+    units = unit_vectors(np.random.default_rng(6).normal(size=(5000, 4))).astype(np.float32)
+    graph = Graph(units)
+    entry = np.zeros((5000, 1), np.int64)
+    monkeypatch.setattr(embedding_dedup, "GATHER", 1 << 18)
+    whole = graph._search(0, units, entry, 8)
+    monkeypatch.setattr(embedding_dedup, "SEEN", 1 << 20)
+    tracemalloc.start()
+    some = graph._search(0, units, entry, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    assert all((a == b).all() for a, b in zip(whole, some, strict=True))
+
+
 def test_failed_audit_widens_the_beam():
     rng = np.random.default_rng(4)
     units = unit_vectors(rng.normal(size=(400, 6)))

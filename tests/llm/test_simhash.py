@@ -132,6 +132,7 @@ def test_one_row_of_each_component_stays(spark):
     components = simhash.simhash_components(frame(spark, rows)).select("component_id").distinct().count()
     assert len(kept) == components
     assert {r.text for r in kept if r.doc_id == 3} <= {r[1] for r in rows if r[0] == 3}
+    assert {"__id", "__row", "row", "id", "dropped_id"} <= set(kept[0].asDict()) and {r["__id"] for r in kept} == {"clash"}
 
 
 def test_empty_table(spark):
