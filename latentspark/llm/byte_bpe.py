@@ -181,7 +181,7 @@ class Codec:
             return F.array_join(F.transform(self.words(text), ids), ",")
 
         joined = _let(F.struct(self.ranks.alias("ranks"), known.alias("known")), listed)
-        return F.filter(F.split(joined, ","), lambda i: i != "").cast("array<int>")
+        return _let(joined, lambda all_ids: F.when(all_ids != "", F.split(all_ids, ",").cast("array<int>")).otherwise(F.array().cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a list of ids."""
