@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import MEDIAN_ROWS, Kernel, median_of, rule_of_thumb_gamma, sq_dists
 from latentspark.operators.align.anchors import lloyd
@@ -197,7 +198,10 @@ class KCCAAligner(Aligner):
         n = len(x)
         self.mean = f.mean(axis=0)
         f, g = f - self.mean, g - g.mean(axis=0)
-        self.a, b, self.correlations = canonical(f.T @ f / n, f.T @ g / n, g.T @ g / n, self.reg, self.n_canonical)
+        self.a, b, self.all_correlations = canonical(f.T @ f / n, f.T @ g / n, g.T @ g / n, self.reg)
+        self.bases = f.shape[1], g.shape[1]
+        self.correlations = self.all_correlations[: self.n_canonical]
+        self.a, b = self.a[:, : self.n_canonical], b[:, : self.n_canonical]
         scores = g @ b if self.readout_of == "target" else f @ self.a
         self.offset = y.mean(axis=0)
         self.readout = np.linalg.solve(relative_ridge(scores.T @ scores, self.readout_reg), scores.T @ (y - self.offset))
@@ -215,16 +219,16 @@ class KCCAAligner(Aligner):
         return map_vectors(df, lambda s: self.tgt.invert(s @ self.readout + self.offset), vector, vector)
 
     def log_association(self) -> float:
-        """-sum log(1 - r^2) over the canonical correlations."""
-        r = np.minimum(self.correlations, 1 - 1e-12)
+        """-sum log(1 - r^2) over all canonical correlations of the two bases, sent or not."""
+        r = np.minimum(self.all_correlations, 1 - 1e-12)
         return float(-np.log1p(-(r**2)).sum())
 
     def independence_p(self, spark) -> float:
-        """Bartlett's chi-squared test of no association; NaN where there are too few pilots."""
-        m1, m2 = self.reduced.basis.shape[1], len(self.correlations)
+        """Bartlett's chi-squared test of no association of the two bases; NaN where they have as many columns as there are pilots."""
+        m1, m2 = self.bases
         if self.n_pilots <= m1 + m2:
             return float("nan")
-        statistic = (self.n_pilots - 1 - (m1 + m2 + 1) / 2) * self.log_association()
+        statistic = (self.n_pilots - (m1 + m2 + 1) / 2) * self.log_association()
         chi = spark._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution(float(m1 * m2))
         return float(1 - chi.cumulativeProbability(float(statistic)))
 
@@ -322,11 +326,23 @@ class CKAAligner(Aligner):
         """Raw kernel values of each row to the base set; the receiver centres them."""
         return map_vectors(df, lambda x: self.kx.block(self.src.apply(x), self.x), vector, vector)
 
-    def receive(self, df: DataFrame, vector: str = "v") -> DataFrame:
-        """Target rows of transmitted values. A match needs k(z, z), which is 1 for kernels that normalise themselves."""
-        if self.decode == "match" and self.kx.name in ("linear", "polynomial"):
+    def self_similarity(self, df: DataFrame, name: str = "self_similarity", vector: str = "v") -> DataFrame:
+        """df with each row's kernel value to itself, which a match of an unnormalised kernel needs beside what is transmitted."""
+        own = lambda x: np.array([self.kx.block(r[None], r[None])[0] for r in self.src.apply(x)])
+        return map_vectors(df.withColumn("_row", F.col(vector)), own, "_row", "_own").withColumn(name, F.col("_own")[0]).drop("_own")
+
+    def receive(self, df: DataFrame, vector: str = "v", self_similarity: str | None = None) -> DataFrame:
+        """Target rows of transmitted values.
+
+        A match needs k(z, z): 1 for kernels that normalise themselves, else the column ``self_similarity``.
+        """
+        if self.decode != "match":
+            return map_vectors(df, lambda rows: self.tgt.invert(self._decoded(rows, np.ones(len(rows)))), vector, vector)
+        if self_similarity is None and self.kx.name in ("linear", "polynomial"):
             raise ValueError(f"a match of {self.kx.name} kernel values needs each row's own value")
-        return map_vectors(df, lambda rows: self.tgt.invert(self._decoded(rows, np.ones(len(rows)))), vector, vector)
+        own = F.col(self_similarity) if self_similarity else F.lit(1.0)
+        sent = df.withColumn("_sent", F.concat(vector, F.array(own.cast("double"))))
+        return map_vectors(sent, lambda rows: self.tgt.invert(self._decoded(rows[:, :-1], rows[:, -1])), "_sent", vector).drop("_sent")
 
     def match(self, z: np.ndarray, y: np.ndarray, method: str = "lsa") -> np.ndarray:
         """Target row of each source row (raw, equally many): by assignment on local CKA, or by aligning whole Grams."""

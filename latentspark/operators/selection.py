@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 
 from latentspark.functions import vec
 from latentspark.functions.kernels import Kernel, by_hash
+from latentspark.operators import greedy
 from latentspark.operators.blocks import cut_lineage
-from latentspark.operators.pairs import mean_kernel, nearest
+from latentspark.operators.pairs import nearest
 from latentspark.operators.spaces import mean_vectors
 
-#: Rounds of a greedy design between checkpoints.
-ROUNDS = 8
-
-
 def numpy_draw(n: int, size: int, seed: int) -> np.ndarray:
     """Sorted positions of a uniform draw without replacement; all if size covers the pool."""
     return np.arange(n) if size >= n else np.sort(np.random.default_rng(seed).choice(n, size, replace=False))
@@ -106,32 +103,14 @@ def ball(df: DataFrame, centre: Sequence[float], n: int) -> DataFrame:
     return df.withColumn("d", F.sqrt(vec.sq_dist(F.col("v"), c))).orderBy("d", "sample_id").limit(n)
 
 
-def _greedy(df: DataFrame, k: int, start: DataFrame, better: Column, update) -> list[int]:
-    """Ids of k steps that take the best row left and update all others with it; one distributed pass a step."""
-    state, picks = cut_lineage(start), []
-    for step in range(k):
-        best = state.where(~F.col("taken")).agg(F.max_by(F.struct("sample_id", "v"), F.struct(better, (-F.col("sample_id")).alias("low"))).alias("best")).first().best
-        if best is None:
-            break
-        picks.append(best["sample_id"])
-        taken = F.col("taken") | (F.col("sample_id") == best["sample_id"])
-        state = update(state, F.array(*[F.lit(x) for x in best["v"]])).withColumn("taken", taken)
-        if step % ROUNDS == ROUNDS - 1:
-            state = cut_lineage(state)
-    return picks
-
-
 def herding(df: DataFrame, k: int, kernel: Kernel, sign: int = 1) -> list[int]:
     """Greedy picks of largest mean kernel less the mean kernel with earlier picks; sign -1: of smallest (adversarial)."""
-    start = df.join(mean_kernel(df, None, kernel), "sample_id").select("sample_id", "v", "mu", F.lit(0.0).alias("s"), F.lit(0).alias("t"), F.lit(False).alias("taken"))
-    score = sign * (F.col("mu") - F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0))
-    return _greedy(df, k, start, score.alias("score"), lambda state, pick: state.withColumn("s", F.col("s") + kernel.column(F.col("v"), pick)).withColumn("t", F.col("t") + 1))
+    return greedy.herding(df, k, kernel, sign).ids
 
 
 def farthest_points(df: DataFrame, k: int, first: int) -> list[int]:
     """first, then greedily the row farthest from its nearest pick."""
-    start = df.select("sample_id", "v", F.when(F.col("sample_id") == first, float("inf")).otherwise(1e300).alias("d"), F.lit(False).alias("taken"))
-    return _greedy(df, k, start, F.col("d").alias("score"), lambda state, pick: state.withColumn("d", F.least("d", vec.sq_dist(F.col("v"), pick))))
+    return greedy.farthest_points(df, k, first).ids[:k]
 
 
 def voronoi(df: DataFrame, anchors: DataFrame) -> DataFrame:

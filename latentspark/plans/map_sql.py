@@ -87,7 +87,7 @@ WHITE = "," + roots("wx", "xx", "c") + "," + roots("wy", "yy", "c") + f", w AS (
 
 def polar(matrix: str, of: str) -> str:
     """CTEs that end in ``polar(q)``: the polar factor of a wide matrix."""
-    return f"wide AS (SELECT {matrix} AS g FROM {of})," + roots("pr", product("g", "g"), "wide") + f", polar AS (SELECT {product('pr.inv', transposed('g'))} AS q FROM pr, wide)"
+    return f"broad AS (SELECT {matrix} AS g FROM {of})," + roots("pr", product("g", "g"), "broad") + f", polar AS (SELECT {product('pr.inv', transposed('g'))} AS q FROM pr, broad)"
 
 
 #: Whitened spaces joined by the polar factor of their cross moments.

@@ -250,6 +250,42 @@ def fps_first_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picks(spark, selection.farthest_points(a, 4, selection.first_by_hash(a, 1).first().sample_id))
 
 
+#: Picks of whole greedy paths: a design's budget rather than its first steps.
+PATH = 64
+#: Rows of a matrix over the pool as lists, by id.
+SQUARE = """, ids AS (SELECT list(sample_id ORDER BY sample_id) AS ids FROM a), square AS (
+  SELECT list(r ORDER BY i) AS k FROM (SELECT i, list(k ORDER BY j) AS r FROM k GROUP BY i)
+)"""
+HERD_PATH = "WITH RECURSIVE" + L.removeprefix("WITH") + MU + SQUARE + """, start AS (SELECT list(mu ORDER BY i) AS mu FROM mu), path(t, pick, picks, s) AS (
+  SELECT 0, 0::BIGINT, []::BIGINT[], list_transform(mu, lambda m: 0::DOUBLE) FROM start
+  UNION ALL SELECT t + 1, p, list_append(picks, p), list_transform(s, lambda x, i: x + k[i][p]) FROM (
+    SELECT *, list_position(scores, list_max(scores)) AS p FROM (
+      SELECT path.*, list_transform(mu, lambda m, i: CASE WHEN list_contains(picks, i) THEN -1e300 ELSE {sign} * (m - CASE WHEN t > 0 THEN s[i] / t ELSE 0 END) END) AS scores FROM path, start WHERE t < {n})), square
+) SELECT CAST(t - 1 AS INTEGER) AS place, ids[pick] AS sample_id FROM path, ids WHERE t > 0"""
+
+
+@query(HERD_PATH.format(sign=1, n=PATH))
+def herding_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picks(spark, selection.herding(X.agent_a(spark, sf_dir), PATH, _kernel(spark, sf_dir)))
+
+
+@query(HERD_PATH.format(sign=-1, n=PATH))
+def anti_herding_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picks(spark, selection.herding(X.agent_a(spark, sf_dir), PATH, _kernel(spark, sf_dir), sign=-1))
+
+
+FAR_PATH = "WITH RECURSIVE" + L.removeprefix("WITH") + ", k AS (SELECT p.sample_id AS i, q.sample_id AS j, list_distance(p.v, q.v) AS k FROM a p, a q)" + SQUARE + """, path(t, pick, s) AS (
+  SELECT 1, CAST(list_position(ids, (SELECT sample_id FROM a ORDER BY md5('0:' || sample_id), sample_id LIMIT 1)) AS BIGINT), list_transform(ids, lambda x: 1e300::DOUBLE) FROM ids
+  UNION ALL SELECT t + 1, CAST(list_position(near, list_max(near)) AS BIGINT), near FROM (SELECT t, list_transform(s, lambda x, i: least(x, k[i][pick])) AS near FROM path, square WHERE t < {n})
+) SELECT CAST(t - 1 AS INTEGER) AS place, ids[pick] AS sample_id FROM path, ids"""
+
+
+@query(FAR_PATH.format(n=PATH))
+def fps_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = X.agent_a(spark, sf_dir)
+    return _picks(spark, selection.farthest_points(a, PATH, selection.first_by_hash(a, 1).first().sample_id))
+
+
 @query(L + ", c AS (SELECT v FROM a ORDER BY md5('0:' || sample_id), sample_id LIMIT 1) SELECT sample_id, round(list_distance(a.v, c.v), 6) AS d FROM a, c ORDER BY list_distance(a.v, c.v), sample_id LIMIT 20")
 def ball_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.agent_a(spark, sf_dir)

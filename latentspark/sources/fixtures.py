@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+import math
+import operator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH_A, WIDTH_B, CLASSES = 8, 12, 5
+#: Numbers of an embedding, seen as GRID rows of GRID: agent A has the sums of the columns, and agent B, in part, those of
+#: rows under signs that no column sees. Each of them takes in all numbers, and is of about unit variance.
+WIDTH, GRID = 64, 8
 
 LATENT_SQL = """
-x AS (
-  SELECT vec_id AS sample_id, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
-    list_transform(embedding[1:12], lambda v: 8 * CAST(v AS DOUBLE)) AS x FROM embeddings
+wide AS (
+  SELECT vec_id AS sample_id, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings
+), x AS (
+  SELECT sample_id, label, split, list_concat(
+    list_transform(range(1, 9), lambda i: sqrt(8) * list_sum(list_transform(range(0, 8), lambda m: e[i + 8 * m]))),
+    list_transform(range(0, 4), lambda k: list_sum(list_transform(range(0, 64), lambda j: CASE WHEN (CASE WHEN k < 3 THEN (j // 8) >> k ELSE xor(j // 8, j // 16) END) % 2 = 1 THEN -e[j + 1] ELSE e[j + 1] END)))) AS x FROM wide
 ), a AS (
   SELECT sample_id, label, split, x[1:8] AS v FROM x
 ), b0 AS (
@@ -20,6 +30,17 @@ x AS (
   SELECT *, CAST(list_position(v, list_max(v[1:5])) - 1 AS BIGINT) AS geo_label FROM b0
 )"""
 
+#: Agents of the whole width: A as it is, B of all of A's numbers.
+WIDE_SQL = """
+x AS (
+  SELECT vec_id AS sample_id, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, list_transform(embedding, lambda v: 8 * CAST(v AS DOUBLE)) AS x FROM embeddings
+), a AS (
+  SELECT sample_id, label, split, x AS v FROM x
+), b AS (
+  SELECT sample_id, label, split,
+    list_transform(range(1, 65), lambda i: sign(x[1 + (5 * i) % 64]) * pow(abs(x[1 + (5 * i) % 64]), 1.3) + 1.5 * sin(2 * x[i])) AS v FROM x
+)"""
+
 RECORDS_SQL = """
 r AS (
   SELECT event_type AS method, CAST(user_id % 5 AS INTEGER) AS pairs, CAST(day(ts) % 5 AS INTEGER) AS seed,
@@ -37,10 +58,23 @@ registry AS (
 )"""
 
 
-def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    x = F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double") * 8)
-    return e.select(F.col("vec_id").alias("sample_id"), "label", F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"), x.alias("x"))
+    return e.select(F.col("vec_id").alias("sample_id"), "label", F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("split"), F.col("embedding").cast("array<double>").alias("e"))
+
+
+def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = [F.get("e", F.lit(j)) for j in range(WIDTH)]
+    flips = [[(j // GRID >> k) % 2 for j in range(WIDTH)] for k in range(3)] + [[(j // GRID ^ j // (2 * GRID)) % 2 for j in range(WIDTH)]]
+    columns = [math.sqrt(GRID) * functools.reduce(operator.add, e[i::GRID]) for i in range(GRID)]
+    rows = [functools.reduce(operator.add, (-c if flip else c for c, flip in zip(e, flips[k], strict=True))) for k in range(WIDTH_B - GRID)]
+    return _split(spark, sf_dir).select("sample_id", "label", "split", F.array(*columns, *rows).alias("x"))
+
+
+def _bent(width: int) -> Column:
+    """Signed powers and waves of the numbers of ``x``, each joined with another's."""
+    at = lambda i: F.get("x", F.lit(i))
+    return F.array(*(F.signum(at(5 * i % width)) * F.pow(F.abs(at(5 * i % width)), 1.3) + 1.5 * F.sin(2 * at(i - 1)) for i in range(1, width + 1)))
 
 
 def agent_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +84,21 @@ def agent_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sample_id, label, split, v, geo_label)`` of the 12-wide agent; geo_label is the place of the largest of v's first 5."""
-    place = [1 + (5 * i) % 12 for i in range(1, WIDTH_B + 1)]
-    parts = [F.signum(F.get("x", F.lit(j - 1))) * F.pow(F.abs(F.get("x", F.lit(j - 1))), 1.3) + 1.5 * F.sin(2 * F.get("x", F.lit(i))) for i, j in enumerate(place)]
-    made = _x(spark, sf_dir).select("sample_id", "label", "split", F.array(*parts).alias("v"))
+    made = _x(spark, sf_dir).select("sample_id", "label", "split", _bent(WIDTH_B).alias("v"))
     head = F.slice("v", 1, CLASSES)
     return made.withColumn("geo_label", (F.array_position("v", F.array_max(head)) - 1).cast("long"))
 
 
+def wide_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(sample_id, label, split, v)``: all numbers of an embedding."""
+    return _split(spark, sf_dir).select("sample_id", "label", "split", F.transform("e", lambda c: c * 8).alias("v"))
+
+
+def wide_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(sample_id, label, split, v)`` of the other agent of the whole width."""
+    return wide_a(spark, sf_dir).withColumnRenamed("v", "x").select("sample_id", "label", "split", _bent(WIDTH).alias("v"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric records of unequal groups: ``(method, pairs, seed, n_pilots, log_lam, strategy, score, event_id)``."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
