@@ -139,7 +139,6 @@ def _followed(rule, picks: np.ndarray, pick_ids: np.ndarray, scores: np.ndarray,
                 on = step <= len(scores)
                 new = [ids[part][on], x[part][on], mu[part][on], step[on], score[on]]
                 pool = new if pool is None else [np.concatenate(c) for c in zip(pool, new, strict=True)]
-                # Equal scores of a step keep the lowest ids.
                 order = np.lexsort((pool[0], -pool[4], pool[3]))
                 if len(order):
                     first = np.flatnonzero(pool[3] == pool[3].min())

@@ -203,3 +203,11 @@ CORRELATION_SQL = (
         f" SELECT '{s}' AS split, round({_off_unit(f'z_{s}', 'x', WIDTH_A)}, 6) + 0.0 AS src_off, round({_off_unit(f'z_{s}', 'y', WIDTH_B)}, 6) + 0.0 AS tgt_off, "
         f"round(sqrt(list_sum(list_transform(g, lambda r: list_dot_product(r, r))) / {min(WIDTH_A, WIDTH_B)}), 6) AS rho_rms FROM g_{s}" for s in ("train", "test"))
 )
+
+#: Covariance of held-out rows on a chart whitened on the train split.
+HELD_OUT_SQL = (
+    PAIRS + "," + roots("wy", "yy", "c")
+    + f", z0 AS (SELECT {_apply('wy.inv', 'y')} AS z FROM duo, wy WHERE split = 'test'), zm AS (SELECT {mean_rows('z0', 'z', WIDTH_B, 'true')} AS m)"
+    + f", z1 AS (SELECT list_transform(z, lambda v, i: v - m[i]) AS z FROM z0, zm), zc AS (SELECT {moments('z1', 'z', 'z', WIDTH_B, WIDTH_B)} AS zz)"
+    + cells("zz", "zc")
+)

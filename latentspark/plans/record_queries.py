@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latentspark.functions import slugs as S
 from latentspark.operators import records as R
 from latentspark.plans.registry import query
+from latentspark.operators import experiment
 from latentspark.sources import fixtures as X
 
 REC = "WITH" + X.RECORDS_SQL
@@ -234,9 +235,8 @@ def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT symbols, n_pilots FROM (SELECT DISTINCT symbols, CAST(ceil(rate * symbols) AS BIGINT) AS n_pilots FROM m, (SELECT unnest([0.5, 1, 2, 2.5, 8]) AS rate))""")
 def budget_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pilot budgets of each rate for each rank."""
-    rates = F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 2.5, 8.0)])
-    n = F.array_distinct(F.transform(rates, lambda x: F.ceil(x * F.col("symbols")).cast("long")))
-    return X.registry(spark, sf_dir).select(F.col("latent_dim").alias("symbols")).distinct().select("symbols", F.explode(n).alias("n_pilots"))
+    ranks = [r.latent_dim for r in X.registry(spark, sf_dir).select("latent_dim").distinct().collect()]  # a row a rank
+    return spark.createDataFrame([(k, n) for k in ranks for n in experiment.resolve_budgets(k, rates=(0.5, 1.0, 2.0, 2.5, 8.0))], "symbols int, n_pilots long")
 
 
 @query(REG + """, q AS (SELECT model_name, latent_dim, unnest([0.25, 0.5, 1.0, 8.0, 30.0]::DOUBLE[]) AS request FROM registry),
@@ -244,6 +244,7 @@ k AS (SELECT *, CASE WHEN request <= 1 THEN greatest(1, CAST(round_even(request
 SELECT model_name, request, CASE WHEN n >= latent_dim THEN NULL ELSE n END AS symbols FROM k""")
 def rank_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request is a count, or a share of the largest rank; one that reaches it asks for no compression (null)."""
-    q = X.registry(spark, sf_dir).select("model_name", "latent_dim", F.explode(F.array(*[F.lit(x) for x in (0.25, 0.5, 1.0, 8.0, 30.0)])).alias("request"))
-    n = F.when(F.col("request") <= 1, F.greatest(F.lit(1), F.bround(F.col("request") * F.col("latent_dim"), 0).cast("long"))).otherwise(F.col("request").cast("long"))
-    return q.withColumn("n", n).select("model_name", "request", F.when(F.col("n") < F.col("latent_dim"), F.col("n")).alias("symbols"))
+    models = X.registry(spark, sf_dir).select("model_name", "latent_dim")
+    ranks = [r.latent_dim for r in models.select("latent_dim").distinct().collect()]  # a row a rank
+    asked = [(k, float(request), experiment.rank_request(request, k)) for k in ranks for request in (0.25, 0.5, 1.0, 8, 30)]
+    return models.join(spark.createDataFrame(asked, "latent_dim int, request double, symbols long"), "latent_dim").drop("latent_dim")

@@ -137,14 +137,21 @@ def usable_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.usable_ranks(w, "family", "w")
 
 
-@query("SELECT CAST(i AS BIGINT) AS place, round(pow(10.0, -6 + i / 2.0), 12) AS lam FROM (SELECT unnest(range(0, 13)) AS i)")
+@query(REC + ", w AS (SELECT pairs, min(log_lam) AS low, max(log_lam) AS high FROM r GROUP BY pairs) SELECT pairs, i AS place, round(pow(10.0, low + i / 2.0), 12) AS lam FROM w, (SELECT unnest(range(0, 99)) AS i) WHERE low + i / 2.0 <= high")
 def lambda_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, round(x, 12)) for i, x in enumerate(experiment.lambda_grid(1e-6, 1.0, 2))], "place long, lam double")
+    """Two values a decade between the least and greatest lambda that a pair's records have."""
+    spans = X.records(spark, sf_dir).groupBy("pairs").agg(F.min("log_lam").alias("low"), F.max("log_lam").alias("high")).collect()  # a row a pair
+    axes = [(r.pairs, i, round(x, 12)) for r in spans for i, x in enumerate(experiment.lambda_grid(10.0**r.low, 10.0**r.high, 2))]
+    return spark.createDataFrame(axes, "pairs int, place long, lam double")
 
 
-@query("WITH c AS (SELECT unnest(['whiten', 'pca']) AS chart), k AS (SELECT unnest([4.0, 0.5, 8.0, 1.0]) AS request), n AS (SELECT chart, CASE WHEN request <= 1 THEN CAST(round(request * 8) AS BIGINT) ELSE CAST(request AS BIGINT) END AS n FROM c, k) SELECT DISTINCT chart, CASE WHEN n >= 8 THEN NULL ELSE n END AS symbols FROM n")
+@query(REG + """, w AS (SELECT family, max(latent_dim) AS top FROM registry GROUP BY family), c AS (SELECT unnest(['whiten', 'pca']) AS chart), k AS (SELECT unnest([4.0, 0.5, 8.0, 1.0]) AS request),
+n AS (SELECT family, chart, top, CASE WHEN request <= 1 THEN CAST(round_even(request * top, 0) AS BIGINT) ELSE CAST(request AS BIGINT) END AS n FROM w, c, k)
+SELECT DISTINCT family, chart, CASE WHEN n >= top THEN NULL ELSE n END AS symbols FROM n""")
 def chart_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(experiment.resolve_charts(["whiten", "pca"], [4, 0.5, 8, 1.0], 8), "chart string, symbols long")
+    """Charts by rate for the largest rank of each family of models."""
+    tops = X.registry(spark, sf_dir).groupBy("family").agg(F.max("latent_dim").alias("top")).collect()  # a row a family
+    return spark.createDataFrame([(r.family, *cell) for r in tops for cell in experiment.resolve_charts(["whiten", "pca"], [4, 0.5, 8, 1.0], r.top)], "family string, chart string, symbols long")
 
 
 @query("WITH" + X.LATENT_SQL + ", o AS (SELECT sample_id, label, row_number() OVER (ORDER BY sample_id) - 1 AS row FROM a), w AS (SELECT unnest([7, 3, 3, 0, 120]) AS row, unnest(range(0, 5)) AS pos) SELECT CAST(pos AS INTEGER) AS pos, sample_id, label FROM w JOIN o ON w.row = o.row")
