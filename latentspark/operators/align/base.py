@@ -20,9 +20,9 @@ MAX_POINTS = 4000
 
 def check_paired(src: DataFrame, tgt: DataFrame) -> int:
     """Rows of two tables that hold the same ids, once each; anything else is an error. One pass over both."""
-    sides = src.select("sample_id", F.lit(1).alias("side")).union(tgt.select("sample_id", F.lit(1000).alias("side")))
-    met = sides.groupBy("sample_id").agg(F.sum("side").alias("sides"))
-    n, off = met.agg(F.count("*"), F.count(F.when(F.col("sides") != 1001, 1))).first()
+    sides = src.select("sample_id", F.lit(1).alias("left"), F.lit(0).alias("right")).union(tgt.select("sample_id", F.lit(0).alias("left"), F.lit(1).alias("right")))
+    met = sides.groupBy("sample_id").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    n, off = met.agg(F.count("*"), F.count_if((F.col("left") != 1) | (F.col("right") != 1))).first()
     if not n or off:
         raise ValueError(f"source and target rows are not paired: {off} of {n} ids")
     return n

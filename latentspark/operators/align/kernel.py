@@ -12,6 +12,7 @@ from latentspark.functions.kernels import MEDIAN_ROWS, Kernel, median_of, rule_o
 from latentspark.operators.align.anchors import lloyd
 from latentspark.operators.align.base import Aligner
 from latentspark.operators.align.linear import canonical, procrustes
+from latentspark.operators.auction import assign
 from latentspark.operators.blocks import map_vectors
 from latentspark.operators.linalg import assignment, quadratic_assignment, rank_for, relative_ridge
 
@@ -344,6 +345,10 @@ class CKAAligner(Aligner):
         sent = df.withColumn("_sent", F.concat(vector, F.array(own.cast("double"))))
         return map_vectors(sent, lambda rows: self.tgt.invert(self._decoded(rows[:, :-1], rows[:, -1])), "_sent", vector).drop("_sent")
 
+    def match_rows(self, src: DataFrame, tgt: DataFrame) -> DataFrame:
+        """``(sample_id, matched, score, price, profit)``: rows of two tables of equal size matched by local CKA, by an auction over blocks."""
+        return assign(self.src.transform(src.select("sample_id", "v")), self.tgt.transform(tgt.select("sample_id", "v")), self.scores)
+
     def match(self, z: np.ndarray, y: np.ndarray, method: str = "lsa") -> np.ndarray:
         """Target row of each source row (raw, equally many): by assignment on local CKA, or by aligning whole Grams."""
         if len(z) != len(y):

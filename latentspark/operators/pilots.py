@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentspark.functions import vec
-from latentspark.functions.kernels import Kernel, by_hash, median_sq_dist
+from latentspark.functions.kernels import Kernel, median_sq_dist
 from latentspark.operators import selection
 from latentspark.operators.align.anchors import lloyd
 from latentspark.operators.blocks import cut_lineage
@@ -52,9 +52,8 @@ def _class_clusters(rows: DataFrame, quota: dict, seed: int) -> DataFrame:
     Centres are as many as the quotas, a budget; each round sends rows to the nearest centre of their class and sums
     by centre on the map side. Starts are the clusters of ``STARTS`` rows a centre, the first of each class by hash.
     """
-    place = F.row_number().over(Window.partitionBy("label").orderBy(by_hash(rows, seed), "sample_id"))
     table = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
-    first = rows.select("label", "sample_id", "v").withColumn("place", place).where(F.col("place") <= STARTS * table[F.col("label")])
+    first = selection.ranked(rows.select("label", "sample_id", "v"), "label", seed, STARTS * table[F.col("label")])
     some: dict = {}
     for r in first.orderBy("label", "place").collect():  # a budget of rows
         some.setdefault(r.label, []).append([float(x) for x in r.v])
@@ -106,8 +105,7 @@ def support(membership: DataFrame, n_samples: int | None = None, seed: int = 0)
     """
     rows = membership.where((F.col("cluster") != NOISE) & F.col("cluster").isNotNull())
     if n_samples is not None:
-        place = F.row_number().over(Window.partitionBy("cluster").orderBy(by_hash(rows, seed), "sample_id"))
-        rows = rows.withColumn("place", place).where(F.col("place") <= n_samples)
+        rows = selection.ranked(rows, "cluster", seed, F.lit(n_samples))
     return rows.select(F.col("cluster").alias("anchor"), "sample_id")
 
 
@@ -138,7 +136,7 @@ def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int =
     elif head == "classes":
         chosen = selection.classes_design(df, k, n, seed)
     elif head == "round_robin":
-        chosen = selection.round_robin(df, seed).orderBy("pass", "class_key").limit(n)
+        chosen = selection.round_robin(df, seed, n).orderBy("pass", "class_key").limit(n)
         return chosen.withColumn("place", F.row_number().over(Window.orderBy("pass", "class_key")) - 1).select("sample_id", "place")  # n rows, a budget
     elif head == "ball":
         centre = selection.first_by_hash(df, 1, seed).first().v

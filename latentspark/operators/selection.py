@@ -21,6 +21,10 @@ from latentspark.operators.blocks import cut_lineage
 from latentspark.operators.pairs import nearest
 from latentspark.operators.spaces import mean_vectors
 
+#: Hexadecimal digits of a hash by which the rows of a label are counted.
+PREFIX = 4
+
+
 def numpy_draw(n: int, size: int, seed: int) -> np.ndarray:
     """Sorted positions of a uniform draw without replacement; all if size covers the pool."""
     return np.arange(n) if size >= n else np.sort(np.random.default_rng(seed).choice(n, size, replace=False))
@@ -58,6 +62,27 @@ def aligned_subsample(agents: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return agents.join(first_by_hash(ids, n, seed).select("sample_id"), "sample_id", "left_semi")
 
 
+def ranked(df: DataFrame, by: str, seed: int = 0, quota: Column | None = None) -> DataFrame:
+    """df with ``place``, from 1, of each row among those of its ``by`` in the order of hash and id; quota: rows beyond it are left out.
+
+    Rows are counted by the first PREFIX digits of their hash, and ordered within those: no task holds more than a
+    16^PREFIX-th of a label's rows, or that many counts, however large the label.
+    """
+    prefix = F.substring(by_hash(df, seed), 1, PREFIX)
+    counts = df.groupBy(F.col(by).alias("_by"), prefix.alias("_prefix")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_by").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_by", "_prefix", before.alias("_before"))
+    rows = df.withColumn("_at", prefix)
+    met = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_at") == F.col("_prefix")))
+    if quota is not None:
+        met = met.where(F.col("_before") < quota)
+    inside = F.row_number().over(Window.partitionBy("_by", "_prefix").orderBy(by_hash(df, seed), "sample_id"))
+    met = met.withColumn("place", F.col("_before") + inside)
+    if quota is not None:
+        met = met.where(F.col("place") <= quota)
+    return met.drop("_by", "_prefix", "_before", "_at")
+
+
 def biased_subsample(df: DataFrame, n: int, targets: Sequence[int], strength: float, seed: int = 0, draw: str = "quota") -> DataFrame:
     """About n rows whose labels mix a uniform draw over ``targets`` (share strength) with one over all labels.
 
@@ -80,15 +105,14 @@ def biased_subsample(df: DataFrame, n: int, targets: Sequence[int], strength: fl
     if short := {x: (k, sizes[x]) for x, k in quota.items() if k > sizes[x]}:
         warnings.warn(f"labels with fewer rows than asked for (asked, there): {short}", stacklevel=2)
     table = F.create_map(*[F.lit(x) for pair in quota.items() for x in pair])
-    place = F.row_number().over(Window.partitionBy("label").orderBy(by_hash(df, seed), "sample_id"))
-    return df.where("label IS NOT NULL").withColumn("place", place).where(F.col("place") <= table[F.col("label")]).drop("place")
+    return ranked(df.where("label IS NOT NULL"), "label", seed, table[F.col("label")]).drop("place")
 
 
-def round_robin(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Order of the whole pool in passes over the classes, a fresh class order in each: ``(pass, class_key)`` sorts it."""
-    turn = F.row_number().over(Window.partitionBy("label").orderBy(by_hash(df, seed), "sample_id")) - 1
+def round_robin(df: DataFrame, seed: int = 0, passes: int | None = None) -> DataFrame:
+    """Order of the pool in passes over the classes, a fresh class order in each: ``(pass, class_key)`` sorts it. passes: rows of later ones are left out."""
+    placed = ranked(df, "label", seed, None if passes is None else F.lit(passes))
     key = F.md5(F.concat(F.col("label").cast("string"), F.lit(":"), F.col("pass").cast("string")).cast("binary"))
-    return df.withColumn("pass", turn).withColumn("class_key", key)
+    return placed.withColumn("pass", (F.col("place") - 1).cast("int")).drop("place").withColumn("class_key", key)
 
 
 def classes_design(df: DataFrame, k: int, n: int, seed: int = 0) -> DataFrame:

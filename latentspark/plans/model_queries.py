@@ -87,17 +87,14 @@ def mlp_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cka_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out rows of both agents matched by local CKA, in one assignment over all of them."""
+    """Held-out rows of both agents matched by local CKA, by an auction over blocks of all of them.
+
+    price and profit add up to what no other matching can pass, which is the sum of scores.
+    """
     a, b = X.agent_a(spark, sf_dir), X.agent_b(spark, sf_dir)
     aligner = CKAAligner(n_anchors=64).fit(a.where("split = 'train'"), b.where("split = 'train'"))
-    both = a.where("split = 'test'").join(b.select("sample_id", F.col("v").alias("w")), "sample_id")
-
-    def match(pdf):
-        pdf = pdf.sort_values("sample_id")
-        order = aligner.match(np.array(pdf.v.tolist()), np.array(pdf.w.tolist()))
-        return pdf[["sample_id"]].assign(matched=pdf.sample_id.to_numpy()[order])
-
-    return both.groupBy().applyInPandas(match, "sample_id long, matched long")
+    matched = aligner.match_rows(a.where("split = 'test'"), b.where("split = 'test'"))
+    return _round(matched, "score", "price", "profit")
 
 
 def _basis(spark: SparkSession, df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

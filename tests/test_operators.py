@@ -1,5 +1,6 @@
 """Sources, records, designs, graphs, runs and streams on small tables."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from latentspark.functions import slugs
 from latentspark.functions.kernels import Kernel, median_of, median_sq_dist
 from latentspark.operators import blocks, decoders, diagnostics, experiment, graphs, grids, metrics, pairs, pilots, records, selection, spaces, spectral, stored, studies
+from latentspark.operators.align.base import check_paired
 from latentspark.operators.align.linear import ProcrustesAligner
 from latentspark.operators.decoders import RidgeProbe
 from latentspark.sources import tables
@@ -102,6 +104,28 @@ def test_herding_beats_random_and_is_mirrored(spark, points):
     assert far[0] == 7 and far[1] == int(((points - points[7]) ** 2).sum(axis=1).argmax())
 
 
+def test_places_within_labels_come_by_prefix(spark):
+    """One label with most rows and a null one: the same places as a window over the whole label, in many tasks."""
+    rows = [(i, None if i % 97 == 0 else int(i % 10 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sample_id long, label int")
+    got = {r.sample_id: r.place for r in selection.ranked(df, "label", 5).collect()}
+    ordered = sorted(rows, key=lambda r: (hashlib.md5(f"5:{r[0]}".encode()).hexdigest(), r[0]))
+    seen: dict = {}
+    for i, label in ordered:
+        seen[label] = seen.get(label, 0) + 1
+        assert got[i] == seen[label]
+    few = {(r.sample_id, r.place) for r in selection.ranked(df, "label", 5, F.lit(7)).collect()}
+    assert few == {(i, p) for i, p in got.items() if p <= 7}
+    plan = selection.ranked(df, "label", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(label" not in plan or "_prefix" in plan
+
+
+def test_ids_that_stand_often_on_one_side_are_not_paired(spark):
+    left = spark.createDataFrame([(1, [1.0])] * 1001, "sample_id long, v array<double>")
+    with pytest.raises(ValueError, match="not paired"):
+        check_paired(left, left.where("false"))
+
+
 def test_round_robin_prefixes_are_balanced(spark, points):
     labels = np.repeat([0, 1, 2], [60, 20, 10])
     order = selection.round_robin(frame(spark, points, labels)).orderBy("pass", "class_key").collect()
