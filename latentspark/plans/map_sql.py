@@ -8,7 +8,7 @@ and the inverse root of A / trace(A).
 
 from __future__ import annotations
 
-from latentspark.sources.fixtures import LATENT_SQL, WIDTH_A, WIDTH_B
+from latentspark.sources.fixtures import LATENT_SQL, WIDE_SQL, WIDTH, WIDTH_A, WIDTH_B
 
 #: Steps of the iteration; each multiplies the least eigenvalue by over 2 until it is near 1.
 STEPS = 40
@@ -56,22 +56,26 @@ def roots(name: str, matrix: str, of: str) -> str:
 TRAIN = "split = 'train'"
 
 #: Means, centred pairs ``(split, x, y, t)`` and the train split's covariances ``(xx, yy, xy)``.
-PAIRS = f"""WITH RECURSIVE {LATENT_SQL}, mean AS (
-  SELECT {mean_rows("a", "v", WIDTH_A, TRAIN)} AS ma, {mean_rows("b", "v", WIDTH_B, TRAIN)} AS mb
+def pairs_of(latent: str, width_a: int, width_b: int) -> str:
+    return f"""WITH RECURSIVE {latent}, mean AS (
+  SELECT {mean_rows("a", "v", width_a, TRAIN)} AS ma, {mean_rows("b", "v", width_b, TRAIN)} AS mb
 ), duo AS (
   SELECT a.sample_id, a.split, list_transform(a.v, lambda v, i: v - ma[i]) AS x, list_transform(b.v, lambda v, i: v - mb[i]) AS y, b.v AS t
   FROM a JOIN b ON a.sample_id = b.sample_id, mean
 ), train AS (SELECT * FROM duo WHERE split = 'train'), c AS (
-  SELECT {moments("train", "x", "x", WIDTH_A, WIDTH_A)} AS xx, {moments("train", "y", "y", WIDTH_B, WIDTH_B)} AS yy, {moments("train", "x", "y", WIDTH_A, WIDTH_B)} AS xy
+  SELECT {moments("train", "x", "x", width_a, width_a)} AS xx, {moments("train", "y", "y", width_b, width_b)} AS yy, {moments("train", "x", "y", width_a, width_b)} AS xy
 )"""
 
 
-def scored(method: str, parameters: int = WIDTH_A * WIDTH_B, symbols: int = WIDTH_A, pilots: str = "train", more: str = "") -> str:
+PAIRS = pairs_of(LATENT_SQL, WIDTH_A, WIDTH_B)
+
+
+def scored(method: str, parameters: int = WIDTH_A * WIDTH_B, symbols: int = WIDTH_A, pilots: str = "train", more: str = "", width_b: int = WIDTH_B) -> str:
     """The record of a map ``f(p)`` from centred source rows to centred target rows."""
     return f"""
 , m AS (
   SELECT sample_id, t, list_transform({transposed("p")}, lambda q, i: list_dot_product(q, x) + mb[i]) AS p FROM duo, f, mean WHERE split = 'test'
-), d AS (SELECT sample_id, unnest(range(1, {WIDTH_B + 1})) AS i, unnest(p) AS p, unnest(t) AS t FROM m), e AS (
+), d AS (SELECT sample_id, unnest(range(1, {width_b + 1})) AS i, unnest(p) AS p, unnest(t) AS t FROM m), e AS (
   SELECT sum((p - t) * (p - t)) AS e, sum(t * t) AS q, var_pop(t) * count(*) AS c, count(*) AS n FROM d GROUP BY i
 ), k AS (
   SELECT m.sample_id, 1 + count(*) FILTER (o.sample_id <> m.sample_id AND list_cosine_similarity(m.p, o.t) > list_cosine_similarity(m.p, m.t)) AS rank FROM m, m o GROUP BY m.sample_id
@@ -90,18 +94,25 @@ def polar(matrix: str, of: str) -> str:
     return f"broad AS (SELECT {matrix} AS g FROM {of})," + roots("pr", product("g", "g"), "broad") + f", polar AS (SELECT {product('pr.inv', transposed('g'))} AS q FROM pr, broad)"
 
 
-#: Whitened spaces joined by the polar factor of their cross moments.
-RIGID = PAIRS + WHITE + ", " + polar("m", "w") + f", f AS (SELECT {product(product('wx', transposed('q')), 'ry')} AS p FROM w, polar)"
-#: Whitened least squares: the gram is the identity, so the ridge only scales.
-LEAST = PAIRS + WHITE + f", f AS (SELECT {scaled(product(product('wx', transposed('m')), 'ry'), '1 / (1 + 1e-6)')} AS p FROM w)"
-#: Charts that only turn the centred spaces change nothing in an orthogonal map.
-TURNED = PAIRS + ", " + polar("xy", "c") + ", f AS (SELECT q AS p FROM polar)"
+def rigid(pairs: str = PAIRS) -> str:
+    """Whitened spaces joined by the polar factor of their cross moments."""
+    return pairs + WHITE + ", " + polar("m", "w") + f", f AS (SELECT {product(product('wx', transposed('q')), 'ry')} AS p FROM w, polar)"
+
+
+def least(pairs: str = PAIRS) -> str:
+    """Whitened least squares: the gram is the identity, so the ridge only scales."""
+    return pairs + WHITE + f", f AS (SELECT {scaled(product(product('wx', transposed('m')), 'ry'), '1 / (1 + 1e-6)')} AS p FROM w)"
+
 
+def turned(pairs: str = PAIRS) -> str:
+    """Charts that only turn the centred spaces change nothing in an orthogonal map."""
+    return pairs + ", " + polar("xy", "c") + ", f AS (SELECT q AS p FROM polar)"
 
-def canonical(reg: float) -> str:
+
+def canonical(reg: float, pairs: str = PAIRS) -> str:
     """With S the ridged roots and Q the polar factor of Sx Cxy Sy, the map over all directions is Sx (Q Sy^2 Q')^-1 Q Sy."""
     return (
-        PAIRS + "," + roots("sx", ridged("xx", reg), "c") + "," + roots("sy", ridged("yy", reg), "c")
+        pairs + "," + roots("sx", ridged("xx", reg), "c") + "," + roots("sy", ridged("yy", reg), "c")
         + f", sw AS (SELECT {product(product('sx.inv', transposed('xy')), 'sy.inv')} AS m FROM sx, sy, c), " + polar("m", "sw")
         + f", qs AS (SELECT {product('q', 'sy.inv')} AS g FROM polar, sy)," + roots("qr", product("g", "g"), "qs")
         + f", f AS (SELECT {product(product(product('sx.inv', 'qr.inv'), 'qr.inv'), transposed('g'))} AS p FROM sx, qr, qs)"
@@ -126,17 +137,30 @@ def on_pilots(method: str, n: int, seed: int) -> str:
 PILOT_SWEEP_SQL = " UNION ALL ".join(f"SELECT * FROM ({on_pilots(method, n, seed)})" for seed in (0, 1) for n in (32, 64) for method in ("procrustes", "linear"))
 
 MAP_SQL = {
-    "procrustes": RIGID + scored("procrustes"),
-    "l_ortho": RIGID + scored("l_ortho"),
-    "linear": LEAST + scored("linear"),
-    "affine": LEAST + scored("affine", WIDTH_A * WIDTH_B + WIDTH_B),
-    "pca_procrustes": TURNED + scored("pca_procrustes"),
+    "procrustes": rigid() + scored("procrustes"),
+    "l_ortho": rigid() + scored("l_ortho"),
+    "linear": least() + scored("linear"),
+    "affine": least() + scored("affine", WIDTH_A * WIDTH_B + WIDTH_B),
+    "pca_procrustes": turned() + scored("pca_procrustes"),
     "cca": canonical(1e-3) + scored("cca", WIDTH_A * WIDTH_A + WIDTH_A * WIDTH_B),
     # 99 % of the variance takes every direction of these tables, and turning the spaces changes nothing.
     "svcca": canonical(1e-4) + scored("svcca", WIDTH_A * WIDTH_A + WIDTH_A * WIDTH_B),
 }
 
 
+def _wide() -> dict[str, str]:
+    """The same maps between agents of an embedding's whole width."""
+    pairs, d = pairs_of(WIDE_SQL, WIDTH, WIDTH), WIDTH
+    made = {
+        "procrustes": (rigid(pairs), d * d), "l_ortho": (rigid(pairs), d * d), "linear": (least(pairs), d * d), "affine": (least(pairs), d * d + d),
+        "pca_procrustes": (turned(pairs), d * d), "cca": (canonical(1e-3, pairs), 2 * d * d),
+    }
+    return {f"wide_{name}": sql + scored(name, parameters, d, width_b=d) for name, (sql, parameters) in made.items()}
+
+
+WIDE_MAP_SQL = _wide()
+
+
 def cells(matrix: str, of: str) -> str:
     rows = f"SELECT unnest(range(0, len({matrix}))) AS i, unnest({matrix}) AS r FROM {of}"
     return f" SELECT CAST(i AS INTEGER) AS i, CAST(unnest(range(0, len(r))) AS INTEGER) AS j, round(unnest(r), 6) + 0.0 AS value FROM ({rows})"

@@ -39,6 +39,20 @@ for _name, _preset, _over in (
     _register(_name, _preset, **_over)
 
 
+def _register_wide(preset: str) -> None:
+    """The same between agents of all 64 numbers of an embedding each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(experiment.run_pair(spark, X.wide_a(spark, sf_dir), X.wide_b(spark, sf_dir), [preset]), *METRICS)
+
+    run.__name__ = f"wide_{preset}"
+    query(map_sql.WIDE_MAP_SQL.get(run.__name__))(run)
+
+
+for _preset in ("procrustes", "linear", "affine", "l_ortho", "pca_procrustes", "cca", "rkhs"):
+    _register_wide(_preset)
+
+
 @query()
 def rkhs_lambda_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = experiment.lambda_grid(1e-6, 1e1, 1)
