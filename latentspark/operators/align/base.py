@@ -2,8 +2,8 @@
 
 Scalers and linear maps are fitted from distributed moments. Kernel, anchor and
 neural maps need the pilots themselves; these are a calibration set whose size is
-a budget, and more than ``max_points`` of them are an error, so what reaches the
-driver is bounded.
+a budget, and what reaches the driver is bounded: more than ``max_points`` of them
+are an error for kernel and anchor maps, and are fitted where they are by neural ones.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ class Aligner:
 
     #: Whether the subclass needs the pilots themselves.
     needs_rows = False
+    #: Whether more of them than max_points are fitted as a table.
+    fits_tables = False
 
     def __init__(self, preprocess: str = "whiten", n_components: int | float | None = None, shrinkage: float | str = 0.0, max_points: int = MAX_POINTS) -> None:
         self.preprocess, self.n_components, self.shrinkage, self.max_points = preprocess, n_components, shrinkage, max_points
@@ -54,7 +56,10 @@ class Aligner:
         if self.needs_rows:
             rows = both.orderBy("sample_id").limit(self.max_points + 1).collect()
             if len(rows) > self.max_points:
-                raise ValueError(f"more than {self.max_points} pilots")
+                if not self.fits_tables:
+                    raise ValueError(f"more than {self.max_points} pilots")
+                self._fit_table(map_vectors(map_vectors(both, self.src.apply, "x", "x"), self.tgt.apply, "y", "y"))
+                return self
             self.n_pilots = len(rows)
             x, y = self.src.apply(np.array([r.x for r in rows])), self.tgt.apply(np.array([r.y for r in rows]))
             self._fit_rows(x, y, np.array([r.sample_id for r in rows]))
@@ -71,6 +76,10 @@ class Aligner:
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         raise NotImplementedError
 
+    def _fit_table(self, both: DataFrame) -> None:
+        """From standardised rows (sample_id, x, y) that stay distributed."""
+        raise NotImplementedError
+
     def _map(self, z: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 

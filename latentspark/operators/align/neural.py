@@ -1,15 +1,29 @@
-"""Neural maps: one small network on the target, or on what a rigid map leaves."""
+"""Neural maps: one small network on the target, or on what a rigid map leaves.
+
+A network is fitted by L-BFGS, whose value and gradient are sums over rows. Up to ``max_points`` pilots
+are summed on the driver. More stay where they are: each step is one pass that sends the weights to the tasks
+and adds what they return, a value and a gradient each, in two levels, so that neither one task nor
+the driver receives more than about the root of their number. Both ways minimise the same function from the same start.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from latentspark.operators.align.base import Aligner
 from latentspark.operators.align.linear import procrustes
-from latentspark.operators.blocks import map_vectors
+from latentspark.operators.blocks import cut_lineage, map_vectors, matrix, moment_matrix
 from latentspark.operators.linalg import lbfgs
 
+#: Rows of a task's sums that are worked on at a time.
+STRIP = 2048
+
 
 class Network:
     """Dense layers with tanh between, fitted by L-BFGS with a weight penalty."""
@@ -24,30 +38,64 @@ class Network:
             at += a * b + b
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
-        self.sizes = [x.shape[1], *self.hidden, y.shape[1]]
+    def sums(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Half the squared error of rows and its gradient."""
+        layers, outs = self._unpacked(flat), [x]
+        for k, (w, b) in enumerate(layers):
+            z = outs[-1] @ w + b
+            outs.append(np.tanh(z) if k < len(layers) - 1 else z)
+        back = outs[-1] - y
+        value, grads = 0.5 * float(np.sum(back**2)), []
+        for k in range(len(layers) - 1, -1, -1):
+            w = layers[k][0]
+            grads.append(np.concatenate([(outs[k].T @ back).ravel(), back.sum(axis=0)]))
+            back = (back @ w.T) * (1 - outs[k] ** 2) if k else back
+        return value, np.concatenate(grads[::-1])
+
+    def minimise(self, width: int, height: int, n: int, sums: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> Network:
+        """From the sums over n rows of a width by a function of the weights."""
+        self.sizes = [width, *self.hidden, height]
         rng = np.random.default_rng(self.seed)
         start = [np.concatenate([rng.uniform(-1, 1, a * b) * np.sqrt(6 / (a + b)), np.zeros(b)]) for a, b in zip(self.sizes, self.sizes[1:], strict=False)]
-        n = len(x)
 
         def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
-            layers, outs = self._unpacked(flat), [x]
-            for k, (w, b) in enumerate(layers):
-                z = outs[-1] @ w + b
-                outs.append(np.tanh(z) if k < len(layers) - 1 else z)
-            error = outs[-1] - y
-            value = 0.5 * np.sum(error**2) / n + 0.5 * self.alpha * sum(np.sum(w**2) for w, _ in layers) / n
-            back, grads = error / n, []
-            for k in range(len(layers) - 1, -1, -1):
-                w = layers[k][0]
-                grads.append(np.concatenate([(outs[k].T @ back + self.alpha * w / n).ravel(), back.sum(axis=0)]))
-                back = (back @ w.T) * (1 - outs[k] ** 2) if k else back
-            return value, np.concatenate(grads[::-1])
+            value, gradient = sums(flat)
+            penalty = np.concatenate([np.concatenate([w.ravel(), np.zeros(len(b))]) for w, b in self._unpacked(flat)])
+            return (value + 0.5 * self.alpha * float(penalty @ penalty)) / n, (gradient + self.alpha * penalty) / n
 
         self.flat = lbfgs(loss, np.concatenate(start), self.rounds)
         self.loss = loss(self.flat)[0]
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
+        return self.minimise(x.shape[1], y.shape[1], len(x), lambda flat: self.sums(flat, x, y))
+
+    def fit_table(self, both: DataFrame, n: int) -> Network:
+        """From n rows (x, y) of a table that lasts from step to step."""
+        first = both.select(F.size("x"), F.size("y")).first()
+        level = max(1, math.isqrt(both.rdd.getNumPartitions()))
+        context = both.sparkSession.sparkContext
+
+        def sums(flat: np.ndarray) -> tuple[float, np.ndarray]:
+            sent = context.broadcast((self, flat))
+
+            def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                network, weights = sent.value
+                value, gradient = 0.0, np.zeros(len(weights))
+                for batch in batches:
+                    for at in range(0, batch.num_rows, STRIP):
+                        part = batch.slice(at, STRIP)
+                        more = network.sums(weights, matrix(part.column("x")), matrix(part.column("y")))
+                        value, gradient = value + more[0], gradient + more[1]
+                yield pa.RecordBatch.from_pydict({"value": [value], "gradient": [gradient.tobytes()]})
+
+            tasks = both.select("x", "y").mapInArrow(of_rows, "value double, gradient binary")
+            found = tasks.repartition(level).mapInArrow(_added, "value double, gradient binary").collect() if level > 1 else tasks.collect()
+            sent.unpersist()
+            return sum(r.value for r in found), np.sum([np.frombuffer(r.gradient) for r in found if r.gradient], axis=0)
+
+        return self.minimise(*first, n, sums)
+
     def __call__(self, z: np.ndarray) -> np.ndarray:
         layers = self._unpacked(self.flat)
         for k, (w, b) in enumerate(layers):
@@ -56,8 +104,18 @@ class Network:
         return z
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    value, gradient = 0.0, None
+    for batch in batches:
+        for v, g in zip(batch.column("value").to_pylist(), batch.column("gradient").to_pylist(), strict=True):
+            value, gradient = value + v, np.frombuffer(g) if gradient is None else gradient + np.frombuffer(g)
+    if gradient is not None:
+        yield pa.RecordBatch.from_pydict({"value": [value], "gradient": [gradient.tobytes()]})
+
+
 class DirectMLPAligner(Aligner):
     needs_rows = True
+    fits_tables = True
 
     def __init__(self, hidden: tuple[int, ...] = (16,), alpha: float = 0.1, rounds: int = 200, seed: int = 0, **chart) -> None:
         super().__init__(**chart)
@@ -66,6 +124,11 @@ class DirectMLPAligner(Aligner):
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         self.network.fit(x, y)
 
+    def _fit_table(self, both: DataFrame) -> None:
+        both = cut_lineage(both)
+        self.n_pilots = both.count()
+        self.network.fit_table(both, self.n_pilots)
+
     def _map(self, z: np.ndarray) -> np.ndarray:
         return self.network(z)
 
@@ -79,6 +142,14 @@ class ResidualMLPAligner(DirectMLPAligner):
         self.q = procrustes(x.T @ y, 1.0)[0]
         self.network.fit(x, y - x @ self.q.T)
 
+    def _fit_table(self, both: DataFrame) -> None:
+        both = cut_lineage(both)
+        moment, d = moment_matrix(both, "x", "y"), self.src.out_dim
+        self.n_pilots = int(moment[0, 0])
+        self.q = q = procrustes(moment[1 : 1 + d, 1 + d :], 1.0)[0]
+        left = map_vectors(both.select("x", F.concat("x", "y").alias("y")), lambda xy: xy[:, d:] - xy[:, :d] @ q.T, "y", "y")
+        self.network.fit_table(cut_lineage(left), self.n_pilots)
+
     def _map(self, z: np.ndarray) -> np.ndarray:
         return z @ self.q.T + self.network(z)
 

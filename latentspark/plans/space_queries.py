@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from latentspark.functions import vec
 from latentspark.functions.kernels import Kernel, median_sq_dist
-from latentspark.operators import blocks, graphs, metrics, pairs, selection, spaces
+from latentspark.operators import balls, blocks, graphs, metrics, pairs, selection, spaces
 from latentspark.plans.registry import query
 from latentspark.sources import fixtures as X
 
@@ -437,6 +437,12 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(pairs.nearest(b, None, K), "d")
 
 
+@query(L + KNN + " SELECT src, dst, CAST(place AS INTEGER) AS place, round(d, 6) AS d FROM n")
+def knn_in_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by balls, pairs of which that can't hold neighbours are skipped."""
+    return _out(balls.nearest_in_balls(X.agent_b(spark, sf_dir), None, K, centres=64).rows, "d")
+
+
 @query(L + KNN + " SELECT src, dst, 1.0::DOUBLE AS w FROM duo GROUP BY src, dst HAVING count(*) = 2")
 def mutual_knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir, mutual=True)[0]

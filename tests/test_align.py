@@ -303,3 +303,48 @@ def test_rigid_stage_of_the_residual_network(spark, data):
     x, _, q = data
     a = ResidualMLPAligner(hidden=(4,), rounds=5, preprocess="center").fit(frame(spark, x), frame(spark, x @ q))
     assert np.allclose(collected(a.transform_linear(frame(spark, x))), x @ q, atol=1e-6)
+
+
+def test_independence_counts_both_bases(spark):
+    """Degrees of freedom are the product of both bases, however few correlations are sent; false alarms are as rare as their level."""
+    rng = np.random.default_rng(0)
+    chi = spark._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution
+    x, y = rng.normal(size=(2, 200, 3))
+    m = KCCAAligner(n_basis_src=6, n_basis_tgt=6, n_canonical=2, preprocess="standard").fit(frame(spark, x), frame(spark, y))
+    assert m.bases == (6, 6) and len(m.correlations) == 2 and len(m.all_correlations) == 6
+    statistic = (200 - 6.5) * -np.log1p(-(m.all_correlations**2)).sum()
+    assert m.independence_p(spark) == pytest.approx(1 - chi(36.0).cumulativeProbability(float(statistic)), abs=1e-9)
+    # 300 runs without Spark: only what _fit_rows sets is used.
+    alarms = 0
+    for _ in range(300):
+        one = KCCAAligner(n_basis_src=2, n_basis_tgt=2, kernel=Kernel("rbf"), reg=1e-8)
+        one.n_pilots = 150
+        one._fit_rows(rng.normal(size=(150, 1)), rng.normal(size=(150, 1)), np.arange(150))
+        alarms += one.independence_p(spark) < 0.05
+    assert 3 <= alarms <= 32
+
+
+@pytest.mark.parametrize("name", ["rbf", "linear", "polynomial"])
+def test_matches_of_any_kernel_are_received_with_self_similarities(spark, data, name):
+    x, y, _ = data
+    m = CKAAligner(n_anchors=12, strategy="random", decode="match", kernel=Kernel(name)).fit(frame(spark, x), frame(spark, y))
+    sent = m.self_similarity(frame(spark, x)).select("sample_id", "self_similarity").join(m.transmit(frame(spark, x)), "sample_id")
+    whole = collected(m.transform(frame(spark, x)))
+    assert np.allclose(collected(m.receive(sent, self_similarity="self_similarity")), whole, atol=1e-9)
+    if name == "rbf":
+        assert np.allclose(collected(m.receive(sent.drop("self_similarity"))), whole, atol=1e-9)
+    else:
+        with pytest.raises(ValueError):
+            m.receive(sent)
+
+
+@pytest.mark.parametrize("kind", [DirectMLPAligner, ResidualMLPAligner])
+def test_networks_of_tables_are_those_of_the_driver(spark, data, kind):
+    """Beyond max_points rows stay where they are; the fit is the same function from the same start."""
+    x, y, _ = data
+    settings = {"hidden": (5, 4), "rounds": 12, "preprocess": "whiten"}
+    one = kind(**settings).fit(frame(spark, x), frame(spark, y))
+    many = kind(**settings, max_points=50).fit(frame(spark, x), frame(spark, y))
+    assert many.n_pilots == one.n_pilots == len(x)
+    assert np.allclose(many.apply(x), one.apply(x), atol=1e-6)
+    assert many.network.loss == pytest.approx(one.network.loss, rel=1e-8)
