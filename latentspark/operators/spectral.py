@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.operators.blocks import cut_lineage
+from latentspark.operators.blocks import cut_lineage, matrix
 from latentspark.operators.linalg import fixed_signs
 
 #: Nodes up to which the eigenproblem is solved as one dense matrix on the driver.
@@ -18,8 +19,6 @@ MAX_DENSE = 3000
 MAX_BASIS_BYTES = 2 << 30
 #: Vectors held for each one wanted, at least; degree of the filter, its rounds at most, and the residual that ends them.
 SPARE, DEGREE, ROUNDS, TOLERANCE = 8, 24, 60, 1e-7
-#: Bytes of the normal equations of a functional map.
-MAX_MAP_BYTES = 16 << 30
 
 
 class _Cells:
@@ -127,25 +126,89 @@ def principal_angle_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.linalg.svd(np.linalg.qr(a)[0].T @ np.linalg.qr(b)[0], compute_uv=False), 0, 1)
 
 
-def functional_map(values_x: np.ndarray, vectors_x: np.ndarray, f_x: np.ndarray, values_y: np.ndarray, vectors_y: np.ndarray, f_y: np.ndarray, alpha: float = 1e-2, beta: float = 1e-2) -> np.ndarray:
-    """C (k_y x k_x) with C a ~ b for descriptor coefficients, commuting with Laplacians (alpha) and descriptor products (beta)."""
-    kx, ky = len(values_x), len(values_y)
-    if (kx * ky) ** 2 * 8 > MAX_MAP_BYTES:
-        raise ValueError("the map's normal equations are too large")
-    a, b = vectors_x.T @ f_x, vectors_y.T @ f_y
-    eye_x, eye_y = np.eye(kx), np.eye(ky)
-    blocks = [np.kron(a.T, eye_y)]
-    right = [b.T.ravel()]
-    if alpha:
-        blocks.append(np.sqrt(alpha) * (np.kron(np.diag(values_x), eye_y) - np.kron(eye_x, np.diag(values_y))))
-        right.append(np.zeros(kx * ky))
-    for i in range(f_x.shape[1] if beta else 0):
-        px, py = vectors_x.T @ (f_x[:, [i]] * vectors_x), vectors_y.T @ (f_y[:, [i]] * vectors_y)
-        blocks.append(np.sqrt(beta) * (np.kron(px.T, eye_y) - np.kron(eye_x, py)))
-        right.append(np.zeros(kx * ky))
-    gram = sum(m.T @ m for m in blocks)
-    rhs = sum(m.T @ r for m, r in zip(blocks, right, strict=True))
-    return np.linalg.solve(gram + 1e-12 * np.trace(gram) / len(gram) * np.eye(len(gram)), rhs).reshape(kx, ky).T
+class Spectrum(NamedTuple):
+    """What a functional map needs of one side: eigenvalues (k), coefficients of q descriptors (k x q) and their products in the basis (q x k x k)."""
+
+    values: np.ndarray
+    coefficients: np.ndarray
+    products: np.ndarray
+
+
+def spectrum_of(values: np.ndarray, phi: np.ndarray, f: np.ndarray) -> Spectrum:
+    """Of a basis and descriptors in memory."""
+    return Spectrum(values, phi.T @ f, np.einsum("ni,nq,nj->qij", phi, f, phi, optimize=True))
+
+
+def _sums_by_descriptor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Added matrices of each descriptor."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for q, cells in zip(batch.column("q").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            totals[q] = np.frombuffer(cells) + totals.get(q, 0.0)
+    if totals:
+        yield pa.RecordBatch.from_pydict({"q": pa.array(list(totals), pa.int32()), "cells": [x.tobytes() for x in totals.values()]})
+
+
+def distributed_spectrum(values: np.ndarray, basis: DataFrame, descriptors: DataFrame) -> Spectrum:
+    """The same of tables, basis (node, phi) and descriptors (sample_id, v): sums of every task, added by descriptor; no row reaches the driver."""
+    both = basis.join(descriptors.select(F.col("sample_id").alias("node"), F.col("v").cast("array<double>").alias("f")), "node").select("phi", "f")
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                phi, f = matrix(batch.column("phi")), matrix(batch.column("f"))
+                found = np.stack([np.concatenate([(phi.T @ f[:, q])[None], (phi * f[:, [q]]).T @ phi]) for q in range(f.shape[1])])
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"q": np.arange(len(total), dtype=np.int32), "cells": [x.tobytes() for x in total]})
+
+    parts = both.mapInArrow(of_task, "q int, cells binary").repartition("q").mapInArrow(_sums_by_descriptor, "q int, cells binary")
+    rows = sorted(parts.collect())
+    cells = np.array([np.frombuffer(r.cells) for r in rows]).reshape(len(rows), len(values) + 1, len(values))
+    return Spectrum(values, cells[:, 0].T, cells[:, 1:])
+
+
+def functional_map(x: Spectrum, y: Spectrum, alpha: float = 1e-2, beta: float = 1e-2, tolerance: float = 1e-12, rounds: int = 2000) -> np.ndarray:
+    """C (k_y x k_x) with C a ~ b for descriptor coefficients, commuting with Laplacians (alpha) and descriptor products (beta).
+
+    Without beta the rows of C are systems of their own. With it the normal equations are solved by conjugate gradients that
+    apply them to C as a matrix, with those systems (and what beta adds to each) as preconditioner: k_x^2 k_y numbers, never the square of k_x k_y.
+    """
+    a, b = x.coefficients, y.coefficients
+    apart = alpha * (y.values[:, None] - x.values[None]) ** 2
+    blocks = (a @ a.T)[None] + np.einsum("ij,jk->ijk", apart, np.eye(len(a)))
+    if beta:
+        own = np.einsum("qii->qi", y.products)
+        squares = np.einsum("qij,qij->i", y.products, y.products)
+        blocks = blocks + beta * (squares[:, None, None] * np.eye(len(a)) - 2 * np.einsum("qi,qjk->ijk", own, x.products) + np.einsum("qij,qjk->ik", x.products, x.products)[None])
+    ridge = 1e-12 * np.einsum("ijj->", blocks) / (len(a) * len(b))
+    factors = np.linalg.inv(blocks + ridge * np.eye(len(a)))
+
+    def normal(c: np.ndarray) -> np.ndarray:
+        out = (c @ a) @ a.T + apart * c + ridge * c
+        for sx, sy in zip(x.products, y.products, strict=True) if beta else ():
+            e = sy @ c - c @ sx
+            out = out + beta * (sy @ e - e @ sx)
+        return out
+
+    right = b @ a.T
+    c = np.einsum("ijk,ik->ij", factors, right)
+    if not beta:
+        return c
+    residual = right - normal(c)
+    z = np.einsum("ijk,ik->ij", factors, residual)
+    step, energy, start = z, np.sum(residual * z), np.linalg.norm(right)
+    for _ in range(rounds):
+        if np.linalg.norm(residual) <= tolerance * start:
+            break
+        along = normal(step)
+        t = energy / np.sum(step * along)
+        c, residual = c + t * step, residual - t * along
+        z = np.einsum("ijk,ik->ij", factors, residual)
+        energy, before = np.sum(residual * z), energy
+        step = z + energy / before * step
+    return c
 
 
 def map_similarity(c: np.ndarray) -> float:

@@ -182,7 +182,8 @@ def functional_map_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map of a space's basis to itself."""
     _, _, values, phi = _basis(spark, X.agent_b(spark, sf_dir), 12)
     f = np.random.default_rng(0).normal(size=(len(phi), 16))
-    c = spectral.functional_map(values, phi, f, values, phi, f)
+    side = spectral.spectrum_of(values, phi, f)
+    c = spectral.functional_map(side, side)
     return _cells(spark, np.round(c, 4))
 
 

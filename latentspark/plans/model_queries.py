@@ -129,14 +129,14 @@ def functional_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the map between the two agents' bases over all shared rows; beyond spectral.MAX_DENSE of them without a dense matrix."""
     a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
-    (_, vx, px), (_, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
+    (nx, vx, px), (ny, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
     anchors = selection.first_by_hash(a, 10, 3).select("sample_id")
-    descriptors = []
-    for df in (a, b):
-        rows = [r.v for r in df.join(anchors, "sample_id", "left_semi").orderBy("sample_id").collect()]
-        found = spaces.similarity_features(df.select("sample_id", "v"), rows, "descriptor").orderBy("sample_id").collect()
-        descriptors.append(np.array([r.v for r in found]))
-    return _cells(spark, spectral.functional_map(vx, px, descriptors[0], vy, py, descriptors[1]))
+    sides = []
+    for df, values, vectors, nodes in ((a, vx, px, nx), (b, vy, py, ny)):
+        rows = [r.v for r in df.join(anchors, "sample_id", "left_semi").orderBy("sample_id").collect()]  # ten anchors
+        found = spaces.similarity_features(df.select("sample_id", "v"), rows, "descriptor")
+        sides.append(spectral.distributed_spectrum(values, spectral.basis_table(spark, nodes, vectors), found))
+    return _cells(spark, spectral.functional_map(*sides))
 
 
 @query()
@@ -145,6 +145,6 @@ def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.agent_a(spark, sf_dir)
     b = X.agent_b(spark, sf_dir).join(a.select("sample_id"), "sample_id", "left_semi")
     (nodes_x, vx, px), (nodes_y, vy, py) = _basis(spark, a, 12), _basis(spark, b, 12)
-    c = spectral.functional_map(vx, px, px[:, :6], vy, py, py[:, :6])
+    c = spectral.functional_map(spectral.spectrum_of(vx, px, px[:, :6]), spectral.spectrum_of(vy, py, py[:, :6]))
     right = spectral.basis_table(spark, nodes_y, py).select(F.col("node").alias("sample_id"), F.col("phi").alias("v"))
     return pairs.nearest(spectral.mapped_basis(spectral.basis_table(spark, nodes_x, px), c), right, 1).select(F.col("src").alias("sample_id"), F.col("dst").alias("match"))

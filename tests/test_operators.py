@@ -159,7 +159,8 @@ def test_graph_isolated_node_and_spectrum(spark, points):
     assert sym.where("src = 900").collect()[0].l == 1.0
     ids, values, vectors = spectral.eigenvectors(sym.where("src <> 900"), 6)
     assert values[0] == pytest.approx(0, abs=1e-8) and (np.diff(values) >= -1e-12).all() and np.allclose(vectors.T @ vectors, np.eye(6))
-    c = spectral.functional_map(values, vectors, vectors[:, :4], values, vectors, vectors[:, :4], 1e-2, 0)
+    side = spectral.spectrum_of(values, vectors, vectors[:, :4])
+    c = spectral.functional_map(side, side, 1e-2, 0)
     assert spectral.map_similarity(c) > 0.95
     basis = spectral.basis_table(spark, ids, vectors)
     assert spectral.heat_kernel_signature(basis, values, 3).count() == 270
@@ -622,3 +623,41 @@ def test_diagnostics(spark):
     pilots_ = src.select("sample_id").orderBy("sample_id").limit(60)
     out = diagnostics.screen(spark, {"a": a, "b": b}, [("a", "b"), ("b", "a")], {"a": pilots_, "b": pilots_}, [1e-3, 1.0], extremes=1).collect()
     assert [r.place for r in out] == [0, 1] and out[0].rho <= out[1].rho and all(r.top1_gain is not None for r in out)
+
+
+def dense_map(x, y, alpha, beta):
+    """The stacked least-squares problem as one matrix of k^2 columns."""
+    kx, ky = len(x.values), len(y.values)
+    eye_x, eye_y = np.eye(kx), np.eye(ky)
+    blocks = [np.kron(eye_y, x.coefficients.T), np.sqrt(alpha) * (np.kron(np.diag(y.values), eye_x) - np.kron(eye_y, np.diag(x.values)))]
+    blocks += [np.sqrt(beta) * (np.kron(sy, eye_x) - np.kron(eye_y, sx.T)) for sx, sy in zip(x.products, y.products, strict=True)] if beta else []
+    right = np.concatenate([y.coefficients.ravel(), np.zeros(sum(len(m) for m in blocks[1:]))])
+    return np.linalg.lstsq(np.concatenate(blocks), right, rcond=None)[0].reshape(ky, kx)
+
+
+def made_sides(n, kx, ky, q, seed=0):
+    rng = np.random.default_rng(seed)
+    phi_x, phi_y = np.linalg.qr(rng.normal(size=(n, kx)))[0], np.linalg.qr(rng.normal(size=(n, ky)))[0]
+    return [(np.sort(rng.random(phi.shape[1])), phi, rng.normal(size=(n, q))) for phi in (phi_x, phi_y)]
+
+
+@pytest.mark.parametrize("beta", [0.0, 1e-2])
+def test_functional_maps_are_those_of_the_dense_problem(spark, beta):
+    (vx, px, fx), (vy, py, fy) = made_sides(60, 12, 10, 6)
+    x, y = spectral.spectrum_of(vx, px, fx), spectral.spectrum_of(vy, py, fy)
+    assert np.allclose(spectral.functional_map(x, y, 1e-2, beta), dense_map(x, y, 1e-2, beta), atol=1e-6)
+    descriptors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(fx)], "sample_id long, v array<double>").repartition(3)
+    table = spectral.distributed_spectrum(vx, spectral.basis_table(spark, np.arange(60), px), descriptors)
+    assert np.allclose(table.coefficients, x.coefficients) and np.allclose(table.products, x.products)
+
+
+def test_functional_map_of_a_hundred_by_a_hundred():
+    """Its normal equations would be a matrix of 10,000 by 10,000."""
+    (vx, px, fx), (vy, py, fy) = made_sides(300, 100, 100, 8, 1)
+    x, y = spectral.spectrum_of(vx, px, fx), spectral.spectrum_of(vy, py, fy)
+    c = spectral.functional_map(x, y, 1e-2, 1e-2)
+    slope = (c @ x.coefficients - y.coefficients) @ x.coefficients.T + 1e-2 * (vy[:, None] - vx[None]) ** 2 * c
+    for sx, sy in zip(x.products, y.products, strict=True):
+        e = sy @ c - c @ sx
+        slope = slope + 1e-2 * (sy @ e - e @ sx)
+    assert np.abs(slope).max() < 1e-7
