@@ -16,6 +16,7 @@ from latentspark.functions.kernels import Kernel, median_sq_dist
 from latentspark.operators import selection
 from latentspark.operators.align.anchors import lloyd
 from latentspark.operators.blocks import cut_lineage
+from latentspark.operators.clusterers import NOISE, Clusterer, clustered
 from latentspark.operators.spaces import mean_vectors
 
 #: Designs whose budgets are prefixes of one order.
@@ -35,8 +36,10 @@ def parse_design(name: str) -> tuple[str, int | None]:
     return head, None
 
 
-def clusters(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """df with ``cluster`` from distributed k-means (parallel starts)."""
+def clusters(df: DataFrame, k: int, seed: int = 0, clusterer: Clusterer | None = None) -> DataFrame:
+    """df with ``cluster`` from distributed k-means (parallel starts), or from a clusterer of one's own."""
+    if clusterer is not None:
+        return clustered(df, clusterer, seed)
     rows = df.withColumn("__features", array_to_vector("v"))
     return KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster", maxIter=50).fit(rows).transform(rows).drop("__features")
 
@@ -94,10 +97,6 @@ def stratified(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return chosen
 
 
-#: The cluster of rows that a clusterer leaves out.
-NOISE = -1
-
-
 def support(membership: DataFrame, n_samples: int | None = None, seed: int = 0) -> DataFrame:
     """``(anchor, sample_id)`` of the rows that an anchor's mean is taken over: all members, or ``n_samples`` by hash.
 
@@ -114,8 +113,11 @@ def prototypes(df: DataFrame, membership: DataFrame, n_samples: int | None = Non
     return mean_vectors(df.join(support(membership, n_samples, seed), "sample_id"), ["anchor"])
 
 
-def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None) -> DataFrame:
-    """``(sample_id, place)`` of n pilots of df (sample_id, v, label); all rows where n covers the pool."""
+def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None, clusterer: Clusterer | None = None) -> DataFrame:
+    """``(sample_id, place)`` of n pilots of df (sample_id, v, label); all rows where n covers the pool.
+
+    clusterer: in place of k-means in the design of that name; rows that it leaves out are no pilots.
+    """
     head, k = parse_design(strategy)
     if n <= 0:
         raise ValueError("a budget must be positive")
@@ -130,7 +132,8 @@ def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int =
         ids = selection.farthest_points(df.select("sample_id", "v"), n, selection.first_by_hash(df, 1, seed).first().sample_id)
         return spark.createDataFrame(list(enumerate(ids)), "place int, sample_id long").select("sample_id", "place")
     if head == "kmeans":
-        chosen = selection.medoids(clusters(df, n, seed).select("sample_id", "v", "cluster"), "cluster").select("sample_id")
+        said = clusters(df, n, seed, clusterer).select("sample_id", "v", "cluster").where(F.col("cluster") != NOISE)
+        chosen = selection.medoids(said, "cluster").select("sample_id")
     elif head == "stratified":
         chosen = stratified(df, n, seed)
     elif head == "classes":
