@@ -171,7 +171,7 @@ def test_stages_on_awkward_rows(spark, tmp_path, empty):
 def test_every_query_has_a_whole_result(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in queries.queries().items():
-        if name not in ("op1_embedding_dedup", "op7_packing", "op10_chat"):
+        if name not in ("op1_embedding_dedup", "op7_packing", "op10_chat", "op11_prefix_trie", "op13_whitening"):  # rows of other tables, or pieces
             assert query(spark, SF).count() == documents, name
 
 
