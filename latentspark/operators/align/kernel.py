@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from latentspark.functions.kernels import MEDIAN_ROWS, Kernel, median_of, rule_of_thumb_gamma, sq_dists
 from latentspark.operators.align.anchors import lloyd
 from latentspark.operators.align.base import Aligner
+from latentspark.operators.align.krylov import DistributedGram, KrylovSolver
 from latentspark.operators.align.linear import canonical, procrustes
 from latentspark.operators.auction import assign
-from latentspark.operators.blocks import map_vectors
+from latentspark.operators.blocks import map_vectors, matrix
 from latentspark.operators.linalg import assignment, quadratic_assignment, rank_for, relative_ridge
 
 
 #: Rows that a kernel's points and bandwidth are taken from; a larger calibration set is drawn from, and regressed on whole.
 POOL_ROWS = 2000
-#: Pilots that a kernel map may be given; their Gram takes 4.6 GB of the driver.
-MAX_PILOTS = 24_000
+#: Pilots whose Gram the driver may hold, 4.6 GB; and those of a map whose Gram stays distributed.
+MAX_PILOTS, MOST_POINTS = 24_000, 500_000
 
 
 def fitted_kernel(kernel: Kernel, x: np.ndarray) -> Kernel:
@@ -39,6 +40,13 @@ class Centred:
         self.columns, self.grand = gram.mean(axis=0), gram.mean()
         self.gram = self(points)
 
+    @classmethod
+    def by_means(cls, kernel: Kernel, points: np.ndarray, columns: np.ndarray, grand: float, center: bool = True) -> Centred:
+        """Of known means, without the points' own Gram."""
+        out = cls.__new__(cls)
+        out.kernel, out.points, out.center, out.columns, out.grand, out.gram = kernel, points, center, columns, grand, None
+        return out
+
     def centre(self, k: np.ndarray) -> np.ndarray:
         """Kernel rows to the points, centred."""
         return k - k.mean(axis=1, keepdims=True) - self.columns + self.grand if self.center else k
@@ -71,9 +79,15 @@ class ResidualSolver:
 
 
 class RKHSAligner(Aligner):
-    """A rigid map plus a kernel residual that is orthogonal to the source, f(z) = Qz + A'k(z)."""
+    """A rigid map plus a kernel residual that is orthogonal to the source, f(z) = Qz + A'k(z).
+
+    Up to ``max_points`` pilots are solved by their Gram on the driver. More, to ``MOST_POINTS``, keep it distributed: a Krylov
+    basis serves every lambda asked for (those of the grid, or the one given), and wants them not too small.
+    """
 
     needs_rows = True
+    fits_tables = True
+    spark = None
 
     def __init__(self, kernel: Kernel | None = None, lam: float | None = None, lam_grid: tuple[float, ...] = tuple(10.0**e for e in range(-8, 3)), val_fraction: float = 0.2, selection: str = "nmse", lam_scaling: str = "n", center_kernel: bool = True, orthogonal_residual: bool = True, rigid_stage: bool = True, ridge_b: float = 1e-8, seed: int = 0, max_points: int = MAX_PILOTS, **chart) -> None:
         super().__init__(max_points=max_points, **chart)
@@ -85,8 +99,36 @@ class RKHSAligner(Aligner):
     def _parts(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, Centred, ResidualSolver]:
         q = procrustes(x.T @ y, 1.0)[0] if self.rigid_stage else np.zeros((y.shape[1], x.shape[1]))
         offset = np.zeros(y.shape[1]) if self.rigid_stage else y.mean(axis=0)
-        centred = Centred(self.fitted, x, self.center_kernel)
-        return q, offset, centred, ResidualSolver(centred.gram, x, y - x @ q.T - offset, self.orthogonal, self.ridge_b)
+        residual = y - x @ q.T - offset
+        if self.spark is None:
+            centred = Centred(self.fitted, x, self.center_kernel)
+            return q, offset, centred, ResidualSolver(centred.gram, x, residual, self.orthogonal, self.ridge_b)
+        least = (min(self.lam_grid) if self.lam is None else self.lam) * (len(x) if self.lam_scaling == "n" else 1.0)
+        solver = KrylovSolver(DistributedGram(self.spark, self.fitted, x), x, residual, least, self.orthogonal, self.ridge_b, self.center_kernel)
+        return q, offset, Centred.by_means(self.fitted, x, solver.columns, solver.grand, self.center_kernel), solver
+
+    def _fit_table(self, both: DataFrame) -> None:
+        rows = both.select("sample_id", "x", "y").orderBy("sample_id").limit(MOST_POINTS + 1).toArrow()
+        if rows.num_rows > MOST_POINTS:
+            raise ValueError(f"more than {MOST_POINTS} pilots")
+        self.spark, self.n_pilots = both.sparkSession, rows.num_rows
+        self._fit_rows(matrix(rows.column("x")), matrix(rows.column("y")), rows.column("sample_id").to_numpy())
+
+    def __getstate__(self) -> dict:
+        # Tasks apply the map; they have no session, and a basis as large as its points is not sent to them.
+        return {k: v for k, v in self.__dict__.items() if k != "spark" and not (k == "solver" and self.spark is not None)}
+
+    def _residuals(self, z: np.ndarray, centred: Centred, weights: list[np.ndarray]) -> list[np.ndarray]:
+        """Centred kernel rows of z times each of the weights; distributed where the fit is."""
+        if self.spark is None:
+            k = centred(z)
+            return [k @ a for a in weights]
+        joined = np.concatenate([np.full((len(centred.points), 1), 1 / len(centred.points)), *weights], axis=1)
+        found = DistributedGram(self.spark, self.fitted, centred.points, z)(joined)
+        if centred.center:
+            sums = joined[:, 1:].sum(axis=0)
+            found[:, 1:] += -found[:, :1] * sums - centred.columns @ joined[:, 1:] + centred.grand * sums
+        return np.split(found[:, 1:], len(weights), axis=1)
 
     def _fit_rows(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
         self.fitted = fitted_kernel(self.kernel, x)
@@ -100,10 +142,9 @@ class RKHSAligner(Aligner):
         n = max(1, round(self.val_fraction * len(x)))
         held, rest = order[:n], order[n:]
         q, offset, centred, solver = self._parts(x[rest], y[rest])
-        base, k = x[held] @ q.T + offset, centred(x[held])
-        scores = []
-        for lam in self.lam_grid:
-            p = base + k @ solver.solve(lam * solver.scale(self.lam_scaling))
+        base, scores = x[held] @ q.T + offset, []
+        for moved in self._residuals(x[held], centred, [solver.solve(lam * solver.scale(self.lam_scaling)) for lam in self.lam_grid]):
+            p = base + moved
             if self.selection == "nmse":
                 scores.append(np.sum((p - y[held]) ** 2) / max(np.sum(y[held] ** 2), 1e-300))
             else:
@@ -128,6 +169,9 @@ class RKHSAligner(Aligner):
 
     def diagnostics(self) -> dict[str, float]:
         s, gram = self.solver.s, self.centred.gram
+        if gram is None:  # of a distributed fit the basis' eigenvalues alone are known
+            live = s[s > 1e-10 * s.max(initial=1e-300)]
+            return {"capacity": None, "gram_cond": float(live.max() / live.min()), "gram_flatness": None, "orthogonality": None, "lam": self.lam_used}
         live = s[s > 1e-10 * s.max(initial=1e-300)]
         g = gram @ self.a
         return {
