@@ -60,7 +60,7 @@ class RidgeProbe:
 class MLPProbe:
     """Norm, dense, tanh, norm, dense; Adam with early stopping on a held-out part. For capped training sets."""
 
-    def __init__(self, hidden: int = 64, rate: float = 3e-3, epochs: int = 60, patience: int = 8, batch: int = 64, val_fraction: float = 0.15, max_rows: int = 20_000, seed: int = 0) -> None:
+    def __init__(self, hidden: int = 512, rate: float = 3e-3, epochs: int = 60, patience: int = 8, batch: int = 64, val_fraction: float = 0.15, max_rows: int = 20_000, seed: int = 0) -> None:
         self.hidden, self.rate, self.epochs, self.patience, self.batch, self.val_fraction, self.max_rows, self.seed = hidden, rate, epochs, patience, batch, val_fraction, max_rows, seed
 
     @staticmethod

@@ -149,6 +149,22 @@ def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int =
     return chosen.select("sample_id", F.lit(None).cast("int").alias("place"))
 
 
+#: What a repeat adds to a study's seed.
+REPEAT = 1000
+
+
+def draw_pilots(df: DataFrame, budget: int, strategy: str, repeat: int, seed: int = 0, pool_size: int | None = None, kernel: Kernel | None = None) -> DataFrame:
+    """``(sample_id, place)`` of one repeat of a cell: a pool drawn anew by hash, and the design within it, both by seed + 1000 repeat.
+
+    A design that gives one answer for a pool so varies from repeat to repeat. pool_size None, or beyond the table: the whole table.
+    """
+    own = seed + REPEAT * repeat
+    pool = df
+    if pool_size is not None:
+        pool = df.join(selection.first_by_hash(df.select("sample_id"), pool_size, own).select("sample_id"), "sample_id", "left_semi")
+    return select_pilots(pool, budget, strategy, own, kernel)
+
+
 def select_pilot_path(df: DataFrame, budgets: Sequence[int], strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None) -> DataFrame:
     """``(budget, sample_id)``: one run of a nested design cut at every budget, or a run for each of the others."""
     if strategy in NESTED:

@@ -142,6 +142,21 @@ def split_columns(rows: DataFrame, keep: Sequence[str], methods: Sequence[str],
     return rows.selectExpr(*keep, f"stack({len(methods) * len(metrics)}, {parts}) AS (method, metric, value)")
 
 
+def read_back(rows: DataFrame, keys: Sequence[str], methods: Sequence[str], swept: str, metrics: Sequence[str], select: str, written: str) -> DataFrame:
+    """``(keys..., lam, method, metric, value)`` of each cell's row of the largest ``{select}_mean``, the lambda that the swept method would be run at.
+
+    Several files may hold rows of a cell: of equal ones the first by ``written`` counts, and rows without the metric don't.
+    The swept method's values are in ``{metric}_mean``, those of others in ``{method}_{metric}``; a column that isn't there is an error.
+    """
+    found = rows.where(F.col(f"{select}_mean").isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(f"{select}_mean"), written, "lam"))
+    best = found.withColumn("_place", place).where("_place = 1").drop("_place")
+    if lacking := [f"{x}_mean" for x in metrics if f"{x}_mean" not in rows.columns]:
+        raise ValueError(f"columns that the records lack: {lacking}")
+    own = best.withColumns({f"{swept}_{x}": F.col(f"{x}_mean") for x in metrics})
+    return split_columns(own, [*keys, "lam"], methods, metrics)
+
+
 def beside(rows: DataFrame, baselines: DataFrame, methods: Sequence[str], keys: Sequence[str], metric: str) -> DataFrame:
     """Each row with the baselines' metric of its keys as columns ``{method}_{metric}``."""
     wide = baselines.groupBy(*keys).pivot("method", list(methods)).agg(F.avg(metric))

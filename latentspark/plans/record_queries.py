@@ -185,6 +185,17 @@ def read_back_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(R.split_columns(wide, ["pairs", "log_lam"], ["herding", "random", "kmeans"], ["score"]), "value")
 
 
+@query(REC + """, w AS (
+  SELECT pairs, n_pilots, log_lam AS lam, avg(score) FILTER (strategy = 'herding') AS herding_score, avg(score) FILTER (strategy = 'random') AS random_score, avg(score) FILTER (strategy = 'kmeans') AS score_mean FROM r GROUP BY ALL
+), best AS (SELECT * FROM w WHERE score_mean IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pairs, n_pilots ORDER BY score_mean DESC, lam) = 1)
+SELECT pairs, n_pilots, lam, method, 'score' AS metric, round(CASE method WHEN 'herding' THEN herding_score WHEN 'random' THEN random_score ELSE score_mean END, 6) AS value FROM best, (SELECT unnest(['herding', 'random', 'kmeans']) AS method)""")
+def read_back_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each cell the lambda of the best mean score, with the scores of the swept method and of the others beside it."""
+    r, of = X.records(spark, sf_dir), lambda m: F.avg(F.when(F.col("strategy") == m, F.col("score")))
+    wide = r.groupBy("pairs", "n_pilots", F.col("log_lam").alias("lam")).agg(of("herding").alias("herding_score"), of("random").alias("random_score"), of("kmeans").alias("score_mean"))
+    return _round(R.read_back(wide, ["pairs", "n_pilots"], ["herding", "random", "kmeans"], "kmeans", ["score"], "score", "lam"), "value")
+
+
 @query(REC + " SELECT event_id, method, strategy FROM r WHERE strategy <> 'kmeans' AND NOT (method = (SELECT min(method) FROM r) AND strategy = 'random')".replace("strategy <> 'kmeans' AND ", ""))
 def drop_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = X.records(spark, sf_dir)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.functions import vec
 from latentspark.functions.kernels import Kernel, median_sq_dist
-from latentspark.operators import balls, blocks, graphs, metrics, pairs, selection, spaces
+from latentspark.operators import balls, blocks, graphs, metrics, pairs, pilots, selection, spaces
 from latentspark.plans.registry import query
 from latentspark.sources import fixtures as X
 
@@ -250,6 +252,15 @@ def fps_first_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picks(spark, selection.farthest_points(a, 4, selection.first_by_hash(a, 1).first().sample_id))
 
 
+@query(L + ", s AS (SELECT unnest([0, 1, 2]) AS repeat), p AS (SELECT repeat, sample_id, row_number() OVER (PARTITION BY repeat ORDER BY md5((7 + 1000 * repeat) || ':' || sample_id), sample_id) AS place FROM a, s WHERE split = 'train') "
+  "SELECT CAST(repeat AS INTEGER) AS repeat, sample_id, CAST(place - 1 AS INTEGER) AS place FROM p WHERE place <= 40")
+def drawn_pilots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three repeats of a random design, each in a pool of its own."""
+    train = blocks.cut_lineage(X.agent_a(spark, sf_dir).where("split = 'train'"))
+    parts = [pilots.draw_pilots(train, 40, "random", k, 7, 120).withColumn("repeat", F.lit(k)) for k in range(3)]
+    return functools.reduce(DataFrame.union, parts)
+
+
 #: Picks of whole greedy paths: a design's budget rather than its first steps.
 PATH = 64
 #: Rows of a matrix over the pool as lists, by id.
