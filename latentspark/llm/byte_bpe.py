@@ -45,11 +45,11 @@ from latentspark.llm.common import in_one_column
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words whose ids are looked up, and the longest of them.
-KNOWN_WORDS, KNOWN_CHARS = 300_000, 32
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 32
 #: Bytes that are folded at once.
 CHUNK = 48
-#: Maps of the literal of ranks, and strings of that of words, by CRC-32: six pieces, or two or three words, each on average.
-RANK_MAPS, WORD_LISTS = 8_192, 131_072
+#: Maps of the literal of ranks, and strings of that of words, by CRC-32: six of either each, on average.
+RANK_MAPS, WORD_LISTS = 8_192, 32_768
 #: What stands before and behind a word in those strings, and so in no word that they hold.
 BEFORE, BEHIND = "\x01", "\x02"
 #: No rank: above every id.
