@@ -6,6 +6,7 @@ import pytest
 from latentspark.functions.kernels import Kernel, median_of
 from latentspark.operators.align.kernel import Centred, ResidualSolver, RKHSAligner
 from latentspark.operators.align.krylov import DistributedGram, KrylovSolver
+from latentspark.operators.diagnostics import alternating_fit
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,23 @@ def test_maps_beyond_the_drivers_gram(spark, data):
     mapped = np.array([r.v for r in many.transform(frame(spark, x[:20])).orderBy("sample_id").collect()])
     assert np.allclose(mapped, one.apply(x[:20]), atol=1e-6)
     assert many.diagnostics()["lam"] == one.lam_used
+
+
+def test_a_gram_beyond_the_drivers_share_stays_distributed(spark, data, monkeypatch):
+    """Pilots within max_points whose Gram the driver should not hold; its values at the pilots come by products."""
+    x, y = data
+    one = RKHSAligner(lam=1e-2).fit(frame(spark, x), frame(spark, y))
+    monkeypatch.setattr("latentspark.operators.align.kernel.MAX_GRAM", 100)
+    many = RKHSAligner(lam=1e-2).fit(frame(spark, x), frame(spark, y))
+    assert isinstance(many.solver, KrylovSolver) and many.centred.gram is None
+    assert np.allclose(many.residual_rows(many.x), one.centred.gram @ one.a, atol=1e-6)
+    # A smaller lambda than the basis was made for widens it.
+    assert np.allclose(many.set_lam(1e-4).apply(x), one.set_lam(1e-4).apply(x), atol=1e-6)
+
+
+def test_alternating_stages_beyond_the_drivers_gram(spark, data, monkeypatch):
+    x, y = data
+    one = alternating_fit(frame(spark, x), frame(spark, y), lam=1e-2, rounds=3, orthogonal=True)
+    monkeypatch.setattr("latentspark.operators.align.kernel.MAX_GRAM", 100)
+    many = alternating_fit(frame(spark, x), frame(spark, y), lam=1e-2, rounds=3, orthogonal=True)
+    assert all(np.isclose(a[c], b[c], atol=1e-6) for a, b in zip(one, many, strict=True) for c in a)
