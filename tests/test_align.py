@@ -348,3 +348,31 @@ def test_networks_of_tables_are_those_of_the_driver(spark, data, kind):
     assert many.n_pilots == one.n_pilots == len(x)
     assert np.allclose(many.apply(x), one.apply(x), atol=1e-6)
     assert many.network.loss == pytest.approx(one.network.loss, rel=1e-8)
+
+
+@pytest.mark.parametrize("settings", [{"strategy": "random", "prune_threshold": 0.7, "n_subspaces": 3}, {"strategy": "random", "decode": "ridge", "n_anchors": 9}])
+def test_drawn_anchors_of_tables_are_those_of_the_driver(spark, data, settings):
+    """Beyond max_points rows stay where they are, and no number of them is an error."""
+    x, y, _ = data
+    one, many = (RelativeAligner(**settings, max_points=n).fit(frame(spark, x), frame(spark, y)) for n in (4000, 50))
+    assert np.allclose(many.apply(x), one.apply(x), atol=1e-8)
+    assert many.summary() == one.summary()
+
+
+@pytest.mark.parametrize("kind,settings,used", [(RelativeAligner, {"parseval": True}, 8), (RelativeAligner, {"anchor_transfer": "prototypes", "n_prototype_samples": 3}, 24), (PPFEAligner, {}, None), (CKAAligner, {}, None)])
+def test_clustered_anchors_of_tables(spark, kind, settings, used):
+    """Of rows in clear clusters any k-means finds the same anchors."""
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(8, 5)) * 50, 20, axis=0) + rng.normal(size=(160, 5)) * 0.01
+    y = x @ rng.normal(size=(5, 5))
+    one, many = (kind(n_anchors=8, preprocess="center", max_points=n, **settings).fit(frame(spark, x), frame(spark, y)) for n in (4000, 50))
+    assert many.paired_samples_used == (used or 160) and many.transmitted_symbols == one.transmitted_symbols == 8
+    assert np.abs(many.apply(x) - one.apply(x)).max() < 1e-3 * np.abs(one.apply(x)).max()
+
+
+@pytest.mark.parametrize("kind,settings", [(CKAAligner, {"n_anchors": 20, "strategy": "random"}), (CKAAligner, {"n_anchors": 20, "strategy": "random", "readout": "target"}), (CKAAligner, {"n_anchors": 12, "strategy": "random", "decode": "match"}), (KCCAAligner, {"n_canonical": 3}), (KCCAAligner, {"readout": "target", "pool_rows": 60})])
+def test_kernel_channels_of_tables_are_those_of_the_driver(spark, data, kind, settings):
+    x, y, _ = data
+    one, many = (kind(**settings, max_points=n).fit(frame(spark, x), frame(spark, y)) for n in (24_000, 50))
+    assert np.allclose(many.apply(x), one.apply(x), atol=1e-5)
+    assert many.summary() == one.summary()
