@@ -661,3 +661,31 @@ def test_functional_map_of_a_hundred_by_a_hundred():
         e = sy @ c - c @ sx
         slope = slope + 1e-2 * (sy @ e - e @ sx)
     assert np.abs(slope).max() < 1e-7
+
+
+def test_pairs_of_full_blocks_are_met_in_bounded_memory(monkeypatch):
+    """Cells of a pair of the largest blocks are made a strip at a time, in memory that is a small part of all of them."""
+    import tracemalloc
+
+    found = {}
+    monkeypatch.setattr(pairs, "pack_blocks", lambda *a, **k: None)
+    monkeypatch.setattr(pairs, "for_block_pairs", lambda left, right, work, schema: found.update(work=work) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        pairs.nearest(None, None, 4)
+    rng = np.random.default_rng(0)
+    v = np.round(rng.normal(size=(2, 8192, 3)), 1)  # ties
+    a, b = (blocks.Block((np.arange(8192) * 2 + k).tobytes(), 8192, v[k].tobytes(), b"") for k in range(2))
+    tracemalloc.start()
+    parts = list(found["work"](a, b, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160_000_000  # all cells are 537 MB; strips of 1,024 rows took 224
+    back = {c: np.concatenate([p[c] for p in parts]) for c in ("src", "dst")}
+    some = back["src"] % 2 == 1
+    near = {}
+    for src, dst in zip(back["src"][some].tolist(), back["dst"][some].tolist(), strict=True):
+        near.setdefault(src, set()).add(dst)
+    for j in (0, 1, 4000, 8191):
+        d = np.sqrt(pairs.sq_dists(v[0], v[1][[j]]))[:, 0]
+        order = np.lexsort((a.ids, np.round(d, 9)))[:4]
+        assert near[int(b.ids[j])] == set(a.ids[order].tolist()) or np.isclose(np.sort(d)[3], np.sort(d)[4])
