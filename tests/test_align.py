@@ -11,7 +11,7 @@ from latentspark.operators.align.anchors import PPFEAligner, RelativeAligner, pa
 from latentspark.operators.align.base import Aligner
 from latentspark.operators.align.kernel import Centred, CKAAligner, KCCAAligner, ResidualSolver, RKHSAligner, local_cka
 from latentspark.operators.align.linear import CCAAligner, LinearAligner, ProcrustesAligner, SVCCAAligner
-from latentspark.operators.align.neural import DirectMLPAligner, ResidualMLPAligner
+from latentspark.operators.align.neural import DirectMLPAligner, Network, ResidualMLPAligner
 from latentspark.operators.decoders import MLPProbe, RidgeProbe
 from latentspark.operators.scaling import Scaler, ledoit_wolf, sphere_exp, sphere_log
 
@@ -376,3 +376,20 @@ def test_kernel_channels_of_tables_are_those_of_the_driver(spark, data, kind, se
     one, many = (kind(**settings, max_points=n).fit(frame(spark, x), frame(spark, y)) for n in (24_000, 50))
     assert np.allclose(many.apply(x), one.apply(x), atol=1e-5)
     assert many.summary() == one.summary()
+
+
+def test_a_step_of_a_tables_network_is_one_stage(spark, data, monkeypatch):
+    """A step of few tasks has no shuffle, and one of many adds in two levels to the same sums."""
+    x, y, _ = data
+    both = spark.createDataFrame([(u.tolist(), v.tolist()) for u, v in zip(x, y, strict=True)], "x array<double>, y array<double>")
+    tracker, fits, stages = spark.sparkContext.statusTracker(), [], []
+    for few in (16, 1):
+        monkeypatch.setattr("latentspark.operators.align.neural.FEW_TASKS", few)
+        group, seen = f"network-{few}", []
+        spark.sparkContext.setJobGroup(group, group)
+        net = Network((4,), rounds=3)
+        net.fit_table(both, len(x))
+        seen = tracker.getJobIdsForGroup(group)
+        stages.append(len(tracker.getJobInfo(max(seen)).stageIds))
+        fits.append(net.flat)
+    assert stages == [1, 2] and np.allclose(*fits, atol=1e-9)
