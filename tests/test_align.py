@@ -393,3 +393,15 @@ def test_a_step_of_a_tables_network_is_one_stage(spark, data, monkeypatch):
         stages.append(len(tracker.getJobInfo(max(seen)).stageIds))
         fits.append(net.flat)
     assert stages == [1, 2] and np.allclose(*fits, atol=1e-9)
+
+
+def test_a_probe_learns_from_any_number_of_rows(spark):
+    """Beyond max_rows rows stay where they are, and reruns agree."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 3, 600)
+    x = rng.normal(size=(600, 4)) + 3 * np.eye(3, 4)[y]
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]) + 5) for i in range(600)], "sample_id long, v array<double>, label long").repartition(3)
+    one, two = (MLPProbe(hidden=16, epochs=15, max_rows=200).fit(df) for _ in range(2))
+    out = one.classify(df).toPandas()
+    assert (out.label == out.predicted).mean() > 0.9
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(one.weights, two.weights, strict=True))
