@@ -7,11 +7,12 @@ linear before pooling, scoring looks up each piece's filter responses in one
 table and adds them; long texts are scored by windows that overlap, so memory is
 bounded by ``CHUNK`` words.
 
-Training takes at most ``MAX_PER_CLASS`` documents of each class, chosen by a
-hash of doc_id over all labelled rows outside the held-out fold, and of them, in the
-hash's order, those whose words fit ``MAX_TRAIN_WORDS`` (no text is cut), and corrects the
-score for the true share of toxic rows. Thresholds are calibrated by language on
-a part of that sample kept from training; language never enters a score.
+Training learns every labelled row outside the held-out fold. Up to ``MAX_PER_CLASS`` rows
+of each class and ``MAX_TRAIN_WORDS`` words lie on the driver. More stay where they are: the
+network starts from that many rows, chosen by a hash of doc_id (no text is cut), its score
+corrected for the true share of toxic rows, and then goes ``PASSES`` times through all rows,
+each task through its own and the weights they reach averaged by rows. Thresholds are calibrated by language on
+a fifth of all those rows, which is kept from training; language never enters a score.
 
 Defined cases: a null or empty text has no words and gets the score of an empty
 text; with no labels of both classes every score is the share of toxic labels
@@ -23,12 +24,14 @@ other columns are not read.
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,15 @@ PIECES = 3
 MAX_PER_CLASS = 4000
 EPOCHS = 8
 BATCH = 64
+#: Passes over all labelled rows where they are more than the driver takes, by at most so many tasks.
+PASSES = 2
+LEARNERS = 64
+#: Labelled ids up to which they are sent to the texts; beyond it the texts are shuffled once.
+MAX_SENT = 2_000_000
+#: Words of a step of such a pass, at most; a longer text is a step of its own.
+STEP_WORDS = 1 << 18
+#: Parts of the score's range by which calibration rows are counted.
+BINS = 100_000
 RATE = 0.035
 DECISION = 0.3
 MIN_CALIBRATION = 60
@@ -153,23 +165,40 @@ class ConvNet:
         by_bucket = np.add.reduceat(shares, first, axis=0) if len(first) else shares
         return error @ hidden, back.sum(axis=0), float(error.sum()), by_filter, touched, by_bucket
 
+    def start(self) -> None:
+        """Forgets the squared gradients by which steps shrink."""
+        self.squares = [np.full_like(v, 1e-6) for v in (self.out, self.bias, *self.filters)]
+        self.bias_square, self.bucket_squares = 1e-6, np.full_like(self.embedding, 1e-6)
+
+    def step(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
+        """A step of Adagrad on the logistic loss."""
+        out, bias, out_bias, filters, touched, buckets = self.gradients(texts, labels)
+        for grad, value, square in zip([out, bias, *filters], [self.out, self.bias, *self.filters], self.squares, strict=True):
+            square += grad**2
+            value -= RATE * grad / np.sqrt(square)
+        self.bias_square += out_bias**2
+        self.out_bias -= RATE * out_bias / np.sqrt(self.bias_square)
+        self.bucket_squares[touched] += buckets**2
+        self.embedding[touched] -= RATE * buckets / np.sqrt(self.bucket_squares[touched])
+
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> ConvNet:
-        """Adagrad on the logistic loss."""
         rng = np.random.default_rng(seed)
-        values = [self.out, self.bias, *self.filters]
-        squares, bias_square, bucket_squares = [np.full_like(v, 1e-6) for v in values], 1e-6, np.full_like(self.embedding, 1e-6)
+        self.start()
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for start in range(0, len(order), BATCH):
                 some = order[start : start + BATCH]
-                out, bias, out_bias, filters, touched, buckets = self.gradients([texts[k] for k in some], labels[some])
-                for grad, value, square in zip([out, bias, *filters], values, squares, strict=True):
-                    square += grad**2
-                    value -= RATE * grad / np.sqrt(square)
-                bias_square += out_bias**2
-                self.out_bias -= RATE * out_bias / np.sqrt(bias_square)
-                bucket_squares[touched] += buckets**2
-                self.embedding[touched] -= RATE * buckets / np.sqrt(bucket_squares[touched])
+                self.step([texts[k] for k in some], labels[some])
+        return self
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([np.ravel(v).astype(np.float32) for v in (self.out_bias, self.out, self.bias, *self.filters, self.embedding)])
+
+    def with_weights(self, flat: np.ndarray) -> ConvNet:
+        self.out_bias, at = float(flat[0]), 1
+        for v in (self.out, self.bias, *self.filters, self.embedding):
+            v[...] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
         return self
 
     def scorer(self, shift: float = 0.0) -> Scorer:
@@ -242,11 +271,86 @@ def _affordable(packed: DataFrame, max_words: int) -> DataFrame:
     return packed.sparkSession.createDataFrame(taken, "doc_id long")
 
 
+def _is_apart(doc_id: int) -> bool:
+    """Whether a labelled row is kept from training for the thresholds."""
+    return zlib.crc32(str(doc_id).encode()) // 4 % CALIBRATION_PART == 0
+
+
+def _steps(texts: list[np.ndarray], order: np.ndarray) -> Iterator[np.ndarray]:
+    """order in runs of at most BATCH texts and STEP_WORDS words, or of one text."""
+    start, words = 0, 0
+    for at, k in enumerate(order):
+        if at > start and (at - start == BATCH or words + len(texts[k]) > STEP_WORDS):
+            yield order[start:at]
+            start, words = at, 0
+        words += len(texts[k])
+    if len(order):
+        yield order[start:]
+
+
+def _learned(net: ConvNet, rows: DataFrame, at: int) -> ConvNet:
+    """net after a pass over rows (toxic, text): each task goes on from the same weights, and what they reach is averaged by rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task, n = copy.deepcopy(sent.value), TaskContext.get().partitionId(), 0
+        for k, batch in enumerate(batches):
+            texts, toxic = [packed_words(t) for t in batch.column("text").to_pylist()], batch.column("toxic").to_numpy().astype(np.float32)
+            for some in _steps(texts, np.random.default_rng([at, task, k]).permutation(len(texts))):
+                own.step([texts[x] for x in some], toxic[some])
+            n += len(texts)
+        if n:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "n": [n], "weights": [own.weights().tobytes()]})
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = 0.0, 0
+        for batch in batches:
+            for n, weights in zip(batch.column("n").to_pylist(), batch.column("weights"), strict=True):
+                total, rows = total + n * np.frombuffer(weights.as_py(), np.float32).astype(float), rows + n
+        if rows:
+            yield pa.RecordBatch.from_pydict({"weights": [(total / rows).astype(np.float32).tobytes()]})
+
+    # A network a task, at most LEARNERS of them, added in one order.
+    parts = rows.coalesce(LEARNERS).mapInArrow(of_task, "task int, n long, weights binary")
+    found = parts.repartition(1).sortWithinPartitions("task").mapInArrow(averaged, "weights binary").collect()
+    sent.unpersist()
+    return copy.deepcopy(net).with_weights(np.frombuffer(found[0].weights, np.float32)) if found else net
+
+
+def _threshold_of_bins(bins: list) -> float:
+    """best_threshold of counted scores (n, toxic, least, most)."""
+    bins = sorted(bins, key=lambda r: -r.least)
+    hits, n = np.cumsum([r.toxic for r in bins]), np.cumsum([r.n for r in bins])
+    k = int(np.argmax(2 * hits / (n + max(1, hits[-1]))))
+    return float((bins[k].least + (bins[k + 1].most if k + 1 < len(bins) else 0.0)) / 2)
+
+
+def _calibrated(scorer: Scorer, rows: DataFrame) -> dict[str | None, float]:
+    """Thresholds from all of rows (lang, toxic, text): counts of each part of the score's range reach the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [sent.value.score(packed_words(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(scores, pa.float64())], ["lang", "toxic", "score"])
+
+    scored = cut_lineage(rows.select("lang", "toxic", "text").mapInArrow(score, "lang string, toxic int, score double"))
+    counts = (F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("score").alias("least"), F.max("score").alias("most"))
+    place = F.floor(F.col("score") * BINS).alias("bin")
+    found = scored.groupBy(place).agg(*counts).collect()
+    thresholds: dict[str | None, float] = {None: _threshold_of_bins(found) if found else DECISION}
+    own = scored.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where((F.col("n") >= MIN_CALIBRATION) & F.col("t").between(1, F.col("n") - 1))
+    by_lang: dict[str, list] = {}
+    for r in scored.join(F.broadcast(own.select("lang")), "lang").groupBy("lang", place).agg(*counts).collect():
+        by_lang.setdefault(r.lang, []).append(r)
+    return thresholds | {lang: _threshold_of_bins(bins) for lang, bins in by_lang.items()}
+
+
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_words: int = MAX_TRAIN_WORDS) -> tuple[Scorer | ConstantScorer, dict[str | None, float]]:
     """A scorer and the threshold of each language (None: of all)."""
     bound_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int")).where(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1))
-    marks = marks.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+    marks = cut_lineage(marks.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if min(sizes.get(0, 0), sizes.get(1, 0)) == 0:
@@ -257,18 +361,27 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "lang", "toxic", "text")
     packed_rows = cut_lineage(rows.mapInArrow(_pack_batches, "doc_id long, lang string, toxic int, words array<long>"))
     got = packed_rows.join(F.broadcast(_affordable(packed_rows, max_words)), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending")])
+    whole = max(sizes.values()) <= max_per_class and got.num_rows == packed_rows.count()
     toxic = got.column("toxic").to_numpy()
     packed = [np.asarray(x.values.to_numpy() if x.is_valid else [], np.int64) for x in got.column("words")]
     lang = got.column("lang").to_pylist()
-    if not 0 < toxic.sum() < len(toxic):  # no text of one class fits
+    both = 0 < toxic.sum() < len(toxic)
+    if whole and not both:  # no text of one class
         return ConstantScorer(share), {None: DECISION}
-    apart = np.array([zlib.crc32(str(d).encode()) // 4 % CALIBRATION_PART == 0 for d in got.column("doc_id").to_pylist()])
+    apart = np.array([_is_apart(d) for d in got.column("doc_id").to_pylist()], bool)
     if not 0 < toxic[~apart].sum() < (~apart).sum():
         apart[:] = False
     learned = np.flatnonzero(~apart)
-    net = ConvNet().fit([packed[k] for k in learned], toxic[learned].astype(np.float32))
-    seen = toxic[learned].mean()
-    scorer = net.scorer(float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))))
+    net, shift = ConvNet(), 0.0
+    net.start()
+    if both:
+        net.fit([packed[k] for k in learned], toxic[learned].astype(np.float32))
+        seen = toxic[learned].mean()
+        shift = float(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
+    if not whole:
+        net.out_bias += shift
+        return _train_all(net, texts, marks, sum(sizes.values()))
+    scorer = net.scorer(shift)
     held = np.flatnonzero(apart) if apart.any() else learned
     scores = np.array([scorer.score(packed[k]) for k in held])
     thresholds: dict[str | None, float] = {None: best_threshold(scores, toxic[held])}
@@ -279,6 +392,21 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     return scorer, thresholds
 
 
+def _train_all(net: ConvNet, texts: DataFrame, marks: DataFrame, n: int) -> tuple[Scorer | ConstantScorer, dict[str | None, float]]:
+    """net gone through all labelled texts, and thresholds of all of them that are kept apart."""
+    sent = n <= MAX_SENT
+    rows = texts.join(F.broadcast(marks) if sent else marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "lang", "toxic", "text")
+    if not sent:
+        rows = cut_lineage(rows)
+    apart = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % CALIBRATION_PART == 0
+    sizes = {(r.apart, r.toxic): r["count"] for r in marks.select(F.col("label_id").alias("doc_id"), "toxic").groupBy(apart.alias("apart"), "toxic").count().collect()}
+    kept = all(sizes.get((False, t)) for t in (0, 1)) and any(sizes.get((True, t)) for t in (0, 1))
+    for at in range(PASSES):
+        net = _learned(net, rows.where(~apart).select("toxic", "text") if kept else rows.select("toxic", "text"), at)
+    scorer = net.scorer()
+    return scorer, _calibrated(scorer, rows.where(apart) if kept else rows)
+
+
 def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, thresholds = shared.value
