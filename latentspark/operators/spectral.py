@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,91 +16,148 @@ from latentspark.operators.linalg import fixed_signs
 
 #: Nodes up to which the eigenproblem is solved as one dense matrix on the driver.
 MAX_DENSE = 3000
-#: Bytes of the vectors that the driver holds for larger graphs; beyond them it is an error.
+#: Bytes of the eigenvectors that the driver returns; beyond them it is an error.
 MAX_BASIS_BYTES = 2 << 30
 #: Vectors held for each one wanted, at least; degree of the filter, its rounds at most, and the residual that ends them.
 SPARE, DEGREE, ROUNDS, TOLERANCE = 8, 24, 60, 1e-7
+#: Rows of a part at least, and those that a task multiplies at a time.
+PART_ROWS, PRODUCT_ROWS = 1000, 4096
 
 
 class _Cells:
-    """A symmetric matrix as packed parts of its cells, multiplied part by part where they are."""
+    """A symmetric matrix in parts of its rows, and vectors that lie beside them: a product sends each part the rows it needs of the others."""
 
     def __init__(self, cells: DataFrame, nodes: np.ndarray) -> None:
-        spark = cells.sparkSession
-        self.context, self.n = spark.sparkContext, len(nodes)
+        self.context, self.n = cells.sparkSession.sparkContext, len(nodes)
+        self.count = count = max(1, min(self.context.defaultParallelism, -(-len(nodes) // PART_ROWS)))
+        bounds = np.linspace(0, len(nodes), count + 1).astype(np.int64)
         shared = self.context.broadcast(nodes)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    src, dst = (np.searchsorted(shared.value, batch.column(c).to_numpy()).astype(np.int32) for c in ("src", "dst"))
-                    yield pa.RecordBatch.from_pydict({"src": [src.tobytes()], "dst": [dst.tobytes()], "l": [batch.column("l").to_numpy().tobytes()]})
-
-        # Cells of a row lie together, so that a part returns few rows.
-        near = cells.select("src", "dst", F.col("l").cast("double")).repartitionByRange(F.col("src"))
-        self.parts = cut_lineage(near.mapInArrow(pack, "src binary, dst binary, l binary"))
-        self.top = float(cells.groupBy("src").agg(F.sum(F.abs("l")).alias("s")).agg(F.max("s")).first()[0])
-
-    def __matmul__(self, x: np.ndarray) -> np.ndarray:
-        shared = self.context.broadcast(x)
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    src, dst = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("src", "dst"))
-                    rows, place = np.unique(src, return_inverse=True)
-                    out = np.zeros((len(rows), shared.value.shape[1]))
-                    np.add.at(out, place, np.frombuffer(batch.column("l")[k].as_py())[:, None] * shared.value[dst])
-                    yield pa.RecordBatch.from_pydict({"rows": [rows.astype(np.int32).tobytes()], "out": [out.tobytes()]})
-
-        total = np.zeros_like(x)
-        for r in self.parts.mapInArrow(multiply, "rows binary, out binary").toLocalIterator():
-            rows = np.frombuffer(r.rows, np.int32)
-            total[rows] += np.frombuffer(r.out).reshape(len(rows), -1)
-        shared.unpersist()
-        return total
-
-
-def _filtered(cells: _Cells, x: np.ndarray, low: float) -> np.ndarray:
-    """x with its parts along eigenvalues below ``low`` enlarged, by a Chebyshev polynomial that is small from low to the top."""
-    middle, half = (cells.top + low) / 2, (cells.top - low) / 2
-    before, now = x, (cells @ x - middle * x) / half
-    for _ in range(DEGREE - 1):
-        before, now = now, 2 * (cells @ now - middle * now) / half - before
-        size = np.abs(now).max()
-        before, now = before / size, now / size
-    return now
-
-
-def _smallest(cells: _Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs, equal ones included, by rounds of filtering a block and solving in its span."""
+                src, dst = (np.searchsorted(shared.value, batch.column(c).to_numpy()) for c in ("src", "dst"))
+                part, l = np.searchsorted(bounds, src, "right") - 1, batch.column("l").to_numpy()
+                for p in np.unique(part):
+                    some = part == p
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "src": [(src[some] - bounds[p]).tobytes()], "dst": [dst[some].tobytes()], "l": [l[some].tobytes()]})
+
+        def rows_of(found: Iterable) -> tuple[np.ndarray, ...]:
+            """First cell of each row, cells by row, their columns among those needed, and these."""
+            src, dst, l = (np.concatenate([np.frombuffer(f[k], kind) for f in found]) for found in [list(found)] for k, kind in enumerate((np.int64, np.int64, np.float64)))
+            order = np.lexsort((dst, src))
+            src, dst, l = src[order], dst[order], l[order]
+            needed, column = np.unique(dst, return_inverse=True)
+            return np.flatnonzero(np.diff(src, prepend=-1)), l, column, needed
+
+        packed = cells.select("src", "dst", F.col("l").cast("double")).mapInArrow(pack, "part int, src binary, dst binary, l binary")
+        rows = packed.rdd.map(lambda r: (r.part, (r.src, r.dst, r.l))).groupByKey(count).mapValues(rows_of).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def asked(own: tuple[int, tuple]) -> Iterator[tuple]:
+            p, (*_, needed) = own
+            cuts = np.searchsorted(needed, bounds)
+            for q in range(count):
+                if cuts[q] < cuts[q + 1]:
+                    yield q, (p, needed[cuts[q] : cuts[q + 1]] - bounds[q])
+
+        sends = rows.flatMap(asked).groupByKey(count).mapValues(list)
+        self.parts = rows.cogroup(sends, count).mapValues(lambda x: (next(iter(x[0]))[:3], next(iter(x[1])))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.top = self.parts.map(lambda x: float(np.add.reduceat(np.abs(x[1][0][1]), x[1][0][0]).max())).max()
+        rows.unpersist()
+
+    def start(self, m: int) -> RDD:
+        return self.parts.map(lambda x: (x[0], (np.random.default_rng([0, x[0]]).normal(size=(len(x[1][0][0]), m)),)), preservesPartitioning=True)
+
+    def filtered_products(self, x: RDD, middle: float, half: float, degree: int) -> RDD:
+        """(part, (y, L y)) of vectors (part, (x,)), y being x with its parts outside of middle +- half enlarged by a Chebyshev polynomial of that degree."""
+
+        def outgoing(own: tuple, state: tuple, sends: list) -> Iterator[tuple]:
+            p = own
+            yield p, (-1, state)
+            for to, rows in sends:
+                yield to, (p, state[-1][rows])
+
+        def begin(item: tuple) -> Iterator[tuple]:
+            p, (states, parts) = item
+            return outgoing(p, next(iter(states)), next(iter(parts))[1])
+
+        def product(met: Iterable, cells: tuple) -> tuple[tuple, np.ndarray]:
+            met, (first, l, column) = dict(met), cells
+            state, x = met.pop(-1), np.concatenate([met[q] for q in sorted(met)])
+            out, ends = np.empty_like(state[-1]), np.append(first, len(l))
+            for at in range(0, len(first), PRODUCT_ROWS):
+                upto = min(at + PRODUCT_ROWS, len(first))
+                a, b = ends[at], ends[upto]
+                out[at:upto] = np.add.reduceat(l[a:b, None] * x[column[a:b]], first[at:upto] - a)
+            return state, out
+
+        def further(item: tuple) -> Iterator[tuple]:
+            p, (met, parts) = item
+            cells, sends = next(iter(parts))
+            state, lx = product(met, cells)
+            now = (lx - middle * state[-1]) / half
+            return outgoing(p, (state[-1], now if len(state) == 1 else 2 * now - state[0]), sends)
+
+        def last(item: tuple) -> tuple:
+            p, (met, parts) = item
+            state, lx = product(met, next(iter(parts))[0])
+            return p, (state[-1], lx)
+
+        moved = x.cogroup(self.parts, self.count).flatMap(begin).partitionBy(self.count)
+        for _ in range(degree):
+            moved = moved.cogroup(self.parts, self.count).flatMap(further).partitionBy(self.count)
+        return moved.cogroup(self.parts, self.count).map(last, preservesPartitioning=True)
+
+
+def _basis_of(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ritz values and the turn to their orthonormal vectors, of X'X and X'LX."""
+    scale = 1 / np.sqrt(np.diag(gram))
+    sizes, basis = np.linalg.eigh(gram * scale[:, None] * scale)
+    turn = scale[:, None] * basis / np.sqrt(np.maximum(sizes, 1e-14 * sizes[-1]))
+    values, inner = np.linalg.eigh(turn.T @ (product + product.T) @ turn / 2)
+    return values, turn @ inner
+
+
+def _smallest(cells: _Cells, k: int) -> tuple[np.ndarray, RDD]:
+    """The k smallest eigenvalues, equal ones included, and (part, vectors), by rounds of filtering a block and solving in its span.
+
+    A round is one job; only sums of products of the block's vectors reach the driver.
+    """
     m = min(cells.n, k + max(SPARE, k // 2))
-    if 4 * 8 * m * cells.n > MAX_BASIS_BYTES:
-        raise ValueError(f"{m} vectors of {cells.n} nodes are more than the driver may hold")
-    x = np.linalg.qr(np.random.default_rng(0).normal(size=(cells.n, m)))[0]
+    pairs, kept = cells.filtered_products(cells.start(m), 0.0, 1.0, 0), None
     for _ in range(ROUNDS):
-        y = cells @ x
-        values, turn = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
-        x, y = x @ turn, y @ turn
-        if np.linalg.norm(y[:, :k] - x[:, :k] * values[:k], axis=0).max() <= TOLERANCE:
-            return values[:k], x[:, :k]
-        x = np.linalg.qr(_filtered(cells, x, values[-1]))[0]
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+        pairs.checkpoint()
+        gram, product = pairs.map(lambda x: np.stack([x[1][0].T @ x[1][0], x[1][0].T @ x[1][1]])).treeReduce(np.add)
+        if kept is not None:
+            kept.unpersist()
+        kept = pairs
+        values, turn = _basis_of(gram, product)
+
+        def apart(x: tuple, values: np.ndarray = values[:k], turn: np.ndarray = turn[:, :k]) -> np.ndarray:
+            return np.sum((x[1][1] @ turn - x[1][0] @ turn * values) ** 2, axis=0)
+
+        if np.sqrt(pairs.map(apart).treeReduce(np.add).max()) <= TOLERANCE:
+            return values[:k], pairs.mapValues(lambda x, turn=turn[:, :k]: x[0] @ turn)
+        turned = pairs.mapValues(lambda x, turn=turn: (x[0] @ turn,))
+        pairs = cells.filtered_products(turned, (cells.top + values[-1]) / 2, (cells.top - values[-1]) / 2, DEGREE)
+        cells.context._jvm.System.gc()  # shuffles of earlier rounds are cleaned when their jobs are forgotten
     raise RuntimeError(f"{k} eigenvectors of {cells.n} nodes are unfinished after {ROUNDS} rounds")
 
 
 def eigenvectors(laplacian: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node ids, k smallest eigenvalues ascending, eigenvectors) of symmetric cells (src, dst, l).
 
-    Up to MAX_DENSE nodes in one dense solve; beyond it the cells stay distributed and the driver holds a block of vectors.
+    Up to MAX_DENSE nodes in one dense solve; beyond it cells and vectors stay distributed until the k found ones are returned.
     """
     n = laplacian.select("src").distinct().count()
     if not 1 <= k <= n - 1:
         raise ValueError(f"k must be in 1..{n - 1}")
-    if n * 8 > MAX_BASIS_BYTES:
+    if n * 8 * (k + 1) > MAX_BASIS_BYTES:
         raise ValueError(f"{n} nodes are more than the driver may hold")
-    nodes = np.array([r[0] for r in laplacian.select("src").distinct().orderBy("src").collect()])
+    nodes = laplacian.select("src").distinct().orderBy("src").toArrow().column("src").to_numpy()
     if n > MAX_DENSE:
-        values, vectors = _smallest(_Cells(cut_lineage(laplacian), nodes), k)
+        values, parts = _smallest(_Cells(cut_lineage(laplacian), nodes), k)
+        vectors = np.concatenate([v for _, v in sorted(parts.collect(), key=lambda x: x[0])])  # once, k numbers a node
         return nodes, values, fixed_signs(vectors)
     place = {x: i for i, x in enumerate(nodes.tolist())}
     dense = np.zeros((n, n))
@@ -110,7 +168,8 @@ def eigenvectors(laplacian: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def basis_table(spark: SparkSession, nodes: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(n), [float(x) for x in v]) for n, v in zip(nodes, vectors, strict=True)], "node long, phi array<double>")
+    bounds = np.arange(len(nodes) + 1, dtype=np.int32) * vectors.shape[1]
+    return spark.createDataFrame(pa.table({"node": np.asarray(nodes, np.int64), "phi": pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.ravel(vectors)))}))
 
 
 def heat_kernel_signature(basis: DataFrame, values: np.ndarray, n_times: int = 8) -> DataFrame:
