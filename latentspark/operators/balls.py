@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import by_hash, sq_dists
 from latentspark.operators.blocks import BATCH_BYTES, BLOCK, Block, cut_lineage, for_block_pairs, map_vectors, matrix, pack_blocks
-from latentspark.operators.pairs import _first
+from latentspark.operators.pairs import first_of
 
 #: Centres: at most, and rows for each at least.
 MOST_CENTRES, ROWS_A_CENTRE = 4096, 128
@@ -80,10 +80,7 @@ def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int, own: bool
                 at = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
                 against = Block(*(at[f"to_{c}"] for c in sides))
                 for strip in Block(*(at[c] for c in sides)).strips():
-                    d = np.sqrt(sq_dists(strip.v, against.v))
-                    if own:
-                        d[strip.ids[:, None] == against.ids[None]] = np.inf
-                    yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in _first(d, strip.ids, against.ids, k).items()})
+                    yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in first_of(strip, against, k, own).items()})
 
     return met.mapInArrow(run, FOUND)
 
