@@ -185,12 +185,13 @@ def _greedy(rows: DataFrame, k: int, rule, width: int, first: list[tuple[int, np
     return out
 
 
-def herding(df: DataFrame, k: int, kernel: Kernel, sign: int = 1, candidates: int | None = None) -> Picked:
+def herding(df: DataFrame, k: int, kernel: Kernel, sign: int = 1, candidates: int | None = None, means: DataFrame | None = None) -> Picked:
     """Greedy picks of largest mean kernel less the mean kernel with earlier picks; sign -1: of smallest (adversarial).
 
-    candidates: rows that a pass may bring to the driver, by default as many as CANDIDATE_NUMBERS hold.
+    candidates: rows that a pass may bring to the driver, by default as many as CANDIDATE_NUMBERS hold. means: df's
+    ``mean_kernel``, which several designs of one pool may share, as it meets all pairs.
     """
-    rows = df.join(mean_kernel(df, None, kernel), "sample_id").select(F.col("sample_id").cast("long").alias("sample_id"), F.col("v").cast("array<double>").alias("v"), "mu")
+    rows = df.join(mean_kernel(df, None, kernel) if means is None else means, "sample_id").select(F.col("sample_id").cast("long").alias("sample_id"), F.col("v").cast("array<double>").alias("v"), "mu")
     rows = cut_lineage(rows)
     first = rows.select(F.size("v")).first()
     if first is None:

@@ -113,10 +113,11 @@ def prototypes(df: DataFrame, membership: DataFrame, n_samples: int | None = Non
     return mean_vectors(df.join(support(membership, n_samples, seed), "sample_id"), ["anchor"])
 
 
-def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None, clusterer: Clusterer | None = None) -> DataFrame:
+def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int = 0, kernel: Kernel | None = None, clusterer: Clusterer | None = None, means: DataFrame | None = None) -> DataFrame:
     """``(sample_id, place)`` of n pilots of df (sample_id, v, label); all rows where n covers the pool.
 
     clusterer: in place of k-means in the design of that name; rows that it leaves out are no pilots.
+    means: df's ``mean_kernel`` by a fitted kernel, for herding designs that share it.
     """
     head, k = parse_design(strategy)
     if n <= 0:
@@ -126,7 +127,7 @@ def select_pilots(df: DataFrame, n: int, strategy: str = "herding", seed: int =
         return df.select("sample_id", F.lit(None).cast("int").alias("place"))
     if head in ("herding", "anti_herding"):
         fitted = (kernel or Kernel()).fitted(median_sq_dist(df))
-        ids = selection.herding(df.select("sample_id", "v"), n, fitted, 1 if head == "herding" else -1)
+        ids = selection.herding(df.select("sample_id", "v"), n, fitted, 1 if head == "herding" else -1, means)
         return spark.createDataFrame(list(enumerate(ids)), "place int, sample_id long").select("sample_id", "place")
     if head == "fps":
         ids = selection.farthest_points(df.select("sample_id", "v"), n, selection.first_by_hash(df, 1, seed).first().sample_id)
