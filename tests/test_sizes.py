@@ -2,9 +2,12 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from latentspark.functions import vec
 from latentspark.functions.kernels import Kernel
 from latentspark.operators import blocks, greedy, pairs
-from latentspark.plans import invariant_queries
+from latentspark.plans import invariant_queries, space_queries
 
 
 def test_herding_designs_share_their_means(spark, monkeypatch):
@@ -54,3 +57,15 @@ def test_kernel_cells_are_those_of_the_formula():
     for name, want in (("rbf", np.exp(-0.3 * d**2)), ("laplacian", np.exp(-0.3 * d)), ("linear", a @ b.T), ("polynomial", (a @ b.T + 1) ** 3)):
         kernel = Kernel(name, gamma=0.3)
         assert np.allclose(kernel.block(a, b), want, atol=1e-12) and kernel.block(a, b, out) is out and np.allclose(out, want, atol=1e-12)
+
+
+def test_cells_are_rounded_without_decimals(spark):
+    """Rounding by products gives what F.round gives, and the cells of a Gram's query take it."""
+    rng = np.random.default_rng(11)
+    values = [0.0, -0.0, 1e-7, -1e-7, 0.5, -0.5, 0.015625, -0.015625, 1e8 + 0.25, -3e12, float("nan"), float("inf"), float("-inf"), None, *rng.normal(size=5000).tolist(), *(100 * rng.normal(size=5000)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (3, 5):
+        assert df.where(~vec.rounded(F.col("x"), places).eqNullSafe(F.round("x", places))).count() == 0
+    for name in ("laplacian_gram", "linear_gram", "cosine_gram", "rbf_gram", "poly_gram", "double_center"):
+        plan = getattr(space_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN" in plan, name
