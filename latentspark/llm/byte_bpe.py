@@ -2,9 +2,13 @@ r"""Byte-level BPE encoding and decoding with Spark's higher-order functions alo
 
 A text is split by the vocabulary's pattern in the JVM. A word's bytes are a list
 of pieces; ``aggregate`` folds the merges over it, each step joining the leftmost
-pair of the lowest rank, with the ranks in a literal map (an array of small maps,
-by CRC-32, since a lookup in one of Spark's maps is a scan). Two columns hold
-the pieces' bytes, one as text in which a character stands for a byte.
+pair of the lowest rank, with the ranks in a literal map (two arrays in which a piece stands
+at one of two places by its hash, since a lookup in one of Spark's maps is a scan).
+Pieces are texts in which a character stands for a byte.
+
+Where the ranks of merges only rise, as the driver finds of a vocabulary's pieces, the
+merges of a short word come in the order of its parts by rank and place: each part
+that is two tokens when its turn comes is merged, on borders that are bits of a number.
 
 Words repeat, so the fold is over distinct words: those of a corpus are counted,
 and the ids of the most frequent (``known_words`` of at most ``KNOWN_CHARS``
@@ -22,7 +26,7 @@ where the last token of one part and the first of the next aren't, a window of
 Java's letters, numbers and blanks are those of its own version of Unicode, so the
 pattern's classes are completed by the characters that the tiktoken library matches.
 
-Decoding looks up the bytes of each id and concatenates them, in blocks of blocks.
+Decoding looks up the bytes of each id, as hexadecimal digits, and joins them.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; texts and
 words may have any length; an id outside the vocabulary decodes to null; rows that
@@ -35,7 +39,6 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import zlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,14 +51,16 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 KNOWN_WORDS, KNOWN_CHARS = 200_000, 32
 #: Bytes that are folded at once.
 CHUNK = 48
-#: Maps of the literal of ranks, and strings of that of words, by CRC-32: six of either each, on average.
-RANK_MAPS, WORD_LISTS = 8_192, 32_768
+#: Bytes of a word whose merges are found by rank, not step by step.
+SHORT = 24
+#: Places of the literal of ranks, and strings of that of words, by hash; powers of two.
+RANK_PLACES, WORD_LISTS = 262_144, 65_536
+#: Bits of the hash that the second place passes over.
+PLACE_SHIFT = 14
 #: What stands before and behind a word in those strings, and so in no word that they hold.
 BEFORE, BEHIND = "\x01", "\x02"
 #: No rank: above every id.
 NONE = 2**31 - 1
-#: Pieces that one step of decoding concatenates.
-BLOCK = 32
 #: A length that takes all that follows: more than any list of tokens holds.
 REST = 2**30
 
@@ -71,15 +76,45 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
-def _maps(entries: Iterable[tuple[str, object]], n: int) -> list[dict]:
-    maps: list[dict] = [{} for _ in range(n)]
-    for key, value in entries:
-        maps[zlib.crc32(key.encode()) % n][key] = value
-    return maps
+def murmur3(data: bytes) -> int:
+    """Spark's ``hash`` of a string, unsigned: its last bytes are mixed one by one."""
+    h, whole = 42, len(data) // 4 * 4
+    for k in (*(int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)), *((b - 256 if b > 127 else b) for b in data[whole:])):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def _places(piece: str, n: int) -> tuple[int, int]:
+    """The two places, of n, where a piece may stand."""
+    code = murmur3(piece.encode())
+    return code % n, (code >> PLACE_SHIFT) % n
+
+
+def _placed(ranks: dict[str, int], n: int) -> tuple[list[str | None], list[int | None]]:
+    """Pieces and their ranks, each at one of its two places: who comes to a taken one sends the other on to its second."""
+    pieces: list[str | None] = [None] * n
+    places = {piece: _places(piece, n) for piece in ranks}
+    for piece in ranks:
+        at = places[piece][0]
+        for _ in range(100):
+            piece, pieces[at] = pieces[at], piece
+            if piece is None:
+                break
+            first, second = places[piece]
+            at = second if at == first else first
+        else:
+            raise ValueError(f"{len(ranks)} pieces don't fit into {n} places")
+    return pieces, [None if p is None else ranks[p] for p in pieces]
 
 
 def _hashed(key: Column, n: int) -> Column:
-    return (F.crc32(key.cast("binary")) % n).cast("int")
+    """Hash of a key modulo n, a power of two."""
+    return F.hash(key).bitwiseAND(n - 1)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,7 +129,8 @@ def _matched(pattern: str) -> frozenset[str]:
 
     codes = (*range(0xD800), *range(0xE000, 0x110000))
     alone = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    return frozenset(bytes(alone.encode_ordinary("".join(map(chr, codes)))).decode())
+    few = (codes[i : i + 65_536] for i in range(0, len(codes), 65_536))
+    return frozenset(c for some in few for c in bytes(alone.encode_ordinary("".join(map(chr, some)))).decode())
 
 
 def _ranges(chars: Iterable[str]) -> str:
@@ -108,7 +144,10 @@ def _ranges(chars: Iterable[str]) -> str:
 
 
 def java_pattern(spark: SparkSession, pattern: str) -> str:
-    r"""pattern with each of ``\s \S \p{L} \p{N}`` as what tiktoken takes it for, whatever the JVM's version of Unicode."""
+    r"""pattern with each of ``\s \S \p{L} \p{N}`` as what tiktoken takes it for, whatever the JVM's version of Unicode.
+
+    The JVM asks a class's parts from left to right, so ASCII stands first and the characters it doesn't know are one part, the last.
+    """
     codes = (*range(0xD800), *range(0xE000, 0x110000))
     classes = (r"\s", r"\p{L}", r"\p{N}")
     every = spark.createDataFrame([("".join(map(chr, codes[i : i + 4096])),) for i in range(0, len(codes), 4096)], "chars string").coalesce(1)
@@ -119,7 +158,8 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
         if set(found) - _matched(c):
             raise ValueError(f"the JVM's {c} holds characters that tiktoken's doesn't")
         more = _ranges(_matched(c) - set(found))
-        whole[c] = f"{c}[{more}]" if more else c
+        ascii_first = _ranges(x for x in _matched(c) if x < "\x80")
+        whole[c] = f"[{ascii_first}[{c}[{more}]]]" if more else f"[{ascii_first}{c}]"
     out, at, inside = "", 0, False
     while at < len(pattern):
         name = next((c for c in (*classes, r"\S") if pattern.startswith(c, at)), pattern[at])
@@ -134,6 +174,14 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     return out
 
 
+def _between(i: int, size: int) -> tuple[int, int]:
+    """The borders inside the size bytes from the i-th on (from 1), and those at their ends, as bits; none beyond ``SHORT``."""
+    if not 1 <= i <= i + size - 1 <= SHORT or size < 2:
+        return 0, 0
+    first, last = 1 << i - 1, 1 << i - 1 + size
+    return last - 2 * first, first | last
+
+
 class Codec:
     """Column expressions that encode and decode by one vocabulary.
 
@@ -143,28 +191,36 @@ class Codec:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
         self.pattern = java_pattern(spark, pattern)
-        pieces = {r: base64.b64encode(p).decode() for p, r in ranks.items()}
+        pieces = {r: p.hex() for p, r in ranks.items()}
         every = range(max(pieces) + 1)
+        placed, at = _placed({p.decode("latin-1"): r for p, r in ranks.items()}, RANK_PLACES)
         self.ranks = _literal(
-            {"maps": _maps(((p.decode("latin-1"), r) for p, r in ranks.items()), RANK_MAPS), "bytes": [ranks[bytes([b])] for b in range(256)]},
-            "struct<maps:array<map<string,int>>,bytes:array<int>>",
+            {
+                "pieces": placed,
+                "ranks": at,
+                "bytes": [ranks[bytes([b])] for b in range(256)],
+                "inside": [_between(i, size)[0] for i in range(32) for size in range(32)],
+                "ends": [_between(i, size)[1] for i in range(32) for size in range(32)],
+            },
+            "struct<pieces:array<string>,ranks:array<int>,bytes:array<int>,inside:array<int>,ends:array<int>>",
         )
-        self.pieces = _literal([pieces.get(r) for r in every], "array<binary>")
+        self.rising = ranks_rise(ranks)
+        self.pieces = _literal([pieces.get(r) for r in every], "array<string>")
         self.little = _literal([r.to_bytes(4, "little").hex() for r in every], "array<string>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
 
     def known(self, texts: DataFrame, n: int = KNOWN_WORDS) -> Column:
-        """A literal of the ids of the n most frequent words of a column ``text``: strings of words and their ids, by CRC-32."""
+        """A literal of the ids of the n most frequent words of a column ``text``: strings of words and their ids, by hash."""
         words = texts.select(F.explode(self.words(F.col("text"))).alias("word")).where(F.length("word") <= KNOWN_CHARS)
         frequent = words.groupBy("word").count().where(~F.col("word").rlike(f"[{BEFORE}{BEHIND}]")).orderBy(F.desc("count"), "word").limit(n).select("word")
         parallel = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ids = _let(self.ranks, lambda t: fold(t, F.col("word")))
-        found = frequent.repartition(parallel, "word").select("word", F.array_join(ids, ",").alias("ids")).toPandas()
+        ids = _let(self.ranks, lambda t: fold(t, F.col("word"), self.rising))
+        found = frequent.repartition(parallel, "word").select("word", F.array_join(ids, ",").alias("ids"), _hashed(F.col("word"), WORD_LISTS).alias("at")).toPandas()
         lists = [BEFORE] * WORD_LISTS
-        for word, listed in zip(found["word"], found["ids"], strict=True):
-            lists[zlib.crc32(word.encode()) % WORD_LISTS] += f"{word}{BEHIND}{listed}{BEFORE}"
+        for word, listed, at in zip(found["word"], found["ids"], found["at"], strict=True):
+            lists[at] += f"{word}{BEHIND}{listed}{BEFORE}"
         return _literal(lists, "array<string>")
 
     def encode(self, text: Column, known: Column) -> Column:
@@ -176,7 +232,7 @@ class Codec:
             def ids(word: Column) -> Column:
                 behind = F.call_function("substring_index", known[_hashed(word, WORD_LISTS)], F.concat(F.lit(BEFORE), word, F.lit(BEHIND)), F.lit(-1))
                 # Without the word, the whole list is left, which begins with its mark.
-                return F.when(F.startswith(behind, F.lit(BEFORE)), F.array_join(fold(ranks, word), ",")).otherwise(F.substring_index(behind, BEFORE, 1))
+                return F.when(F.startswith(behind, F.lit(BEFORE)), F.array_join(fold(ranks, word, self.rising), ",")).otherwise(F.substring_index(behind, BEFORE, 1))
 
             return F.array_join(F.transform(self.words(text), ids), ",")
 
@@ -184,26 +240,26 @@ class Codec:
         return _let(joined, lambda all_ids: F.when(all_ids != "", F.split(all_ids, ",").cast("array<int>")).otherwise(F.array().cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
-        """Bytes of a list of ids."""
-        blocks = _let(self.pieces, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i)))
-        for _ in range(4):
-            blocks = _let(blocks, lambda whole: F.transform(
-                F.sequence(F.lit(0), F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / BLOCK).cast("int")),
-                lambda b: _concatenated(F.slice(whole, b * BLOCK + 1, BLOCK)),
-            ))
-        return _concatenated(blocks)
+        """Bytes of a list of ids; null if any is unknown, as its digits are none."""
+        return F.unhex(F.array_join(_let(self.pieces, lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), "", "?"))
 
     def packed(self, ids: Column) -> Column:
         """Ids as little-endian words of 32 bits."""
         return F.unhex(F.array_join(_let(self.little, lambda words: F.transform(ids, lambda i: words[i])), ""))
 
 
-def _concatenated(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(b""), lambda x, y: F.concat(x, y))
+def _rank_of(tables: Column, piece: Column) -> Column:
+    """Rank of a piece, null without one."""
+
+    def at(place: Column) -> tuple[Column, Column]:
+        return tables["pieces"][place] == piece, tables["ranks"][place]
+
+    code = F.hash(piece)
+    return F.when(*at(code.bitwiseAND(RANK_PLACES - 1))).when(*at(F.shiftright(code, PLACE_SHIFT).bitwiseAND(RANK_PLACES - 1)))
 
 
 def _rank(tables: Column, piece: Column) -> Column:
-    return F.coalesce(tables["maps"][_hashed(piece, RANK_MAPS)][piece], F.lit(NONE))
+    return F.coalesce(_rank_of(tables, piece), F.lit(NONE))
 
 
 def _token(rank: Column, start: Column, part: Column, token_id: Column) -> Column:
@@ -277,8 +333,65 @@ def _stitch(tables: Column, a: Column, b: Column) -> Column:
     return F.aggregate(widths, start, lambda s, k: F.when(s["done"], s).otherwise(attempt(k)), lambda s: s["tokens"])
 
 
-def fold(tables: Column, word: Column) -> Column:
+def ranks_rise(ranks: dict[bytes, int]) -> bool:
+    """Whether the merges that lead to any piece of at most ``SHORT`` bytes rise in rank.
+
+    Two tokens that meet in a word were made from their bytes alone, so these are all
+    the merges there are: where they rise, no merge makes way for one of a lower rank.
+    """
+    for piece in ranks:
+        parts, last = [piece[i : i + 1] for i in range(len(piece))] if len(piece) <= SHORT else [], -1
+        while len(parts) > 1:
+            low, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if low < last:
+                return False
+            if low == NONE:
+                break
+            parts[at : at + 2], last = [parts[at] + parts[at + 1]], low
+    return True
+
+
+def _bits(name: str, a: Column, b: Column | int) -> Column:
+    return F.call_function(name, a, b if isinstance(b, Column) else F.lit(b))
+
+
+def _swept(tables: Column, piece: Column) -> Column:
+    """Ids of a piece of at most ``SHORT`` bytes, where ranks rise: its parts that have a rank, by rank and place, are merged if they are two tokens then.
+
+    The borders of tokens are the bits of a number, one for each byte and one for the end.
+    """
+    n = F.length(piece)
+
+    def ranked(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(2), n - i + 1), lambda size: _rank_of(tables, F.substring(piece, i, size)) * 1024 + (i * 32 + size))
+
+    def merged(borders: Column, code: Column) -> Column:
+        at = code.bitwiseAND(1023)
+        inside, ends = tables["inside"][at], tables["ends"][at]
+        whole = F.bit_count(borders.bitwiseAND(inside)) == 1
+        return F.when(whole & (borders.bitwiseAND(ends) == ends), borders.bitwiseAND(F.bitwise_not(inside))).otherwise(borders)
+
+    def ids(borders: Column) -> Column:
+        def token(i: Column) -> Column:
+            return _let(_bits("shiftright", borders, i), lambda rest: _rank_of(tables, F.substring(piece, i, F.bit_count(rest.bitwiseAND(-rest) - 1) + 1)))
+
+        return F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: _bits("shiftright", borders, i - 1).bitwiseAND(1) == 1), token)
+
+    codes = F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), ranked))))
+    return _let(F.aggregate(codes, _bits("shiftleft", F.lit(2), n) - 1, merged), ids)
+
+
+def fold(tables: Column, word: Column, rising: bool = False) -> Column:
     """Ids of a word of any length, by the literal of ranks."""
+    by_steps = _stepped(tables, word)
+    if not rising:
+        return by_steps
+    swept = _let(F.decode(word.cast("binary"), "ISO-8859-1"), lambda piece: _let(_rank_of(tables, piece), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_swept(tables, piece))))
+    return F.when(F.octet_length(word) <= SHORT, swept).otherwise(by_steps)
+
+
+def _stepped(tables: Column, word: Column) -> Column:
+    """Ids of a word, one merge after the other."""
     raw = word.cast("binary")
     chunk = lambda i: _fold(tables, F.decode(F.substring(raw, i * CHUNK + 1, F.lit(CHUNK)), "ISO-8859-1"))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(word) - 1) / CHUNK).cast("int")), chunk)

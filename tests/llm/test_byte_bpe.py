@@ -95,3 +95,24 @@ def test_no_text_is_shuffled(spark, codec):
         nodes.append(node.nodeName())
         waiting += [node.children().apply(i) for i in range(node.children().length())]
     assert any("Scan" in n for n in nodes) and all(n.startswith(("Project", "Scan", "WholeStageCodegen", "InputAdapter", "ColumnarToRow", "FileScan")) for n in nodes), nodes
+
+
+def test_short_words_by_rank(spark, codec):
+    """Merges in the order of rank and place give the library's ids, for random bytes of up to SHORT and beyond; a piece with falling ranks is noticed."""
+    rng = random.Random(2)
+    syllables = ["th", "er", "on", "a", "e", "i", "ñ", "ß", "ing", "ción", "x", "--", "aa", "0", "漢"]
+    words = {"".join(rng.choice(syllables) for _ in range(rng.randint(1, 14))) for _ in range(4_000)} | {"a" * i for i in range(1, 60)}
+    docs = spark.createDataFrame([(w,) for w in words], "word string").repartition(4)
+    ids = lambda t: F.struct(byte_bpe.fold(t, F.col("word"), True).alias("swept"), byte_bpe.fold(t, F.col("word")).alias("stepped"))
+    assert byte_bpe.ranks_rise(RANKS) and codec.rising
+    for r in docs.select("word", byte_bpe._let(codec.ranks, ids).alias("ids")).collect():
+        assert r.ids.swept == r.ids.stepped == LIBRARY._core_bpe.encode_single_piece(r.word.encode()), r.word
+    alone = {bytes([b]): b for b in range(256)}
+    assert not byte_bpe.ranks_rise(alone | {b"bc": 301, b"abc": 300})
+    assert byte_bpe.ranks_rise(alone | {b"bc": 300, b"abc": 301})
+
+
+def test_hash_is_sparks(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "é", "aé漢\U0001f600", "x" * 31]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.hash("t").alias("h"))
+    assert all(byte_bpe.murmur3(r.t.encode()) == r.h % 2**32 for r in df.collect())
