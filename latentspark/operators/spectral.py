@@ -22,6 +22,8 @@ MAX_BASIS_BYTES = 2 << 30
 SPARE, DEGREE, ROUNDS, TOLERANCE = 8, 24, 60, 1e-7
 #: Rows of a part at least, and those that a task multiplies at a time.
 PART_ROWS, PRODUCT_ROWS = 1000, 4096
+#: Bytes of a matrix (12 a cell) that a task may hold whole, cells that it multiplies at a time, the greatest degree there, and how far a filter may drive vectors apart.
+WHOLE_BYTES, PRODUCT_CELLS, MOST_DEGREE, APART = 256 << 20, 1 << 20, 192, 1e10
 
 
 class _Cells:
@@ -30,7 +32,7 @@ class _Cells:
     def __init__(self, cells: DataFrame, nodes: np.ndarray) -> None:
         self.context, self.n = cells.sparkSession.sparkContext, len(nodes)
         self.count = count = max(1, min(self.context.defaultParallelism, -(-len(nodes) // PART_ROWS)))
-        bounds = np.linspace(0, len(nodes), count + 1).astype(np.int64)
+        self.bounds = bounds = np.linspace(0, len(nodes), count + 1).astype(np.int64)
         shared = self.context.broadcast(nodes)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +53,11 @@ class _Cells:
 
         packed = cells.select("src", "dst", F.col("l").cast("double")).mapInArrow(pack, "part int, src binary, dst binary, l binary")
         rows = packed.rdd.map(lambda r: (r.part, (r.src, r.dst, r.l))).groupByKey(count).mapValues(rows_of).persist(StorageLevel.MEMORY_AND_DISK)
+        self._keep(rows)
+
+    def _keep(self, rows: RDD) -> None:
+        """Rows of each part, with what the other parts need of its vectors."""
+        bounds, count = self.bounds, self.count
 
         def asked(own: tuple[int, tuple]) -> Iterator[tuple]:
             p, (*_, needed) = own
@@ -64,6 +71,12 @@ class _Cells:
         self.top = self.parts.map(lambda x: float(np.add.reduceat(np.abs(x[1][0][1]), x[1][0][0]).max())).max()
         rows.unpersist()
 
+    def degree(self, low: float, cut: float) -> int:
+        return DEGREE
+
+    def close(self) -> None:
+        self.parts.unpersist()
+
     def start(self, m: int) -> RDD:
         return self.parts.map(lambda x: (x[0], (np.random.default_rng([0, x[0]]).normal(size=(len(x[1][0][0]), m)),)), preservesPartitioning=True)
 
@@ -108,6 +121,83 @@ class _Cells:
         return moved.cogroup(self.parts, self.count).map(last, preservesPartitioning=True)
 
 
+class _WholeCells(_Cells):
+    """The same where tasks hold all cells: they share out the block's vectors instead, so that no product moves any. A round moves the block to them and, twice as large, back."""
+
+    def _keep(self, rows: RDD) -> None:
+        def part(item: tuple[int, tuple]) -> tuple:
+            p, (first, l, column, needed) = item
+            return p, (np.diff(first, append=len(l)).astype(np.int32), l, needed[column].astype(np.int32))
+
+        packed = rows.map(part).persist(StorageLevel.MEMORY_AND_DISK)
+        self.sizes = dict(packed.map(lambda x: (x[0], len(x[1][0]))).collect())
+        self.top = packed.map(lambda x: float(np.add.reduceat(np.abs(x[1][1]), np.cumsum(x[1][0]) - x[1][0]).max())).max()
+        self.packed, self.dealt = packed, {}
+        rows.unpersist()
+
+    def degree(self, low: float, cut: float) -> int:
+        """As high as rounding bears, as products are cheap: vectors at low grow at most APART times as much as those at cut."""
+        reach = np.arccosh(max((self.top + cut - 2 * low) / max(self.top - cut, 1e-300), 1 + 1e-12))
+        return int(np.clip(np.log(2 * APART) / reach, DEGREE, MOST_DEGREE))
+
+    def start(self, m: int) -> RDD:
+        sizes = self.sizes
+        return self.context.parallelize(sorted(sizes), self.count).map(lambda p: (p, (np.random.default_rng([0, p]).normal(size=(sizes[p], m)),)))
+
+    def _cells_for(self, groups: int) -> RDD:
+        """All cells, once for each group of vectors."""
+        if groups not in self.dealt:
+            def whole(found: Iterable) -> tuple[np.ndarray, ...]:
+                found = [x for _, x in sorted(found, key=lambda x: x[0])]
+                counts, l, column = (np.concatenate([x[k] for x in found]) for k in range(3))
+                return np.cumsum(counts, dtype=np.int64) - counts, l, column
+
+            self.dealt[groups] = self.packed.flatMap(lambda x: ((g, x) for g in range(groups))).groupByKey(groups).mapValues(whole).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.dealt[groups]
+
+    def filtered_products(self, x: RDD, middle: float, half: float, degree: int) -> RDD:
+        bounds, m = self.bounds, self.width
+        groups = -(-m // -(-m // self.context.defaultParallelism))
+        cuts = np.linspace(0, m, groups + 1).astype(int)
+
+        def product(cells: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+            first, l, column = cells
+            out, ends, at = np.empty_like(x), np.append(first, len(l)), 0
+            while at < len(x):
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PRODUCT_CELLS, "right")) - 1)
+                a, b = ends[at], ends[upto]
+                out[at:upto] = np.add.reduceat(l[a:b] * x[column[a:b]], first[at:upto] - a)
+                at = upto
+            return out
+
+        def filtered(item: tuple) -> Iterator[tuple]:
+            g, (met, cells) = item
+            cells = next(iter(cells))
+            x = np.concatenate([v for _, v in sorted(next(iter(met)), key=lambda v: v[0])], axis=1)
+            both = []
+            for before in x:
+                now, lx = before, product(cells, before)
+                for step in range(degree):
+                    at = (lx - middle * now) / half
+                    before, now = now, at if step == 0 else 2 * at - before
+                    lx = product(cells, now)
+                both.append((now, lx))
+            for p in range(len(bounds) - 1):
+                some = slice(bounds[p], bounds[p + 1])
+                yield p, (g, np.stack([[y[some], ly[some]] for y, ly in both]))
+
+        def back(found: Iterable) -> tuple[np.ndarray, np.ndarray]:
+            found = np.concatenate([v for _, v in sorted(found, key=lambda v: v[0])])
+            return np.ascontiguousarray(found[:, 0].T), np.ascontiguousarray(found[:, 1].T)
+
+        columns = x.flatMap(lambda item: ((g, (item[0], item[1][-1].T[cuts[g] : cuts[g + 1]])) for g in range(groups))).groupByKey(groups)
+        return columns.cogroup(self._cells_for(groups), groups).flatMap(filtered).groupByKey(self.count).mapValues(back)
+
+    def close(self) -> None:
+        for cells in (self.packed, *self.dealt.values()):
+            cells.unpersist()
+
+
 def _basis_of(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ritz values and the turn to their orthonormal vectors, of X'X and X'LX."""
     scale = 1 / np.sqrt(np.diag(gram))
@@ -122,7 +212,7 @@ def _smallest(cells: _Cells, k: int) -> tuple[np.ndarray, RDD]:
 
     A round is one job; only sums of products of the block's vectors reach the driver.
     """
-    m = min(cells.n, k + max(SPARE, k // 2))
+    m = cells.width = min(cells.n, k + max(SPARE, k // 2))
     pairs, kept = cells.filtered_products(cells.start(m), 0.0, 1.0, 0), None
     for _ in range(ROUNDS):
         pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
@@ -139,7 +229,7 @@ def _smallest(cells: _Cells, k: int) -> tuple[np.ndarray, RDD]:
         if np.sqrt(pairs.map(apart).treeReduce(np.add).max()) <= TOLERANCE:
             return values[:k], pairs.mapValues(lambda x, turn=turn[:, :k]: x[0] @ turn)
         turned = pairs.mapValues(lambda x, turn=turn: (x[0] @ turn,))
-        pairs = cells.filtered_products(turned, (cells.top + values[-1]) / 2, (cells.top - values[-1]) / 2, DEGREE)
+        pairs = cells.filtered_products(turned, (cells.top + values[-1]) / 2, (cells.top - values[-1]) / 2, cells.degree(values[0], values[-1]))
         cells.context._jvm.System.gc()  # shuffles of earlier rounds are cleaned when their jobs are forgotten
     raise RuntimeError(f"{k} eigenvectors of {cells.n} nodes are unfinished after {ROUNDS} rounds")
 
@@ -148,7 +238,9 @@ def eigenvectors(laplacian: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
     """(node ids, k smallest eigenvalues ascending, eigenvectors) of symmetric cells (src, dst, l).
 
     Up to MAX_DENSE nodes in one dense solve; beyond it cells and vectors stay distributed until the k found ones are returned.
+    Tasks multiply vectors of their own where they can hold all cells (WHOLE_BYTES), and rows of their own beyond that.
     """
+    laplacian = cut_lineage(laplacian)  # once: neighbours of all pairs may stand behind it
     n = laplacian.select("src").distinct().count()
     if not 1 <= k <= n - 1:
         raise ValueError(f"k must be in 1..{n - 1}")
@@ -156,8 +248,10 @@ def eigenvectors(laplacian: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
         raise ValueError(f"{n} nodes are more than the driver may hold")
     nodes = laplacian.select("src").distinct().orderBy("src").toArrow().column("src").to_numpy()
     if n > MAX_DENSE:
-        values, parts = _smallest(_Cells(cut_lineage(laplacian), nodes), k)
+        cells = (_WholeCells if 12 * laplacian.count() <= WHOLE_BYTES else _Cells)(laplacian, nodes)
+        values, parts = _smallest(cells, k)
         vectors = np.concatenate([v for _, v in sorted(parts.collect(), key=lambda x: x[0])])  # once, k numbers a node
+        cells.close()
         return nodes, values, fixed_signs(vectors)
     place = {x: i for i, x in enumerate(nodes.tolist())}
     dense = np.zeros((n, n))
@@ -175,6 +269,7 @@ def basis_table(spark: SparkSession, nodes: np.ndarray, vectors: np.ndarray) ->
 def heat_kernel_signature(basis: DataFrame, values: np.ndarray, n_times: int = 8) -> DataFrame:
     """``(node, t_index, hks)``: sum of exp(-t l) phi^2 at times spaced by a constant factor."""
     live = values[values > 1e-10]
+    live = live if len(live) else np.ones(1)  # as many parts as values: no time changes anything
     times = np.geomspace(4 * np.log(10) / live.max(), 4 * np.log(10) / live.min(), n_times)
     weights = [F.array(*[F.lit(float(w)) for w in np.exp(-t * values)]) for t in times]
     terms = [F.aggregate(F.zip_with("phi", w, lambda p, x: p * p * x), F.lit(0.0), lambda acc, x: acc + x) for w in weights]
